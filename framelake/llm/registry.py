@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import sentencepiece_bpe
+from framelake.llm import language_id, sentencepiece_bpe, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
+        "op10_token_files": token_files.op10_token_files,
     }
 
 
