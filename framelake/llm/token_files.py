@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import discard, materialize, new_path, table
 
-#: Words kept by a Python worker; a full cache starts anew. Tokens of a block, more for a longer document.
-CACHED_WORDS, BLOCK_TOKENS = 500_000, 1 << 18
+#: Words kept by a Python worker; a full cache starts anew. Characters split, and new words encoded, at a time. Tokens of a
+#: block, more for a longer document.
+CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 250_000, 1 << 19, 8192, 1 << 18
 #: Rows aimed at in a key range.
 RANGE_ROWS = 20_000
 #: control byte -> the lengths of its four tokens
@@ -75,26 +76,57 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        # a byte-level token has a character a byte
+        vocabulary = self.lib.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
         self.words: dict[str, bytes | None] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def raw_words(self, words: list[str]) -> list[bytes]:
+        """raw() of words that each start with a space, encoded as one text and cut again by the bytes of its tokens."""
+        ids = np.array(self.lib.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        ends = np.cumsum(self.bytes_of[ids])
+        goals = np.cumsum([len(w.encode()) for w in words])
+        cuts = np.searchsorted(ends, goals, side="left") + 1
+        if cuts[-1] != len(ids) or (ends[cuts - 1] != goals).any():
+            return self.raw(words)
+        data, k = ids.tobytes(), self.kind.itemsize
+        cuts = (cuts * k).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as bytes; a few texts are in memory as words at a time."""
+        some, held = [], 0
+        for t in texts:
+            some.append(t)
+            held += len(t)
+            if held >= SPLIT_CHARS:
+                yield from self._encode(some)
+                some, held = [], 0
+        yield from self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         known = self.words
         # the first word of a text has no space before it
         split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
         missing = {w for ws in split if ws for w in ws if w not in known}
-        plain = []
+        plain, first = [], []
         for w in missing:
             inner = w[1:] if w[:1] == " " else w
             if not inner or inner[0].isspace() or inner[-1].isspace():
                 known[w] = None
             else:
-                plain.append(w)
-        known.update(zip(plain, self.raw(plain), strict=True))
+                (plain if w[0] == " " else first).append(w)
+        for i in range(0, len(plain), NEW_WORDS):
+            some = plain[i : i + NEW_WORDS]
+            known.update(zip(some, self.raw_words(some), strict=True))
+        known.update(zip(first, self.raw(first), strict=True))
         out: list[bytes | None] = []
         for ws in split:
             try:
@@ -130,7 +162,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "
         edges = np.array(bounds, dtype=np.int64)
         for batch in batches:
             keys = batch["k"].to_numpy(dtype=np.int64)
-            ids = [x + end for x in enc.encode([t or "" for t in batch["t"].tolist()])]
+            ids = [x + end for x in enc.encode([t or "" for t in batch["t"]])]
             yield pd.DataFrame({"k": keys, "ids": ids, "width": enc.kind.itemsize, "bucket": np.searchsorted(edges, keys, side="left")})
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
