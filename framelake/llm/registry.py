@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import language_id, near_dedup, sentencepiece_bpe, token_files
+from framelake.llm import language_id, near_dedup, sentencepiece_bpe, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
         "op10_token_files": token_files.op10_token_files,
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.ORACLE,
     }
