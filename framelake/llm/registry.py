@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import language_id, near_dedup, sentencepiece_bpe, sharding, token_files
+from framelake.llm import embedding_dedup, language_id, near_dedup, sentencepiece_bpe, sharding, token_files, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
+        "op8_topk_search": topk_search.op8_topk_search,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_token_files": token_files.op10_token_files,
     }
 
@@ -23,4 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.ORACLE,
+        "op8_topk_search": topk_search.ORACLE,
+        "op9_embedding_dedup": embedding_dedup.ORACLE,
     }
