@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import connected_components, materialize, table
+from framelake.llm.common import bounded_batches, connected_components, materialize, table
 
 #: At a cosine of 0.98 in 64 dimensions, tests find over 0.99 of all links with these.
 TABLES, HASHES, COSINE = 8, 2, 0.98
@@ -121,6 +121,7 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
     as does a row with a null key (whose component_id is null and kept false). Rows with equal vectors link with each
     other; a row that repeats another's key is one more vector of that class. Extra columns are ignored.
     """
+    bounded_batches(vectors.sparkSession)
     x = F.col(vector).cast("array<double>")
     usable = F.when(F.size(x) > 0, F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)).otherwise(False)
     rows = vectors.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("string").alias("l"), x.alias("x"), (usable & F.col(label).isNotNull() & F.col(key).isNotNull()).alias("ok"))

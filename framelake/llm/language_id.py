@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import discard, materialize, table
+from framelake.llm.common import bounded_batches, discard, materialize, table
 
 #: N-grams in a language's profile and in a document's; both lists are cut there by definition of the method.
 PROFILE = 400
@@ -90,6 +90,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     everything where there is no profile. Texts are read whole; equal distances go to the language
     that comes first by name. A map over partitions: no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     names = sorted(profiles)
     order = [np.argsort(np.array(profiles[k], dtype=np.int64)) for k in names]
     codes = [np.array(profiles[k], dtype=np.int64)[o] for k, o in zip(names, order, strict=True)]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import connected_components, materialize, table, word_hashes
+from framelake.llm.common import bounded_batches, connected_components, materialize, table, word_hashes
 
 #: Words of a shingle, similarity in hundredths, bands and signature values of a band. At 0.75, four
 #: values in each of 28 bands miss a pair once in 40,000 times; at 0.8 once in 3 million.
@@ -125,6 +125,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     nothing and have a null component_id, kept false. Repeated rows are equal documents: both keep
     their row. Extra columns are ignored. Texts are compared whole.
     """
+    bounded_batches(docs.sparkSession)
     rows_in = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     sig = materialize(signatures(rows_in, "k", "t", n, bands, rows), "signatures")
     # one document stands for a class of equal sets

@@ -26,10 +26,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table
+from framelake.llm.common import bounded_batches, table
 
 SPACE = "▁"
-#: Chunks kept by a Python worker, pairs kept for compatibility: beyond these the cache starts anew.
+#: Chunks kept by a Python worker (the first that it meets, frequent ones among them); pairs kept for compatibility, beyond which
+#: that cache starts anew.
 CACHED_CHUNKS, CACHED_PAIRS = 600_000, 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
@@ -158,11 +159,9 @@ class PieceModel:
         """Ids as little-endian bytes, and their text, of '▁' + chunk."""
         found = self.chunks.get(chunk)
         if found is None:
-            if len(self.chunks) >= CACHED_CHUNKS:
-                self.chunks.clear()
             ids = self.chunk_ids(SPACE + chunk)
             found = (struct.pack(f"<{len(ids)}I", *ids), self.pieces_text(ids))
-            if len(chunk) <= 64:
+            if len(chunk) <= 64 and len(self.chunks) < CACHED_CHUNKS:
                 self.chunks[chunk] = found
         return found
 
@@ -218,6 +217,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
             out[key] = out[key].astype("Int64") if kind == "bigint" else out[key]
             yield out
 
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]

@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import discard, materialize, new_path, table
+from framelake.llm.common import bounded_batches, discard, materialize, new_path, table
 
-#: Words kept by a Python worker; a full cache starts anew. Characters split, and new words encoded, at a time. Tokens of a
+#: Words kept by a Python worker, the first that it meets, frequent ones among them. Characters split, and new words encoded, at a time. Tokens of a
 #: block, more for a longer document.
-CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 250_000, 1 << 19, 8192, 1 << 18
+CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 600_000, 1 << 19, 8192, 1 << 17
 #: Rows aimed at in a key range.
 RANGE_ROWS = 20_000
 #: control byte -> the lengths of its four tokens
@@ -81,7 +81,7 @@ class WordEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.words: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,27 +110,25 @@ class WordEncoder:
         yield from self._encode(some)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known = self.words
-        # the first word of a text has no space before it
-        split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        missing = {w for ws in split if ws for w in ws if w not in known}
-        plain, first = [], []
-        for w in missing:
-            inner = w[1:] if w[:1] == " " else w
-            if not inner or inner[0].isspace() or inner[-1].isspace():
-                known[w] = None
-            else:
-                (plain if w[0] == " " else first).append(w)
+        get = self.words.get
+        split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
+        parts = [list(map(get, ws)) for ws in split]
+        holes = [[i for i, x in enumerate(p) if x is None] for p in parts]
+        new = dict.fromkeys([ws[i] for ws, at in zip(split, holes, strict=True) for i in at])
+        plain = [w for w in new if w[:1] == " " and w[1:2].strip() and not w[-1].isspace()]
         for i in range(0, len(plain), NEW_WORDS):
             some = plain[i : i + NEW_WORDS]
-            known.update(zip(some, self.raw_words(some), strict=True))
-        known.update(zip(first, self.raw(first), strict=True))
+            new.update(zip(some, self.raw_words(some), strict=True))
+        first = [w for w, x in new.items() if x is None and w[:1].strip() and not w[-1].isspace() and "\0" not in w]
+        new.update(zip(first, self.raw(first), strict=True))
+        if len(self.words) < CACHED_WORDS:
+            self.words.update((w, x) for w, x in new.items() if x is not None and len(w) <= 64)
         out: list[bytes | None] = []
-        for ws in split:
+        for ws, p, at in zip(split, parts, holes, strict=True):
+            for i in at:
+                p[i] = new[ws[i]]
             try:
-                out.append(b"".join([known[w] for w in ws]) if ws is not None else None)
+                out.append(b"".join(p))
             except TypeError:
                 out.append(None)
         whole = [i for i, x in enumerate(out) if x is None]
@@ -150,6 +148,7 @@ def encoder_at(path: str) -> WordEncoder:
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids binary of uint32 or uint16, bucket) for every row with a key; a null text is empty, end_id closes each."""
+    bounded_batches(docs.sparkSession)
     total = docs.count()
     n = max(1, -(-total // RANGE_ROWS))
     probs = [i / n for i in range(1, n)]
