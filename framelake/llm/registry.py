@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import embedding_dedup, language_id, near_dedup, sentencepiece_bpe, sharding, token_files, topk_search
+from framelake.llm import embedding_dedup, language_id, mixing, near_dedup, sentencepiece_bpe, sharding, token_files, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op3_mixing": mixing.op3_mixing,
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mixing": mixing.op3_mixing,
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.ORACLE,
         "op8_topk_search": topk_search.ORACLE,
