@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import embedding_dedup, language_id, mixing, near_dedup, sentencepiece_bpe, sharding, token_files, topk_search
+from framelake.llm import embedding_dedup, html_extract, language_id, mixing, near_dedup, sentencepiece_bpe, sharding, token_files, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.op5_near_dedup,
+        "op6_html_extract": html_extract.op6_html_extract,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
         "op8_topk_search": topk_search.op8_topk_search,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
