@@ -46,6 +46,15 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have
 
 
+def slide(a: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick (minimum or maximum) over each window of width neighbours."""
+    done = 1
+    while done * 2 <= width:
+        a = pick(a[:-done], a[done:])
+        done *= 2
+    return pick(a[: len(a) - (width - done)], a[width - done :]) if done < width else a
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word of the whole text in order, A-Z read as a-z.
 

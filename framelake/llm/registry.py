@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import embedding_dedup, html_extract, language_id, mixing, near_dedup, sentencepiece_bpe, sharding, token_files, topk_search
+from framelake.llm import embedding_dedup, html_extract, language_id, mixing, near_dedup, sentencepiece_bpe, sharding, substring_dedup, token_files, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.op5_near_dedup,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.ORACLE,
