@@ -1,4 +1,62 @@
-STAGES = []
+"""A training-data pipeline over `documents`: each stage is one operator of framelake.llm.
+
+A stage is a function of (spark, docs, sf_dir) that returns a DataFrame; it is written as Parquet
+and read again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.llm.common import materialize
+from framelake.llm.language_id import UNDETERMINED, identify, learn
+from framelake.llm.mixing import mix
+from framelake.llm.near_dedup import near_duplicates
+from framelake.llm.sentencepiece_bpe import encode_documents
+from framelake.llm.substring_dedup import remove_repeats
+
+#: A document whose nearest language profile is farther than this share of the longest distance leaves is rejected.
+LEAST_SCORE = 0.1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Profiles learned from the labelled documents; what has no letters, or is near no profile, goes."""
+    known = identify(docs, learn(docs))
+    return known.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest key; of equal rows of it, all."""
+    kept = materialize(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").select(*docs.columns)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat in a document with a smaller key are cut out; n_chars follows the text."""
+    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document; n_chars follows the text."""
+    return mix(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each row of the mix, and a digest of what they decode to."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("language ID", language), ("MinHash near-dedup", near_duplicate), ("substring dedup", substring), ("mixing", mixing), ("SentencePiece encoding", encoding)]
+
+#: Signatures, draws and tokens are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
