@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,6 +134,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def grouped_stream(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """run() over each group of rows with equal keys; for very many small groups, which applyInPandas would call one by one at a price.
+
+    Groups must be of bounded size: cut large ones into blocks first.
+    """
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rest = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            ids = rest[keys]
+            starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
+            made = [run(rest.iloc[s:e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if e - s > 1]
+            held = rest.iloc[starts[-1] :] if len(starts) else None
+            if made := [x for x in made if x is not None]:
+                yield pd.concat(made, ignore_index=True)
+        if held is not None and (last := run(held)) is not None:
+            yield last
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, connected_components, materialize, table
+from framelake.llm.common import bounded_batches, connected_components, grouped_stream, materialize, table
 
 #: At a cosine of 0.98 in 64 dimensions, tests find over 0.99 of all links with these.
 TABLES, HASHES, COSINE = 8, 2, 0.98
@@ -145,8 +145,6 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
     placed = placed.withColumn("block", F.pmod(F.hash("head"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("head", "l", "dim", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     members = placed.join(units.select("head", "w", "u", "keys"), "head")
-    members = members.repartition("l", "dim", "bucket", "i", "j").sortWithinPartitions("l", "dim", "bucket", "i", "j")
-
     def compared(group: pd.DataFrame) -> pd.DataFrame | None:
         if len(group) < 2:
             return None
@@ -175,21 +173,8 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
         out = pd.DataFrame({"head": heads, "links": n.astype(np.int64), "up": to, "has": up >= 0})
         return out[some]
 
-    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rest = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            ids = rest[["l", "dim", "bucket", "i", "j"]]
-            new = (ids != ids.shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(new)
-            made = [compared(rest.iloc[s:e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            held = rest.iloc[starts[-1] :] if len(starts) else None
-            if made := [x for x in made if x is not None]:
-                yield pd.concat(made, ignore_index=True)
-        if held is not None and (last := compared(held)) is not None:
-            yield last
-
-    found = materialize(members.mapInPandas(streamed, "head bigint, links bigint, up bigint, has boolean"), "found")
+    found = grouped_stream(members, ["l", "dim", "bucket", "i", "j"], compared, "head bigint, links bigint, up bigint, has boolean")
+    found = materialize(found, "found")
     links = found.groupBy("head").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("has").select(F.col("head").alias("a"), F.col("up").alias("b")))
     named = classes.join(links, "head", "left").join(groups, F.col("head") == F.col("node"), "left")

@@ -7,10 +7,10 @@ shingle sets, and documents that verified links connect form a group.
 
 No bucket is paired with itself. First every member of a bucket is compared to the bucket's
 smallest document, a star, as many pairs as members. Groups are formed, and only where a bucket still spans
-several groups are the members outside its largest group compared to the others, after two lossless
-tests (sizes that allow the similarity; not one group already) and one on the signatures, whose
-estimate must come within six standard deviations of the threshold. Every two members of a bucket
-thus end in one group or have been compared.
+several groups are the members outside its largest group compared to the others: by size, which must
+allow the similarity, and by an estimate from a longer signature (of these documents only), which must come within
+four standard deviations of the threshold; this happens inside tasks, block by block, and the pairs that pass are
+checked in full. Every two members of a bucket thus end in one group or have been compared.
 
 Equal documents (the same set of shingles) are one class, found by a hash of the set; links are looked for between classes.
 """
@@ -26,11 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, connected_components, materialize, table, word_hashes
+from framelake.llm.common import bounded_batches, connected_components, grouped_stream, materialize, table, word_hashes
 
 #: Words of a shingle, similarity in hundredths, bands and signature values of a band. At 0.75, four
 #: values in each of 28 bands miss a pair once in 40,000 times; at 0.8 once in 3 million.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 28, 4
+#: Values of the longer signature, a byte of each is kept; standard deviations of its estimate that are allowed for.
+SKETCH, DEVIATIONS = 1024, 4
+#: Members of a bucket that meet in a task.
+BLOCK = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +84,7 @@ def _band_hashes(sig: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(k, n_shingles, whole hash of the set, bands array, sketch: a byte of each signature value)."""
+    """(k, n_shingles, whole hash of the set, bands array)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,12 +93,12 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
                 h = shingle_hashes(t, n)
                 if len(h):
                     sig = min_max_signature(h, bands * rows)
-                    out.append((k, len(h), xxhash.xxh3_128_digest(h.tobytes()), _band_hashes(sig, bands, rows), (sig & 0xFF).astype(np.uint8).tobytes()))
+                    out.append((k, len(h), xxhash.xxh3_128_digest(h.tobytes()), _band_hashes(sig, bands, rows)))
                 else:
-                    out.append((k, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["k", "n_shingles", "whole", "bands", "sketch"])
+                    out.append((k, 0, None, None))
+            yield pd.DataFrame(out, columns=["k", "n_shingles", "whole", "bands"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, "k bigint, n_shingles bigint, whole binary, bands array<bigint>, sketch binary")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, "k bigint, n_shingles bigint, whole binary, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -130,28 +134,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     sig = materialize(signatures(rows_in, "k", "t", n, bands, rows), "signatures")
     # one document stands for a class of equal sets
     classes = materialize(sig.where("whole is not null and k is not null").groupBy("whole").agg(F.min("k").alias("head")), "classes")
-    heads = sig.join(classes, (sig.whole == classes["whole"]) & (sig.k == classes["head"])).groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    heads = sig.join(classes, (sig.whole == classes["whole"]) & (sig.k == classes["head"])).groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     heads = materialize(heads, "heads")
     buckets = heads.select("k", F.posexplode("bands").alias("band", "bucket")).select("k", F.xxhash64("band", "bucket").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("k").alias("star"), F.max("k").alias("last")).where("star < last").select("bucket", "star")
     members = materialize(buckets.join(shared, "bucket"), "members")
-    info = heads.select("k", "n", "sketch")
+    info = heads.select("k", "n")
     texts = materialize(rows_in.join(members.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("t", ignorenulls=True).alias("t")), "texts")
 
     low = percent / 100
-    margin = 6 * math.sqrt(low * (1 - low) / (bands * rows))
-
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).mean()) for p, q in zip(x, y, strict=True)], dtype=float)
-
-    estimate = F.pandas_udf(agree, "double")
+    least = low - DEVIATIONS * math.sqrt(low * (1 - low) / SKETCH)
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures allow the similarity."""
-        x = info.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        y = info.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        sized = pairs.join(y, "b").join(x, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return sized.where(estimate("sa", "sb") >= low - margin).select("a", "b")
+        """Pairs whose sizes allow the similarity."""
+        x, y = info.select(F.col("k").alias("a"), F.col("n").alias("na")), info.select(F.col("k").alias("b"), F.col("n").alias("nb"))
+        return pairs.join(y, "b").join(x, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame | None:
+        """Possible pairs of a block of outside members and a block of members."""
+        x, y = group[group["outside"] & group["asking"]], group[~group["asking"]]
+        if x.empty or y.empty:
+            return None
+        ax, ay = x["k"].to_numpy(), y["k"].to_numpy()
+        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+        may = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (x["g"].to_numpy()[:, None] != y["g"].to_numpy()[None, :])
+        may &= ~y["outside"].to_numpy()[None, :] | (ax[:, None] < ay[None, :])  # two outside members meet once
+        i, j = np.nonzero(may)
+        sx, sy = (np.frombuffer(b"".join(s["sketch"]), dtype=np.uint8).reshape(len(s), -1) for s in (x, y))
+        keep = [(sx[i[c : c + 4096]] == sy[j[c : c + 4096]]).mean(axis=1) >= least for c in range(0, len(i), 4096)]
+        keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
+        a, b = ax[i[keep]], ay[j[keep]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if len(a) else None
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"k": batch["k"], "sketch": [(min_max_signature(shingle_hashes(t, n), SKETCH) & 0xFF).astype(np.uint8).tobytes() for t in batch["t"]]})
 
     stars = members.where("k <> star").select(F.col("star").alias("a"), F.col("k").alias("b")).distinct()
     links = materialize(_verified(possible(stars), texts, n, percent), "links")
@@ -161,12 +178,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     grouped = materialize(grouped, "grouped")
     sizes = grouped.groupBy("bucket", "g").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "g")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("top.g").alias("top"))
-    open_ = grouped.join(largest, "bucket")
-    outside = open_.where("g <> top").select("bucket", F.col("k").alias("a0"), F.col("g").alias("ga"))
-    others = open_.select("bucket", F.col("k").alias("b0"), F.col("g").alias("gb"))
-    rest = outside.join(others, "bucket").where("ga <> gb").select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = materialize(_verified(possible(rest), texts, n, percent), "links")
+    open_ = grouped.join(largest, "bucket").withColumn("outside", F.col("g") != F.col("top"))
+    blocks = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nj"), F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("ni"))
+    open_ = open_.join(blocks, "bucket").withColumn("own", F.hash("k"))
+    asking = open_.where("outside").withColumn("i", F.pmod("own", "ni")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("asking", F.lit(True))
+    asked = open_.withColumn("j", F.pmod("own", "nj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("asking", F.lit(False))
+    columns = ["bucket", "i", "j", "k", "g", "outside", "asking"]
+    longer = texts.join(open_.select("k").distinct(), "k", "left_semi").mapInPandas(sketched, "k bigint, sketch binary").join(info, "k")
+    met = asking.select(columns).union(asked.select(columns)).join(materialize(longer, "sketches"), "k")
+    rest = grouped_stream(met, ["bucket", "i", "j"], compared, "a bigint, b bigint").distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    more = materialize(_verified(rest, texts, n, percent), "links")
     found = connected_components(links.union(more))
     # a class takes the smallest key of all that it reaches; class heads are the smallest of their classes
     named = classes.join(found, classes["head"] == found.node, "left").select("whole", F.coalesce("component", "head").alias("component_id"))

@@ -83,11 +83,15 @@ def repeats(a: np.ndarray, b: np.ndarray, window: int = WINDOW, percent: int = P
     if len(there) < window - n + 1 - EDIT:
         return []
     places = order[at[there]]
-    # a shingle that a has several times goes on with its left neighbour's place where it can
-    for k in np.flatnonzero((np.diff(there) == 1) & (np.diff(places) != 1)).tolist():
-        follow = places[k] + 1
-        if follow < len(a) and a[follow] == b[there[k + 1]]:
-            places[k + 1] = follow
+    # a shingle that a has several times goes on with its left neighbour's place where it can, else with its right one's
+    several = np.flatnonzero(np.searchsorted(sorted_a, b[there], side="right") - at[there] > 1).tolist()
+    for k in several:
+        if k and there[k] - there[k - 1] == 1 and (p := places[k - 1] + 1) < len(a) and a[p] == b[there[k]]:
+            places[k] = p
+    for k in reversed(several):
+        if k + 1 < len(there) and there[k + 1] - there[k] == 1 and (p := places[k + 1] - 1) >= 0 and places[k] != p and a[p] == b[there[k]]:
+            if not (k and there[k] - there[k - 1] == 1 and places[k] == places[k - 1] + 1):
+                places[k] = p
     steps_b, steps_a = np.diff(there), np.diff(places)
     exact = (steps_b == 1) & (steps_a == 1)
     loose = exact | ((steps_b <= EDIT + n) & (steps_a > 0) & (steps_a <= EDIT + n))
