@@ -7,12 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: A word is a run of anything but the space and the six ASCII white-space controls.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
@@ -141,6 +144,8 @@ def grouped_stream(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame
     """
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         held = None
         for batch in batches:
             rest = batch if held is None else pd.concat([held, batch], ignore_index=True)

@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ from framelake.llm.common import bounded_batches, discard, materialize, new_path
 
 #: Words kept by a Python worker, the first that it meets, frequent ones among them. Characters split, and new words encoded, at a time. Tokens of a
 #: block, more for a longer document.
-CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 600_000, 1 << 19, 8192, 1 << 17
+CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 500_000, 1 << 19, 8192, 1 << 17
 #: Rows aimed at in a key range.
 RANGE_ROWS = 20_000
 #: control byte -> the lengths of its four tokens
@@ -155,17 +155,18 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "
     bounds = (docs.agg(F.percentile_approx(key, probs, 10_000)).first()[0] or []) if probs else []
     bounds = sorted(set(bounds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_at(tokenizer_path)
         end = np.array([end_id], dtype=enc.kind).tobytes()
         edges = np.array(bounds, dtype=np.int64)
         for batch in batches:
-            keys = batch["k"].to_numpy(dtype=np.int64)
-            ids = [x + end for x in enc.encode([t or "" for t in batch["t"]])]
-            yield pd.DataFrame({"k": keys, "ids": ids, "width": enc.kind.itemsize, "bucket": np.searchsorted(edges, keys, side="left")})
+            keys = batch.column("k").to_numpy()
+            ids = [x + end for x in enc.encode([t or "" for t in batch.column("t").to_pylist()])]
+            width = np.full(len(ids), enc.kind.itemsize, dtype=np.int32)
+            yield pa.record_batch({"k": keys, "ids": pa.array(ids, pa.binary()), "width": width, "bucket": np.searchsorted(edges, keys, side="left").astype(np.int32)})
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, "k bigint, ids binary, width int, bucket int").repartition(n, "bucket").sortWithinPartitions("bucket", "k", "ids")
+    return rows.mapInArrow(run, "k bigint, ids binary, width int, bucket int").repartition(n, "bucket").sortWithinPartitions("bucket", "k", "ids")
 
 
 def _ids(raw: bytes, width: int) -> np.ndarray:
@@ -175,18 +176,19 @@ def _ids(raw: bytes, width: int) -> np.ndarray:
 def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n): how often each id occurs; counted in each task before it is shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # a worker that has encoded needs its words no more
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            if len(batch):
-                width = int(batch["width"].iloc[0])
-                found = np.bincount(_ids(b"".join(batch["ids"]), width), minlength=len(counts))
+            if batch.num_rows:
+                width = batch.column("width")[0].as_py()
+                found = np.bincount(_ids(b"".join(batch.column("ids").to_pylist()), width), minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found.astype(np.int64)
         at = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": at.astype(np.int32), "n": counts[at]})
+        yield pa.record_batch({"id": at.astype(np.int32), "n": counts[at]})
 
-    return tokens.select("ids", "width").mapInPandas(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "width").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> str:
@@ -207,19 +209,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(rank_of)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, keys, parts, held, bucket, made = shared.value, [], [], 0, None, 0
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             nonlocal keys, parts, held, made
             control, data = pack(ranks[np.concatenate(parts)])
             lengths = np.array([len(p) for p in parts], dtype="<u4")
             row = (int(bucket), f"{bucket}-{keys[0]}-{keys[-1]}-{zlib.crc32(data)}-{made}", keys[0], len(keys), int(lengths.sum(dtype=np.int64)), np.array(keys, dtype="<i8").tobytes(), lengths.tobytes(), control, data)
             keys, parts, held, made = [], [], 0, made + 1
-            return pd.DataFrame([row], columns=names)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for k, raw, width, b in zip(batch["k"].tolist(), batch["ids"], batch["width"], batch["bucket"], strict=True):
+            for k, raw, width, b in zip(*[batch.column(c).to_pylist() for c in ("k", "ids", "width", "bucket")], strict=True):
                 if parts and (b != bucket or held >= BLOCK_TOKENS):
                     yield block()
                 bucket = b
@@ -230,7 +232,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
             yield block()
 
     names = ["bucket", "block", "first_key", "n_docs", "n_tokens", "keys", "lengths", "control", "data"]
-    tokens.mapInPandas(run, "bucket int, block string, first_key bigint, n_docs int, n_tokens bigint, keys binary, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    tokens.mapInArrow(run, "bucket int, block string, first_key bigint, n_docs int, n_tokens bigint, keys binary, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
     discard(tokens)
     return path
 
@@ -245,18 +248,20 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     of_rank = spark.read.parquet(f"{path}/ranks").toPandas().sort_values("rank")["id"].to_numpy(dtype="<u4")  # the vocabulary bounds it
     shared = spark.sparkContext.broadcast(of_rank)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids = shared.value[unpack(row.control, row.data, int(row.n_tokens))]
-                lengths = np.frombuffer(row.lengths, dtype="<u4").astype(np.int64)
+            for row in batch.to_pylist():
+                ids = shared.value[unpack(row["control"], row["data"], row["n_tokens"])]
+                lengths = np.frombuffer(row["lengths"], dtype="<u4").astype(np.int64)
                 ends = np.cumsum(lengths)
                 raw = memoryview(ids.tobytes())
                 spans = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                out = {"key": np.frombuffer(row.keys, dtype="<i8"), "block": row.block, "before": ends - lengths, "n_tokens": lengths, "ids_crc32": [zlib.crc32(s) for s in spans]}
-                yield pd.DataFrame(out | ({"ids": [np.frombuffer(s, dtype="<u4").astype(np.int64) for s in spans]} if with_ids else {}))
+                out = {"key": np.frombuffer(row["keys"], dtype="<i8"), "block": [row["block"]] * len(spans), "before": ends - lengths, "n_tokens": lengths, "ids_crc32": np.array([zlib.crc32(s) for s in spans], dtype=np.int64)}
+                if with_ids:
+                    out["ids"] = pa.array([np.frombuffer(s, dtype="<u4").astype(np.int64) for s in spans], pa.list_(pa.int64()))
+                yield pa.record_batch(out)
 
-    docs = blocks.select("block", "n_tokens", "keys", "lengths", "control", "data").mapInPandas(run, "key bigint, block string, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    docs = blocks.select("block", "n_tokens", "keys", "lengths", "control", "data").mapInArrow(run, "key bigint, block string, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
     small = blocks.select("bucket", "block", "first_key", "n_tokens")
     ranges = small.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     ranges = ranges.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("range_start"))
