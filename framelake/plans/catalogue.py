@@ -1,3 +1,412 @@
-def queries(): return {}
-def oracle_sql(): return {}
-def flagship(spark, d): raise NotImplementedError
+"""Queries over the driver tables: each applies an operator or function of the library to a whole table, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framelake.functions import arithmetic as A
+from framelake.functions import blocks as B
+from framelake.operators import references as R
+from framelake.operators import timeline as T
+from framelake.operators import units as U
+from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, timed
+
+TIMESCALE = 12288
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- timelines over events -------------------------------------------------------------------
+
+
+@_query(f"WITH {TIMED_SQL} SELECT user_id, event_id, idx, dts, pts, pos FROM p")
+def pts_order(spark: SparkSession, d: str) -> DataFrame:
+    return T.presentation_order(timed(spark, d), "user_id").select("user_id", "event_id", "idx", "dts", "pts", "pos")
+
+
+_TICKS = "CASE WHEN lead(pts) OVER (PARTITION BY user_id ORDER BY pts, idx) - pts > 0 THEN lead(pts) OVER (PARTITION BY user_id ORDER BY pts, idx) - pts ELSE delta END"
+
+
+@_query(f"WITH {TIMED_SQL}, x AS (SELECT user_id, event_id, pts, {_TICKS} AS ticks FROM t) SELECT *, ticks * 1000000000 // {TIMESCALE} AS duration_ns FROM x")
+def pts_duration(spark: SparkSession, d: str) -> DataFrame:
+    return T.presentation_durations(timed(spark, d), "user_id", TIMESCALE).select("user_id", "event_id", "pts", "ticks", "duration_ns")
+
+
+@_query(f"WITH {SAMPLES_SQL} SELECT event_id, delta * 1000000000 // {TIMESCALE} AS frame_ns FROM s")
+def frame_ns(spark: SparkSession, d: str) -> DataFrame:
+    return samples(spark, d).select("event_id", T.ticks_to_ns("delta", TIMESCALE).alias("frame_ns"))
+
+
+@_query(f"WITH {TIMED_SQL} SELECT event_id, dts FROM d")
+def dts_prefix_sum(spark: SparkSession, d: str) -> DataFrame:
+    return timed(spark, d).select("event_id", "dts")
+
+
+@_query(f"WITH {SAMPLES_SQL} SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx) AS BIGINT) AS gop FROM s")
+def gop_id(spark: SparkSession, d: str) -> DataFrame:
+    return T.gop_ids(samples(spark, d), "user_id", F.col("event_type") == "signup").select("event_id", "user_id", "gop")
+
+
+@_query(f"""WITH {SAMPLES_SQL}, g AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx) AS gop FROM s)
+SELECT user_id, CAST(gop AS BIGINT) AS gop, count(*) AS frames, CAST(sum(delta) AS BIGINT) AS ticks, min(idx) AS first_idx FROM g GROUP BY user_id, gop""")
+def gop_summary(spark: SparkSession, d: str) -> DataFrame:
+    g = T.gop_ids(samples(spark, d), "user_id", F.col("event_type") == "signup")
+    return g.groupBy("user_id", "gop").agg(F.count("*").alias("frames"), F.sum("delta").alias("ticks"), F.min("idx").alias("first_idx"))
+
+
+@_query(f"WITH {TIMED_SQL} SELECT event_id, pos, max(idx) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 - pos AS held FROM p")
+def reorder_occupancy(spark: SparkSession, d: str) -> DataFrame:
+    return T.reorder_occupancy(T.presentation_order(timed(spark, d), "user_id"), "user_id").select("event_id", "pos", "held")
+
+
+@_query(f"WITH {SAMPLES_SQL} SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS set_id FROM s")
+def paramset_asof(spark: SparkSession, d: str) -> DataFrame:
+    return T.in_force(samples(spark, d), "user_id", F.when(F.col("event_type") == "signup", F.col("event_id")), "set_id").select("event_id", "set_id")
+
+
+@_query(f"WITH {SAMPLES_SQL}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY idx DESC) AS rank FROM s) SELECT user_id, event_id, rank FROM r WHERE rank <= 4")
+def sliding_refs(spark: SparkSession, d: str) -> DataFrame:
+    return T.newest(samples(spark, d), "user_id", 4).select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query(f"WITH {SAMPLES_SQL} SELECT event_id, CAST(((26 + sum(k % 7 - 3) OVER (PARTITION BY user_id ORDER BY idx)) % 52 + 52) % 52 AS BIGINT) AS qp FROM s")
+def qp_accum(spark: SparkSession, d: str) -> DataFrame:
+    q = T.with_prefix(samples(spark, d), ["user_id"], ["idx"], T._by_index(), {"before": F.col("k") % 7 - 3})
+    return q.select("event_id", F.pmod(26 + F.col("before") + F.col("k") % 7 - 3, F.lit(52)).cast("bigint").alias("qp"))
+
+
+@_query("WITH r AS (SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY user_id, event_type) SELECT user_id, event_type, event_id FROM r")
+def last_write_wins(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events", "user_id", "event_type", "event_id", "ts")
+    return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@_query("SELECT event_id, CAST(floor((event_id - 5000) / 7.0) AS BIGINT) AS quotient, (((event_id - 5000) % 7) + 7) % 7 AS remainder FROM events")
+def floor_divmod(spark: SparkSession, d: str) -> DataFrame:
+    q, r = A.floor_divmod("(event_id - 5000)", 7)
+    return read(spark, d, "events", "event_id").select("event_id", q.alias("quotient"), r.alias("remainder"))
+
+
+_RGB = {"r": "409 * v", "g": "-100 * u - 208 * v", "b": "516 * u"}
+
+
+@_query("WITH x AS (SELECT event_id, 298 * greatest(event_id * 37 % 256 - 16, 0) AS y, event_id * 59 % 256 - 128 AS u, event_id * 83 % 256 - 128 AS v FROM events) SELECT event_id, " + ", ".join(f"CAST(least(greatest((y + ({t}) + 128) >> 8, 0), 255) AS BIGINT) AS {k}" for k, t in _RGB.items()) + " FROM x")
+def clip_bt601(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events", "event_id").selectExpr("event_id", "event_id * 37 % 256 AS y", "event_id * 59 % 256 AS cb", "event_id * 83 % 256 AS cr")
+    return e.select("event_id", *[c.alias(k) for k, c in A.bt601("y", "cb", "cr").items()])
+
+
+_TAPS = (1, -5, 20, 20, -5, 1)
+
+
+@_query(f"WITH {SAMPLES_SQL} SELECT event_id, CAST(least(greatest((" + " + ".join(f"{w} * COALESCE({'lag' if o < 0 else 'lead'}(k, {abs(o)}) OVER w, {'first_value' if o < 0 else 'last_value'}(k) OVER f)" if o else f"{w} * k" for o, w in zip(range(-2, 4), _TAPS, strict=True)) + " + 16) >> 5, 0), 255) AS BIGINT) AS sample FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx), f AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def sixtap(spark: SparkSession, d: str) -> DataFrame:
+    return R.six_tap(samples(spark, d), "user_id", "idx", "k", _TAPS).select("event_id", "sample")
+
+
+# --- run lengths, joins and orders over the star tables ---------------------------------------
+
+
+@_query("""WITH r AS (SELECT p_brand, p_partkey, CAST(p_size AS BIGINT) AS n, CAST(COALESCE(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM part),
+x AS (SELECT *, unnest(range(n)) AS rep FROM r) SELECT p_brand, p_partkey, rep, f + rep AS sample_idx FROM x""")
+def rle_expand(spark: SparkSession, d: str) -> DataFrame:
+    return T.expand_runs(read(spark, d, "part", "p_brand", "p_partkey", "p_size"), "p_brand", "p_partkey", "p_size").select("p_brand", "p_partkey", "rep", "sample_idx")
+
+
+_LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@_query(f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey, l_suppkey, CAST(floor(l_quantity) AS BIGINT) AS size,
+CAST(COALESCE(sum(CAST(floor(l_quantity) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM lineitem""")
+def byte_offsets(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "lineitem", "l_orderkey", *_LINE).withColumn("size", F.floor("l_quantity").cast("bigint"))
+    return T.byte_offsets(x, ["l_orderkey"], _LINE, "size").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "l_partkey", "l_suppkey", "size", "offset")
+
+
+@_query("""SELECT o_orderkey, last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS step FROM orders""")
+def stsc_asof(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    return T.with_last(o, ["o_custkey"], ["o_orderkey"], F.floor(F.col("o_orderkey") / T.CHUNK_SAMPLES), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")), "step").select("o_orderkey", "step")
+
+
+@_query("SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) AS is_sync FROM orders")
+def sync_flag(spark: SparkSession, d: str) -> DataFrame:
+    marked = read(spark, d, "lineitem", "l_orderkey", "l_quantity").where("l_quantity >= 49").select(F.col("l_orderkey").alias("m")).distinct()
+    return read(spark, d, "orders", "o_orderkey").join(marked, F.col("o_orderkey") == F.col("m"), "left").select("o_orderkey", F.col("m").isNotNull().alias("is_sync"))
+
+
+@_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey")
+def desc_lookup(spark: SparkSession, d: str) -> DataFrame:
+    j = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").join(read(spark, d, "part", "p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return j.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "l_partkey", "p_brand", "p_type")
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def fk_violations(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer", "c_custkey", "c_mktsegment").where("c_mktsegment <> 'BUILDING'")
+    return read(spark, d, "orders", "o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+
+
+@_query("""WITH x AS (SELECT *, o_orderstatus = 'F' AS long, CAST(o_orderkey % 16 AS BIGINT) AS fn, CAST(o_orderkey % 32 AS BIGINT) AS li FROM orders), y AS (SELECT *, fn - CASE WHEN fn > 9 THEN 16 ELSE 0 END AS pn FROM x)
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY long, CASE WHEN long THEN li ELSE -pn END, o_orderkey) - 1 AS place FROM y""")
+def ref_list_p(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").selectExpr("o_custkey", "o_orderkey", "o_orderstatus = 'F' AS long", "o_orderkey % 16 AS frame_num", "o_orderkey % 32 AS long_idx")
+    return R.list_p(o, "o_custkey", "o_orderkey", current=9, largest=16).select("o_custkey", "o_orderkey", F.col("place").cast("bigint").alias("place"))
+
+
+@_query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS long, o_orderkey % 64 AS poc FROM orders),
+a AS (SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY CASE WHEN long THEN 2 WHEN poc < 32 THEN 0 ELSE 1 END, CASE WHEN NOT long AND poc < 32 THEN -poc ELSE poc END, o_orderkey) AS l0,
+string_agg(o_orderkey, ',' ORDER BY CASE WHEN long THEN 2 WHEN poc < 32 THEN 1 ELSE 0 END, CASE WHEN NOT long AND poc < 32 THEN -poc ELSE poc END, o_orderkey) AS l1,
+list(o_orderkey ORDER BY CASE WHEN long THEN 2 WHEN poc < 32 THEN 1 ELSE 0 END, CASE WHEN NOT long AND poc < 32 THEN -poc ELSE poc END, o_orderkey) AS e FROM x GROUP BY o_custkey)
+SELECT o_custkey, l0, CASE WHEN l0 = l1 AND len(e) > 1 THEN array_to_string(list_concat([e[2], e[1]], e[3:]), ',') ELSE l1 END AS l1 FROM a""")
+def ref_list_b(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").selectExpr("o_custkey", "o_orderkey", "o_orderstatus = 'F' AS long", "o_orderkey % 64 AS poc", "o_orderkey % 64 AS long_idx")
+    return R.lists_b(o, "o_custkey", "o_orderkey", current=32).select("o_custkey", B.joined(F.col("l0")).alias("l0"), B.joined(F.col("l1")).alias("l1"))
+
+
+@_query("WITH r AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) SELECT * FROM r WHERE place <= 5")
+def topk_active(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    c = read(spark, d, "customer", "c_mktsegment", "c_custkey", "c_acctbal").withColumn("place", F.row_number().over(w).cast("bigint"))
+    return c.where("place <= 5").select("c_mktsegment", "c_custkey", "place")
+
+
+@_query("""SELECT o_orderkey, CAST(CASE WHEN s = 0 THEN 0 ELSE least((t // s) * CAST(1000000000 AS HUGEINT) + (t % s) * 1000000000 // s, 9223372036854775807) END AS BIGINT) AS ns
+FROM (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * 1000000007 AS t, CAST(o_custkey % 4 AS HUGEINT) AS s FROM orders)""")
+def duration_saturate(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey", "o_orderkey * 1000000007 AS t", "o_custkey % 4 AS s")
+    return o.select("o_orderkey", T.saturated_ns("t", "s").alias("ns"))
+
+
+@_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def duplicate_addresses(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "n")
+
+
+@_query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS decoded, CAST(max(l_linenumber) AS BIGINT) AS expected, count(DISTINCT l_linenumber) = max(l_linenumber) AS complete FROM lineitem GROUP BY l_orderkey")
+def complete_pictures(spark: SparkSession, d: str) -> DataFrame:
+    g = read(spark, d, "lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey").agg(F.countDistinct("l_linenumber").alias("decoded"), F.max("l_linenumber").cast("bigint").alias("expected"))
+    return g.withColumn("complete", F.col("decoded") == F.col("expected"))
+
+
+# --- scalar functions over lineitem and part --------------------------------------------------
+
+_L = "l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey, l_suppkey"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return x.withColumn("q", F.floor("l_quantity").cast("bigint")).withColumn("line", F.col("l_linenumber").cast("bigint"))
+
+
+_KEYS = ("l_orderkey", "line", "l_partkey", "l_suppkey")
+_Q = "CAST(floor(l_quantity) AS BIGINT)"
+
+
+@_query(f"SELECT {_L}, greatest(least(l_partkey, l_suppkey), least(greatest(l_partkey, l_suppkey), {_Q} * 20)) AS m FROM lineitem")
+def median3(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select(*_KEYS, A.median3("l_partkey", "l_suppkey", "q * 20").alias("m"))
+
+
+@_query(f"""SELECT {_L}, CAST(least(greatest(CASE WHEN dn >= 1 THEN (x * w + (1 << (dn - 1))) >> dn ELSE x * w END + o, 0), 255) AS BIGINT) AS sample
+FROM (SELECT *, l_partkey % 256 AS x, {_Q} - 20 AS w, CAST(l_linenumber % 4 AS INTEGER) AS dn, l_suppkey % 21 - 10 AS o FROM lineitem)""".replace("greatest(CASE", "greatest((CASE").replace("END + o", "END) + o").replace("(1 << (dn - 1))", "(CAST(1 AS BIGINT) << greatest(dn - 1, 0))"))
+def weighted_p(spark: SparkSession, d: str) -> DataFrame:
+    x = _lines(spark, d).selectExpr(*_KEYS, "l_partkey % 256 AS x", "q - 20 AS w", "l_linenumber % 4 AS dn", "l_suppkey % 21 - 10 AS o")
+    return x.select(*_KEYS, A.weighted("x", "w", "o", "dn").alias("sample"))
+
+
+@_query(f"""SELECT {_L}, CAST(least(greatest(((x * w + y * (64 - w) + (CAST(1 AS BIGINT) << dn)) >> (dn + 1)) + ((o + 1) >> 1), 0), 255) AS BIGINT) AS sample
+FROM (SELECT *, l_partkey % 256 AS x, l_suppkey % 256 AS y, {_Q} AS w, CAST(l_linenumber % 6 AS INTEGER) AS dn, l_suppkey % 21 - 10 AS o FROM lineitem)""")
+def weighted_b(spark: SparkSession, d: str) -> DataFrame:
+    x = _lines(spark, d).selectExpr(*_KEYS, "l_partkey % 256 AS x", "l_suppkey % 256 AS y", "q AS w", "64 - q AS w1", "l_linenumber % 6 AS dn", "l_suppkey % 21 - 10 AS o")
+    return x.select(*_KEYS, A.weighted_pair("x", "y", "w", "w1", "o", "dn").alias("sample"))
+
+
+@_query(f"""WITH x AS (SELECT *, l_partkey % 300 AS p0, l_suppkey % 300 AS p1, {_Q} * 5 AS c FROM lineitem), y AS (SELECT *, least(greatest(c - p0, -128), 127) AS tb, least(greatest(p1 - p0, -128), 127) AS td FROM x),
+z AS (SELECT *, CASE WHEN td = 0 THEN NULL ELSE least(greatest((tb * ((16384 + abs(td // 2)) // td) + 32) >> 6, -1024), 1023) >> 2 END AS w FROM y)
+SELECT {_L}, CAST(CASE WHEN p0 = p1 OR w < -64 OR w > 128 THEN 32 ELSE w END AS BIGINT) AS weight FROM z""")
+def implicit_b(spark: SparkSession, d: str) -> DataFrame:
+    x = _lines(spark, d).selectExpr(*_KEYS, "l_partkey % 300 AS p0", "l_suppkey % 300 AS p1", "q * 5 AS c")
+    return x.select(*_KEYS, A.implicit_weight("p0", "p1", "c").alias("weight"))
+
+
+@_query(f"""SELECT {_L}, CAST(CASE WHEN i AND e THEN 4 WHEN i THEN 3 WHEN q % 3 = 0 THEN 2 WHEN l_partkey % 2 <> l_suppkey % 2 OR q % 8 >= 4 THEN 1 ELSE 0 END AS BIGINT) AS bs
+FROM (SELECT *, l_returnflag = 'A' AS i, l_linestatus = 'O' AS e, {_Q} AS q FROM lineitem)""")
+def bs_strength(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    x = x.withColumn("q", F.floor("l_quantity").cast("bigint")).withColumn("line", F.col("l_linenumber").cast("bigint"))
+    return x.select(*_KEYS, A.strength("l_returnflag = 'A'", "l_linestatus = 'O'", "q % 3 = 0", "l_partkey % 2 <> l_suppkey % 2", "q % 8").alias("bs"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -(p_partkey // 2) ELSE p_partkey // 2 + 1 END AS value FROM part")
+def se_golomb(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part", "p_partkey").select("p_partkey", A.signed_golomb("p_partkey").alias("value"))
+
+
+@_query("SELECT p_partkey, CAST(2 * length(bin(p_partkey + 1)) - 1 AS BIGINT) AS bits FROM part")
+def ue_bits(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part", "p_partkey").select("p_partkey", A.golomb_bits("p_partkey").alias("bits"))
+
+
+@_query(f"SELECT p_partkey, CAST(CASE WHEN q < 30 THEN q ELSE list_extract({A.CHROMA_QP}, CAST(q - 29 AS BIGINT)) END AS BIGINT) AS qp FROM (SELECT p_partkey, least(greatest(p_partkey % 60 + p_size % 25 - 12, 0), 51) AS q FROM part)")
+def chroma_qp(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part", "p_partkey", "p_size").select("p_partkey", A.chroma_qp("p_partkey % 60", "p_size % 25 - 12").alias("qp"))
+
+
+@_query("SELECT p_partkey, CAST(((p_partkey % 256) * 31 // 255) << 11 AS BIGINT) AS scaled FROM part")
+def mask_scale(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part", "p_partkey").select("p_partkey", A.mask_scale("(p_partkey % 256)", 5, 11).alias("scaled"))
+
+
+@_query("SELECT p_partkey, (p_partkey + 7) // 8 * 8 AS aligned FROM part")
+def align(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part", "p_partkey").select("p_partkey", A.align("p_partkey", 8).alias("aligned"))
+
+
+@_query("""WITH x AS (SELECT p_partkey, least(greatest(((p_partkey % 61 - 30) * least(greatest(CAST(p_size AS BIGINT) + 3, 0), 51) >> 4) + p_partkey % 127 - 40, 1), 126) AS pre FROM part)
+SELECT p_partkey, CASE WHEN pre <= 63 THEN 63 - pre ELSE pre - 64 END AS state, CAST(CASE WHEN pre <= 63 THEN 0 ELSE 1 END AS BIGINT) AS mps FROM x""")
+def cabac_init(spark: SparkSession, d: str) -> DataFrame:
+    state, mps = A.context_state("(p_partkey % 61 - 30)", "(p_partkey % 127 - 40)", "p_size + 3")
+    return read(spark, d, "part", "p_partkey", "p_size").select("p_partkey", state.alias("state"), mps.alias("mps"))
+
+
+@_query("SELECT p_partkey, p_partkey % 16 % 2 + p_partkey % 16 // 4 % 2 * 2 AS bx, p_partkey % 16 // 2 % 2 + p_partkey % 16 // 8 * 2 AS \"by\" FROM part")
+def block_xy(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part", "p_partkey").selectExpr("p_partkey", "p_partkey % 16 % 2 + p_partkey % 16 div 4 % 2 * 2 AS bx", "p_partkey % 16 div 2 % 2 + p_partkey % 16 div 8 * 2 AS by")
+
+
+@_query("SELECT p_partkey, p_partkey % 40 AS mb_x, p_partkey // 40 AS mb_y FROM part")
+def raster_xy(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part", "p_partkey").selectExpr("p_partkey", "p_partkey % 40 AS mb_x", "p_partkey div 40 AS mb_y")
+
+
+@_query("SELECT n_nationkey AS y, CAST(x AS INTEGER) AS x, CAST(x * 255 // 24 AS BIGINT) AS red, CAST(n_nationkey * 255 // 24 AS BIGINT) AS green FROM nation, range(25) r(x)")
+def gradient(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "nation", "n_nationkey").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    return n.selectExpr("n_nationkey AS y", "x", "CAST(x * 255 div 24 AS BIGINT) AS red", "CAST(n_nationkey * 255 div 24 AS BIGINT) AS green")
+
+
+# --- neighbours and quality gates -------------------------------------------------------------
+
+
+@_query("""WITH x AS (SELECT conv_id, turn, CAST(length(text) % 17 AS BIGINT) AS n FROM conversations)
+SELECT a.conv_id, a.turn, CAST(COALESCE((l.n + t.n + 1) // 2, l.n, t.n, 0) AS BIGINT) AS nc FROM x a LEFT JOIN x l ON l.conv_id = a.conv_id AND l.turn = a.turn - 1 LEFT JOIN x t ON t.conv_id = a.conv_id AND t.turn = a.turn - 3""")
+def neighbour_nc(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", (F.length("text") % 17).cast("bigint").alias("n"))
+    left = x.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("n").alias("l"))
+    top = x.select("conv_id", (F.col("turn") + 3).alias("turn"), F.col("n").alias("t"))
+    j = x.join(left, ["conv_id", "turn"], "left").join(top, ["conv_id", "turn"], "left")
+    return j.select("conv_id", "turn", A.neighbour_total("l", "t").alias("nc"))
+
+
+@_query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'quality' WHEN d.n_chars < 200 THEN 'short' WHEN l.doc_id IS NULL THEN 'unlabelled' ELSE 'ok' END AS reason FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    lab = read(spark, d, "labels", "doc_id", "quality", "toxic").withColumnRenamed("doc_id", "k")
+    j = read(spark, d, "documents", "doc_id", "n_chars").join(lab, F.col("doc_id") == F.col("k"), "left")
+    return j.select("doc_id", F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' WHEN n_chars < 200 THEN 'short' WHEN k IS NULL THEN 'unlabelled' ELSE 'ok' END").alias("reason"))
+
+
+# --- blocks of embeddings ---------------------------------------------------------------------
+
+
+def _block(spark: SparkSession, d: str, n: int, scale: int = 512) -> DataFrame:
+    return read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", B.quantised(F.slice("embedding", 1, n), scale).alias("b"))
+
+
+def _block_sql(n: int, scale: int = 512) -> str:
+    return f"x AS (SELECT vec_id, list_transform(embedding[1:{n}], lambda v: CAST(floor(CAST(v AS DOUBLE) * {scale}) AS BIGINT)) AS b FROM embeddings)"
+
+
+@_query(f"WITH {_block_sql(64, 16)} SELECT vec_id, len(list_filter(b, lambda v: v <> 0)) AS n FROM x")
+def count_nonzero(spark: SparkSession, d: str) -> DataFrame:
+    return _block(spark, d, 64, 16).select("vec_id", F.size(F.filter("b", lambda v: v != 0)).cast("bigint").alias("n"))
+
+
+@_query(f"WITH {_block_sql(64)} SELECT vec_id, CAST(list_sum(b) AS BIGINT) AS total FROM x")
+def plane_checksum(spark: SparkSession, d: str) -> DataFrame:
+    return _block(spark, d, 64).select("vec_id", F.aggregate("b", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+
+
+@_query(f"WITH {_block_sql(16)} SELECT vec_id, array_to_string(list_transform({[A.ZIGZAG.index(i) + 1 for i in range(16)]}, lambda i: b[i]), ',') AS block FROM x")
+def zigzag_4x4(spark: SparkSession, d: str) -> DataFrame:
+    return _block(spark, d, 16).select("vec_id", B.joined(B.zigzag(F.col("b"))).alias("block"))
+
+
+def _matrix_sql(step: list[str], n: int, last: str) -> str:
+    """Two passes of a 4-point step written with a, b, c, d: over the rows of x.b, then over columns."""
+
+    def use(f: str, names: list[str]) -> str:
+        return "".join(dict(zip("abcd", names, strict=True)).get(ch, ch) for ch in f)
+
+    rows = [use(f, [f"b[{4 * r + k + 1}]" for k in range(4)]) for r in range(4) for f in step]
+    cols = [use(step[r], [f"m[{4 * k + c + 1}]" for k in range(4)]) for r in range(4) for c in range(4)]
+    return f"WITH {_block_sql(n)}, y AS (SELECT vec_id, [{', '.join(rows)}] AS m FROM x), z AS (SELECT vec_id, [{', '.join(cols)}] AS o FROM y) SELECT vec_id, array_to_string({last}, ',') AS block FROM z"
+
+
+@_query(_matrix_sql(["((a)+(c))+((b)+((d)>>1))", "((a)-(c))+(((b)>>1)-(d))", "((a)-(c))-(((b)>>1)-(d))", "((a)+(c))-((b)+((d)>>1))"], 16, "list_transform(o, lambda v: (v + 32) >> 6)"))
+def idct_4x4(spark: SparkSession, d: str) -> DataFrame:
+    return _block(spark, d, 16).select("vec_id", B.joined(B.inverse_4x4(F.col("b"))).alias("block"))
+
+
+@_query(_matrix_sql(["a+b+c+d", "a+b-c-d", "a-b-c+d", "a-b+c-d"], 16, "o"))
+def dc_hadamard(spark: SparkSession, d: str) -> DataFrame:
+    return _block(spark, d, 16).select("vec_id", B.joined(B.hadamard_4x4(F.col("b"))).alias("block"))
+
+
+@_query(f"""WITH {_block_sql(8, 64)} SELECT vec_id, array_to_string([b[1], (2*b[1]+3*b[2]+b[3]+b[4]+b[5]+4)>>3, (b[2]+b[3]+b[4]+b[5]+2)>>2, (b[2]+2*b[3]+2*b[4]+2*b[5]+b[6]+4)>>3,
+(b[3]+2*b[4]+2*b[5]+2*b[6]+b[7]+4)>>3, (b[4]+b[5]+b[6]+b[7]+2)>>2, (2*b[8]+3*b[7]+b[6]+b[5]+b[4]+4)>>3, b[8]], ',') AS edge FROM x""")
+def edge_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _block(spark, d, 8, 64).select("vec_id", B.joined(B.strong_edge(F.col("b"))).alias("edge"))
+
+
+# --- units of byte streams --------------------------------------------------------------------
+
+_HEX = "'0123456789ABCDEF'"
+
+
+@_query(f"WITH x AS (SELECT doc_id, (instr({_HEX}, substr(hex(encode(text)), 1, 1)) - 1) * 16 + instr({_HEX}, substr(hex(encode(text)), 2, 1)) - 1 AS b FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(b >> 7 AS BIGINT) AS forbidden, CAST((b >> 5) & 3 AS BIGINT) AS ref_idc, CAST(b & 31 AS BIGINT) AS nal_type FROM x")
+def nal_header(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents", "doc_id", "text").where("length(text) > 0").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return U.unit_headers(docs, "bytes").select("doc_id", "forbidden", "ref_idc", "nal_type")
+
+
+@_query("""WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda u: rtrim(u, ' ')), lambda u: length(u) > 0) AS u FROM documents),
+y AS (SELECT doc_id, unnest(u) AS unit, unnest(range(1, len(u) + 1)) AS i FROM x) SELECT doc_id, i - 1 AS unit_idx, CAST(strlen(unit) AS BIGINT) AS bytes, md5(unit) AS digest FROM y""")
+def annexb_split(spark: SparkSession, d: str) -> DataFrame:
+    units = U.split_units(read(spark, d, "documents", "doc_id", "text"), "text", "\n")
+    return units.select("doc_id", "unit_idx", F.octet_length("unit").cast("bigint").alias("bytes"), F.md5(F.col("unit").cast("binary")).alias("digest"))
+
+
+@_query("""WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda u: rtrim(u, ' ')), lambda u: length(u) > 0) AS u FROM documents)
+SELECT doc_id, len(u) AS units, md5(array_to_string(list_transform(u, lambda v: '|' || v), '')) AS digest FROM x WHERE len(u) > 0""")
+def annexb_join(spark: SparkSession, d: str) -> DataFrame:
+    units = U.split_units(read(spark, d, "documents", "doc_id", "text"), "text", "\n")
+    return U.join_units(units, ["doc_id"], "|").select("doc_id", "units", F.md5(F.col("stream").cast("binary")).alias("digest"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The presentation timeline: order, duration, group of pictures and reorder occupancy of every sample."""
+    g = T.gop_ids(timed(spark, d), "user_id", F.col("event_type") == "signup")
+    p = T.presentation_durations(T.presentation_order(g, "user_id"), "user_id", TIMESCALE)
+    return T.reorder_occupancy(p, "user_id").select("user_id", "pos", "idx", "event_id", "dts", "pts", "ticks", "duration_ns", "gop", "held")
