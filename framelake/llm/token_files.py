@@ -29,7 +29,7 @@ from framelake.llm.common import bounded_batches, discard, materialize, new_path
 
 #: Words kept by a Python worker, the first that it meets, frequent ones among them. Characters split, and new words encoded, at a time. Tokens of a
 #: block, more for a longer document.
-CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 500_000, 1 << 19, 8192, 1 << 17
+CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 350_000, 1 << 19, 8192, 1 << 15
 #: Rows aimed at in a key range.
 RANGE_ROWS = 20_000
 #: control byte -> the lengths of its four tokens
@@ -164,6 +164,8 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "
             ids = [x + end for x in enc.encode([t or "" for t in batch.column("t").to_pylist()])]
             width = np.full(len(ids), enc.kind.itemsize, dtype=np.int32)
             yield pa.record_batch({"k": keys, "ids": pa.array(ids, pa.binary()), "width": width, "bucket": np.searchsorted(edges, keys, side="left").astype(np.int32)})
+            del batch, ids
+        pa.default_memory_pool().release_unused()
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     return rows.mapInArrow(run, "k bigint, ids binary, width int, bucket int").repartition(n, "bucket").sortWithinPartitions("bucket", "k", "ids")
@@ -210,6 +212,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     shared = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()
         ranks, keys, parts, held, bucket, made = shared.value, [], [], 0, None, 0
 
         def block() -> pa.RecordBatch:
@@ -230,6 +233,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
                 held += len(parts[-1])
         if parts:
             yield block()
+        pa.default_memory_pool().release_unused()
 
     names = ["bucket", "block", "first_key", "n_docs", "n_tokens", "keys", "lengths", "control", "data"]
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
@@ -249,6 +253,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     shared = spark.sparkContext.broadcast(of_rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()
         for batch in batches:
             for row in batch.to_pylist():
                 ids = shared.value[unpack(row["control"], row["data"], row["n_tokens"])]
@@ -260,6 +265,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 if with_ids:
                     out["ids"] = pa.array([np.frombuffer(s, dtype="<u4").astype(np.int64) for s in spans], pa.list_(pa.int64()))
                 yield pa.record_batch(out)
+            pa.default_memory_pool().release_unused()
 
     docs = blocks.select("block", "n_tokens", "keys", "lengths", "control", "data").mapInArrow(run, "key bigint, block string, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
     small = blocks.select("bucket", "block", "first_key", "n_tokens")
