@@ -12,6 +12,8 @@ from framelake.functions import blocks as B
 from framelake.operators import references as R
 from framelake.operators import timeline as T
 from framelake.operators import units as U
+from framelake.sources import container as C
+from framelake.sources.storage import stored
 from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, timed
 
 TIMESCALE = 12288
@@ -410,3 +412,56 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     g = T.gop_ids(timed(spark, d), "user_id", F.col("event_type") == "signup")
     p = T.presentation_durations(T.presentation_order(g, "user_id"), "user_id", TIMESCALE)
     return T.reorder_occupancy(p, "user_id").select("user_id", "pos", "idx", "event_id", "dts", "pts", "ticks", "duration_ns", "gop", "held")
+
+
+# --- containers -------------------------------------------------------------------------------
+
+_FILE_SQL = """f AS (SELECT user_id || '-' || strftime(ts, '%Y%m') AS path, event_id, ts, event_type, props, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
+i AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) - 1 AS idx, 100 + k % 7 * 10 AS delta, (k % 5 - 1) * 150 AS shift, event_type = 'signup' AS sync,
+  CAST(5 + strlen(props) + CASE WHEN event_type = 'signup' THEN 5 ELSE 0 END AS BIGINT) AS size FROM f),
+m AS (SELECT *, CAST(32 + COALESCE(sum(size) OVER (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  CAST(COALESCE(sum(delta) OVER (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts FROM i)"""
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """An MP4 of the events of each user and month. A sign-up is a sync sample of a parameter set and an IDR slice, others hold a slice."""
+    e = read(spark, d, "events", "user_id", "event_id", "ts", "event_type", "props")
+    e = e.withColumn("file", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMM"))).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
+    e = e.withColumn("idx", (F.row_number().over(Window.partitionBy("file").orderBy("ts", "event_id")) - 1).cast("bigint"))
+    sync = F.col("event_type") == "signup"
+    slice_ = C.big_endian("1 + octet_length(props)", 4)
+    data = f"CASE WHEN event_type = 'signup' THEN concat({C.big_endian('1', 4)}, unhex('67'), {slice_}, unhex('65'), CAST(props AS BINARY)) ELSE concat({slice_}, unhex('41'), CAST(props AS BINARY)) END"
+    rows = e.select("file", "idx", (100 + F.col("k") % 7 * 10).cast("bigint").alias("delta"), ((F.col("k") % 5 - 1) * 150).cast("bigint").alias("shift"), sync.alias("sync"), F.expr(data).alias("data"))
+    return stored(C.mux(rows, "file", TIMESCALE, 640, 480), "files")
+
+
+@_query(f"""WITH {_FILE_SQL} SELECT path || '#0' AS track, idx AS sample_idx, "offset", size, dts, dts + shift AS pts, delta AS duration, CAST(1 AS BIGINT) AS description_index, sync AS is_sync FROM m""")
+def container_samples(spark: SparkSession, d: str) -> DataFrame:
+    return C.samples(C.tracks(C.boxes(_files(spark, d))))
+
+
+@_query(f"""WITH {_FILE_SQL}, q AS (SELECT *, dts + shift AS pts FROM m) SELECT path || '#0' AS track, idx, pts, row_number() OVER w - 1 AS pos,
+CASE WHEN lead(pts) OVER w - pts > 0 THEN lead(pts) OVER w - pts ELSE delta END * 1000000000 // {TIMESCALE} AS duration_ns, sync AS is_sync, "offset", size FROM q WINDOW w AS (PARTITION BY path ORDER BY pts, idx)""")
+def container_timeline(spark: SparkSession, d: str) -> DataFrame:
+    s = C.samples(C.tracks(C.boxes(_files(spark, d)))).withColumnRenamed("sample_idx", "idx").withColumnRenamed("duration", "delta")
+    p = T.presentation_durations(T.presentation_order(s, "track"), "track", TIMESCALE)
+    return p.select("track", "idx", "pts", "pos", "duration_ns", "is_sync", "offset", "size")
+
+
+@_query(f"""WITH {_FILE_SQL} SELECT path, CAST(0 AS INTEGER) AS trak, CAST(1 AS BIGINT) AS track_id, 'vide' AS handler, CAST({TIMESCALE} AS BIGINT) AS timescale, CAST(sum(delta) AS BIGINT) AS duration,
+CAST(640 AS BIGINT) AS width, CAST(480 AS BIGINT) AS height, CAST(1 AS BIGINT) AS entries, 'avc1' AS format FROM m GROUP BY path""")
+def container_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return C.tracks(C.boxes(_files(spark, d))).select("path", "trak", "track_id", "handler", "timescale", "duration", "width", "height", "entries", "format")
+
+
+@_query(f"""WITH {_FILE_SQL}, u AS (SELECT path, idx, CAST(0 AS BIGINT) AS unit_idx, 3 AS r, 7 AS t, 1 AS b FROM m WHERE sync UNION ALL SELECT path, idx, CASE WHEN sync THEN 1 ELSE 0 END, CASE WHEN sync THEN 3 ELSE 2 END, CASE WHEN sync THEN 5 ELSE 1 END, 1 + strlen(props) FROM m)
+SELECT path || '#0' AS track, idx AS sample_idx, CAST(unit_idx AS BIGINT) AS unit_idx, CAST(r AS BIGINT) AS ref_idc, CAST(t AS BIGINT) AS nal_type, CAST(b AS BIGINT) AS bytes FROM u""")
+def container_units(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d)
+    return C.units(files, C.samples(C.tracks(C.boxes(files))))
+
+
+@_query(f"""WITH {_FILE_SQL}, c AS (SELECT path, count(*) AS n, CAST(sum(size) AS BIGINT) AS media FROM m GROUP BY path)
+SELECT path, 'ftyp' AS type, CAST(0 AS BIGINT) AS "offset", CAST(24 AS BIGINT) AS size FROM c UNION ALL SELECT path, 'mdat', 24, media + 8 FROM c""")
+def container_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return C.boxes(_files(spark, d)).where("depth = 0 AND type IN ('ftyp', 'mdat')").select("path", "type", "offset", "size")
