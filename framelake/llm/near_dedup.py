@@ -136,10 +136,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     classes = materialize(sig.where("whole is not null and k is not null").groupBy("whole").agg(F.min("k").alias("head")), "classes")
     heads = sig.join(classes, (sig.whole == classes["whole"]) & (sig.k == classes["head"])).groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     heads = materialize(heads, "heads")
-    buckets = heads.select("k", F.posexplode("bands").alias("band", "bucket")).select("k", F.xxhash64("band", "bucket").alias("bucket"))
+    buckets = heads.select("k", F.posexplode("bands").alias("band", "bucket")).select("k", "band", F.xxhash64("band", "bucket").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("k").alias("star"), F.max("k").alias("last")).where("star < last").select("bucket", "star")
     members = materialize(buckets.join(shared, "bucket"), "members")
-    info = heads.select("k", "n")
+    info = heads.select("k", "n", "bands")
     texts = materialize(rows_in.join(members.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("t", ignorenulls=True).alias("t")), "texts")
 
     low = percent / 100
@@ -163,7 +163,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         sx, sy = (np.frombuffer(b"".join(s["sketch"]), dtype=np.uint8).reshape(len(s), -1) for s in (x, y))
         keep = [(sx[i[c : c + 4096]] == sy[j[c : c + 4096]]).mean(axis=1) >= least for c in range(0, len(i), 4096)]
         keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
-        a, b = ax[i[keep]], ay[j[keep]]
+        i, j = i[keep], j[keep]
+        # a pair that meets in several buckets counts in the first band that it shares
+        shared = np.stack(x["bands"])[i] == np.stack(y["bands"])[j]
+        first = shared.argmax(axis=1) == group["band"].iloc[0]
+        a, b = ax[i[first]], ay[j[first]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if len(a) else None
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +178,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     links = materialize(_verified(possible(stars), texts, n, percent), "links")
     first = connected_components(links)
     # buckets that still span several groups: the members outside the largest group meet the others
-    grouped = members.join(first, members.k == first.node, "left").select("bucket", "k", F.coalesce("component", "k").alias("g"))
+    grouped = members.join(first, members.k == first.node, "left").select("bucket", "band", "k", F.coalesce("component", "k").alias("g"))
     grouped = materialize(grouped, "grouped")
     sizes = grouped.groupBy("bucket", "g").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "g")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("top.g").alias("top"))
@@ -183,7 +187,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     open_ = open_.join(blocks, "bucket").withColumn("own", F.hash("k"))
     asking = open_.where("outside").withColumn("i", F.pmod("own", "ni")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("asking", F.lit(True))
     asked = open_.withColumn("j", F.pmod("own", "nj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("asking", F.lit(False))
-    columns = ["bucket", "i", "j", "k", "g", "outside", "asking"]
+    columns = ["bucket", "band", "i", "j", "k", "g", "outside", "asking"]
     longer = texts.join(open_.select("k").distinct(), "k", "left_semi").mapInPandas(sketched, "k bigint, sketch binary").join(info, "k")
     met = asking.select(columns).union(asked.select(columns)).join(materialize(longer, "sketches"), "k")
     rest = grouped_stream(met, ["bucket", "i", "j"], compared, "a bigint, b bigint").distinct()
