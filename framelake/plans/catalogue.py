@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import arithmetic as A
+from framelake.functions import bitstrings as S
 from framelake.functions import blocks as B
+from framelake.operators import parameter_sets as P
 from framelake.operators import references as R
 from framelake.operators import timeline as T
 from framelake.operators import units as U
@@ -465,3 +467,26 @@ def container_units(spark: SparkSession, d: str) -> DataFrame:
 SELECT path, 'ftyp' AS type, CAST(0 AS BIGINT) AS "offset", CAST(24 AS BIGINT) AS size FROM c UNION ALL SELECT path, 'mdat', 24, media + 8 FROM c""")
 def container_boxes(spark: SparkSession, d: str) -> DataFrame:
     return C.boxes(_files(spark, d)).where("depth = 0 AND type IN ('ftyp', 'mdat')").select("path", "type", "offset", "size")
+
+
+# --- parameter sets -----------------------------------------------------------------------------
+
+
+@_query("""SELECT p_partkey, CAST(p_partkey % 32 AS BIGINT) AS sps_id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 100 ELSE 66 END AS BIGINT) AS profile, CAST(p_size AS BIGINT) AS level, 4 + p_partkey % 9 AS log2_max_frame_num,
+CAST(0 AS BIGINT) AS poc_type, 4 + p_partkey % 7 AS log2_max_poc, p_partkey % 5 AS max_refs, true AS frame_mbs_only, 16 * (1 + p_partkey % 120) AS coded_width, 16 * (1 + p_partkey % 70) AS coded_height,
+16 * (1 + p_partkey % 120) - 2 * (p_partkey % 4) AS width, 16 * (1 + p_partkey % 70) - 2 * (p_partkey % 3) AS height, CAST(NULL AS VARCHAR) AS error FROM part""")
+def sequence_sets(spark: SparkSession, d: str) -> DataFrame:
+    high = "p_partkey % 3 = 0"
+    bits = [S.fixed(f"CASE WHEN {high} THEN 100 ELSE 66 END", 8), S.fixed("0", 8), S.fixed("p_size", 8), S.ue("p_partkey % 32"), f"CASE WHEN {high} THEN concat({S.ue('1')}, {S.ue('0')}, {S.ue('0')}, '00') ELSE '' END"]
+    bits += [S.ue("p_partkey % 9"), S.ue("0"), S.ue("p_partkey % 7"), S.ue("p_partkey % 5"), "'0'", S.ue("p_partkey % 120"), S.ue("p_partkey % 70"), "'1'", "'1'", "'1'", S.ue("0"), S.ue("p_partkey % 4"), S.ue("0"), S.ue("p_partkey % 3"), "'0'"]
+    units = read(spark, d, "part", "p_partkey", "p_size").selectExpr("p_partkey", f"concat(unhex('67'), {S.payload(f'concat({', '.join(bits)})')}) AS unit")
+    return P.parsed(units, "p_partkey", "unit", "sps")
+
+
+@_query("""SELECT p_partkey, p_partkey % 256 AS pps_id, p_partkey % 32 AS sps_id, p_partkey % 2 = 1 AS cabac, CAST(1 AS BIGINT) AS slice_groups, 1 + p_partkey % 4 AS refs_l0, 1 + p_partkey % 3 AS refs_l1, p_partkey % 5 = 0 AS weighted_pred,
+p_partkey % 3 AS weighted_bipred, CAST(p_size AS BIGINT) AS init_qp, 26 + p_partkey % 7 - 3 AS init_qs, p_partkey % 25 - 12 AS chroma_qp_offset, true AS deblocking_control, p_partkey % 2 = 0 AS constrained_intra, CAST(NULL AS VARCHAR) AS error FROM part""")
+def picture_sets(spark: SparkSession, d: str) -> DataFrame:
+    bits = [S.ue("p_partkey % 256"), S.ue("p_partkey % 32"), S.fixed("p_partkey % 2", 1), "'0'", S.ue("0"), S.ue("p_partkey % 4"), S.ue("p_partkey % 3"), S.fixed("CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END", 1), S.fixed("p_partkey % 3", 2)]
+    bits += [S.se("(p_size - 26)"), S.se("(p_partkey % 7 - 3)"), S.se("(p_partkey % 25 - 12)"), "'1'", S.fixed("1 - p_partkey % 2", 1), "'0'"]
+    units = read(spark, d, "part", "p_partkey", "p_size").selectExpr("p_partkey", f"concat(unhex('68'), {S.payload(f'concat({', '.join(bits)})')}) AS unit")
+    return P.parsed(units, "p_partkey", "unit", "pps")
