@@ -39,13 +39,19 @@ LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of ranks below 2**32."""
     n = len(ranks)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(n, 4)
-    lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros((n + 3) // 4 * 4, dtype=np.uint8)
-    codes[:n] = lengths - 1
-    codes = codes.reshape(-1, 4)
+    lengths = np.ones((n + 3) // 4 * 4, dtype=np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        lengths[:n] += ranks > limit
+    codes = (lengths - 1).reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4, dtype=np.uint8) < lengths[:, None]].tobytes()
+    ends = np.cumsum(lengths[:n], dtype=np.int64)
+    starts = ends - lengths[:n]
+    data = np.empty(int(ends[-1]) if n else 0, dtype=np.uint8)
+    data[starts] = ranks.astype(np.uint8)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(lengths[:n] > k)
+        data[starts[more] + k] = (ranks[more] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
