@@ -17,6 +17,7 @@ from framelake.operators import units as U
 from framelake.sources import container as C
 from framelake.sources.storage import stored
 from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, timed
+from framelake.streaming import decoding as D
 
 TIMESCALE = 12288
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,3 +491,13 @@ def picture_sets(spark: SparkSession, d: str) -> DataFrame:
     bits += [S.se("(p_size - 26)"), S.se("(p_partkey % 7 - 3)"), S.se("(p_partkey % 25 - 12)"), "'1'", S.fixed("1 - p_partkey % 2", 1), "'0'"]
     units = read(spark, d, "part", "p_partkey", "p_size").selectExpr("p_partkey", f"concat(unhex('68'), {S.payload(f'concat({', '.join(bits)})')}) AS unit")
     return P.parsed(units, "p_partkey", "unit", "pps")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+@_query("""WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events),
+g AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS set_id, last_value(CASE WHEN event_type = 'signup' THEN idx END IGNORE NULLS) OVER w AS start FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, set_id, concat_ws(',', """ + ", ".join(f"CASE WHEN idx - {k} >= COALESCE(start, 1) THEN CAST(lag(event_id, {k}) OVER (PARTITION BY user_id ORDER BY idx) AS VARCHAR) END" for k in range(1, 5)) + ") AS refs FROM g")
+def stream_decoder_state(spark: SparkSession, d: str) -> DataFrame:
+    return D.run_to_end(D.decoder_state(D.events_stream(spark, d)), "decoder")
