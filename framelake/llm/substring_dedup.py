@@ -8,15 +8,16 @@ buckets, so a document enters about one bucket for four words.
 
 In each bucket, every document is paired with the bucket's smallest, a star. Each pair's texts are
 aligned by their shingles, and passages of at least WINDOW words with an exact Jaccard similarity of
-0.75 or more are repeats: the document with the larger key loses them. Documents without a repeat with some star
-(a short line that many texts hold can fill a bucket) enter narrower buckets, of all six values at one place, which two
-equal paragraphs share too; there they are paired with stars again, and those that fail again with each other. Connected
-components over verified pairs name the cluster of each removal.
+0.75 or more are repeats: the document with the larger key loses them. All documents of a bucket in which one has no
+repeat with the star (a short line that many texts hold can fill a bucket) enter buckets of equal paragraphs as well, with
+the hashes of all their paragraphs, where stars can't fail. No bucket is paired with itself. What can be missed is an equal paragraph of two
+documents that both repeat other passages of a star that lacks it. Connected components over verified pairs name the
+cluster of each removal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,8 +51,8 @@ def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def bucket_keys(text: str | None, window: int = WINDOW, n: int = SHINGLE, narrow: bool = False) -> np.ndarray:
-    """The distinct bucket keys of all paragraphs of the whole text; none for a shorter text. narrow: one band of all six values."""
+def bucket_keys(text: str | None, window: int = WINDOW, n: int = SHINGLE) -> np.ndarray:
+    """The distinct bucket keys of all paragraphs of the whole text; none for a shorter text."""
     s = shingles(word_hashes(text), n)
     width = window - n + 1
     if len(s) < width:
@@ -59,9 +60,8 @@ def bucket_keys(text: str | None, window: int = WINDOW, n: int = SHINGLE, narrow
     x = (s >> np.uint64(32)).astype(np.uint32)
     mixed = [(x ^ m) * f for m, f in zip(_MASKS, _FACTORS, strict=True)]
     low, high = [slide(m, width, np.minimum) for m in mixed], [slide(m, width, np.maximum) for m in mixed]
-    bands = [(low[0], high[0], low[1]), (high[1], low[2], high[2])]
     keys = []
-    for band, values in enumerate([(*bands[0], *bands[1])] if narrow else bands):
+    for band, values in enumerate(((low[0], high[0], low[1]), (high[1], low[2], high[2]))):
         key = np.full(len(values[0]), band + 1, dtype=np.uint64)
         for v in values:
             key = (key ^ v.astype(np.uint64)) * _MIX
@@ -70,6 +70,11 @@ def bucket_keys(text: str | None, window: int = WINDOW, n: int = SHINGLE, narrow
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
+def paragraph_hashes(text: str | None, window: int = WINDOW) -> np.ndarray:
+    """The distinct hashes of all paragraphs of the whole text, each of its words in order."""
+    return np.unique(shingles(word_hashes(text), window)).view(np.int64)
+
+
 def repeats(a: np.ndarray, b: np.ndarray, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> list[tuple[int, int]]:
     """Word spans (from, to) of the second text that repeat in the first, given both texts' shingles.
 
@@ -170,33 +175,29 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
 
-    def starred(docs: DataFrame, narrow: bool) -> DataFrame:
-        """(bucket, k, star) for each document of a bucket but its star, the smallest."""
+    def stars(docs: DataFrame, keys_of: Callable[[str, int], np.ndarray]) -> DataFrame:
+        """(bucket, a, b): the smallest document of a bucket and each other one."""
 
         def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                keys = [bucket_keys(t, window, narrow=narrow) for t in batch["t"]]
+                keys = [keys_of(t, window) for t in batch["t"]]
                 yield pd.DataFrame({"bucket": np.concatenate([np.zeros(0, dtype=np.int64), *keys]), "k": np.repeat(batch["k"].to_numpy(), [len(x) for x in keys])})
 
         # the running first value needs no buffer: a bucket streams by, however many documents it has
         order = Window.partitionBy("bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return docs.mapInPandas(keyed, "bucket bigint, k bigint").withColumn("star", F.first("k").over(order)).where("k <> star")
-
-    def paired(hits: DataFrame) -> DataFrame:
-        return hits.select(F.col("star").alias("a"), F.col("k").alias("b")).distinct()
+        starred = docs.mapInPandas(keyed, "bucket bigint, k bigint").withColumn("star", F.first("k").over(order))
+        return starred.where("k <> star").select("bucket", F.col("star").alias("a"), F.col("k").alias("b"))
 
-    pairs = materialize(paired(starred(rows, False)), "pairs")
+    hits = materialize(stars(rows, bucket_keys), "hits")
+    pairs = materialize(hits.select("a", "b").distinct(), "pairs")
     found = materialize(_verified(pairs, rows, window, percent), "repeats")
-    failed = materialize(pairs.join(found.select("a", "b"), ["a", "b"], "left_anti").select(F.col("b").alias("k")).distinct(), "failed")
-    rest = rows.join(failed, "k", "left_semi")
-    hits = materialize(starred(rest, True), "hits")
-    again = materialize(paired(hits).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    failed = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = hits.join(hits.join(failed, ["a", "b"]).select("bucket").distinct(), "bucket", "left_semi")
+    mixed = materialize(mixed.select(F.col("b").alias("k")).union(mixed.select("a")).distinct(), "mixed")
+    rest = rows.join(mixed, "k", "left_semi")
+    again = stars(rest, paragraph_hashes).select("a", "b").distinct()
+    again = materialize(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_verified(again, rest, window, percent), "repeats")
-    linked = found.select("a", "b").union(more.select("a", "b"))
-    alone = materialize(hits.join(linked, (hits.star == linked.a) & (hits.k == linked.b), "left_anti").select("bucket", "k").distinct(), "alone")
-    last = alone.select("bucket", F.col("k").alias("a")).join(alone.select("bucket", F.col("k").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-    last = materialize(last.join(pairs.union(again), ["a", "b"], "left_anti"), "pairs")
-    more = more.union(materialize(_verified(last, rest, window, percent), "repeats"))
     every = found.union(more)
     clusters = connected_components(every)
 
