@@ -29,7 +29,7 @@ _letters: list[np.ndarray] = []
 def letters() -> np.ndarray:
     """code point -> the code point of its lower-case letter, 0 for what is no letter."""
     if not _letters:
-        out = np.zeros(0x110000, dtype=np.int64)
+        out = np.zeros(0x110000, dtype=np.int32)
         for i in range(0x110000):
             if not 0xD800 <= i <= 0xDFFF and (c := chr(i)).isalpha():
                 out[i] = ord(c.lower()[0])
@@ -39,7 +39,7 @@ def letters() -> np.ndarray:
 
 def ngrams(text: str | None) -> np.ndarray:
     """Codes of all n-grams of the whole text; empty without a letter."""
-    a = letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    a = letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")].astype(np.int64)
     a = np.concatenate([[0], a, [0]])
     a = a[np.concatenate([[True], (a[1:] != 0) | (a[:-1] != 0)])]
     if len(a) < 3:

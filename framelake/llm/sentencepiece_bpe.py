@@ -31,7 +31,7 @@ from framelake.llm.common import bounded_batches, table
 SPACE = "▁"
 #: Chunks kept by a Python worker (the first that it meets, frequent ones among them); pairs kept for compatibility, beyond which
 #: that cache starts anew.
-CACHED_CHUNKS, CACHED_PAIRS = 600_000, 1_000_000
+CACHED_CHUNKS, CACHED_PAIRS = 450_000, 250_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 
