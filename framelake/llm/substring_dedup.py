@@ -1,14 +1,16 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 A paragraph is any WINDOW neighbouring words of a document, so that a repeated passage is found
-wherever it stands, inside a line or across lines. A paragraph's set is its word shingles; its
-signature has the minimum and the maximum under each of three permutations, sliding along the text, and two bands of
-three values make its buckets. Two equal paragraphs always share both; neighbouring paragraphs share most
-buckets, so a document enters about one bucket for four words.
+wherever it stands, inside a line or across lines. A paragraph's set is its word shingles; its signature
+has, for each of its parts of part_width() neighbouring shingles, the minimum and the maximum under one permutation and the
+minimum under another, sliding along the text. The three values of a part are a band, so a paragraph of 50 words has 33 bands.
+Two paragraphs of a Jaccard similarity of 0.75 that differ by changed, inserted, deleted or doubled words have an equal
+part between two edits, and so share a band for certain. Neighbouring paragraphs share most bands: a document
+enters about one bucket for three words.
 
 In each bucket, every document is paired with the bucket's smallest, a star. Each pair's texts are
-aligned by their shingles, and passages of at least WINDOW words with an exact Jaccard similarity of
-0.75 or more are repeats: the document with the larger key loses them. All documents of a bucket in which one has no
+aligned by their shingles, and passages of at least WINDOW words, from the first to the last equal word, with an exact Jaccard
+similarity of 0.75 or more are repeats: the document with the larger key loses them. All documents of a bucket in which one has no
 repeat with the star (a short line that many texts hold can fill a bucket) enter buckets of equal paragraphs as well, with
 the hashes of all their paragraphs, where stars can't fail. No bucket is paired with itself. What can be missed is an equal paragraph of two
 documents that both repeat other passages of a star that lacks it. Connected components over verified pairs name the
@@ -32,8 +34,8 @@ SHINGLE, WINDOW, PERCENT = 5, 50, 75
 EDIT = 10
 
 _random = np.random.default_rng(977)
-_FACTORS = _random.integers(0, 1 << 31, 3, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_MASKS = _random.integers(0, 1 << 32, 3, dtype=np.uint32)
+_FACTORS = _random.integers(0, 1 << 31, 2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _random.integers(0, 1 << 32, 2, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,23 +53,36 @@ def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def bucket_keys(text: str | None, window: int = WINDOW, n: int = SHINGLE) -> np.ndarray:
+def part_width(window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> int:
+    """Shingles that two paragraphs of the given similarity or more have in one equal run, whatever words are edited.
+
+    Of the union of both sets at least percent is shared. An edit between two runs costs 2n-3 shingles or more
+    (a doubled word; an inserted or deleted one costs 2n-1, a changed one 2n), so k edits need that many shared shingles
+    for each, and the longest of k + 1 runs has at least its share of them.
+    """
+    width = window - n + 1
+    least = -(-percent * width // 100)
+    out = least
+    if percent < 100:
+        for k in range(1, width + 1):
+            need = max(least, -(-k * (2 * n - 3) * percent // (100 - percent)))
+            out = min(out, -(-need // (k + 1)))
+    return max(1, out)
+
+
+def bucket_keys(text: str | None, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> np.ndarray:
     """The distinct bucket keys of all paragraphs of the whole text; none for a shorter text."""
     s = shingles(word_hashes(text), n)
-    width = window - n + 1
-    if len(s) < width:
+    if len(s) < window - n + 1:
         return np.zeros(0, dtype=np.int64)
+    width = part_width(window, percent, n)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    mixed = [(x ^ m) * f for m, f in zip(_MASKS, _FACTORS, strict=True)]
-    low, high = [slide(m, width, np.minimum) for m in mixed], [slide(m, width, np.maximum) for m in mixed]
-    keys = []
-    for band, values in enumerate(((low[0], high[0], low[1]), (high[1], low[2], high[2]))):
-        key = np.full(len(values[0]), band + 1, dtype=np.uint64)
-        for v in values:
-            key = (key ^ v.astype(np.uint64)) * _MIX
-            key ^= key >> np.uint64(31)
-        keys.append(key[np.concatenate([[True], key[1:] != key[:-1]])])
-    return np.unique(np.concatenate(keys)).view(np.int64)
+    first, second = [(x ^ m) * f for m, f in zip(_MASKS, _FACTORS, strict=True)]
+    key = np.ones(len(s) - width + 1, dtype=np.uint64)
+    for v in (slide(first, width, np.minimum), slide(first, width, np.maximum), slide(second, width, np.minimum)):
+        key = (key ^ v.astype(np.uint64)) * _MIX
+        key ^= key >> np.uint64(31)
+    return np.unique(key[np.concatenate([[True], key[1:] != key[:-1]])]).view(np.int64)
 
 
 def paragraph_hashes(text: str | None, window: int = WINDOW) -> np.ndarray:
@@ -75,12 +90,25 @@ def paragraph_hashes(text: str | None, window: int = WINDOW) -> np.ndarray:
     return np.unique(shingles(word_hashes(text), window)).view(np.int64)
 
 
-def repeats(a: np.ndarray, b: np.ndarray, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> list[tuple[int, int]]:
-    """Word spans (from, to) of the second text that repeat in the first, given both texts' shingles.
+def _equal_ends(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal words behind an edit end, as words of a and of b from the edge of a run outwards; no edit comes first."""
+    m = min(len(a), len(b))
+    same = np.concatenate([a[:m] == b[:m], [False]])
+    out = [(0, 0)] + [(k, k) for k in (np.flatnonzero(same[:-1] & ~same[1:]) + 1).tolist()]
+    for i, j in ((i, j) for i in range(4) for j in range(4) if i != j):  # an edit that shifts what is behind it
+        m = min(len(a) - i, len(b) - j)
+        if m > 0 and (k := int((np.concatenate([a[i : i + m] == b[j : j + m], [False]])).argmin())):
+            out.append((i + k, j + k))
+    return out
+
+
+def repeats(words_a: np.ndarray, a: np.ndarray, words_b: np.ndarray, b: np.ndarray, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> list[tuple[int, int]]:
+    """Word spans (from, to) of the second text that repeat in the first, given both texts' word hashes and shingles.
 
     Shingles of b that a has are joined to runs along one diagonal, over gaps that an edit makes. A
     run counts if it has window words and the exact Jaccard similarity of its set and that of the span of a
-    that it lies on allows; if a run with gaps doesn't, its parts without gaps are tried.
+    that it lies on allows; if a run with gaps doesn't, its stretches between gaps are tried, the longest first. Where a few words
+    lack, the run goes on over an edit near its edge, behind which are too few equal words for a shingle.
     """
     if not len(a) or not len(b):
         return []
@@ -108,19 +136,42 @@ def repeats(a: np.ndarray, b: np.ndarray, window: int = WINDOW, percent: int = P
         cuts = np.flatnonzero(~joined[lo : hi - 1]) + 1 + lo
         return list(zip([lo, *cuts.tolist()], [*cuts.tolist(), hi], strict=True))
 
-    def similar(lo: int, hi: int) -> bool:
-        x = np.unique(a[places[lo] : places[hi - 1] + 1])
-        y = np.unique(b[there[lo] : there[hi - 1] + 1])
+    def similar(a0: int, a1: int, b0: int, b1: int) -> bool:
+        x, y = np.unique(a[a0 : a1 - n + 1]), np.unique(b[b0 : b1 - n + 1])
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
+    def passage(lo: int, hi: int) -> tuple[int, int] | None:
+        a0, a1, b0, b1 = int(places[lo]), int(places[hi - 1]) + n, int(there[lo]), int(there[hi - 1]) + n
+        if b1 - b0 >= window:
+            return (b0, b1) if similar(a0, a1, b0, b1) else None
+        left = _equal_ends(words_a[max(0, a0 - EDIT) : a0][::-1], words_b[max(0, b0 - EDIT) : b0][::-1])
+        right = _equal_ends(words_a[a1 : a1 + EDIT], words_b[b1 : b1 + EDIT])
+        longer = [(i + k, a0 - i, a1 + k, b0 - j, b1 + m) for i, j in left for k, m in right if b1 - b0 + j + m >= window]
+        for _, *span in sorted(longer):
+            if similar(*span):
+                return span[2], span[3]
+        return None
+
     out = []
     for lo, hi in runs(loose, 0, len(there)):
-        if there[hi - 1] + n - there[lo] < window:
+        if there[hi - 1] + n - there[lo] < window - 2 * EDIT:
+            continue
+        if found := passage(lo, hi):
+            out.append(found)
             continue
-        for x, y in [(lo, hi)] if similar(lo, hi) else runs(exact, lo, hi):
-            if there[y - 1] + n - there[x] >= window and similar(x, y):
-                out.append((int(there[x]), int(there[y - 1]) + n))
+        cuts = runs(exact, lo, hi)
+        starts, ends = np.array([x for x, _ in cuts]), np.array([y for _, y in cuts])
+        i = 0
+        while i < len(cuts):
+            shared = ends[i:] - starts[i]
+            in_a, in_b = places[ends[i:] - 1] - places[starts[i]] + 1, there[ends[i:] - 1] - there[starts[i]] + 1
+            may = np.flatnonzero((100 * shared >= percent * (in_a + in_b - shared)) & (in_b + n - 1 >= window - 2 * EDIT))
+            last = next((int(k) for k in may[::-1] if (found := passage(int(starts[i]), int(ends[i + k])))), None)
+            if last is not None:
+                out.append(found)
+                i += last
+            i += 1
     return out
 
 
@@ -148,13 +199,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, window: int, percent: int) -> D
     """(a, b, h, spans): b's spans that repeat in a, for the pairs that have any; h tells versions of b apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
+        last: tuple[str | None, np.ndarray, np.ndarray] = (None, *[np.zeros(0, dtype=np.uint64)] * 2)
         for batch in batches:
             out = []
             for a, b, h, ta, tb in batch.itertuples(index=False):
                 if last[0] != ta:
-                    last = (ta, shingles(word_hashes(ta)))
-                if found := repeats(last[1], shingles(word_hashes(tb)), window, percent):
+                    last = (ta, words := word_hashes(ta), shingles(words))
+                words_b = word_hashes(tb)
+                if found := repeats(last[1], last[2], words_b, shingles(words_b), window, percent):
                     out.append((a, b, h, [{"lo": lo, "hi": hi} for lo, hi in found]))
             yield pd.DataFrame(out, columns=["a", "b", "h", "spans"])
 
@@ -175,12 +227,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
 
-    def stars(docs: DataFrame, keys_of: Callable[[str, int], np.ndarray]) -> DataFrame:
+    def stars(docs: DataFrame, keys_of: Callable[[str], np.ndarray]) -> DataFrame:
         """(bucket, a, b): the smallest document of a bucket and each other one."""
 
         def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                keys = [keys_of(t, window) for t in batch["t"]]
+                keys = [keys_of(t) for t in batch["t"]]
                 yield pd.DataFrame({"bucket": np.concatenate([np.zeros(0, dtype=np.int64), *keys]), "k": np.repeat(batch["k"].to_numpy(), [len(x) for x in keys])})
 
         # the running first value needs no buffer: a bucket streams by, however many documents it has
@@ -188,14 +240,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         starred = docs.mapInPandas(keyed, "bucket bigint, k bigint").withColumn("star", F.first("k").over(order))
         return starred.where("k <> star").select("bucket", F.col("star").alias("a"), F.col("k").alias("b"))
 
-    hits = materialize(stars(rows, bucket_keys), "hits")
+    hits = materialize(stars(rows, lambda t: bucket_keys(t, window, percent)), "hits")
     pairs = materialize(hits.select("a", "b").distinct(), "pairs")
     found = materialize(_verified(pairs, rows, window, percent), "repeats")
     failed = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
     mixed = hits.join(hits.join(failed, ["a", "b"]).select("bucket").distinct(), "bucket", "left_semi")
     mixed = materialize(mixed.select(F.col("b").alias("k")).union(mixed.select("a")).distinct(), "mixed")
     rest = rows.join(mixed, "k", "left_semi")
-    again = stars(rest, paragraph_hashes).select("a", "b").distinct()
+    again = stars(rest, lambda t: paragraph_hashes(t, window)).select("a", "b").distinct()
     again = materialize(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_verified(again, rest, window, percent), "repeats")
     every = found.union(more)

@@ -180,6 +180,43 @@ def test_repeats_edges(spark):
     assert [(r.doc_id, r.removed_words) for r in near] == [(2, 70)]
 
 
+def near_passages(seed):
+    """Two texts that share a passage of 50 to 80 words with a Jaccard similarity of 0.75 or more; its first and last words are equal."""
+    r = random.Random(seed)
+    while True:
+        p = prose(r, r.randint(50, 80)).split()
+        q = list(p)
+        for _ in range(r.randint(1, 2)):
+            i = r.randint(1, len(q) - 2)
+            q[i : i + r.randint(0, 2)] = prose(r, r.randint(0, 2)).split() if r.random() < 0.8 else [q[i]] * 2
+        x, y = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (p, q)]
+        if p != q and len(q) >= 50 and p[-1] == q[-1] and 4 * len(x & y) >= 3 * len(x | y):
+            return [" ".join([prose(r, 60), *w, prose(r, 60)]) for w in (p, q)]
+
+
+def share(texts):
+    """Whether two texts share a bucket, and the spans of the second that repeat."""
+    both = [(w, D.shingles(w)) for w in map(C.word_hashes, texts)]
+    return len(set(D.bucket_keys(texts[0])) & set(D.bucket_keys(texts[1]))) > 0, D.repeats(*both[0], *both[1])
+
+
+def test_near_passages_meet_and_are_found():
+    met, found = zip(*[share(near_passages(seed)) for seed in range(600)], strict=True)
+    assert all(met)
+    # the passage starts at word 60 of both; an edge behind an edit stays where the rest is long enough
+    right = sum(any(lo < 70 and hi - lo >= 50 for lo, hi in spans) for spans in found)
+    assert right >= 0.99 * len(found), right
+
+
+@pytest.mark.parametrize("at", [1, 3, 4, 20, 46, 48])
+def test_passage_edited_near_its_edge(at):
+    r = random.Random(at)
+    p = prose(r, 50).split()
+    q = [*p[:at], "zzzzzzzz", *p[at + 1 :]]
+    met, spans = share([" ".join([prose(r, 60), *w, prose(r, 60)]) for w in (p, q)])
+    assert met and spans == [(60, 110)]
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=str) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
