@@ -500,4 +500,4 @@ def picture_sets(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS set_id, last_value(CASE WHEN event_type = 'signup' THEN idx END IGNORE NULLS) OVER w AS start FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT user_id, event_id, set_id, concat_ws(',', """ + ", ".join(f"CASE WHEN idx - {k} >= COALESCE(start, 1) THEN CAST(lag(event_id, {k}) OVER (PARTITION BY user_id ORDER BY idx) AS VARCHAR) END" for k in range(1, 5)) + ") AS refs FROM g")
 def stream_decoder_state(spark: SparkSession, d: str) -> DataFrame:
-    return D.run_to_end(D.decoder_state(D.events_stream(spark, d)), "decoder")
+    return D.decoder_rows(spark, d)

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelake.sources.storage import new_folder
 
+#: Rows of a batch, about.
+SLICE_ROWS = 1_000_000
 OUT = "user_id bigint, event_id bigint, set_id bigint, refs string"
 
 
@@ -43,16 +45,28 @@ def decoder_state(stream: DataFrame, max_refs: int = 4) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(run, OUT, "current bigint, held array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 8) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # a pattern, as the table may be one file or a folder
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{sf_dir}/events.parquet*")
-    return raw.select("user_id", "event_id", "ts", (F.col("event_type") == "signup").alias("starts"))
+def time_slices(spark: SparkSession, sf_dir: str, slice_rows: int, folder: str) -> list[int]:
+    """Write the events to folder, cut along (ts, event_id) into parts slice=0, 1, ... of about slice_rows rows; the parts in order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = events.select("user_id", "event_id", "ts", F.coalesce(F.col("event_type") == "signup", F.lit(False)).alias("starts"))
+    n = max(1, -(-events.count() // slice_rows))
+    # whatever the table's files are: a stream takes its files in no order of their rows
+    dealt = events.repartitionByRange(n, F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()).withColumn("slice", F.spark_partition_id())
+    dealt.write.partitionBy("slice").parquet(folder)
+    return sorted(r[0] for r in spark.read.schema(dealt.schema).parquet(folder).select("slice").distinct().collect())
 
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what there is, into a table of the shared folder, and read that."""
-    spark = stream.sparkSession
-    folder = new_folder(spark, name)
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+def decoder_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """decoder_state() over the events, one time slice a batch, into a table of the shared folder.
+
+    A slice comes into the streamed folder when the stream has ended the one before; what a worker
+    holds of a user at once is in one slice.
+    """
+    folder = new_folder(spark, "decoder")
+    slices = time_slices(spark, sf_dir, slice_rows, f"{folder}/slices")
+    for k in slices:
+        part = spark.read.parquet(f"{folder}/slices/slice={k}")
+        part.write.mode("append").parquet(f"{folder}/live")
+        stream = decoder_state(spark.readStream.schema(part.schema).parquet(f"{folder}/live"))
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/out") if slices else spark.createDataFrame([], OUT)

@@ -11,6 +11,7 @@ from framelake.functions import blocks as B
 from framelake.operators import references as R
 from framelake.operators import scan as S
 from framelake.operators import units as U
+from framelake.streaming import decoding
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,17 @@ def test_units_round_trip(spark):
     u = U.split_units(d, "s", "\n")
     assert sorted(map(tuple, u.collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, " c")]
     assert [tuple(r) for r in U.join_units(u, ["k"], "\n").collect()] == [(1, 3, "\na\nb\n c")]
+
+
+def test_decoder_state_over_shuffled_files(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    out = decoding.decoder_rows(spark, str(tmp_path), slice_rows=max(1, events.count() // 3)).collect()
+    truth, state = [], {}
+    for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        current, held = state.get(r.user_id, (None, []))
+        if r.event_type == "signup":
+            current, held = r.event_id, []
+        truth.append((r.user_id, r.event_id, current, ",".join(map(str, held))))
+        state[r.user_id] = (current, [r.event_id, *held][:4])
+    assert sorted(map(tuple, out), key=str) == sorted(truth, key=str)
