@@ -27,6 +27,8 @@ TRAINING_PAGES = 600
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = "script|style|title|head-only|textarea|noscript|template|svg|iframe|object|canvas|math|noframes|xmp"
+#: Tags that may stand in a head; any other one, or text, ends it.
+HEAD_TAGS = frozenset("html head title meta link base basefont bgsound style script noscript noframes template head-only".split())
 CLOSES_P = BLOCK_TAGS - frozenset("body html button label".split())
 SELF_NESTING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "td": "tr table", "th": "tr table", "tr": "table tbody thead tfoot", "option": "select"}
 
@@ -52,7 +54,7 @@ TELLING = {
 }
 TELLING_OF = {w: p for p, ws in TELLING.items() for w in ws.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(" + RAW_TAGS + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?:svg|math)(?=[\s/>])[^>]*/>|<(" + RAW_TAGS + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -107,8 +109,9 @@ def blocks_of(page: str | None) -> list[Block]:
 
     page, at, links, in_head = page or "", 0, 0, False
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not in_head:
-            piece = page[at : m.start()]
+        piece = page[at : m.start()]
+        in_head = in_head and not piece.strip()
+        if piece and not in_head:
             text.append(piece)
             if links:
                 linked += len(piece)
@@ -117,12 +120,14 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 text.append(htmllib.escape(m[0][9:-3]))
+            elif m[0][1].isalpha() and (m[1] or "svg").lower() not in HEAD_TAGS:
+                in_head = False
             continue
         tag = tag.lower()
         if tag == "head":
             in_head = not m[2]
             continue
-        if tag == "body":
+        if tag not in HEAD_TAGS and (not m[2] or tag in ("body", "br")):
             in_head = False
         if tag == "br":
             text.append(" ")
@@ -160,7 +165,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if not attributes.rstrip().endswith("/") or tag in BLOCK_TAGS or tag == "a":
             stack.append((tag, _element_features(tag, attributes)))
             links += tag == "a"
-    if at < len(page) and not in_head:
+    if at < len(page) and not (in_head and not page[at:].strip()):
         text.append(page[at:])
     flush()
     return out

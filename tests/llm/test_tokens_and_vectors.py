@@ -115,6 +115,21 @@ def test_page_edges(spark):
     assert X.extract(df.limit(0), field).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<p>one <svg class='a'/> two</p><p>three</p>",
+    "<p>one <math/> two</p><p>three</p>",
+    "<p>one <svg-icon name=x></svg-icon> two</p><p>three</p>",
+    "<p>one <template-x> two</p><p>three</p>",
+    "<p>one <svg><title>no</title></svg><template>no</template> two</p><p>three</p>",
+    "<html><head><title>no</title><meta charset=utf-8><p>one two</p><p>three</p>",
+    "<head><style>no</style>\n one <b>two</b><p>three</p>",
+    "<head><title>no</title><svg><path/></svg>one two<p>three",
+    "<head><title>no</title></head><body><p>one two<p>three",
+])
+def test_nothing_is_swallowed(page):
+    assert [b.text for b in X.blocks_of(page)] == ["one two", "three"]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(k, v, lab, 1, "x") for k, v, lab in rows], "vec_id bigint, embedding array<float>, label int, id int, bucket string")
 
