@@ -72,16 +72,18 @@ class WordEncoder:
 
     The pre-tokenizer splits before a space that stands between other characters whatever is around
     it, so a text without neighbouring white space falls into words that the library encodes alone.
-    Any other text goes through the library whole.
+    Any other text goes through the library whole, as does one that holds an added token's content, unless as_text
+    says that such content is plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.lib.encode_special_tokens = as_text
+        self.added = [] if as_text else [t.content for t in self.lib.get_added_tokens_decoder().values()]
         # a byte-level token has a character a byte
         vocabulary = self.lib.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
@@ -117,7 +119,7 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         get = self.words.get
-        split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
+        split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t and not any(x in t for x in self.added) else [t] for t in texts]
         parts = [list(map(get, ws)) for ws in split]
         holes = [[i for i, x in enumerate(p) if x is None] for p in parts]
         new = dict.fromkeys([ws[i] for ws, at in zip(split, holes, strict=True) for i in at])
@@ -143,16 +145,16 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder_at(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder_at(path: str, as_text: bool = True) -> WordEncoder:
+    if (path, as_text) not in _encoders:
+        _encoders[path, as_text] = WordEncoder(path, as_text)
+    return _encoders[path, as_text]
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", as_text: bool = True) -> DataFrame:
     """(key, ids binary of uint32 or uint16, bucket) for every row with a key; a null text is empty, end_id closes each."""
     bounded_batches(docs.sparkSession)
     total = docs.count()
@@ -162,7 +164,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "
     bounds = sorted(set(bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_at(tokenizer_path)
+        enc = encoder_at(tokenizer_path, as_text)
         end = np.array([end_id], dtype=enc.kind).tobytes()
         edges = np.array(bounds, dtype=np.int64)
         for batch in batches:
@@ -199,15 +201,16 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids", "width").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> str:
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", as_text: bool = True) -> str:
     """Encode docs and write the data set at path; returns path.
 
     Rows with a null key are left out (they have no place in key order); a null text gives end_id
-    alone; rows that repeat a key are all written, next to each other. What reaches the driver is
+    alone; rows that repeat a key are all written, next to each other. as_text reads an added token's content (such as
+    <|endoftext|>) as plain text; without it such content gets the token's id, as in the library by default. What reaches the driver is
     the counts of the ids, a table that the vocabulary bounds.
     """
     spark = docs.sparkSession
-    tokens = materialize(encode_texts(docs, tokenizer_path, end_id, key, text), "tokens")
+    tokens = materialize(encode_texts(docs, tokenizer_path, end_id, key, text, as_text), "tokens")
     counted = id_counts(tokens).toPandas().sort_values(["n", "id"], ascending=[False, True])
     of_rank = counted["id"].to_numpy(dtype=np.int64)
     rank_of = np.zeros(int(of_rank.max(initial=-1)) + 1, dtype=np.uint32)
@@ -287,5 +290,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path, as_text=False)
     return read_token_files(spark, path).withColumnRenamed("key", "doc_id")

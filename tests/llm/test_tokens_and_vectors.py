@@ -73,6 +73,19 @@ def test_token_files_round_trip(spark, sf, tmp_path):
     assert T.read_token_files(spark, empty).count() == 0
 
 
+def test_token_query_equals_the_default_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    texts = [*odd_texts(50), "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "the cat <|endoftext|>\n the cat", "<|endoftext |> the cat"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in T.op10_token_files(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts)
+    for k, t in enumerate(texts):
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 0]
+        assert (out[k].n_tokens, out[k].ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_field_on_unseen_pages():
     field = X.train(X.labelled(LP.training_pages(300)), rounds=120)
     unseen = X.labelled(LP.training_pages(100, seed=77))
