@@ -26,9 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
-        "op3_mixing": mixing.op3_mixing,
-        "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.ORACLE,
         "op8_topk_search": topk_search.ORACLE,
         "op9_embedding_dedup": embedding_dedup.ORACLE,
