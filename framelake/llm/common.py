@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from functools import reduce
 from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,9 +95,14 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a master that runs all in one machine gets a folder of its own; any other raises an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='framelake-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -106,6 +113,65 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+class Admitted(dict):
+    """A bounded cache of words by what they became: a word is kept when it is met for the second time, as most words of a corpus come once."""
+
+    def __init__(self, most: int, longest: int = 64):
+        super().__init__()
+        self.most, self.longest = most, longest
+        self._forget()
+
+    def _forget(self) -> None:
+        self.met, self.marks = bytearray(1 << 22), 0
+
+    def offer(self, word: str, made: object) -> None:
+        place = hash(word) & 0x3FFFFF
+        if not self.met[place]:
+            self.met[place] = 1
+            self.marks += 1
+            if self.marks > 1 << 21:  # half full: too many words would pass for met ones
+                self._forget()
+        elif len(self) < self.most and len(word) <= self.longest:
+            self[word] = made
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps_cache(owner: str, drop: Callable[[], None]) -> None:
+    """Register what drops an operator's cache in this Python worker."""
+    _caches[owner] = drop
+
+
+def start_task(owner: str) -> None:
+    """Drop the caches of other operators, as Python workers live on from job to job."""
+    for name, drop in _caches.items():
+        if name != owner:
+            drop()
+
+
+def give_back() -> None:
+    """Return memory that this Python worker no longer uses to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """run(), which maps a partition's batches, between start_task() and give_back()."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        start_task(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -158,7 +224,7 @@ def grouped_stream(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame
         if held is not None and (last := run(held)) is not None:
             yield last
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(frugal(stream), schema)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -25,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, discard, materialize, new_path, table
+from framelake.llm.common import Admitted, bounded_batches, discard, frugal, give_back, keeps_cache, materialize, new_path, table
 
-#: Words kept by a Python worker, the first that it meets, frequent ones among them. Characters split, and new words encoded, at a time. Tokens of a
+#: Words kept by a Python worker, those that it meets again. Characters split, and new words encoded, at a time. Tokens of a
 #: block, more for a longer document.
-CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 350_000, 1 << 19, 8192, 1 << 15
-#: Rows aimed at in a key range.
-RANGE_ROWS = 20_000
+CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 300_000, 1 << 19, 4096, 1 << 15
+#: Signs that are looked up apart at the end of a word.
+SIGNS = ".,;:!?&$#%*"
+#: UTF-8 bytes of text aimed at in a key range, and the bytes that count as one when ranges are made. Key ranges, each larger
+#: where there would be more: what the driver sees of the keys.
+RANGE_BYTES, UNIT_BYTES, MOST_RANGES = 1 << 24, 1 << 10, 20_000
 #: control byte -> the lengths of its four tokens
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -70,7 +73,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Whole texts through the tokenizers library, with a bounded cache of words.
 
-    The pre-tokenizer splits before a space that stands between other characters whatever is around
+    The pre-tokenizer splits before a space or newline that stands between other characters whatever is around
     it, so a text without neighbouring white space falls into words that the library encodes alone.
     Any other text goes through the library whole, as does one that holds an added token's content, unless as_text
     says that such content is plain text.
@@ -89,16 +92,19 @@ class WordEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.words: dict[str, bytes] = {}
+        self.words = Admitted(CACHED_WORDS)
+        self.signs: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def raw_words(self, words: list[str]) -> list[bytes]:
-        """raw() of words that each start with a space, encoded as one text and cut again by the bytes of its tokens."""
-        ids = np.array(self.lib.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        """raw() of words that each hold one space or newline, at their start, encoded as one text and cut again by the bytes of its tokens."""
+        text = "".join(words)
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
         ends = np.cumsum(self.bytes_of[ids])
-        goals = np.cumsum([len(w.encode()) for w in words])
+        octets = np.frombuffer(text.encode(), dtype=np.uint8)
+        goals = np.append(np.flatnonzero((octets == 32) | (octets == 10))[1:], len(octets))
         cuts = np.searchsorted(ends, goals, side="left") + 1
         if cuts[-1] != len(ids) or (ends[cuts - 1] != goals).any():
             return self.raw(words)
@@ -117,28 +123,56 @@ class WordEncoder:
                 some, held = [], 0
         yield from self._encode(some)
 
+    @staticmethod
+    def _alone(word: str) -> bool:
+        """Whether the library encodes the word alone as inside its text: no white space but one space or newline at its start."""
+        rest = word[1:] if word[:1] in (" ", "\n") else word
+        return bool(rest[:1].strip()) and not rest[-1].isspace() and not any(c in rest for c in "\0 \n")
+
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that the library encodes alone; signs at a word's end are tokens of their own, so they are looked up apart."""
+        get, offer = self.words.get, self.words.offer
+        ends, need = {}, {}
+        for w in words:
+            base = w.rstrip(SIGNS)
+            if len(base) < len(w) and base[-1:].isalnum():
+                sign = w[len(base) :]
+                if sign not in self.signs:
+                    self.signs[sign] = self.raw([sign])[0]
+                ends[w] = base, self.signs[sign]
+                w = base
+            need[w] = get(w)
+        lacking = [w for w, x in need.items() if x is None]
+        spaced = [w for w in lacking if w[0] in " \n"]
+        made = {}
+        for i in range(0, len(spaced), NEW_WORDS):
+            some = spaced[i : i + NEW_WORDS]
+            made.update(zip(some, self.raw_words(some), strict=True))
+        first = [w for w in lacking if w[0] not in " \n"]
+        made.update(zip(first, self.raw(first), strict=True))
+        for w, x in made.items():
+            offer(w, x)
+        need.update(made)
+        for w, (base, sign) in ends.items():
+            need[w] = need[base] + sign
+            offer(w, need[w])
+        if len(self.signs) > 10_000:
+            self.signs.clear()
+        return need
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         get = self.words.get
-        split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t and not any(x in t for x in self.added) else [t] for t in texts]
+        split = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in t and not any(x in t for x in self.added) else [t] for t in texts]
         parts = [list(map(get, ws)) for ws in split]
         holes = [[i for i, x in enumerate(p) if x is None] for p in parts]
         new = dict.fromkeys([ws[i] for ws, at in zip(split, holes, strict=True) for i in at])
-        plain = [w for w in new if w[:1] == " " and w[1:2].strip() and not w[-1].isspace()]
-        for i in range(0, len(plain), NEW_WORDS):
-            some = plain[i : i + NEW_WORDS]
-            new.update(zip(some, self.raw_words(some), strict=True))
-        first = [w for w, x in new.items() if x is None and w[:1].strip() and not w[-1].isspace() and "\0" not in w]
-        new.update(zip(first, self.raw(first), strict=True))
-        if len(self.words) < CACHED_WORDS:
-            self.words.update((w, x) for w, x in new.items() if x is not None and len(w) <= 64)
+        made = self._new_words([w for w in new if self._alone(w)])
         out: list[bytes | None] = []
-        for ws, p, at in zip(split, parts, holes, strict=True):
+        for ws, p, at, t in zip(split, parts, holes, texts, strict=True):
             for i in at:
-                p[i] = new[ws[i]]
-            try:
-                out.append(b"".join(p))
-            except TypeError:
-                out.append(None)
+                p[i] = made.get(ws[i])
+            plain = None not in p and (len(ws) > 1 or not any(x in t for x in self.added))
+            out.append(b"".join(p) if plain else None)
         whole = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
             out[i] = x
@@ -148,6 +182,9 @@ class WordEncoder:
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
+keeps_cache("token files", _encoders.clear)
+
+
 def encoder_at(path: str, as_text: bool = True) -> WordEncoder:
     if (path, as_text) not in _encoders:
         _encoders[path, as_text] = WordEncoder(path, as_text)
@@ -157,11 +194,14 @@ def encoder_at(path: str, as_text: bool = True) -> WordEncoder:
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", as_text: bool = True) -> DataFrame:
     """(key, ids binary of uint32 or uint16, bucket) for every row with a key; a null text is empty, end_id closes each."""
     bounded_batches(docs.sparkSession)
-    total = docs.count()
-    n = max(1, -(-total // RANGE_ROWS))
+    # a key counts once for each unit of bytes that its row has begun, so that ranges are of like sizes
+    units = F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / UNIT_BYTES).cast("int")
+    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), units.alias("u"))
+    total = keyed.agg(F.sum(F.col("u").cast("bigint") + 1)).first()[0] or 0
+    n = min(MOST_RANGES, max(1, -(-total * UNIT_BYTES // RANGE_BYTES)))
     probs = [i / n for i in range(1, n)]
-    bounds = (docs.agg(F.percentile_approx(key, probs, 10_000)).first()[0] or []) if probs else []
-    bounds = sorted(set(bounds))
+    weighted = keyed.select("k", F.explode(F.sequence(F.lit(0), "u")))
+    bounds = sorted(set(weighted.agg(F.percentile_approx("k", probs, max(10_000, 4 * n))).first()[0] or [])) if probs else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_at(tokenizer_path, as_text)
@@ -173,10 +213,9 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "
             width = np.full(len(ids), enc.kind.itemsize, dtype=np.int32)
             yield pa.record_batch({"k": keys, "ids": pa.array(ids, pa.binary()), "width": width, "bucket": np.searchsorted(edges, keys, side="left").astype(np.int32)})
             del batch, ids
-        pa.default_memory_pool().release_unused()
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "k bigint, ids binary, width int, bucket int").repartition(n, "bucket").sortWithinPartitions("bucket", "k", "ids")
+    return rows.mapInArrow(frugal(run, "token files"), "k bigint, ids binary, width int, bucket int").repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "k", "ids")
 
 
 def _ids(raw: bytes, width: int) -> np.ndarray:
@@ -187,7 +226,6 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n): how often each id occurs; counted in each task before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _encoders.clear()  # a worker that has encoded needs its words no more
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
@@ -198,7 +236,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         at = np.flatnonzero(counts)
         yield pa.record_batch({"id": at.astype(np.int32), "n": counts[at]})
 
-    return tokens.select("ids", "width").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "width").mapInArrow(frugal(run), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", as_text: bool = True) -> str:
@@ -221,7 +259,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     shared = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _encoders.clear()
         ranks, keys, parts, held, bucket, made = shared.value, [], [], 0, None, 0
 
         def block() -> pa.RecordBatch:
@@ -242,11 +279,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
                 held += len(parts[-1])
         if parts:
             yield block()
-        pa.default_memory_pool().release_unused()
 
     names = ["bucket", "block", "first_key", "n_docs", "n_tokens", "keys", "lengths", "control", "data"]
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    tokens.mapInArrow(run, "bucket int, block string, first_key bigint, n_docs int, n_tokens bigint, keys binary, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
+    tokens.mapInArrow(frugal(run), "bucket int, block string, first_key bigint, n_docs int, n_tokens bigint, keys binary, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
     discard(tokens)
     return path
 
@@ -262,7 +298,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     shared = spark.sparkContext.broadcast(of_rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _encoders.clear()
         for batch in batches:
             for row in batch.to_pylist():
                 ids = shared.value[unpack(row["control"], row["data"], row["n_tokens"])]
@@ -274,9 +309,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 if with_ids:
                     out["ids"] = pa.array([np.frombuffer(s, dtype="<u4").astype(np.int64) for s in spans], pa.list_(pa.int64()))
                 yield pa.record_batch(out)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
-    docs = blocks.select("block", "n_tokens", "keys", "lengths", "control", "data").mapInArrow(run, "key bigint, block string, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    docs = blocks.select("block", "n_tokens", "keys", "lengths", "control", "data").mapInArrow(frugal(run), "key bigint, block string, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
     small = blocks.select("bucket", "block", "first_key", "n_tokens")
     ranges = small.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     ranges = ranges.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("range_start"))
