@@ -92,3 +92,64 @@ def neighbour_total(left: str, top: str) -> Column:
 def strength(intra: str, edge: str, coded: str, references_differ: str, motion: str) -> Column:
     """Deblocking strength of an edge: intra 4 at a macroblock edge and 3 inside, coefficients 2, references or motion of 4 quarter samples 1."""
     return F.expr(f"CAST(CASE WHEN {intra} AND {edge} THEN 4 WHEN {intra} THEN 3 WHEN {coded} THEN 2 WHEN {references_differ} OR {motion} >= 4 THEN 1 ELSE 0 END AS BIGINT)")
+
+
+def strength_b(intra: str, edge: str, coded: str, p: tuple[str, ...], q: tuple[str, ...]) -> Column:
+    """strength() of an edge between blocks with motion from two lists; p and q are (reference, x, y) from the first list and then from the second, null where unused."""
+    same = lambda a, b: f"({p[3 * a]} <=> {q[3 * b]} AND NOT coalesce(abs({p[3 * a + 1]} - {q[3 * b + 1]}) >= 4 OR abs({p[3 * a + 2]} - {q[3 * b + 2]}) >= 4, false))"
+    alike = f"({same(0, 0)} AND {same(1, 1)}) OR ({same(0, 1)} AND {same(1, 0)})"
+    return F.expr(f"CAST(CASE WHEN {intra} AND {edge} THEN 4 WHEN {intra} THEN 3 WHEN {coded} THEN 2 WHEN {alike} THEN 0 ELSE 1 END AS BIGINT)")
+
+
+def bilinear(a: str, b: str, c: str, d: str, fx: str, fy: str) -> Column:
+    """A chroma sample between four, at eighths of a sample to the right and down."""
+    return F.expr(f"CAST(shiftright((8 - {fx}) * (8 - {fy}) * {a} + {fx} * (8 - {fy}) * {b} + (8 - {fx}) * {fy} * {c} + {fx} * {fy} * {d} + 32, 6) AS BIGINT)")
+
+
+def predicted_vector(reference: str, neighbours: dict[str, tuple[str, str, str]], shape: str = "16x16", part: int = 0) -> tuple[Column, Column]:
+    """The motion vector (x, y) that the neighbours a (left), b (top) and c (top right) predict, each (reference, x, y), null where there is none.
+
+    Halves of a macroblock look at one neighbour first; then the only one with the reference, the only one at all, or the median.
+    """
+    first = {("16x8", 0): "b", ("16x8", 1): "a", ("8x16", 0): "a", ("8x16", 1): "c"}.get((shape, part))
+    refs = {k: v[0] for k, v in neighbours.items()}
+    matches = " + ".join(f"CAST({r} <=> {reference} AS INT)" for r in refs.values())
+    there = " + ".join(f"CAST({r} IS NOT NULL AS INT)" for r in refs.values())
+    out = []
+    for axis in (1, 2):
+        value = {k: f"coalesce({v[axis]}, 0)" for k, v in neighbours.items()}
+        a, b, c = value["a"], value["b"], value["c"]
+        only_match = " ".join(f"WHEN {refs[k]} <=> {reference} THEN {value[k]}" for k in refs)
+        only = " ".join(f"WHEN {refs[k]} IS NOT NULL THEN {value[k]}" for k in refs)
+        direct = f"WHEN {refs[first]} = {reference} THEN {value[first]}" if first else ""
+        median = f"greatest(least({a}, {b}), least(greatest({a}, {b}), {c}))"
+        out.append(F.expr(f"CAST(CASE {direct} WHEN {matches} = 1 THEN CASE {only_match} END WHEN {there} = 0 THEN 0 WHEN {there} = 1 THEN CASE {only} END ELSE {median} END AS BIGINT)"))
+    return out[0], out[1]
+
+
+def skip_vector(neighbours: dict[str, tuple[str, str, str]]) -> tuple[Column, Column]:
+    """The vector of a skipped macroblock: 0 at an edge of the picture and beside a neighbour that stands still, else as predicted from the first reference."""
+    still = " OR ".join(f"{r} IS NULL OR {r} <> 0 OR ({x} = 0 AND {y} = 0)" for r, x, y in (neighbours["a"], neighbours["b"]))
+    made = predicted_vector("0", neighbours)
+    return tuple(F.when(F.expr(still), F.lit(0).cast("bigint")).otherwise(v) for v in made)
+
+
+def intra_type(slice_type: str, raw: str) -> Column:
+    """The intra macroblock type of a coded one, null for inter types and beyond the last."""
+    first = f"CASE {slice_type} WHEN 'I' THEN 0 WHEN 'SI' THEN 1 WHEN 'B' THEN 23 ELSE 5 END"
+    return F.expr(f"CAST(CASE WHEN {raw} >= {first} AND {raw} - {first} <= 25 THEN {raw} - {first} END AS BIGINT)")
+
+
+def coded(pattern: str, group: str) -> Column:
+    """Whether a group's bit is set in a coded-block pattern."""
+    return F.expr(f"(CAST(shiftright({pattern}, CAST({group} AS INT)) AS BIGINT) & 1) = 1")
+
+
+def least_reference(left: str, top: str) -> Column:
+    """The smaller reference of the two neighbours that have one (null: none)."""
+    return F.expr(f"CAST(least({left}, {top}) AS BIGINT)")
+
+
+def increments(left: str, top: str) -> Column:
+    """How many of two conditions on neighbours hold; an unknown one does not."""
+    return F.expr(f"CAST(CAST(coalesce({left}, false) AS INT) + CAST(coalesce({top}, false) AS INT) AS BIGINT)")

@@ -62,3 +62,141 @@ def quantised(vector: Column, scale: int) -> Column:
 
 def joined(a: Column) -> Column:
     return F.array_join(a.cast("array<string>"), ",")
+
+
+# Scales of coefficients by quantiser modulo 6, for places with both coordinates even, one odd, both odd.
+LEVEL_SCALES = [(10, 13, 16), (11, 14, 18), (13, 16, 20), (14, 18, 23), (16, 20, 25), (18, 23, 29)]
+# Edge filter thresholds and clipping bounds by index; the indexes before the first are 0.
+ALPHA = [4, 4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 17, 20, 22, 25, 28, 32, 36, 40, 45, 50, 56, 63, 71, 80, 90, 101, 113, 127, 144, 162, 182, 203, 226, 255, 255]
+BETA = [2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 6, 6, 7, 7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14, 15, 15, 16, 16, 17, 17, 18, 18]
+TC0 = [
+    [0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 4, 4, 4, 5, 6, 6, 7, 8, 9, 10, 11, 13],
+    [0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 4, 4, 5, 5, 6, 7, 8, 8, 10, 11, 12, 13, 15, 17],
+    [0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 4, 4, 4, 5, 6, 6, 7, 8, 9, 10, 11, 13, 14, 16, 18, 20, 23, 25],
+]
+FIRST_INDEX = 16
+
+
+def _category(place: int) -> int:
+    return place // 4 % 2 + place % 2
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("bigint") for v in values])
+
+
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x, F.greatest(by, F.lit(0)).cast("int"))
+
+
+def dequantised(raster: Column, qp: Column) -> Column:
+    """Coefficients in raster order scaled by their place and the quantiser (0 to 87; null beyond)."""
+    scales = F.array(*[_longs([s[_category(p)] for p in range(16)]) for s in LEVEL_SCALES])
+    scaled = F.zip_with(raster, scales[(qp % 6).cast("int")], lambda c, s: _shift(c * s, F.floor(qp / 6)))
+    return F.when(qp.between(0, 87), scaled)
+
+
+def luma_dc(raster: Column, qp: Column) -> Column:
+    """The inverse transform of a macroblock's sixteen DC coefficients, scaled."""
+    scale, q = _longs([s[0] for s in LEVEL_SCALES])[(qp % 6).cast("int")], F.floor(qp / 6).cast("int")
+    low = lambda v: F.call_function("shiftright", v * scale + F.call_function("shiftleft", F.lit(1).cast("bigint"), 1 - q), 2 - q)
+    return F.when(qp.between(0, 87), F.transform(hadamard_4x4(raster), lambda v: F.when(q >= 2, _shift(v * scale, q - 2)).otherwise(low(v))))
+
+
+def chroma_dc(c: Column, qp: Column) -> Column:
+    """The 2x2 inverse transform of four chroma DC coefficients, scaled."""
+    scale, q = _longs([s[0] for s in LEVEL_SCALES])[(qp % 6).cast("int")], F.floor(qp / 6)
+    c0, c1, c2, c3 = [_at(c, i) for i in range(4)]
+    made = F.array(c0 + c1 + c2 + c3, c0 - c1 + c2 - c3, c0 + c1 - c2 - c3, c0 - c1 - c2 + c3)
+    return F.when(qp.between(0, 87), F.transform(made, lambda v: F.when(q >= 1, _shift(v * scale, q - 1)).otherwise(F.shiftright(v * scale, 1))))
+
+
+def with_dc(raster: Column, dc: Column) -> Column:
+    """A block of scaled coefficients with a DC value that was transformed apart."""
+    return F.concat(F.array(dc), F.slice(raster, 2, 15))
+
+
+def intra_dc(top: Column, left: Column, n: int = 4) -> Column:
+    """The rounded mean of the n samples of each known side (null: unknown), 128 without any."""
+    total = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(0))
+    known = F.when(top.isNotNull(), n).otherwise(0) + F.when(left.isNotNull(), n).otherwise(0)
+    return F.when(known == 0, F.lit(128)).otherwise(F.floor((total(top) + total(left) + known / 2) / known)).cast("bigint")
+
+
+def intra_4x4(mode: int, top: Column, left: Column, corner: Column) -> Column:
+    """A predicted 4x4 block in raster order. top has 8 samples, left 4; what a mode needs and lacks gives null.
+
+    The border is one line from left's lower end by the corner to top's right end, e[0] to e[12]; modes are means of two or three neighbours on it.
+    """
+    e = [*[_at(left, 3 - i) for i in range(4)], corner, *[_at(top, i) for i in range(8)]]
+    if mode == 2:
+        first = F.when(top.isNotNull(), F.slice(top, 1, 4))
+        return F.array_repeat(intra_dc(first, left), 16)
+    two = lambda i: F.shiftright(e[i] + e[i + 1] + 1, 1)
+    three = lambda i: F.shiftright(e[max(0, i - 1)] + 2 * e[i] + e[min(12, i + 1)] + 2, 2)
+
+    def sample(x: int, y: int) -> Column:
+        if mode == 0:
+            return e[5 + x]
+        if mode == 1:
+            return e[3 - y]
+        if mode == 3:
+            return three(6 + x + y)
+        if mode == 4:
+            return three(4 + x - y)
+        if mode in (5, 6):  # the second is the first mirrored about the corner
+            a, b = (x, y) if mode == 5 else (y, x)
+            z, at = 2 * a - b, 4 + a - b // 2
+            at, pair, turn = (at, at, 1) if mode == 5 else (8 - at, 7 - at, -1)
+            if z >= 0:
+                return two(pair) if z % 2 == 0 else three(at)
+            return three(4) if z == -1 else three(4 + turn * (1 - b))
+        if mode == 7:
+            z = 5 + x + y // 2
+            return two(z) if y % 2 == 0 else three(z + 1)
+        z, at = x + 2 * y, 3 - y - x // 2
+        if z > 5:
+            return e[0]
+        return three(0) if z == 5 else two(at - 1) if z % 2 == 0 else three(at - 1)
+
+    made = F.array(*[sample(x, y) for y in range(4) for x in range(4)])
+    return F.when(~F.exists(made, lambda v: v.isNull()), made)
+
+
+def reconstructed(predicted: Column, residual: Column) -> Column:
+    """Prediction and residual, clipped to bytes."""
+    return F.zip_with(predicted, residual, lambda p, r: F.least(F.greatest(p + r, F.lit(0)), F.lit(255)))
+
+
+def edge_filtered(p: Column, qp: Column, alpha_offset: Column, beta_offset: Column, strength: Column, chroma: bool = False) -> Column:
+    """Eight samples across an edge (p3 p2 p1 p0 | q0 q1 q2 q3) deblocked at a strength of 0 to 4."""
+    p3, p2, p1, p0, q0, q1, q2, q3 = [_at(p, i) for i in range(8)]
+    index = lambda offset: F.least(F.greatest(qp + offset, F.lit(0)), F.lit(51)).cast("int") - FIRST_INDEX
+    look = lambda values, i: F.coalesce(F.get(_longs(values), i), F.lit(0).cast("bigint"))
+    alpha, beta = look(ALPHA, index(alpha_offset)), look(BETA, index(beta_offset))
+    tc0 = look(TC0[0], index(alpha_offset))
+    for k in (1, 2):
+        tc0 = F.when(strength == k + 1, look(TC0[k], index(alpha_offset))).otherwise(tc0)
+    active = (strength > 0) & (F.abs(p0 - q0) < alpha) & (F.abs(p1 - p0) < beta) & (F.abs(q1 - q0) < beta)
+    sh, byte = F.shiftright, lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(255))
+    bound = lambda v, c: F.least(F.greatest(v, -c), c)
+    near_p, near_q = (F.lit(False), F.lit(False)) if chroma else (F.abs(p2 - p0) < beta, F.abs(q2 - q0) < beta)
+    tc = tc0 + 1 if chroma else tc0 + near_p.cast("bigint") + near_q.cast("bigint")
+    delta = bound(sh(4 * (q0 - p0) + (p1 - q1) + 4, 3), tc)
+    middle = sh(p0 + q0 + 1, 1)
+    weak = [p3, p2, F.when(near_p, byte(p1 + bound(sh(p2 + middle - 2 * p1, 1), tc0))).otherwise(p1), byte(p0 + delta), byte(q0 - delta), F.when(near_q, byte(q1 + bound(sh(q2 + middle - 2 * q1, 1), tc0))).otherwise(q1), q2, q3]
+    smooth = F.abs(p0 - q0) < sh(alpha, 2) + 2
+    strong = [_at(strong_edge(p), i) for i in range(8)]
+    plain = [p3, p2, p1, sh(2 * p1 + p0 + q1 + 2, 2), sh(2 * q1 + q0 + p1 + 2, 2), q1, q2, q3]
+    full = [F.when(smooth & (near_p if i < 4 else near_q), strong[i]).otherwise(plain[i]) for i in range(8)]
+    return F.array(*[F.when(~active, _at(p, i)).when(strength < 4, weak[i]).otherwise(full[i]) for i in range(8)])
+
+
+def countable(a: Column) -> Column:
+    """Whether any value is not 0."""
+    return F.exists(a, lambda v: v != 0)
+
+
+def inverse_map(values: Column) -> Column:
+    """The index of each value from 0 to the length less 1 in a permutation."""
+    return F.transform(values, lambda _, i: F.array_position(values, i.cast("bigint")) - 1)

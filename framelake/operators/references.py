@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,71 @@ def lists_b(pictures: DataFrame, group: str, tie: str, current: int) -> DataFram
     return out.withColumn("l1", F.when((F.col("l0") == F.col("l1")) & (F.size("l1") > 1), swapped).otherwise(F.col("l1")))
 
 
+def modified_list(pictures: str, operations: str, frame_num: str, largest: str) -> Column:
+    """A reference list after the modifications of a slice header: null where one names a picture that is not there.
+
+    pictures is an array of structs (id, frame_num, long, long_idx), operations one of (idc, value): 0 and 1 step the predicted number down or up by
+    value + 1 and take the short-term picture of that number, 2 takes the long-term picture of that index. Each goes to the next place from the front, and the first
+    copy of it behind that place goes.
+    """
+    number = f"CASE o.idc WHEN 0 THEN pmod(a.number - o.value - 1, {largest}) WHEN 1 THEN pmod(a.number + o.value + 1, {largest}) ELSE a.number END"
+    hit = "CASE WHEN o.idc = 2 THEN p.long AND p.long_idx = o.value ELSE NOT p.long AND p.frame_num = n END"
+    found = f"transform(array({number}), n -> named_struct('n', n, 't', get(filter(a.list, p -> {hit}), 0)))[0]"
+    behind = "slice(a.list, a.at + 1, size(a.list))"
+    rest = f"transform(array(array_position(transform({behind}, p -> p.id), f.t.id)), k -> filter({behind}, (p, i) -> i + 1 <> k))[0]"
+    moved = f"concat(slice(a.list, 1, a.at), array(f.t), {rest})"
+    step = f"transform(array({found}), f -> named_struct('list', CASE WHEN f.t IS NULL OR a.list IS NULL THEN NULL ELSE {moved} END, 'number', CAST(f.n AS BIGINT), 'at', a.at + 1))[0]"
+    return F.expr(f"aggregate({operations}, named_struct('list', {pictures}, 'number', CAST({frame_num} AS BIGINT), 'at', 0), (a, o) -> {step}, a -> a.list)")
+
+
+def place_in_list(ids: str, picture: str) -> Column:
+    """The place from 0 of a picture in a list, null where it is not there."""
+    return F.expr(f"nullif(array_position({ids}, {picture}), 0) - 1")
+
+
+def marked(held: list[tuple[int, int, bool, int]], picture: int, frame_num: int, idr: bool, long_term: bool, adaptive: bool, operations: list[tuple[int, int, int]], largest: int, max_refs: int) -> tuple[list[tuple[int, int, bool, int]], str | None]:
+    """The decoded-picture buffer, (picture, frame_num, long, long_idx) in order of arrival, after a reference picture; and an error, with which the buffer stays as it was.
+
+    An IDR picture empties it; without adaptive marking the oldest short-term pictures go until there is room for one; the operations 1 to 6 of adaptive marking drop short-term (1) or
+    long-term (2) pictures, make one long-term (3), bound long-term indexes (4), drop all (5), and make the picture itself long-term (6).
+    """
+    if idr:
+        return [(picture, frame_num, long_term, 0)], None
+    out, own = list(held), None
+
+    def drop(test) -> bool:
+        place = next((i for i, p in enumerate(out) if test(p)), None)
+        if place is not None:
+            del out[place]
+        return place is not None
+
+    if adaptive:
+        for op, first, second in operations:
+            number = (frame_num - first - 1) % largest
+            if op == 1:
+                drop(lambda p, n=number: not p[2] and p[1] == n)
+            elif op == 2:
+                drop(lambda p, k=first: p[2] and p[3] == k)
+            elif op == 3:
+                drop(lambda p, k=second: p[2] and p[3] == k)
+                place = next((i for i, p in enumerate(out) if not p[2] and p[1] == number), None)
+                if place is None:
+                    return held, f"no short-term picture {number}"
+                out[place] = (*out[place][:2], True, second)
+            elif op == 4:
+                out = [p for p in out if not p[2] or p[3] < first]
+            elif op == 5:
+                out = []
+            elif op == 6:
+                drop(lambda p, k=first: p[2] and p[3] == k)
+                own = first
+    else:
+        while len(out) >= max(1, max_refs):
+            if not drop(lambda p: not p[2]):
+                return held, "buffer is full of long-term pictures"
+    return [*out, (picture, frame_num, own is not None, own or 0)], None
+
+
 def six_tap(samples: DataFrame, track: str, index: str, value: str, taps: tuple[int, ...]) -> DataFrame:
     """samples with sample: the half-way value behind each by a six-tap filter, (sum + 16) >> 5 clipped to a byte.
 

@@ -1,6 +1,7 @@
 """Timelines of samples: decode times, presentation order and durations, groups of pictures, reorder buffer.
 
-A sample row has a track key, idx (its decode index in the track) and delta (its duration in ticks).
+A sample row has a track key, idx (its decode index in the track) and delta (its duration in ticks). What goes by decode order is one
+pass over the samples, what goes by presentation order another (scan.scan).
 """
 
 from __future__ import annotations
@@ -8,34 +9,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.scan import with_last, with_next, with_prefix, with_running_max
+from framelake.operators.scan import Carried, following, index, latest, prefix, running_max, scan
 
 #: Samples of a chunk of a track, for orders that go by an index; ticks of a chunk for those by presentation time.
 CHUNK_SAMPLES, CHUNK_TICKS = 1 << 16, 1 << 23
 NANOSECONDS = 1_000_000_000
 
 
-def _by_index(column: str = "idx") -> Column:
+def by_index(column: str = "idx") -> Column:
+    """The chunk of an index."""
     return F.floor(F.col(column) / CHUNK_SAMPLES)
 
 
+def in_decode_order(samples: DataFrame, track: str, **columns: Carried) -> DataFrame:
+    return scan(samples, [track], ["idx"], by_index(), **columns)
+
+
+def in_presentation_order(samples: DataFrame, track: str, **columns: Carried) -> DataFrame:
+    """Columns along presentation order, ties in decode order."""
+    return scan(samples, [track], ["pts", "idx"], F.floor(F.col("pts") / CHUNK_TICKS), **columns)
+
+
 def decode_times(samples: DataFrame, track: str, offset: Column) -> DataFrame:
     """samples with dts (running sum of delta) and pts (dts and the sample's composition offset, which may be negative)."""
-    timed = with_prefix(samples, [track], ["idx"], _by_index(), {"dts": F.col("delta")})
-    return timed.withColumn("pts", (F.col("dts") + offset).cast("bigint"))
+    return in_decode_order(samples, track, dts=prefix(F.col("delta"))).withColumn("pts", (F.col("dts") + offset).cast("bigint"))
 
 
 def presentation_order(samples: DataFrame, track: str) -> DataFrame:
     """samples with pos: the place in presentation order, ties in decode order."""
-    return with_prefix(samples, [track], ["pts", "idx"], F.floor(F.col("pts") / CHUNK_TICKS), {}, index="pos")
+    return in_presentation_order(samples, track, pos=index())
+
+
+def presented_ticks(pts: str = "pts", next_pts: str = "next_pts", delta: str = "delta") -> Column:
+    """Ticks to the next presented sample where that is later, else the sample's own."""
+    gap = F.col(next_pts) - F.col(pts)
+    return F.when(gap > 0, gap).otherwise(F.col(delta)).cast("bigint")
 
 
 def presentation_durations(samples: DataFrame, track: str, timescale: int) -> DataFrame:
-    """samples with ticks (to the next presented sample where that is later, else the sample's own) and duration_ns (truncated)."""
-    nxt = with_next(samples, [track], ["pts", "idx"], F.floor(F.col("pts") / CHUNK_TICKS), "pts", "next_pts")
-    gap = F.col("next_pts") - F.col("pts")
-    out = nxt.withColumn("ticks", F.when(gap > 0, gap).otherwise(F.col("delta")).cast("bigint")).drop("next_pts")
-    return out.withColumn("duration_ns", ticks_to_ns("ticks", timescale))
+    """samples with ticks (presented_ticks()) and duration_ns (truncated; null where ticks are not positive, which is an error of the file)."""
+    out = in_presentation_order(samples, track, next_pts=following(F.col("pts"))).withColumn("ticks", presented_ticks()).drop("next_pts")
+    return out.withColumn("duration_ns", F.when(F.col("ticks") > 0, ticks_to_ns("ticks", timescale)))
+
+
+def presentation_timeline(samples: DataFrame, track: str, timescale: int) -> DataFrame:
+    """samples (with pts) with pos, ticks, duration_ns and held, in one pass."""
+    out = in_presentation_order(samples, track, pos=index(), next_pts=following(F.col("pts")), __top=running_max(F.col("idx")))
+    out = out.withColumn("ticks", presented_ticks()).withColumn("held", (F.col("__top") + 1 - F.col("pos")).cast("bigint")).drop("next_pts", "__top")
+    return out.withColumn("duration_ns", F.when(F.col("ticks") > 0, ticks_to_ns("ticks", timescale)))
 
 
 def ticks_to_ns(ticks: str, timescale: int) -> Column:
@@ -51,19 +72,19 @@ def saturated_ns(ticks: str, timescale: str) -> Column:
 
 def gop_ids(samples: DataFrame, track: str, starts: Column) -> DataFrame:
     """samples with gop: how many samples up to and including this one start a group of pictures."""
-    counted = with_prefix(samples, [track], ["idx"], _by_index(), {"__g": starts.cast("int")})
+    counted = in_decode_order(samples, track, __g=prefix(starts.cast("int")))
     return counted.withColumn("gop", (F.col("__g") + starts.cast("int")).cast("bigint")).drop("__g")
 
 
-def reorder_occupancy(presented: DataFrame, track: str) -> DataFrame:
-    """presented (with pos) with held: the decoded samples not yet presented just before this one is."""
-    top = with_running_max(presented, [track], ["pos"], _by_index("pos"), "idx", "__top")
-    return top.withColumn("held", (F.col("__top") + 1 - F.col("pos")).cast("bigint")).drop("__top")
+def reorder_occupancy(samples: DataFrame, track: str) -> DataFrame:
+    """samples (with pts) with pos and held: the decoded samples not yet presented just before this one is."""
+    out = in_presentation_order(samples, track, pos=index(), __top=running_max(F.col("idx")))
+    return out.withColumn("held", (F.col("__top") + 1 - F.col("pos")).cast("bigint")).drop("__top")
 
 
 def in_force(samples: DataFrame, track: str, value: Column, name: str) -> DataFrame:
     """samples with the latest non-null value at or before each in decode order."""
-    return with_last(samples, [track], ["idx"], _by_index(), value, name)
+    return in_decode_order(samples, track, **{name: latest(value)})
 
 
 def newest(samples: DataFrame, track: str, n: int) -> DataFrame:
@@ -80,6 +101,6 @@ def byte_offsets(sizes: DataFrame, chunk_keys: list[str], order: list[str], size
 
 def expand_runs(runs: DataFrame, track: str, order: str, length: str, name: str = "sample_idx") -> DataFrame:
     """One row for each unit of each run of a run-length list: rep inside the run, and the index in the track."""
-    placed = with_prefix(runs, [track], [order], F.floor(F.col(order) / CHUNK_SAMPLES), {"__first": F.col(length)})
+    placed = scan(runs, [track], [order], by_index(order), __first=prefix(F.col(length)))
     rows = placed.where(F.col(length) > 0).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(length).cast("bigint") - 1)))
     return rows.withColumn(name, F.col("__first") + F.col("rep")).drop("__first")

@@ -14,9 +14,10 @@ from framelake.operators import parameter_sets as P
 from framelake.operators import references as R
 from framelake.operators import timeline as T
 from framelake.operators import units as U
+from framelake.operators.scan import latest, prefix, scan
 from framelake.sources import container as C
 from framelake.sources.storage import stored
-from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, timed
+from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, stored_timed, timed
 from framelake.streaming import decoding as D
 
 TIMESCALE = 12288
@@ -41,12 +42,21 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: Whether an event starts a group of pictures.
+_STARTS = "CAST(event_type = 'signup' AS INT)"
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """rows (with before: the starts before each) with gop, the group that each is in."""
+    return rows.withColumn("gop", F.expr(f"before + {_STARTS}").cast("bigint")).drop("before")
+
+
 # --- timelines over events -------------------------------------------------------------------
 
 
 @_query(f"WITH {TIMED_SQL} SELECT user_id, event_id, idx, dts, pts, pos FROM p")
 def pts_order(spark: SparkSession, d: str) -> DataFrame:
-    return T.presentation_order(timed(spark, d), "user_id").select("user_id", "event_id", "idx", "dts", "pts", "pos")
+    return T.presentation_order(stored_timed(spark, d), "user_id").select("user_id", "event_id", "idx", "dts", "pts", "pos")
 
 
 _TICKS = "CASE WHEN lead(pts) OVER (PARTITION BY user_id ORDER BY pts, idx) - pts > 0 THEN lead(pts) OVER (PARTITION BY user_id ORDER BY pts, idx) - pts ELSE delta END"
@@ -54,7 +64,7 @@ _TICKS = "CASE WHEN lead(pts) OVER (PARTITION BY user_id ORDER BY pts, idx) - pt
 
 @_query(f"WITH {TIMED_SQL}, x AS (SELECT user_id, event_id, pts, {_TICKS} AS ticks FROM t) SELECT *, ticks * 1000000000 // {TIMESCALE} AS duration_ns FROM x")
 def pts_duration(spark: SparkSession, d: str) -> DataFrame:
-    return T.presentation_durations(timed(spark, d), "user_id", TIMESCALE).select("user_id", "event_id", "pts", "ticks", "duration_ns")
+    return T.presentation_durations(stored_timed(spark, d), "user_id", TIMESCALE).select("user_id", "event_id", "pts", "ticks", "duration_ns")
 
 
 @_query(f"WITH {SAMPLES_SQL} SELECT event_id, delta * 1000000000 // {TIMESCALE} AS frame_ns FROM s")
@@ -69,24 +79,24 @@ def dts_prefix_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {SAMPLES_SQL} SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx) AS BIGINT) AS gop FROM s")
 def gop_id(spark: SparkSession, d: str) -> DataFrame:
-    return T.gop_ids(samples(spark, d), "user_id", F.col("event_type") == "signup").select("event_id", "user_id", "gop")
+    return _groups(samples(spark, d, before=prefix(F.expr(_STARTS)))).select("event_id", "user_id", "gop")
 
 
 @_query(f"""WITH {SAMPLES_SQL}, g AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx) AS gop FROM s)
 SELECT user_id, CAST(gop AS BIGINT) AS gop, count(*) AS frames, CAST(sum(delta) AS BIGINT) AS ticks, min(idx) AS first_idx FROM g GROUP BY user_id, gop""")
 def gop_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = T.gop_ids(samples(spark, d), "user_id", F.col("event_type") == "signup")
+    g = _groups(samples(spark, d, before=prefix(F.expr(_STARTS))))
     return g.groupBy("user_id", "gop").agg(F.count("*").alias("frames"), F.sum("delta").alias("ticks"), F.min("idx").alias("first_idx"))
 
 
 @_query(f"WITH {TIMED_SQL} SELECT event_id, pos, max(idx) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 - pos AS held FROM p")
 def reorder_occupancy(spark: SparkSession, d: str) -> DataFrame:
-    return T.reorder_occupancy(T.presentation_order(timed(spark, d), "user_id"), "user_id").select("event_id", "pos", "held")
+    return T.reorder_occupancy(stored_timed(spark, d), "user_id").select("event_id", "pos", "held")
 
 
 @_query(f"WITH {SAMPLES_SQL} SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS set_id FROM s")
 def paramset_asof(spark: SparkSession, d: str) -> DataFrame:
-    return T.in_force(samples(spark, d), "user_id", F.when(F.col("event_type") == "signup", F.col("event_id")), "set_id").select("event_id", "set_id")
+    return samples(spark, d, set_id=latest(F.when(F.col("event_type") == "signup", F.col("event_id")))).select("event_id", "set_id")
 
 
 @_query(f"WITH {SAMPLES_SQL}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY idx DESC) AS rank FROM s) SELECT user_id, event_id, rank FROM r WHERE rank <= 4")
@@ -96,7 +106,7 @@ def sliding_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {SAMPLES_SQL} SELECT event_id, CAST(((26 + sum(k % 7 - 3) OVER (PARTITION BY user_id ORDER BY idx)) % 52 + 52) % 52 AS BIGINT) AS qp FROM s")
 def qp_accum(spark: SparkSession, d: str) -> DataFrame:
-    q = T.with_prefix(samples(spark, d), ["user_id"], ["idx"], T._by_index(), {"before": F.col("k") % 7 - 3})
+    q = samples(spark, d, before=prefix(F.col("k") % 7 - 3))
     return q.select("event_id", F.pmod(26 + F.col("before") + F.col("k") % 7 - 3, F.lit(52)).cast("bigint").alias("qp"))
 
 
@@ -151,7 +161,7 @@ def byte_offsets(spark: SparkSession, d: str) -> DataFrame:
 @_query("""SELECT o_orderkey, last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS step FROM orders""")
 def stsc_asof(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
-    return T.with_last(o, ["o_custkey"], ["o_orderkey"], F.floor(F.col("o_orderkey") / T.CHUNK_SAMPLES), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")), "step").select("o_orderkey", "step")
+    return scan(o, ["o_custkey"], ["o_orderkey"], T.by_index("o_orderkey"), step=latest(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")))).select("o_orderkey", "step")
 
 
 @_query("SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) AS is_sync FROM orders")
@@ -312,6 +322,60 @@ def gradient(spark: SparkSession, d: str) -> DataFrame:
     return n.selectExpr("n_nationkey AS y", "x", "CAST(x * 255 div 24 AS BIGINT) AS red", "CAST(n_nationkey * 255 div 24 AS BIGINT) AS green")
 
 
+def _motion(suffix: str, shift: int) -> dict[str, str]:
+    return {
+        f"r{suffix}": f"CASE WHEN (l_partkey + {shift}) % 5 > 0 THEN (l_suppkey + {shift}) % 3 END", f"x{suffix}": f"CASE WHEN (l_partkey + {shift}) % 5 > 0 THEN (l_partkey + {shift}) % 23 - 11 END", f"y{suffix}": f"CASE WHEN (l_partkey + {shift}) % 5 > 0 THEN (l_suppkey * 3 + {shift}) % 19 - 9 END"
+    }
+
+
+_MOTION = _motion("a", 0) | _motion("b", 1) | _motion("c", 7) | {"ref": "l_orderkey % 3"}
+_MOTION_SQL = f"SELECT {_L}, " + ", ".join(f"{e} AS {n}" for n, e in _MOTION.items()) + " FROM lineitem"
+_NEIGHBOURS = {k: (f"r{k}", f"x{k}", f"y{k}") for k in "abc"}
+
+
+def _vector_sql(direct: str, axis: str, ref: str = "ref") -> str:
+    v = {k: f"COALESCE({axis}{k}, 0)" for k in "abc"}
+    hit = " + ".join(f"CASE WHEN r{k} = {ref} THEN 1 ELSE 0 END" for k in "abc")
+    has = " + ".join(f"CASE WHEN r{k} IS NOT NULL THEN 1 ELSE 0 END" for k in "abc")
+    middle = f"list_extract(list_sort([{v['a']}, {v['b']}, {v['c']}]), 2)"
+    return f"CAST(CASE {direct} WHEN {hit} = 1 THEN CASE WHEN ra = {ref} THEN {axis}a WHEN rb = {ref} THEN {axis}b ELSE {axis}c END WHEN {has} <= 1 THEN COALESCE({axis}a, {axis}b, {axis}c, 0) ELSE {middle} END AS BIGINT)"
+
+
+@_query(f"WITH m AS ({_MOTION_SQL}) SELECT l_orderkey, line, l_partkey, l_suppkey, " + ", ".join(f"{_vector_sql('', a)} AS v{a}, {_vector_sql(f'WHEN rb = ref THEN {a}b', a)} AS t{a}, {_vector_sql(f'WHEN rc = ref THEN {a}c', a)} AS r{a}, CASE WHEN ra IS NULL OR rb IS NULL OR ra <> 0 OR rb <> 0 OR (xa = 0 AND ya = 0) OR (xb = 0 AND yb = 0) THEN 0 ELSE {_vector_sql('', a, '0')} END AS s{a}" for a in "xy") + " FROM m")
+def motion_vectors(spark: SparkSession, d: str) -> DataFrame:
+    m = _lines(spark, d).select(*_KEYS, *[F.expr(e).alias(n) for n, e in _MOTION.items()])
+    whole, top, right, skip = A.predicted_vector("ref", _NEIGHBOURS), A.predicted_vector("ref", _NEIGHBOURS, "16x8", 0), A.predicted_vector("ref", _NEIGHBOURS, "8x16", 1), A.skip_vector(_NEIGHBOURS)
+    return m.select(*_KEYS, *[v[i].alias(f"{n}{a}") for n, v in (("v", whole), ("t", top), ("r", right), ("s", skip)) for i, a in enumerate("xy")])
+
+
+_PQ = _motion("p0", 0) | _motion("p1", 3) | _motion("q0", 5) | _motion("q1", 8)
+_SAME = lambda p, q: f"(r{p} IS NOT DISTINCT FROM r{q} AND NOT COALESCE(abs(x{p} - x{q}) >= 4 OR abs(y{p} - y{q}) >= 4, false))"
+
+
+@_query(f"WITH m AS (SELECT {_L}, l_returnflag, l_linestatus, {_Q} AS q, " + ", ".join(f"{e} AS {n}" for n, e in _PQ.items()) + f""" FROM lineitem)
+SELECT l_orderkey, line, l_partkey, l_suppkey, CAST(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 4 WHEN l_returnflag = 'A' THEN 3 WHEN q % 9 = 0 THEN 2 WHEN ({_SAME('p0', 'q0')} AND {_SAME('p1', 'q1')}) OR ({_SAME('p0', 'q1')} AND {_SAME('p1', 'q0')}) THEN 0 ELSE 1 END AS BIGINT) AS bs FROM m""")
+def bs_strength_b(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    x = x.withColumn("q", F.floor("l_quantity").cast("bigint")).withColumn("line", F.col("l_linenumber").cast("bigint")).withColumns({n: F.expr(e) for n, e in _PQ.items()})
+    motion = lambda k: tuple(f"{v}{k}{i}" for i in (0, 1) for v in "rxy")
+    return x.select(*_KEYS, A.strength_b("l_returnflag = 'A'", "l_linestatus = 'O'", "q % 9 = 0", motion("p"), motion("q")).alias("bs"))
+
+
+@_query(f"SELECT {_L}, CAST(((8 - fx) * (8 - fy) * a + fx * (8 - fy) * b + (8 - fx) * fy * c + fx * fy * e + 32) >> 6 AS BIGINT) AS sample FROM (SELECT *, l_partkey % 256 AS a, l_suppkey % 256 AS b, {_Q} * 5 AS c, l_orderkey % 256 AS e, l_partkey % 8 AS fx, l_suppkey % 8 AS fy FROM lineitem)")
+def chroma_bilinear(spark: SparkSession, d: str) -> DataFrame:
+    x = _lines(spark, d).selectExpr(*_KEYS, "l_partkey % 256 AS a", "l_suppkey % 256 AS b", "q * 5 AS c", "l_orderkey % 256 AS e", "l_partkey % 8 AS fx", "l_suppkey % 8 AS fy")
+    return x.select(*_KEYS, A.bilinear("a", "b", "c", "e", "fx", "fy").alias("sample"))
+
+
+_TYPES = "['P', 'B', 'I', 'SP', 'SI']"
+
+
+@_query(f"SELECT p_partkey, t AS slice_type, CAST(CASE WHEN v BETWEEN 0 AND 25 THEN v END AS BIGINT) AS intra_type, (p_size >> 1) & 1 = 1 AS coded, CAST(CASE WHEN p_size % 4 = 0 THEN p_partkey % 7 WHEN p_size % 4 = 1 THEN NULL ELSE least(p_partkey % 7, p_size % 5) END AS BIGINT) AS least_ref, CAST(CASE WHEN p_size > 10 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS increment FROM (SELECT *, raw - CASE t WHEN 'I' THEN 0 WHEN 'SI' THEN 1 WHEN 'B' THEN 23 ELSE 5 END AS v FROM (SELECT *, list_extract({_TYPES}, p_partkey % 5 + 1) AS t, p_partkey * 7 % 53 AS raw FROM part))")
+def macroblock_types(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "part", "p_partkey", "p_size").selectExpr("p_partkey", "p_size", "element_at(array('P', 'B', 'I', 'SP', 'SI'), CAST(p_partkey % 5 + 1 AS INT)) AS slice_type", "p_partkey * 7 % 53 AS raw", "CASE WHEN p_size % 4 <> 1 THEN p_partkey % 7 END AS l", "CASE WHEN p_size % 4 > 1 THEN p_size % 5 END AS t", "CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 = 1 END AS c")
+    return x.select("p_partkey", "slice_type", A.intra_type("slice_type", "raw").alias("intra_type"), A.coded("p_size", "1").alias("coded"), A.least_reference("l", "t").alias("least_ref"), A.increments("p_size > 10", "c").alias("increment"))
+
+
 # --- neighbours and quality gates -------------------------------------------------------------
 
 
@@ -339,6 +403,17 @@ def _block(spark: SparkSession, d: str, n: int, scale: int = 512) -> DataFrame:
     return read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", B.quantised(F.slice("embedding", 1, n), scale).alias("b"))
 
 
+def _blocks(spark: SparkSession, d: str, n: int = 16, scale: int = 512) -> DataFrame:
+    """(vec_id, g, b): every vector as blocks of n integers."""
+    whole = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / n).cast("int") - 1), lambda i: F.slice("embedding", i * n + 1, n))).alias("g", "e"))
+    return whole.select("vec_id", "g", B.quantised(F.col("e"), scale).alias("b"))
+
+
+def _blocks_sql(n: int = 16, scale: int = 512) -> str:
+    return f"""g AS (SELECT vec_id, unnest(range(len(embedding) // {n})) AS g, embedding FROM embeddings),
+x AS (SELECT vec_id, CAST(g AS INTEGER) AS g, list_transform(embedding[g * {n} + 1:g * {n} + {n}], lambda v: CAST(floor(CAST(v AS DOUBLE) * {scale}) AS BIGINT)) AS b FROM g)"""
+
+
 def _block_sql(n: int, scale: int = 512) -> str:
     return f"x AS (SELECT vec_id, list_transform(embedding[1:{n}], lambda v: CAST(floor(CAST(v AS DOUBLE) * {scale}) AS BIGINT)) AS b FROM embeddings)"
 
@@ -353,9 +428,9 @@ def plane_checksum(spark: SparkSession, d: str) -> DataFrame:
     return _block(spark, d, 64).select("vec_id", F.aggregate("b", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
 
 
-@_query(f"WITH {_block_sql(16)} SELECT vec_id, array_to_string(list_transform({[A.ZIGZAG.index(i) + 1 for i in range(16)]}, lambda i: b[i]), ',') AS block FROM x")
+@_query(f"WITH {_blocks_sql()} SELECT vec_id, g, array_to_string(list_transform({[A.ZIGZAG.index(i) + 1 for i in range(16)]}, lambda i: b[i]), ',') AS block FROM x")
 def zigzag_4x4(spark: SparkSession, d: str) -> DataFrame:
-    return _block(spark, d, 16).select("vec_id", B.joined(B.zigzag(F.col("b"))).alias("block"))
+    return _blocks(spark, d).select("vec_id", "g", B.joined(B.zigzag(F.col("b"))).alias("block"))
 
 
 def _matrix_sql(step: list[str], n: int, last: str) -> str:
@@ -366,23 +441,138 @@ def _matrix_sql(step: list[str], n: int, last: str) -> str:
 
     rows = [use(f, [f"b[{4 * r + k + 1}]" for k in range(4)]) for r in range(4) for f in step]
     cols = [use(step[r], [f"m[{4 * k + c + 1}]" for k in range(4)]) for r in range(4) for c in range(4)]
-    return f"WITH {_block_sql(n)}, y AS (SELECT vec_id, [{', '.join(rows)}] AS m FROM x), z AS (SELECT vec_id, [{', '.join(cols)}] AS o FROM y) SELECT vec_id, array_to_string({last}, ',') AS block FROM z"
+    return f"WITH {_blocks_sql(n)}, y AS (SELECT vec_id, g, [{', '.join(rows)}] AS m FROM x), z AS (SELECT vec_id, g, [{', '.join(cols)}] AS o FROM y) SELECT vec_id, g, array_to_string({last}, ',') AS block FROM z"
 
 
 @_query(_matrix_sql(["((a)+(c))+((b)+((d)>>1))", "((a)-(c))+(((b)>>1)-(d))", "((a)-(c))-(((b)>>1)-(d))", "((a)+(c))-((b)+((d)>>1))"], 16, "list_transform(o, lambda v: (v + 32) >> 6)"))
 def idct_4x4(spark: SparkSession, d: str) -> DataFrame:
-    return _block(spark, d, 16).select("vec_id", B.joined(B.inverse_4x4(F.col("b"))).alias("block"))
+    return _blocks(spark, d).select("vec_id", "g", B.joined(B.inverse_4x4(F.col("b"))).alias("block"))
 
 
 @_query(_matrix_sql(["a+b+c+d", "a+b-c-d", "a-b-c+d", "a-b+c-d"], 16, "o"))
 def dc_hadamard(spark: SparkSession, d: str) -> DataFrame:
-    return _block(spark, d, 16).select("vec_id", B.joined(B.hadamard_4x4(F.col("b"))).alias("block"))
+    return _blocks(spark, d).select("vec_id", "g", B.joined(B.hadamard_4x4(F.col("b"))).alias("block"))
 
 
-@_query(f"""WITH {_block_sql(8, 64)} SELECT vec_id, array_to_string([b[1], (2*b[1]+3*b[2]+b[3]+b[4]+b[5]+4)>>3, (b[2]+b[3]+b[4]+b[5]+2)>>2, (b[2]+2*b[3]+2*b[4]+2*b[5]+b[6]+4)>>3,
+@_query(f"""WITH {_blocks_sql(8, 64)} SELECT vec_id, g, array_to_string([b[1], (2*b[1]+3*b[2]+b[3]+b[4]+b[5]+4)>>3, (b[2]+b[3]+b[4]+b[5]+2)>>2, (b[2]+2*b[3]+2*b[4]+2*b[5]+b[6]+4)>>3,
 (b[3]+2*b[4]+2*b[5]+2*b[6]+b[7]+4)>>3, (b[4]+b[5]+b[6]+b[7]+2)>>2, (2*b[8]+3*b[7]+b[6]+b[5]+b[4]+4)>>3, b[8]], ',') AS edge FROM x""")
 def edge_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _block(spark, d, 8, 64).select("vec_id", B.joined(B.strong_edge(F.col("b"))).alias("edge"))
+    return _blocks(spark, d, 8, 64).select("vec_id", "g", B.joined(B.strong_edge(F.col("b"))).alias("edge"))
+
+
+_QP = "CAST((vec_id * 7 + g * 5) % 52 AS INTEGER)"
+_SCALE_SQL = f"list_extract({[list(s) for s in B.LEVEL_SCALES]}, qp % 6 + 1)"
+
+
+@_query(f"""WITH {_blocks_sql(16, 64)}, q AS (SELECT vec_id, g, b, {_QP} AS qp FROM x) SELECT vec_id, g, array_to_string(list_transform(range(1, 17), lambda i: b[i] * list_extract({_SCALE_SQL}, (i - 1) // 4 % 2 + (i - 1) % 2 + 1) * CAST(pow(2, qp // 6) AS BIGINT)), ',') AS block FROM q""")
+def dequant_4x4(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d, 16, 64).select("vec_id", "g", B.joined(B.dequantised(F.col("b"), F.expr(_QP))).alias("block"))
+
+
+@_query(f"""WITH {_blocks_sql(4, 64)}, q AS (SELECT vec_id, g, b, {_QP} AS qp FROM x), h AS (SELECT vec_id, g, qp, [b[1]+b[2]+b[3]+b[4], b[1]-b[2]+b[3]-b[4], b[1]+b[2]-b[3]-b[4], b[1]-b[2]-b[3]+b[4]] AS h FROM q)
+SELECT vec_id, g, array_to_string(list_transform(h, lambda v: CASE WHEN qp >= 6 THEN (v * {_SCALE_SQL}[1]) * CAST(pow(2, qp // 6 - 1) AS BIGINT) ELSE (v * {_SCALE_SQL}[1]) >> 1 END), ',') AS block FROM h""")
+def chroma_dc(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d, 4, 64).select("vec_id", "g", B.joined(B.chroma_dc(F.col("b"), F.expr(_QP))).alias("block"))
+
+
+@_query(_matrix_sql(["a+b+c+d", "a+b-c-d", "a-b-c+d", "a-b+c-d"], 16, "o").replace("SELECT vec_id, g, array_to_string(o, ',') AS block FROM z", f"""SELECT vec_id, g, array_to_string(list_transform(o, lambda v: CASE WHEN qp >= 12 THEN (v * {_SCALE_SQL}[1]) * CAST(pow(2, qp // 6 - 2) AS BIGINT) ELSE (v * {_SCALE_SQL}[1] + CAST(pow(2, 1 - qp // 6) AS BIGINT)) >> (2 - qp // 6) END), ',') AS block FROM (SELECT *, {_QP} AS qp FROM z)"""))
+def luma_dc(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("vec_id", "g", B.joined(B.luma_dc(F.col("b"), F.expr(_QP))).alias("block"))
+
+
+_BORDER_SQL = f"{_blocks_sql(16, 128)}, n AS (SELECT vec_id, g, list_transform(b, lambda v: v & 255) AS b, (vec_id + g) % 4 AS lack FROM x)"
+
+
+def _border(spark: SparkSession, d: str) -> DataFrame:
+    """Borders of blocks: top (8 samples), left (4) and corner, of which some blocks lack one or both sides."""
+    n = _blocks(spark, d, 16, 128).select("vec_id", "g", F.transform("b", lambda v: v.bitwiseAND(F.lit(255))).alias("b"), ((F.col("vec_id") + F.col("g")) % 4).alias("lack"))
+    return n.select("vec_id", "g", "b", F.when(~F.col("lack").isin(1, 3), F.slice("b", 1, 8)).alias("top"), F.when(~F.col("lack").isin(2, 3), F.slice("b", 9, 4)).alias("left"), F.get("b", F.lit(12)).alias("corner"))
+
+
+@_query(f"WITH {_BORDER_SQL} SELECT vec_id, g, CAST(CASE lack WHEN 3 THEN 128 WHEN 1 THEN (list_sum(b[9:12]) + 2) // 4 WHEN 2 THEN (list_sum(b[1:4]) + 2) // 4 ELSE (list_sum(b[1:4]) + list_sum(b[9:12]) + 4) // 8 END AS BIGINT) AS dc FROM n")
+def intra_dc(spark: SparkSession, d: str) -> DataFrame:
+    return _border(spark, d).select("vec_id", "g", B.intra_dc(F.when(F.col("top").isNotNull(), F.slice("top", 1, 4)), F.col("left")).alias("dc"))
+
+
+def _intra_sql() -> str:
+    """Modes of 4x4 prediction by the samples' places: top(i), left(i) and the corner at -1."""
+    t = lambda i: "b[13]" if i < 0 else f"b[{i + 1}]"
+    l = lambda i: "b[13]" if i < 0 else f"b[{9 + i}]"  # noqa: E731, E741
+    two = lambda a, b: f"({a} + {b} + 1) >> 1"
+    three = lambda a, b, c: f"({a} + 2 * {b} + {c} + 2) >> 2"
+
+    def at(mode: int, x: int, y: int) -> str:
+        if mode == 0:
+            return t(x)
+        if mode == 1:
+            return l(y)
+        if mode == 3:
+            return three(t(6), t(7), t(7)) if x + y == 6 else three(t(x + y), t(x + y + 1), t(x + y + 2))
+        if mode == 4:
+            return three(t(0), t(-1), l(0)) if x == y else three(t(x - y - 2), t(x - y - 1), t(x - y)) if x > y else three(l(y - x - 2), l(y - x - 1), l(y - x))
+        if mode == 5:
+            z, k = 2 * x - y, x - (y >> 1)
+            return two(t(k - 1), t(k)) if z >= 0 and z % 2 == 0 else three(t(k - 2) if k > 1 else l(0) if k == 0 else t(-1), t(k - 1), t(k)) if z > 0 else three(l(0), t(-1), t(0)) if z == -1 else three(l(y - 1), l(y - 2), l(y - 3))
+        if mode == 6:
+            z, k = 2 * y - x, y - (x >> 1)
+            return two(l(k - 1), l(k)) if z >= 0 and z % 2 == 0 else three(l(k - 2) if k > 1 else t(0) if k == 0 else l(-1), l(k - 1), l(k)) if z > 0 else three(l(0), t(-1), t(0)) if z == -1 else three(t(x - 1), t(x - 2), t(x - 3))
+        if mode == 7:
+            z = x + (y >> 1)
+            return two(t(z), t(z + 1)) if y % 2 == 0 else three(t(z), t(z + 1), t(z + 2))
+        z, k = x + 2 * y, y + (x >> 1)
+        return l(3) if z > 5 else three(l(2), l(3), l(3)) if z == 5 else two(l(k), l(k + 1)) if z % 2 == 0 else three(l(k), l(k + 1), l(k + 2))
+
+    needs = {0: "lack IN (1, 3)", 1: "lack IN (2, 3)", 3: "lack IN (1, 3)", 4: "lack > 0", 5: "lack > 0", 6: "lack > 0", 7: "lack IN (1, 3)", 8: "lack IN (2, 3)"}
+    modes = ", ".join(f"CASE WHEN NOT ({needs[m]}) THEN array_to_string([{', '.join(at(m, x, y) for y in range(4) for x in range(4))}], ',') END AS m{m}" for m in needs)
+    return f"WITH {_BORDER_SQL} SELECT vec_id, g, {modes} FROM n"
+
+
+@_query(_intra_sql())
+def intra_4x4(spark: SparkSession, d: str) -> DataFrame:
+    n = _border(spark, d)
+    return n.select("vec_id", "g", *[B.joined(B.intra_4x4(m, F.col("top"), F.col("left"), F.col("corner"))).alias(f"m{m}") for m in (0, 1, 3, 4, 5, 6, 7, 8)])
+
+
+@_query(f"WITH {_BORDER_SQL} SELECT vec_id, g, array_to_string(list_transform(range(1, 17), lambda i: greatest(least(b[i] + (b[17 - i] - 128) * 2, 255), 0)), ',') AS block FROM n")
+def reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    n = _border(spark, d).withColumn("r", F.transform(F.reverse("b"), lambda v: (v - 128) * 2))
+    return n.select("vec_id", "g", B.joined(B.reconstructed(F.col("b"), F.col("r"))).alias("block"))
+
+
+def _edge_sql() -> str:
+    clip = lambda v, lo, hi: f"greatest(least({v}, {hi}), {lo})"
+    byte = lambda v: clip(v, 0, 255)
+    zeros = [0] * B.FIRST_INDEX
+    steps = f"""{_blocks_sql(8, 16)}, a AS (SELECT vec_id, g, list_transform(b, lambda v: greatest(least(v + 100, 255), 0)) AS p, CAST((vec_id + g * 3) % 52 AS INTEGER) AS qp, CAST(vec_id % 5 AS INTEGER) AS bs FROM x),
+t AS (SELECT *, p[2] AS p2, p[3] AS p1, p[4] AS p0, p[5] AS q0, p[6] AS q1, p[7] AS q2, list_extract({zeros + B.ALPHA}, greatest(least(qp + 4, 51), 0) + 1) AS al, list_extract({zeros + B.BETA}, greatest(least(qp - 2, 51), 0) + 1) AS be,
+  CASE bs WHEN 2 THEN list_extract({zeros + B.TC0[1]}, greatest(least(qp + 4, 51), 0) + 1) WHEN 3 THEN list_extract({zeros + B.TC0[2]}, greatest(least(qp + 4, 51), 0) + 1) ELSE list_extract({zeros + B.TC0[0]}, greatest(least(qp + 4, 51), 0) + 1) END AS tc0 FROM a),
+u AS (SELECT *, abs(p2 - p0) < be AS np, abs(q2 - q0) < be AS nq, bs > 0 AND abs(p0 - q0) < al AND abs(p1 - p0) < be AND abs(q1 - q0) < be AS on_, abs(p0 - q0) < (al >> 2) + 2 AS sm FROM t),
+w AS (SELECT *, tc0 + CAST(np AS INTEGER) + CAST(nq AS INTEGER) AS tc FROM u), v AS (SELECT *, {clip('(4 * (q0 - p0) + (p1 - q1) + 4) >> 3', '-tc', 'tc')} AS de FROM w)"""
+    weak = ["p[1]", "p2", f"CASE WHEN np THEN {byte('p1 + ' + clip('(p2 + ((p0 + q0 + 1) >> 1) - 2 * p1) >> 1', '-tc0', 'tc0'))} ELSE p1 END", byte("p0 + de"), byte("q0 - de"), f"CASE WHEN nq THEN {byte('q1 + ' + clip('(q2 + ((p0 + q0 + 1) >> 1) - 2 * q1) >> 1', '-tc0', 'tc0'))} ELSE q1 END", "q2", "p[8]"]
+    weak = [x.replace("p1 + greatest", "p1 + greatest") for x in weak]
+    full = [
+        "p[1]", "CASE WHEN sm AND np THEN (2*p[1]+3*p2+p1+p0+q0+4)>>3 ELSE p2 END", "CASE WHEN sm AND np THEN (p2+p1+p0+q0+2)>>2 ELSE p1 END", "CASE WHEN sm AND np THEN (p2+2*p1+2*p0+2*q0+q1+4)>>3 ELSE (2*p1+p0+q1+2)>>2 END",
+        "CASE WHEN sm AND nq THEN (p1+2*p0+2*q0+2*q1+q2+4)>>3 ELSE (2*q1+q0+p1+2)>>2 END", "CASE WHEN sm AND nq THEN (p0+q0+q1+q2+2)>>2 ELSE q1 END", "CASE WHEN sm AND nq THEN (2*p[8]+3*q2+q1+q0+p0+4)>>3 ELSE q2 END", "p[8]",
+    ]
+    return f"WITH {steps} SELECT vec_id, g, array_to_string(CASE WHEN NOT on_ THEN p WHEN bs < 4 THEN [{', '.join(weak)}] ELSE [{', '.join(full)}] END, ',') AS edge FROM v"
+
+
+@_query(_edge_sql())
+def deblock_edge(spark: SparkSession, d: str) -> DataFrame:
+    x = _blocks(spark, d, 8, 16).select("vec_id", "g", F.transform("b", lambda v: F.greatest(F.least(v + 100, F.lit(255)), F.lit(0))).alias("p"), F.expr("CAST((vec_id + g * 3) % 52 AS INT)").alias("qp"), F.expr("CAST(vec_id % 5 AS INT)").alias("bs"))
+    return x.select("vec_id", "g", B.joined(B.edge_filtered(F.col("p"), F.col("qp"), F.lit(4), F.lit(-2), F.col("bs"))).alias("edge"))
+
+
+@_query(f"WITH {_blocks_sql(4, 64)} SELECT vec_id, g, len(list_filter(b, lambda v: v <> 0)) > 0 AS coded FROM x")
+def any_nonzero(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d, 4, 64).select("vec_id", "g", B.countable(F.col("b")).alias("coded"))
+
+
+@_query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings), o AS (SELECT vec_id, unnest(e) AS v, unnest(range(len(e))) AS i FROM x), r AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) - 1 AS k FROM o) SELECT vec_id, string_agg(k, ',' ORDER BY i) AS places FROM r GROUP BY vec_id")
+def inverse_map(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings", "vec_id", "embedding")
+    ordered = F.transform(F.array_sort(F.transform("embedding", lambda v, i: F.struct(v.cast("double").alias("v"), i.cast("bigint").alias("i")))), lambda s: s["i"])
+    return e.select("vec_id", B.joined(B.inverse_map(ordered)).alias("places"))
 
 
 # --- units of byte streams --------------------------------------------------------------------
@@ -412,9 +602,8 @@ def annexb_join(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The presentation timeline: order, duration, group of pictures and reorder occupancy of every sample."""
-    g = T.gop_ids(timed(spark, d), "user_id", F.col("event_type") == "signup")
-    p = T.presentation_durations(T.presentation_order(g, "user_id"), "user_id", TIMESCALE)
-    return T.reorder_occupancy(p, "user_id").select("user_id", "pos", "idx", "event_id", "dts", "pts", "ticks", "duration_ns", "gop", "held")
+    g = _groups(stored_timed(spark, d, before=prefix(F.expr(_STARTS))))
+    return T.presentation_timeline(g, "user_id", TIMESCALE).select("user_id", "pos", "idx", "event_id", "dts", "pts", "ticks", "duration_ns", "gop", "held")
 
 
 # --- containers -------------------------------------------------------------------------------
@@ -470,6 +659,33 @@ def container_boxes(spark: SparkSession, d: str) -> DataFrame:
     return C.boxes(_files(spark, d)).where("depth = 0 AND type IN ('ftyp', 'mdat')").select("path", "type", "offset", "size")
 
 
+@_query(f"""WITH {_FILE_SQL} SELECT DISTINCT path, 'isom' AS major, CAST(512 AS BIGINT) AS minor, 'isom,mp42' AS compatible, CAST(NULL AS VARCHAR) AS error FROM m""")
+def container_brands(spark: SparkSession, d: str) -> DataFrame:
+    return C.brands(C.boxes(_files(spark, d))).withColumn("compatible", F.array_join("compatible", ","))
+
+
+@_query(f"""WITH {_FILE_SQL} SELECT DISTINCT path, CAST(1 AS BIGINT) AS description_index, 'avc1' AS format, CAST(640 AS BIGINT) AS width, CAST(480 AS BIGINT) AS height, 'avcC' AS config_type, CAST(5 AS BIGINT) AS config_bytes, CAST(NULL AS VARCHAR) AS error FROM m""")
+def container_decoders(spark: SparkSession, d: str) -> DataFrame:
+    t = C.decoders(C.tracks(C.boxes(_files(spark, d))))
+    return t.select("path", "description_index", "format", "width", "height", "config_type", F.length("config").cast("bigint").alias("config_bytes"), "error")
+
+
+@_query(f"""WITH {_FILE_SQL}, c AS (SELECT path, count(*) AS n FROM m GROUP BY path)
+SELECT path, CASE n % 6 WHEN 0 THEN 'stts box has a zero count' WHEN 1 THEN 'stsc box does not begin at the first chunk' WHEN 2 THEN 'timescale is zero' WHEN 3 THEN 'stsz box has a wrong length' WHEN 4 THEN 'track has no handler' END AS error FROM c""")
+def container_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Files of which five in six are broken, each by its number of samples."""
+    f = _files(spark, d)
+    e = read(spark, d, "events", "user_id", "ts").select(F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMM")).alias("path")).groupBy("path").count()
+    kind = lambda k: k.encode().hex().upper()
+    # what stands behind a box's name, and what takes its place
+    breaks = [(kind("stts") + "0{8}.{8}", "0{8}[1-9]|00000001", "00000000"), (kind("stsc") + "0{8}.{8}", "00000001", "00000002"), (kind("mdhd") + "0{24}", ".{8}", "00000000"), (kind("stsz") + "0{16}", ".{8}", "00FFFFFF"), (kind("hdlr") + "0{16}", kind("vide"), "00000000")]
+    broken = F.hex("content")
+    for k, (before, there, instead) in enumerate(breaks):
+        broken = F.when(F.col("count") % 6 == k, F.regexp_replace(F.hex("content"), f"({before})(?:{there})", f"$1{instead}")).otherwise(broken)
+    files = f.join(e, "path").select("path", F.unhex(broken).alias("content"))
+    return C.tracks(C.boxes(stored(files, "broken"))).select("path", C.track_error().alias("error"))
+
+
 # --- parameter sets -----------------------------------------------------------------------------
 
 
@@ -501,3 +717,153 @@ g AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGN
 SELECT user_id, event_id, set_id, concat_ws(',', """ + ", ".join(f"CASE WHEN idx - {k} >= COALESCE(start, 1) THEN CAST(lag(event_id, {k}) OVER (PARTITION BY user_id ORDER BY idx) AS VARCHAR) END" for k in range(1, 5)) + ") AS refs FROM g")
 def stream_decoder_state(spark: SparkSession, d: str) -> DataFrame:
     return D.decoder_rows(spark, d)
+
+
+# --- units as bytes ---------------------------------------------------------------------------
+
+_ZERO, _ONE = "decode(unhex('00'), 'UTF-8')", "decode(unhex('01'), 'UTF-8')"
+
+
+def _streams(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's lines as units behind start codes, four bytes for the first and three for the others; an A before each line but in every tenth document."""
+    docs = read(spark, d, "documents", "doc_id", "text")
+    mark = "CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'A' END"
+    return docs.selectExpr("doc_id", f"encode(concat({_ZERO}, {_ZERO}, {_ZERO}, {_ONE}, {mark}, replace(text, '\n', concat({_ZERO}, {_ZERO}, {_ONE}, {mark}))), 'UTF-8') AS stream")
+
+
+_LINES_SQL = f"""l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda u: CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'A' END || u), lambda u: length(u) > 0) AS u FROM documents),
+c AS (SELECT doc_id, u, list_transform(u, lambda v: (instr({_HEX}, substr(hex(encode(v)), 1, 1)) - 1) * 16 + instr({_HEX}, substr(hex(encode(v)), 2, 1)) - 1) AS b FROM l),
+e AS (SELECT doc_id, u, b, CASE WHEN u IS NULL THEN 'stream is null' WHEN len(u) = 0 THEN 'stream has no units' ELSE
+  list_extract(list_filter(list_transform(b, lambda x: CASE WHEN x >= 128 THEN 'forbidden bit is set' WHEN x % 32 = 0 THEN 'unit type is zero' END), lambda x: x IS NOT NULL), 1) END AS error FROM c)"""
+
+
+@_query(f"""WITH {_LINES_SQL}, g AS (SELECT doc_id, unnest(u) AS unit, unnest(b) AS b, unnest(range(len(u))) AS i FROM e WHERE error IS NULL)
+SELECT doc_id, i AS unit_idx, CAST(strlen(unit) AS BIGINT) AS bytes, CAST(b >> 5 & 3 AS BIGINT) AS ref_idc, CAST(b & 31 AS BIGINT) AS nal_type, CAST(NULL AS VARCHAR) AS error FROM g
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, error FROM e WHERE error IS NOT NULL""")
+def annexb_units(spark: SparkSession, d: str) -> DataFrame:
+    units = U.unit_headers(U.split_bytes(_streams(spark, d), ["doc_id"], "stream"), "unit")
+    return units.select("doc_id", "unit_idx", F.octet_length("unit").cast("bigint").alias("bytes"), "ref_idc", "nal_type", "error")
+
+
+@_query(f"""WITH {_LINES_SQL} SELECT doc_id, len(u) AS units, md5(array_to_string(list_transform(u, lambda v: '00000001' || hex(encode(v))), '')) AS digest FROM e WHERE error IS NULL""")
+def annexb_stream(spark: SparkSession, d: str) -> DataFrame:
+    units = U.split_bytes(_streams(spark, d), ["doc_id"], "stream").where("error IS NULL")
+    return U.join_bytes(units, ["doc_id"]).select("doc_id", "units", F.md5(F.hex("stream").cast("binary")).alias("digest"))
+
+
+@_query(f"""WITH x AS (SELECT doc_id, CASE WHEN length(text) > 0 THEN (instr({_HEX}, substr(hex(encode(text)), 1, 1)) - 1) * 16 + instr({_HEX}, substr(hex(encode(text)), 2, 1)) - 1 END AS b FROM documents)
+SELECT doc_id, CASE WHEN b IS NULL THEN 'unit is empty' WHEN b >= 128 THEN 'forbidden bit is set' WHEN b % 32 = 0 THEN 'unit type is zero' END AS error FROM x""")
+def nal_validity(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return U.unit_headers(docs, "bytes").select("doc_id", U.header_error().alias("error"))
+
+
+_CONFIG_ERROR = "CASE WHEN p_partkey % 11 = 0 THEN 'configuration of version 2' WHEN p_partkey % 4 = 2 THEN 'length of 3 bytes' WHEN p_partkey % 13 = 0 THEN 'parameter set is empty or cut short' END"
+
+
+@_query(f"""WITH x AS (SELECT *, {_CONFIG_ERROR} AS error FROM part) SELECT p_partkey, CASE WHEN error IS NULL THEN p_partkey % 256 END AS profile, CASE WHEN error IS NULL THEN CAST(p_size AS BIGINT) END AS level,
+CASE WHEN error IS NULL THEN p_partkey % 4 + 1 END AS length_size, CASE WHEN error IS NULL THEN '67' || md5(p_name) END AS sequence_set, CASE WHEN error IS NULL THEN p_partkey % 3 END AS pictures, CASE WHEN error IS NULL THEN 'FF' END AS trailing, error FROM x""")
+def avc_configs(spark: SparkSession, d: str) -> DataFrame:
+    u = C.big_endian
+    sps = "concat(unhex('67'), unhex(md5(p_name)))"
+    body = f"concat({u('CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 1 END', 1)}, {u('p_partkey', 1)}, unhex('00'), {u('p_size', 1)}, {u('252 + p_partkey % 4', 1)}, unhex('E1'), {u('CASE WHEN p_partkey % 13 = 0 THEN 9999 ELSE 17 END', 2)}, {sps}, {u('p_partkey % 3', 1)}, unhex(repeat('000268AA', CAST(p_partkey % 3 AS INT))), unhex('FF'))"
+    rows = read(spark, d, "part", "p_partkey", "p_size", "p_name").selectExpr("p_partkey", f"{body} AS data")
+    c = U.configurations(rows, ["p_partkey"], "data")
+    return c.select("p_partkey", "profile", "level", "length_size", F.concat(F.lit("67"), F.lower(F.hex(F.substring(F.get("sequence_sets", F.lit(0)), 2, 16)))).alias("sequence_set"), F.when(F.col("error").isNull(), F.size("picture_sets")).cast("bigint").alias("pictures"), F.hex("trailing").alias("trailing"), "error")
+
+
+# --- slices and the sets that they refer to -----------------------------------------------------
+
+
+def _slice_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units of a track a user. Configuration sets stand at sample -1; a sign-up brings new ones behind its IDR slice, other events hold a P or I slice.
+
+    Set ids are by user; what a set says is by version, 0 at first and then the sign-up's idx; a slice is written by the version in force.
+    """
+    e = samples(spark, d, since=latest(F.expr("CASE WHEN event_type = 'signup' THEN 0 END")), version=latest(F.expr("CASE WHEN event_type = 'signup' THEN event_id END")))
+    e = stored(e.selectExpr("user_id", "idx", "k", "event_type = 'signup' AS idr", "coalesce(version, 0) AS v"), "slices")
+    sps_bits = [S.fixed("66", 8), S.fixed("0", 8), S.fixed("30", 8), S.ue("user_id % 4"), S.ue("v % 9"), S.ue("0"), S.ue("v % 7"), S.ue("4"), "'0'", S.ue("19"), S.ue("9"), "'1'", "'1'", "'0'", "'0'"]
+    pps_bits = [S.ue("user_id % 8"), S.ue("user_id % 4"), "'0'", "'0'", S.ue("0"), S.ue("1"), S.ue("0"), "'0'", "'00'", S.se("(v % 13 - 6)"), S.se("0"), S.se("0"), "'1'", "'0'", "'0'"]
+    inter = "(NOT idr AND k % 3 > 0)"
+    slice_bits = [
+        S.ue("k % 50"), S.ue(f"(CASE WHEN {inter} THEN 0 ELSE 7 END)"), S.ue("user_id % 8"), f"right(lpad(bin(idx % 16), 64, '0'), CAST(4 + v % 9 AS INT))",
+        f"CASE WHEN idr THEN {S.ue('k % 7')} ELSE '' END", "right(lpad(bin(idx % 16), 64, '0'), CAST(4 + v % 7 AS INT))",
+        f"CASE WHEN {inter} THEN concat('1', {S.ue('k % 4')}, CASE WHEN k % 2 = 1 THEN concat('1', {S.ue('0')}, {S.ue('k % 5')}, {S.ue('3')}) ELSE '0' END) ELSE '' END",
+        f"CASE WHEN idr THEN concat('0', {S.fixed('k % 2', 1)}) WHEN k % 4 = 0 THEN concat('1', {S.ue('1')}, {S.ue('k % 3')}, {S.ue('0')}) ELSE '0' END",
+        S.se("(k % 9 - 4)"), S.ue("k % 3"), f"CASE WHEN k % 3 <> 1 THEN concat({S.se('(k % 7 - 3)')}, {S.se('0')}) ELSE '' END",
+    ]
+    made = lambda head, bits: f"concat({head}, {S.payload(f'concat({', '.join(bits)})')})"
+    sets = lambda rows, at: rows.select("user_id", F.lit(-1).cast("bigint").alias("sample_idx") if at is None else F.col(at).alias("sample_idx"), F.expr(f"array({made("unhex('67')", sps_bits)}, {made("unhex('68')", pps_bits)})").alias("u")).select("user_id", "sample_idx", F.posexplode("u").alias("unit_idx", "unit"))
+    first = sets(e.select("user_id").distinct().withColumn("v", F.lit(0).cast("bigint")), None)
+    inband = sets(e.where("idr"), "idx").withColumn("unit_idx", F.col("unit_idx") + 1)
+    slices = e.selectExpr("user_id", "idx AS sample_idx", "0 AS unit_idx", f"{made("CASE WHEN idr THEN unhex('65') ELSE unhex('41') END", slice_bits)} AS unit")
+    return stored(first.unionByName(inband).unionByName(slices).withColumn("unit_idx", F.col("unit_idx").cast("bigint")), "units")
+
+
+_SLICE_SQL = f"""{SAMPLES_SQL}, v AS (SELECT user_id, idx, k, event_type = 'signup' AS idr, COALESCE(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w, 0) AS v,
+  COALESCE(last_value(CASE WHEN event_type = 'signup' THEN idx END IGNORE NULLS) OVER w, -1) AS since FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@_query(f"""WITH {_SLICE_SQL} SELECT user_id, idx AS sample_idx, user_id % 8 AS pps_id, user_id % 4 AS sps_id, k % 50 AS first_mb, CASE WHEN NOT idr AND k % 3 > 0 THEN 'P' ELSE 'I' END AS slice_type, idx % 16 AS frame_num, idx % 16 AS poc_lsb,
+CASE WHEN idr THEN k % 7 ELSE 0 END AS idr_pic_id, CASE WHEN NOT idr AND k % 3 > 0 THEN k % 4 + 1 ELSE 2 END AS active_l0, CAST(CASE WHEN NOT idr AND k % 3 > 0 AND k % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS modifications,
+CAST(CASE WHEN NOT idr AND k % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS marking, 26 + v % 13 - 6 + k % 9 - 4 AS qp, k % 3 AS deblocking_off, CASE WHEN k % 3 <> 1 THEN 2 * (k % 7 - 3) ELSE 0 END AS alpha_offset, CAST(NULL AS VARCHAR) AS error FROM v""")
+def slice_headers(spark: SparkSession, d: str) -> DataFrame:
+    h = P.slice_headers(_slice_units(spark, d), "user_id")
+    return h.select("user_id", "sample_idx", "pps_id", "sps_id", "first_mb", "slice_type", "frame_num", "poc_lsb", "idr_pic_id", "active_l0", F.size("modifications").cast("bigint").alias("modifications"), F.size("marking").cast("bigint").alias("marking"), "qp", "deblocking_off", "alpha_offset", "error")
+
+
+@_query(f"WITH {_SLICE_SQL} SELECT user_id, idx AS sample_idx, user_id % 8 AS pps_id, since AS set_sample FROM v")
+def slice_sets_asof(spark: SparkSession, d: str) -> DataFrame:
+    units = _slice_units(spark, d)
+    typed = U.unit_headers(units, "unit")
+    pps = P.parsed(typed.where("nal_type = 8"), ["user_id", "sample_idx"], "unit", "pps")
+    slices = P.parsed(U.coded_slices(typed), ["user_id", "sample_idx"], "unit", "start").select("user_id", "sample_idx", "pps_id")
+    return P.in_force(slices, pps, "user_id", "pps_id").select("user_id", "sample_idx", "pps_id", F.col("set").alias("set_sample"))
+
+
+@_query(f"WITH {_SLICE_SQL} SELECT user_id, idx AS sample_idx, CAST(0 AS BIGINT) AS unit_idx, CAST(CASE WHEN idr THEN 5 ELSE 1 END AS BIGINT) AS nal_type FROM v")
+def first_slices(spark: SparkSession, d: str) -> DataFrame:
+    return U.first_slices(U.unit_headers(_slice_units(spark, d), "unit"), ["user_id", "sample_idx"])
+
+
+# --- sets that lack, gates, buffers ---------------------------------------------------------------
+
+
+def _sps_units(spark: SparkSession, d: str) -> DataFrame:
+    """Sequence sets of parts: some interlaced, of other chroma formats or depths, some cropped beyond their size."""
+    part = read(spark, d, "part", "p_partkey", "p_size")
+    bits = [S.fixed("100", 8), S.fixed("0", 8), S.fixed("p_size", 8), S.ue("p_partkey % 32"), S.ue("p_partkey % 3"), S.ue("CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END"), S.ue("0"), "'00'", S.ue("0"), S.ue("2"), S.ue("p_partkey % 5"), "'0'", S.ue("p_partkey % 12"), S.ue("3"), S.fixed("CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END", 1)]
+    bits += ["CASE WHEN p_partkey % 7 = 0 THEN '0' ELSE '' END", "'1'", "'1'", S.ue("CASE WHEN p_partkey % 13 = 0 THEN 200 ELSE 0 END"), S.ue("0"), S.ue("0"), S.ue("0"), "'0'"]
+    return part.selectExpr("p_partkey", f"concat(unhex(CASE WHEN p_partkey % 17 = 0 THEN '68' ELSE '67' END), {S.payload(f'concat({', '.join(bits)})')}) AS unit")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'unit of type 8' WHEN p_partkey % 13 = 0 AND (CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END) * 200 >= 16 * (1 + p_partkey % 12) THEN 'crop exceeds the picture' WHEN p_partkey % 7 = 0 THEN 'interlaced' WHEN p_partkey % 3 <> 1 THEN 'chroma format' WHEN p_partkey % 5 = 0 THEN 'bit depth' END AS reason FROM part""")
+def profile_gate(spark: SparkSession, d: str) -> DataFrame:
+    return P.parsed(_sps_units(spark, d), "p_partkey", "unit", "sps").select("p_partkey", P.unsupported().alias("reason"))
+
+
+@_query("""WITH s AS (SELECT DISTINCT p_partkey % 32 AS id FROM part WHERE p_size % 4 = 1 AND p_partkey % 32 < 20) SELECT p_partkey, p_partkey % 256 AS pps_id, p_partkey % 32 AS sps_id FROM part WHERE p_partkey % 32 NOT IN (SELECT id FROM s)""")
+def orphan_sets(spark: SparkSession, d: str) -> DataFrame:
+    sps = sequence_sets(spark, d).join(read(spark, d, "part", "p_partkey", "p_size"), "p_partkey").where("p_size % 4 = 1 AND sps_id < 20").select("sps_id").distinct()
+    return P.orphans(picture_sets(spark, d), sps, []).select("p_partkey", "pps_id", "sps_id")
+
+
+@_query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders), l AS (SELECT o_custkey, list(struct_pack(id := o_orderkey, n := o_orderkey % 16, long := o_orderstatus = 'F', k := o_orderkey % 3) ORDER BY o_orderkey) AS l FROM o WHERE r <= 5 GROUP BY o_custkey),
+a AS (SELECT o_custkey, l, list_filter(l, lambda p: NOT p.long AND p.n = (9 - o_custkey % 8 - 1 + 16) % 16)[1] AS t FROM l), b AS (SELECT o_custkey, CASE WHEN t IS NOT NULL THEN list_concat([t], list_filter(l, lambda p: p.id <> t.id)) END AS l FROM a),
+c AS (SELECT o_custkey, l, list_filter(l, lambda p: p.long AND p.k = o_custkey % 3)[1] AS t FROM b), e AS (SELECT o_custkey, CASE WHEN t IS NOT NULL AND l IS NOT NULL THEN list_concat([l[1], t], list_filter(l[2:], lambda p: p.id <> t.id)) END AS l FROM c)
+SELECT o_custkey, array_to_string(list_transform(l, lambda p: p.id), ',') AS list, CAST(CASE WHEN l IS NOT NULL THEN list_position(list_transform(l, lambda p: p.id), list_max(list_transform(l, lambda p: p.id))) - 1 END AS BIGINT) AS newest FROM e""")
+def modified_refs(spark: SparkSession, d: str) -> DataFrame:
+    """The five newest orders of each customer as pictures, after a short-term and a long-term modification."""
+    o = read(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").withColumnRenamed("o_orderkey", "idx")
+    p = T.newest(o, "o_custkey", 5).selectExpr("o_custkey", "struct(idx AS id, idx % 16 AS frame_num, o_orderstatus = 'F' AS long, idx % 3 AS long_idx) AS p")
+    lists = p.groupBy("o_custkey").agg(F.array_sort(F.collect_list("p")).alias("pictures"))
+    made = lists.withColumn("list", R.modified_list("pictures", "array(named_struct('idc', 0, 'value', o_custkey % 8), named_struct('idc', 2, 'value', o_custkey % 3))", "9", "16"))
+    made = made.withColumn("ids", F.expr("transform(list, p -> p.id)"))
+    return made.select("o_custkey", B.joined(F.col("ids")).alias("list"), R.place_in_list("ids", "array_max(ids)").alias("newest"))
+
+
+def dpb_marking(spark: SparkSession, d: str) -> DataFrame:
+    return D.marking_rows(spark, d)
+
+
+_QUERIES["dpb_marking"] = dpb_marking  # a buffer that each picture changes is beyond SQL; tests replay it

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators import timeline as T
-from framelake.operators.scan import with_prefix
+from framelake.operators.scan import latest, prefix, scan
 from framelake.sources.storage import stored
 
 # Boxes that hold boxes, and sample entry formats of video.
@@ -46,12 +46,20 @@ def _scan(data: bytes, start: int, end: int, depth: int, parent: str, trak: int)
         at, order = at + size, order + 1
 
 
+_NULL = (-1, "", 0, 0, "", 0, 0, 0, None, "content is null")
+
+
+def read_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, content) of the files that a path or pattern names."""
+    return spark.read.format("binaryFile").load(pattern).select("path", "content")
+
+
 def boxes(files: DataFrame) -> DataFrame:
-    """A row for each box of files (path, content); payload is there for metadata boxes, not for media bytes."""
+    """A row for each box of files (path, content); payload is there for metadata boxes, not for media bytes. A file of null content is an error row, an empty one has no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in _scan(bytes(c), 0, len(c), 0, "", -1)]
+            rows = [(p, *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in ([_NULL] if c is None else _scan(bytes(c), 0, len(c), 0, "", -1))]
             yield pd.DataFrame(rows, columns=["path", "trak", "box_path", "depth", "ord", "type", "offset", "size", "header_size", "payload", "error"])
 
     return files.select("path", "content").mapInPandas(run, BOXES)
@@ -74,11 +82,22 @@ def _entries(payload: str, width: int, fields: list[tuple[str, int, int]]) -> Co
     return F.expr(f"CASE WHEN {payload} IS NULL THEN NULL WHEN length({payload}) <> 8 + {count} * {width} THEN raise_error('table box has a wrong length') ELSE {rows} END")
 
 
+def brands(found: DataFrame) -> DataFrame:
+    """(path, major, minor, compatible, error) from each file's first ftyp box; files without one are left out."""
+    f = found.where("type = 'ftyp' AND depth = 0").groupBy("path").agg(F.min_by(F.struct("payload", "error"), "offset").alias("b")).select("path", "b.*")
+    bad = F.coalesce("error", F.when((F.length("payload") < 8) | (F.length("payload") % 4 != 0), "ftyp box has a wrong length"))
+    f = f.withColumn("error", bad)
+    name = lambda at: f"decode(substring(payload, {at}, 4), 'ISO-8859-1')"
+    rest = f"CASE WHEN length(payload) = 8 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(0, CAST(length(payload) / 4 AS INT) - 3), i -> {name('9 + i * 4')}) END"
+    whole = lambda e: F.when(F.col("error").isNull(), F.expr(e))
+    return f.select("path", whole(name("1")).alias("major"), whole(long("payload", 4)).alias("minor"), whole(rest).alias("compatible"), "error")
+
+
 def tracks(found: DataFrame) -> DataFrame:
     """One row a track: ids, handler, timescales, durations, size, sample entry and the payloads of its sample tables."""
     wanted = ["tkhd", "mdhd", "hdlr", "stsd", "stts", "ctts", "stsc", "stsz", "stco", "co64", "stss"]
-    t = found.where(F.col("error").isNull() & (F.col("trak") >= 0)).groupBy("path", "trak").agg(*[F.first(F.when(F.col("type") == k, F.col("payload")), ignorenulls=True).alias(k) for k in wanted])
-    movie = found.where("type = 'mvhd' AND error IS NULL").groupBy("path").agg(F.max_by("payload", "ord").alias("mvhd"))
+    t = found.where(F.col("error").isNull() & (F.col("trak") >= 0)).groupBy("path", "trak").agg(*[F.min_by("payload", F.when(F.col("type") == k, F.col("offset"))).alias(k) for k in wanted])
+    movie = found.where("type = 'mvhd' AND error IS NULL").groupBy("path").agg(F.max_by("payload", "offset").alias("mvhd"))
 
     def timed(box: str, at: int) -> tuple[str, str]:
         v1 = f"hex(substring({box}, 1, 1)) = '01'"
@@ -100,10 +119,105 @@ def tracks(found: DataFrame) -> DataFrame:
         f"shiftright({long('tkhd', f'{n} - 4')}, 16) AS height",
         f"{long('stsd', 4)} AS entries",
         "decode(substring(stsd, 13, 4), 'ISO-8859-1') AS format",
-        *["stts", "ctts", "stsc", "stsz", "stco", "co64", "stss", "stsd"],
+        *["tkhd", "stts", "ctts", "stsc", "stsz", "stco", "co64", "stss", "stsd"],
+    )
+
+
+DESCRIPTIONS = "path string, trak int, description_index bigint, format string, visual boolean, width bigint, height bigint, config_type string, config binary, error string"
+# Boxes that configure a decoder.
+CONFIGS = ("avcC", "hvcC", "vpcC", "av1C")
+
+
+def _described(data: bytes | None) -> Iterator[tuple]:
+    """The sample entries of a stsd payload: a visual one has 78 bytes, with its size, before its own boxes."""
+    if data is None:
+        return
+    if len(data) < 8:
+        yield (None, None, None, None, None, None, None, "stsd box has a wrong length")
+        return
+    found = [r for r in _scan(data, 8, len(data), 0, "", -1)]
+    bad = next((r[-1] for r in found if r[-1]), None) or ("stsd box counts its entries wrongly" if len(found) != int.from_bytes(data[4:8], "big") else None)
+    if bad:
+        yield (None, None, None, None, None, None, None, bad)
+        return
+    for k, (_, _, _, _, kind, at, size, head, *_) in enumerate(found):
+        body = data[at + head : at + size]
+        if kind not in VIDEO_FORMATS:
+            yield (k + 1, kind, False, None, None, None, None, None)
+        elif len(body) < 78:
+            yield (k + 1, kind, True, None, None, None, None, "sample entry is cut short")
+        else:
+            inner = list(_scan(body, 78, len(body), 0, "", -1))
+            bad = next((r[-1] for r in inner if r[-1]), None)
+            config = next(((r[4], body[r[5] + r[7] : r[5] + r[6]]) for r in inner if r[4] in CONFIGS), (None, None))
+            yield (k + 1, kind, True, int.from_bytes(body[24:26], "big"), int.from_bytes(body[26:28], "big"), *config, bad)
+
+
+def descriptions(t: DataFrame) -> DataFrame:
+    """A row for each sample entry of tracks(): its place from 1, format, size and decoder configuration. A malformed stsd is a row with an error; a track without one has no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, k, *r) for p, k, d in batch.itertuples(index=False) for r in _described(None if d is None else bytes(d))]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in DESCRIPTIONS.split(", ")], dtype=object)
+
+    return t.select("path", "trak", "stsd").mapInPandas(run, DESCRIPTIONS)
+
+
+def track_error() -> Column:
+    """What is wrong with a row of tracks(), null if nothing: the checks of headers and sample tables beyond their lengths."""
+    size = lambda k: F.length(k)
+    v1 = F.expr("hex(substring(tkhd, 1, 1)) = '01'")
+    head = (
+        F.when(F.col("tkhd").isNull(), "track has no header")
+        .when(size("tkhd") < F.when(v1, 96).otherwise(84), "tkhd box is cut short")
+        .when(F.col("timescale").isNull(), "track has no media header")
+        .when(F.col("timescale") == 0, "timescale is zero")
+        .when(F.col("handler").isNull() | (F.col("handler") == "\0\0\0\0"), "track has no handler")
+    )
+
+    def framed(k: str, width: int) -> Column:
+        return F.expr(f"{k} IS NOT NULL AND (length({k}) < 8 OR length({k}) <> 8 + {long(k, 4)} * {width})")
+
+    for k, width in (("stts", 8), ("ctts", 8), ("stsc", 12), ("stco", 4), ("co64", 8), ("stss", 4)):
+        head = head.when(framed(k, width), f"{k} box has a wrong length")
+    head = head.when(F.expr(f"stsz IS NOT NULL AND (length(stsz) < 12 OR length(stsz) <> 12 + CASE WHEN {long('stsz', 4)} = 0 THEN 4 * {long('stsz', 8)} ELSE 0 END)"), "stsz box has a wrong length")
+    counts = lambda k: F.exists(_entries(k, 8, [("n", 0, 4)]), lambda e: e["n"] == 0)
+    steps = _entries("stsc", 12, [("chunk", 0, 4), ("n", 4, 4), ("d", 8, 4)])
+    later = F.exists(F.zip_with(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), lambda b, a: b["chunk"] <= a["chunk"]), lambda x: x)
+    marks = _entries("stss", 4, [("k", 0, 4)])
+    return (
+        head.when(counts("stts"), "stts box has a zero count")
+        .when(counts("ctts"), "ctts box has a zero count")
+        .when(F.exists(steps, lambda e: (e["chunk"] == 0) | (e["n"] == 0) | (e["d"] == 0)), "stsc box has a zero")
+        .when((F.size(steps) > 0) & (F.get(steps, F.lit(0))["chunk"] != 1), "stsc box does not begin at the first chunk")
+        .when(later, "stsc box does not rise")
+        .when(F.exists(steps, lambda e: e["d"] > F.col("entries")), "stsc box names a description that is not there")
+        .when(F.exists(marks, lambda e: (e["k"] == 0) | (e["k"] > F.expr(long("stsz", 8)))), "stss box names a sample that is not there")
     )
 
 
+def is_video(handler: str = "handler") -> Column:
+    return F.col(handler) == "vide"
+
+
+def first_video(t: DataFrame) -> DataFrame:
+    """The first video track of each file that has samples; files without one are left out."""
+    some = t.where(is_video() & F.expr(f"stsz IS NOT NULL AND length(stsz) >= 12 AND {long('stsz', 8)} > 0"))
+    return some.join(some.groupBy("path").agg(F.min("trak").alias("trak")), ["path", "trak"])
+
+
+def decoders(t: DataFrame) -> DataFrame:
+    """first_video() tracks' sample entries that a decoder is made for (avc1, avc3), each with its own configuration: decoder state is kept by (path, trak, description_index).
+
+    A video track without any is a row with an error: no later track takes its place.
+    """
+    every = first_video(t).select("path", "trak", "stsd")
+    fit = descriptions(every).where("format IN ('avc1', 'avc3') AND error IS NULL")
+    rows = every.select("path", "trak").join(fit, ["path", "trak"], "left")
+    return rows.withColumn("error", F.when(F.col("format").isNull(), "video track has no decodable entry"))
+
+
 def samples(t: DataFrame) -> DataFrame:
     """The sample table of each of tracks(): track, sample_idx, offset, size, dts, pts, duration, description_index, is_sync.
 
@@ -123,8 +237,8 @@ def samples(t: DataFrame) -> DataFrame:
     chunks = t.select("track", F.posexplode(offsets).alias("i", "e")).selectExpr("track", "CAST(i + 1 AS BIGINT) AS chunk", "e.at AS chunk_offset")
     # the step in force at each chunk
     steps = t.select("track", F.explode(_entries("stsc", 12, [("chunk", 0, 4), ("per_chunk", 4, 4), ("description", 8, 4)])).alias("e")).selectExpr("track", "e.chunk AS chunk", "struct(e.per_chunk, e.description) AS step")
-    stepped = T.with_last(chunks.join(steps, ["track", "chunk"], "left"), ["track"], ["chunk"], F.floor(F.col("chunk") / T.CHUNK_SAMPLES), F.col("step"), "now")
-    placed = with_prefix(stepped.selectExpr("track", "chunk", "chunk_offset", "now.per_chunk AS n", "now.description AS description_index"), ["track"], ["chunk"], F.floor(F.col("chunk") / T.CHUNK_SAMPLES), {"first": F.col("n")})
+    stepped = stored(scan(chunks.join(steps, ["track", "chunk"], "left"), ["track"], ["chunk"], T.by_index("chunk"), now=latest(F.col("step"))), "steps")
+    placed = scan(stepped.selectExpr("track", "chunk", "chunk_offset", "now.per_chunk AS n", "now.description AS description_index"), ["track"], ["chunk"], T.by_index("chunk"), first=prefix(F.col("n")))
     placed = placed.where("n > 0").select("track", "chunk", "chunk_offset", "description_index", F.explode(F.expr("sequence(first, first + n - 1)")).alias("sample_idx"))
     marks = t.select("track", F.explode(_entries("stss", 4, [("k", 0, 4)])["k"]).alias("k")).selectExpr("track", "k - 1 AS sample_idx", "true AS marked").distinct()
     has = t.selectExpr("track", "stss IS NOT NULL AS has_sync", "ctts IS NOT NULL AS has_shift")
@@ -132,7 +246,7 @@ def samples(t: DataFrame) -> DataFrame:
     lost = F.col("size").isNull() | F.col("delta").isNull() | F.col("chunk").isNull() | (F.col("has_shift") & F.col("shift").isNull())
     rows = rows.withColumn("size", F.when(lost, F.raise_error(F.lit("sample tables differ in length")).cast("bigint")).otherwise(F.col("size")))
     rows = T.byte_offsets(rows, ["track", "chunk"], ["sample_idx"], "size")
-    rows = with_prefix(rows, ["track"], ["sample_idx"], F.floor(F.col("sample_idx") / T.CHUNK_SAMPLES), {"dts": F.col("delta")})
+    rows = scan(stored(rows, "samples"), ["track"], ["sample_idx"], T.by_index("sample_idx"), dts=prefix(F.col("delta")))
     return rows.select("track", "sample_idx", (F.col("chunk_offset") + F.col("offset")).alias("offset"), "size", "dts", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"), F.col("delta").alias("duration"), "description_index", (~F.col("has_sync") | F.coalesce("marked", F.lit(False))).alias("is_sync"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators.scan import with_prefix
-from framelake.operators.timeline import decode_times
+from framelake.operators.scan import Carried, index, prefix, scan
+from framelake.sources.storage import stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -14,16 +14,21 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as samples: a track a user, idx in order of time, k from props, delta in ticks."""
+def samples(spark: SparkSession, sf_dir: str, **columns: Carried) -> DataFrame:
+    """events as samples: a track a user, idx in order of time, k from props, delta in ticks; and columns along that order, in the same pass."""
     e = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type", "props")
     e = e.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")).withColumn("delta", (100 + F.col("k") % 7 * 10).cast("bigint"))
-    return with_prefix(e.drop("props"), ["user_id"], ["ts", "event_id"], F.date_trunc("day", F.col("ts")), {}, index="idx")
+    return scan(e.drop("props"), ["user_id"], ["ts", "event_id"], F.date_trunc("day", F.col("ts")), idx=index(), **columns)
 
 
-def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def timed(spark: SparkSession, sf_dir: str, **columns: Carried) -> DataFrame:
     """samples with dts and pts; composition offsets run from -150 to 450 ticks."""
-    return decode_times(samples(spark, sf_dir), "user_id", (F.col("k") % 5 - 1) * 150)
+    return samples(spark, sf_dir, dts=prefix(F.col("delta")), **columns).withColumn("pts", (F.col("dts") + (F.col("k") % 5 - 1) * 150).cast("bigint"))
+
+
+def stored_timed(spark: SparkSession, sf_dir: str, **columns: Carried) -> DataFrame:
+    """timed(), written once, for a scan in another order."""
+    return stored(timed(spark, sf_dir, **columns), "timed")
 
 
 #: The same in SQL.

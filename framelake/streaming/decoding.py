@@ -6,13 +6,15 @@ track must come in decode order from batch to batch; inside a batch they are put
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.operators.references import marked
 from framelake.sources.storage import new_folder
 
 #: Rows of a batch, about.
@@ -45,28 +47,68 @@ def decoder_state(stream: DataFrame, max_refs: int = 4) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(run, OUT, "current bigint, held array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def time_slices(spark: SparkSession, sf_dir: str, slice_rows: int, folder: str) -> list[int]:
-    """Write the events to folder, cut along (ts, event_id) into parts slice=0, 1, ... of about slice_rows rows; the parts in order."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events = events.select("user_id", "event_id", "ts", F.coalesce(F.col("event_type") == "signup", F.lit(False)).alias("starts"))
-    n = max(1, -(-events.count() // slice_rows))
+MARKED = "track string, sample bigint, held string, error string"
+
+
+def marking_state(stream: DataFrame, max_refs: int = 4, largest: int = 16) -> DataFrame:
+    """(track, sample, held, error) for each row of a stream of reference pictures: the decoded-picture buffer that the picture is decoded with, and what its marking breaks.
+
+    Rows are (track, sample, ts, frame_num, idr, long_term, adaptive, operations). A track's name has the sample description in it where a file has several, so that each has
+    a buffer of its own. held lists picture:frame_num, with L and the index for long-term pictures, in order of arrival.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(json.loads(x)) for x in state.get[0]] if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "sample"])
+        out = []
+        for r in rows.itertuples(index=False):
+            seen = ",".join(f"{p}:{n}" + (f"L{k}" if is_long else "") for p, n, is_long, k in held)
+            operations = [(o["operation"], o["first"], o["second"]) for o in r.operations]
+            held, error = marked(held, int(r.sample), int(r.frame_num), bool(r.idr), bool(r.long_term), bool(r.adaptive), operations, largest, max_refs)
+            out.append((key[0], r.sample, seen, error))
+        state.update(([json.dumps(p) for p in held],))
+        yield pd.DataFrame(out, columns=["track", "sample", "held", "error"])
+
+    return stream.groupBy("track").applyInPandasWithState(run, MARKED, "held array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def time_slices(rows: DataFrame, order: list[str], slice_rows: int, folder: str) -> list[int]:
+    """Write rows to folder, cut along order into parts slice=0, 1, ... of about slice_rows rows; the parts in order."""
+    n = max(1, -(-rows.count() // slice_rows))
     # whatever the table's files are: a stream takes its files in no order of their rows
-    dealt = events.repartitionByRange(n, F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()).withColumn("slice", F.spark_partition_id())
+    dealt = rows.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in order]).withColumn("slice", F.spark_partition_id())
     dealt.write.partitionBy("slice").parquet(folder)
-    return sorted(r[0] for r in spark.read.schema(dealt.schema).parquet(folder).select("slice").distinct().collect())
+    return sorted(r[0] for r in rows.sparkSession.read.schema(dealt.schema).parquet(folder).select("slice").distinct().collect())
 
 
-def decoder_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """decoder_state() over the events, one time slice a batch, into a table of the shared folder.
+def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], DataFrame], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """state() over rows, one slice along order a batch, into a table of the shared folder.
 
     A slice comes into the streamed folder when the stream has ended the one before; what a worker
-    holds of a user at once is in one slice.
+    holds of a track at once is in one slice.
     """
+    spark = rows.sparkSession
     folder = new_folder(spark, "decoder")
-    slices = time_slices(spark, sf_dir, slice_rows, f"{folder}/slices")
+    slices = time_slices(rows, order, slice_rows, f"{folder}/slices")
     for k in slices:
         part = spark.read.parquet(f"{folder}/slices/slice={k}")
         part.write.mode("append").parquet(f"{folder}/live")
-        stream = decoder_state(spark.readStream.schema(part.schema).parquet(f"{folder}/live"))
+        stream = state(spark.readStream.schema(part.schema).parquet(f"{folder}/live"))
         stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{folder}/out") if slices else spark.createDataFrame([], OUT)
+    return spark.read.schema(schema).parquet(f"{folder}/out") if slices else spark.createDataFrame([], schema)
+
+
+def decoder_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """decoder_state() over the events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = events.select("user_id", "event_id", "ts", F.coalesce(F.col("event_type") == "signup", F.lit(False)).alias("starts"))
+    return streamed(events, ["ts", "event_id"], decoder_state, OUT, slice_rows)
+
+
+def marking_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """marking_state() over the events as reference pictures of a track a user: a sign-up is an IDR picture, numbers in props choose the operations."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.coalesce(F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"), F.lit(0)))
+    op = lambda n, first, second="0": f"named_struct('operation', {n}L, 'first', CAST({first} AS BIGINT), 'second', CAST({second} AS BIGINT))"
+    operations = f"CASE k % 9 WHEN 1 THEN array({op(1, 'k % 3')}) WHEN 2 THEN array({op(3, 'k % 2', 'k % 4')}) WHEN 3 THEN array({op(2, 'k % 4')}) WHEN 4 THEN array({op(4, 'k % 3')}) WHEN 5 THEN array({op(6, 'k % 4')}) WHEN 6 THEN array({op(1, '0')}, {op(1, '1')}) WHEN 7 THEN array({op(5, '0')}) ELSE array() END"
+    rows = e.selectExpr("CAST(user_id AS STRING) AS track", "event_id AS sample", "ts", "event_id % 16 AS frame_num", "coalesce(event_type = 'signup', false) AS idr", "k % 2 = 1 AS long_term", "k % 9 BETWEEN 1 AND 7 AS adaptive", f"CAST({operations} AS ARRAY<STRUCT<operation: BIGINT, first: BIGINT, second: BIGINT>>) AS operations")
+    return streamed(rows, ["ts", "sample"], marking_state, MARKED, slice_rows)

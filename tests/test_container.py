@@ -76,3 +76,40 @@ def test_malformed_sets_have_errors(spark):
     d = spark.createDataFrame([(1, bytes([0x67])), (2, bytes([0x67, 66, 0]))], "k int, u binary")
     assert all(r.error and r.width is None for r in P.parsed(d, "k", "u", "sps").collect())
     assert P.Bits(bytes([0x67, 0, 0, 3, 1, 0x80])).u(24) == 1
+
+
+def test_null_and_odd_files(spark):
+    f = spark.createDataFrame([("a", None), ("b", b""), ("c", movie([(1, 10)], None, [(1, 1, 1)], [1], [100], None))], "path string, content binary")
+    rows = C.boxes(f).collect()
+    assert [(r.path, r.error) for r in rows if r.error] == [("a", "content is null")]
+    assert [r.path for r in C.tracks(C.boxes(f)).collect()] == ["c"]
+
+
+def test_track_errors(spark):
+    good = ([(3, 100)], None, [(1, 2, 1), (2, 1, 1)], [3, 2, 4], [300, 350], [1, 3])
+    with_ = lambda **k: movie(*[k.get(n, v) for n, v in zip(("stts", "ctts", "stsc", "sizes", "chunks", "sync"), good, strict=True)])
+    made = [with_(), with_(stts=[(0, 5), (3, 100)]), with_(stsc=[(2, 1, 1)]), with_(stsc=[(1, 1, 1), (1, 2, 1)]), with_(stsc=[(1, 0, 1)]), with_(stsc=[(1, 2, 2)]), with_(sync=[4]), with_(sync=[0]), with_(ctts=[(0, 1)]), with_().replace(b"vide", bytes(4)), with_().replace(u32(90000, 225000), u32(0, 225000))]
+    out = {r.path: r.e for r in C.tracks(C.boxes(files(spark, *made))).select("path", C.track_error().alias("e")).collect()}
+    assert out["f0"] is None and all(out[f"f{i}"] for i in range(1, len(made)))
+    assert len(set(out.values())) >= 8
+
+
+def test_descriptions_and_first_video(spark):
+    entry = lambda kind, *parts: box(kind, bytes(24), (640).to_bytes(2, "big"), (360).to_bytes(2, "big"), bytes(50), *parts)
+    stsd = box("stsd", u32(0, 3), box("mp4a", bytes(28)), entry("avc1", box("pasp", bytes(8)), box("avcC", b"one"), box("hvcC", b"two")), entry("hvc1"))
+    t = spark.createDataFrame([("p", 0, stsd[8:]), ("q", 0, stsd[8:12] + u32(2) + stsd[16:]), ("r", 0, None)], "path string, trak int, stsd binary")
+    rows = sorted(((r.path, r.description_index, r.format, r.visual, r.width, r.config_type, r.config, r.error is None) for r in C.descriptions(t).collect()), key=str)
+    assert rows == [("p", 1, "mp4a", False, None, None, None, True), ("p", 2, "avc1", True, 640, "avcC", b"one", True), ("p", 3, "hvc1", True, 640, None, None, True), ("q", None, None, None, None, None, None, False)]
+    one = movie([(1, 10)], None, [(1, 1, 1)], [1], [100], None)
+    none = movie([(1, 10)], None, [(1, 1, 1)], [], [100], None)
+    trak = lambda m: m[m.index(b"trak") - 4 :]
+    both = box("moov", one[8 : one.index(b"trak") - 4], trak(none), trak(one), trak(one))
+    first = C.first_video(C.tracks(C.boxes(files(spark, both, none)))).collect()
+    assert [(r.path, r.trak) for r in first] == [("f0", 1)]
+    assert [(r.path, r.trak, r.description_index, r.format, r.error) for r in C.decoders(C.tracks(C.boxes(files(spark, both)))).collect()] == [("f0", 1, 1, "avc1", None)]
+
+
+def test_files_are_read_from_a_path(spark, tmp_path):
+    (tmp_path / "a.mp4").write_bytes(movie([(1, 10)], None, [(1, 1, 1)], [1], [100], None))
+    t = C.tracks(C.boxes(C.read_files(spark, f"{tmp_path}/*.mp4"))).collect()
+    assert len(t) == 1 and t[0].track_id == 7

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from framelake.functions import arithmetic as A
 from framelake.functions import blocks as B
+from framelake.operators import parameter_sets as P
 from framelake.operators import references as R
 from framelake.operators import scan as S
 from framelake.operators import units as U
+from framelake.plans import catalogue
 from framelake.streaming import decoding
 
 
@@ -21,17 +23,38 @@ def track(spark):
     return spark.createDataFrame(rows, "t string, i bigint, v bigint").repartition(3)
 
 
-@pytest.mark.parametrize("size", [1, 7, 1000])
-def test_scans_equal_plain_windows(track, size):
-    chunk = F.floor(F.col("i") / size)
+def scanned(df, chunk):
+    return S.scan(df, ["t"], ["i"], chunk, s=S.prefix(F.col("v")), n=S.index(), nx=S.following(F.col("i")), pv=S.preceding(F.col("v")), la=S.latest(F.col("v")), mx=S.running_max(F.col("v"))).select("i", "s", "n", "nx", "pv", "la", "mx")
+
+
+def windowed(df):
     w = Window.partitionBy("t").orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plain = track.select("i", F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"), (F.row_number().over(w) - 1).cast("bigint").alias("n"), F.lead("i").over(w).alias("nx"), F.last("v", True).over(upto).alias("la"), F.max("v").over(upto).alias("mx"))
-    out = S.with_prefix(track, ["t"], ["i"], chunk, {"s": F.col("v")}, index="n")
-    out = S.with_next(out, ["t"], ["i"], chunk, "i", "nx")
-    out = S.with_last(out, ["t"], ["i"], chunk, F.col("v"), "la")
-    out = S.with_running_max(out, ["t"], ["i"], chunk, "v", "mx")
-    assert sorted(map(tuple, out.select("i", "s", "n", "nx", "la", "mx").collect())) == sorted(map(tuple, plain.collect()))
+    before = F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.select("i", before.alias("s"), (F.row_number().over(w) - 1).cast("bigint").alias("n"), F.lead("i").over(w).alias("nx"), F.lag("v").over(w).alias("pv"), F.last("v", True).over(upto).alias("la"), F.max("v").over(upto).alias("mx"))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_scans_equal_plain_windows(track, size):
+    assert rows_of(scanned(track, F.floor(F.col("i") / size))) == rows_of(windowed(track))
+
+
+def test_scans_keep_nulls(spark):
+    rows = [("a", 1, 5), ("a", None, 7), (None, 3, 2), (None, None, 4), (None, 9, None), ("b", None, None), ("", 2, 1), ("", 4, 1)]
+    d = spark.createDataFrame(rows, "t string, i bigint, v bigint")
+    assert rows_of(scanned(d, F.floor(F.col("i") / 2))) == rows_of(windowed(d))
+    assert scanned(d.limit(0), F.col("i")).count() == 0
+
+
+def test_scans_do_not_multiply(spark, sf):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(catalogue.queries()["gop_id"](spark, sf)).count("FileScan") <= 2
+    assert plan(catalogue.queries()["pts_order"](spark, sf)).count("FileScan") <= 2
+    assert plan(catalogue.flagship(spark, sf)).count("FileScan") <= 2
 
 
 def one(spark, column):
@@ -85,3 +108,119 @@ def test_decoder_state_over_shuffled_files(spark, sf, tmp_path):
         truth.append((r.user_id, r.event_id, current, ",".join(map(str, held))))
         state[r.user_id] = (current, [r.event_id, *held][:4])
     assert sorted(map(tuple, out), key=str) == sorted(truth, key=str)
+
+
+def test_annexb_and_lengths():
+    assert U.cut_annexb(b"\0\0\0\1\x67a\0\0\0\0\1\x68b\0\0\1\0\0\1\x65c\0\0") == [b"\x67a", b"\x68b", b"\x65c"]
+    for bad in (b"", b"\x67", b"x\0\0\1\x67", b"\0\0\1", b"\0\0\1\x87", b"\0\0\1\x60"):
+        with pytest.raises(P.Malformed):
+            U.cut_annexb(bad)
+    for size in (1, 2, 4):
+        assert U.cut_lengths((2).to_bytes(size, "big") + b"\x65a", size) == [b"\x65a"]
+        for bad in ((0).to_bytes(size, "big"), (9).to_bytes(size, "big") + b"\x65", b"\1" * (size - 1) or b"\2\x65"):
+            with pytest.raises(P.Malformed):
+                U.cut_lengths(bad, size)
+    with pytest.raises(P.Malformed):
+        U.cut_lengths(b"\0\0\1\x65", 3)
+
+
+def test_split_bytes_has_a_row_for_each_bad_stream(spark):
+    d = spark.createDataFrame([(1, b"\0\0\1\x65a"), (2, None), (3, b"zz"), (None, b"\0\0\1\x41")], "k bigint, s binary")
+    rows = sorted(((r.k, r.unit_idx, r.error is None) for r in U.split_bytes(d, ["k"], "s").collect()), key=str)
+    assert rows == sorted([(1, 0, True), (2, None, False), (3, None, False), (None, 0, True)], key=str)
+
+
+def test_emulation_bytes():
+    assert P.unescaped(b"\0\0\3\1\0\0\3\0\0\3\3x") == b"\0\0\1\0\0\0\0\3x"
+    for bad in (b"\0\0\3", b"\0\0\3\4"):
+        with pytest.raises(P.Malformed):
+            P.unescaped(bad)
+    r = P.Bits(b"\x67\xa0")
+    assert (r.u(1), r.more(), r.u(1), r.more(), r.u(6)) == (1, True, 0, False, 32)
+
+
+def test_configurations(spark):
+    good = bytes([1, 66, 0, 30, 0xFF, 0xE1, 0, 2, 0x67, 9, 1, 0, 1, 0x68, 7, 7])
+    d = spark.createDataFrame([(1, good), (2, b"\2" + good[1:]), (3, good[:9]), (4, None), (5, good[:10])], "k bigint, c binary")
+    rows = {r.k: r for r in U.configurations(d, ["k"], "c").collect()}
+    assert (rows[1].length_size, rows[1].sequence_sets, rows[1].picture_sets, rows[1].trailing) == (4, [b"\x67\x09"], [b"\x68"], b"\7\7")
+    assert all(rows[k].error and rows[k].profile is None for k in (2, 3, 4, 5))
+    sets = U.seeded_sets(U.configurations(d, ["k"], "c").withColumn("track", F.col("k")), "track").collect()
+    assert sorted((r.track, r.sample_idx, r.unit_idx, r.unit) for r in sets) == [(1, -1, 0, b"\x67\x09"), (1, -1, 1, b"\x68")]
+
+
+def replay(events, max_refs=4, largest=16):
+    """The buffer before each picture, by the rules as the standard words them."""
+    out, tracks = {}, {}
+    for sample, track, n, idr, is_long, adaptive, operations in events:
+        dpb = tracks.setdefault(track, [])
+        out[sample] = ",".join(f"{p['id']}:{p['n']}" + (f"L{p['k']}" if p["k"] is not None else "") for p in dpb)
+        new, backup, failed = {"id": sample, "n": n, "k": None}, [dict(p) for p in dpb], False
+        short = lambda x: [p for p in dpb if p["k"] is None and p["n"] == x][:1]  # noqa: B023, E731
+        of_long = lambda x: [p for p in dpb if p["k"] == x][:1]  # noqa: B023, E731
+        if idr:
+            dpb.clear()
+            new["k"] = 0 if is_long else None
+        elif adaptive:
+            for op, a, b in operations:
+                target = (n - (a + 1)) % largest
+                gone = {1: lambda: short(target), 2: lambda: of_long(a), 3: lambda: of_long(b), 4: lambda: [p for p in dpb if p["k"] is not None and p["k"] >= a], 5: lambda: list(dpb), 6: lambda: of_long(a)}[op]()  # noqa: B023
+                for p in gone:
+                    dpb.remove(p)
+                if op == 3:
+                    if not short(target):
+                        failed = True
+                        break
+                    short(target)[0]["k"] = b
+                if op == 6:
+                    new["k"] = a
+        else:
+            while len(dpb) >= max_refs and not failed:
+                old = [p for p in dpb if p["k"] is None]
+                failed = not old
+                if old:
+                    dpb.remove(old[0])
+        if failed:
+            dpb[:] = backup
+        else:
+            dpb.append(new)
+    return out
+
+
+def test_marking_over_slices(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    out = decoding.marking_rows(spark, sf, slice_rows=max(1, events.count() // 3)).collect()
+    k = F.coalesce(F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"), F.lit(0)).alias("k")
+    rows = []
+    for r in sorted(events.select("user_id", "event_id", "ts", "event_type", k).collect(), key=lambda r: (r.ts, r.event_id)):
+        ops = {1: [(1, r.k % 3, 0)], 2: [(3, r.k % 2, r.k % 4)], 3: [(2, r.k % 4, 0)], 4: [(4, r.k % 3, 0)], 5: [(6, r.k % 4, 0)], 6: [(1, 0, 0), (1, 1, 0)], 7: [(5, 0, 0)]}.get(r.k % 9, [])
+        rows.append((r.event_id, str(r.user_id), r.event_id % 16, r.event_type == "signup", r.k % 2 == 1, bool(ops), ops))
+    assert {r.sample: r.held for r in out} == replay(rows)
+    assert len(out) == len(rows)
+
+
+def test_marking_operations():
+    held = [(1, 3, False, 0), (2, 4, False, 0), (3, 5, True, 1)]
+    step = lambda ops, n=6: R.marked(held, 9, n, False, False, True, ops, 16, 4)
+    assert [p[0] for p in step([(1, 0, 0)])[0]] == [1, 2, 3, 9]  # number 5 is long-term by now
+    assert [p[0] for p in step([(1, 1, 0)])[0]] == [1, 3, 9]
+    assert [p[0] for p in step([(2, 1, 0)])[0]] == [1, 2, 9]
+    assert step([(3, 2, 1)])[0] == [(1, 3, True, 1), (2, 4, False, 0), (9, 6, False, 0)]
+    assert step([(3, 9, 1)]) == (held, "no short-term picture 12")
+    assert [p[0] for p in step([(4, 1, 0)])[0]] == [1, 2, 9] and [p[0] for p in step([(4, 2, 0)])[0]] == [1, 2, 3, 9]
+    assert step([(5, 0, 0), (6, 2, 0)])[0] == [(9, 6, True, 2)]
+    assert R.marked(held, 9, 0, True, True, False, [], 16, 4) == ([(9, 0, True, 0)], None)
+    assert [p[0] for p in R.marked(held, 9, 6, False, False, False, [], 16, 3)[0]] == [2, 3, 9]
+    full = [(1, 3, True, 0)]
+    assert R.marked(full, 9, 6, False, False, False, [], 16, 1) == (full, "buffer is full of long-term pictures")
+
+
+def test_list_modifications(spark):
+    d = spark.sql("SELECT array(named_struct('id', 1, 'frame_num', 8, 'long', false, 'long_idx', 0), named_struct('id', 2, 'frame_num', 7, 'long', false, 'long_idx', 0), named_struct('id', 3, 'frame_num', 1, 'long', true, 'long_idx', 2)) AS p")
+    ids = lambda ops: d.select(R.modified_list("p", ops, "9", "16").alias("l")).selectExpr("transform(l, x -> x.id) AS i").first().i
+    op = lambda idc, value: f"named_struct('idc', {idc}, 'value', {value})"
+    assert ids("CAST(array() AS ARRAY<STRUCT<idc: INT, value: INT>>)") == [1, 2, 3]
+    assert ids(f"array({op(0, 1)})") == [2, 1, 3]
+    assert ids(f"array({op(2, 2)}, {op(0, 0)})") == [3, 1, 2]
+    assert ids(f"array({op(0, 0)}, {op(1, 15)})") == [1, 1, 2, 3]  # a picture that stands before the place stays there
+    assert ids(f"array({op(0, 4)})") is None
