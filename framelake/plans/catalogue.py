@@ -636,7 +636,7 @@ def container_samples(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN lead(pts) OVER w - pts > 0 THEN lead(pts) OVER w - pts ELSE delta END * 1000000000 // {TIMESCALE} AS duration_ns, sync AS is_sync, "offset", size FROM q WINDOW w AS (PARTITION BY path ORDER BY pts, idx)""")
 def container_timeline(spark: SparkSession, d: str) -> DataFrame:
     s = C.samples(C.tracks(C.boxes(_files(spark, d)))).withColumnRenamed("sample_idx", "idx").withColumnRenamed("duration", "delta")
-    p = T.presentation_durations(T.presentation_order(s, "track"), "track", TIMESCALE)
+    p = T.presentation_timeline(stored(s, "samples"), "track", TIMESCALE)
     return p.select("track", "idx", "pts", "pos", "duration_ns", "is_sync", "offset", "size")
 
 

@@ -1,20 +1,20 @@
 """MP4 containers as tables: boxes, tracks, samples and units of files that Spark has read, and files made from samples.
 
-Only the box scan and the unit split are Python, a small loop over bytes each; tables inside boxes are
-read by expressions, run lengths are expanded and joined as rows.
+Only the box scan and the unit split are Python loops, small ones over bytes; tables inside boxes are
+decoded by the column, run lengths are expanded and brought together as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators import timeline as T
-from framelake.operators.scan import latest, prefix, scan
-from framelake.sources.storage import stored
 
 # Boxes that hold boxes, and sample entry formats of video.
 CONTAINERS = ("moov", "trak", "mdia", "minf", "stbl")
@@ -218,36 +218,94 @@ def decoders(t: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("format").isNull(), "video track has no decodable entry"))
 
 
+FACTS = "track string, kind string, first bigint, n bigint, a bigint, b bigint, c bigint"
+#: Samples that one row of facts stands for, at most: what one task makes of it.
+FACT_SAMPLES = 1 << 16
+#: Rows of a batch of facts.
+BATCH = 1 << 16
+
+
+def _table(data: bytes | None, width: int, kind: str = ">u4") -> np.ndarray:
+    """The entries of a table box as rows of integers; a count that the payload's length contradicts is an error."""
+    if data is None:
+        return np.zeros((0, width // int(kind[2])), dtype=np.int64)
+    if len(data) < 8 or len(data) != 8 + int.from_bytes(data[4:8], "big") * width:
+        raise ValueError("table box has a wrong length")
+    return np.frombuffer(data, dtype=kind, offset=8).reshape(-1, width // int(kind[2])).astype(np.int64)
+
+
+def _facts(stts: bytes | None, ctts: bytes | None, stsc: bytes | None, stsz: bytes | None, stco: bytes | None, co64: bytes | None, stss: bytes | None) -> Iterator[tuple[str, np.ndarray]]:
+    """(kind, rows of first sample, number of samples, a, b, c) from one track's tables."""
+    before = lambda x: np.cumsum(x) - x
+    column = lambda *cs: np.stack(np.broadcast_arrays(*cs), axis=1).astype(np.int64)
+    n, delta = _table(stts, 8).T
+    yield "time", column(before(n), n, before(n * delta), delta, 0)
+    n, shift = _table(ctts, 8).T
+    if ctts is not None and ctts[0] == 1:
+        shift = np.where(shift >= 1 << 31, shift - (1 << 32), shift)
+    yield "shift", column(before(n), n, shift, 0, 0)
+    flags = (stss is not None) + 2 * (ctts is not None)
+    if stsz is not None:
+        fixed, count = int.from_bytes(stsz[4:8], "big"), int.from_bytes(stsz[8:12], "big")
+        if len(stsz) != 12 + (0 if fixed else 4 * count):
+            raise ValueError("table box has a wrong length")
+        if fixed:
+            yield "size", column([0], [count], [fixed], [flags], 0)
+        else:
+            yield "size", column(np.arange(count), 1, np.frombuffer(stsz, dtype=">u4", offset=12), flags, 0)
+    offsets = (_table(stco, 4) if stco is not None else _table(co64, 8, ">u8"))[:, 0]
+    steps = _table(stsc, 12)
+    chunk = np.arange(1, len(offsets) + 1)
+    step = np.searchsorted(steps[:, 0], chunk, side="right") - 1
+    some = step >= 0
+    n = np.where(some, steps[np.maximum(step, 0), 1], 0) if len(steps) else np.zeros(len(chunk), dtype=np.int64)
+    what = steps[np.maximum(step, 0), 2] if len(steps) else n
+    yield "chunk", column(before(n), n, offsets, what, chunk)
+    yield "sync", column(_table(stss, 4)[:, 0] - 1, 1, 0, 0, 0)
+
+
+def _cut(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of runs cut into runs of at most FACT_SAMPLES, and where in its run each begins; those of no samples go."""
+    parts = -(-rows[:, 1] // FACT_SAMPLES)
+    out = np.repeat(rows, parts, axis=0)
+    place = np.arange(len(out)) - np.repeat(np.cumsum(parts) - parts, parts)
+    out[:, 1] = np.minimum(out[:, 1] - place * FACT_SAMPLES, FACT_SAMPLES)
+    out[:, 0] += place * FACT_SAMPLES
+    return out, place * FACT_SAMPLES
+
+
 def samples(t: DataFrame) -> DataFrame:
     """The sample table of each of tracks(): track, sample_idx, offset, size, dts, pts, duration, description_index, is_sync.
 
+    Tables are decoded by the column, runs become a row a sample, and what the tables say of a sample meets in one aggregation.
     Tracks without any table have no samples. The tables are positional: their lengths must agree,
     and a sample that one of them lacks raises an error.
     """
-    t = stored(t.withColumn("track", F.concat_ws("#", "path", F.col("trak").cast("string"))), "tracks")
-    runs = t.select("track", F.posexplode(_entries("stts", 8, [("n", 0, 4), ("delta", 4, 4)])).alias("run", "e")).selectExpr("track", "CAST(run AS BIGINT) AS run", "e.n AS n", "e.delta AS delta")
-    timing = T.expand_runs(runs, "track", "run", "n").select("track", "sample_idx", "delta")
-    shifts = t.where("ctts IS NOT NULL").select("track", F.expr("hex(substring(ctts, 1, 1)) = '01'").alias("signed"), F.posexplode(_entries("ctts", 8, [("n", 0, 4), ("v", 4, 4)])).alias("run", "e"))
-    shifts = shifts.selectExpr("track", "CAST(run AS BIGINT) AS run", "e.n AS n", "CASE WHEN signed AND e.v >= 2147483648 THEN e.v - 4294967296 ELSE e.v END AS shift")
-    shifts = T.expand_runs(shifts, "track", "run", "n").select("track", "sample_idx", "shift")
-    fixed, count = long("stsz", 4), long("stsz", 8)
-    listed = f"transform(CASE WHEN {count} = 0 THEN CAST(array() AS ARRAY<BIGINT>) ELSE sequence(0L, {count} - 1) END, i -> CASE WHEN {fixed} <> 0 THEN {fixed} ELSE {long('stsz', '12 + i * 4')} END)"
-    sizes = t.where("stsz IS NOT NULL").select("track", F.posexplode(F.expr(listed)).alias("i", "size")).selectExpr("track", "CAST(i AS BIGINT) AS sample_idx", "size")
-    offsets = F.coalesce(_entries("stco", 4, [("at", 0, 4)]), _entries("co64", 8, [("at", 0, 8)]))
-    chunks = t.select("track", F.posexplode(offsets).alias("i", "e")).selectExpr("track", "CAST(i + 1 AS BIGINT) AS chunk", "e.at AS chunk_offset")
-    # the step in force at each chunk
-    steps = t.select("track", F.explode(_entries("stsc", 12, [("chunk", 0, 4), ("per_chunk", 4, 4), ("description", 8, 4)])).alias("e")).selectExpr("track", "e.chunk AS chunk", "struct(e.per_chunk, e.description) AS step")
-    stepped = stored(scan(chunks.join(steps, ["track", "chunk"], "left"), ["track"], ["chunk"], T.by_index("chunk"), now=latest(F.col("step"))), "steps")
-    placed = scan(stepped.selectExpr("track", "chunk", "chunk_offset", "now.per_chunk AS n", "now.description AS description_index"), ["track"], ["chunk"], T.by_index("chunk"), first=prefix(F.col("n")))
-    placed = placed.where("n > 0").select("track", "chunk", "chunk_offset", "description_index", F.explode(F.expr("sequence(first, first + n - 1)")).alias("sample_idx"))
-    marks = t.select("track", F.explode(_entries("stss", 4, [("k", 0, 4)])["k"]).alias("k")).selectExpr("track", "k - 1 AS sample_idx", "true AS marked").distinct()
-    has = t.selectExpr("track", "stss IS NOT NULL AS has_sync", "ctts IS NOT NULL AS has_shift")
-    rows = sizes.join(timing, ["track", "sample_idx"], "full").join(placed, ["track", "sample_idx"], "full").join(shifts, ["track", "sample_idx"], "left").join(marks, ["track", "sample_idx"], "left").join(has, "track")
-    lost = F.col("size").isNull() | F.col("delta").isNull() | F.col("chunk").isNull() | (F.col("has_shift") & F.col("shift").isNull())
+    tables = ["stts", "ctts", "stsc", "stsz", "stco", "co64", "stss"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for kind, rows in _facts(*[row[k] for k in tables]):
+                    rows, place = _cut(rows)
+                    if kind == "time":
+                        rows[:, 2] += place * rows[:, 3]
+                    for at in range(0, len(rows), BATCH):
+                        part = rows[at : at + BATCH]
+                        yield pa.record_batch({"track": [row["track"]] * len(part), "kind": [kind] * len(part)} | dict(zip(("first", "n", "a", "b", "c"), part.T.copy(), strict=True)))
+
+    named = t.select(F.concat_ws("#", "path", F.col("trak").cast("string")).alias("track"), *tables)
+    facts = named.mapInArrow(run, FACTS).repartition("track", "first").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.expr(value)))
+    rows = facts.groupBy("track", (F.col("first") + F.col("rep")).alias("sample_idx")).agg(
+        of("size", "a").alias("size"), of("size", "b").alias("has"), of("time", "a + rep * b").alias("dts"), of("time", "b").alias("delta"), of("shift", "a").alias("shift"),
+        of("chunk", "a").alias("chunk_offset"), of("chunk", "b").alias("description_index"), of("chunk", "c").alias("chunk"), F.coalesce(of("sync", "1"), F.lit(0)).alias("marked"),
+    )
+    lost = F.col("size").isNull() | F.col("delta").isNull() | F.col("chunk").isNull() | (F.col("has").bitwiseAND(F.lit(2)) > 0) & F.col("shift").isNull()
     rows = rows.withColumn("size", F.when(lost, F.raise_error(F.lit("sample tables differ in length")).cast("bigint")).otherwise(F.col("size")))
     rows = T.byte_offsets(rows, ["track", "chunk"], ["sample_idx"], "size")
-    rows = scan(stored(rows, "samples"), ["track"], ["sample_idx"], T.by_index("sample_idx"), dts=prefix(F.col("delta")))
-    return rows.select("track", "sample_idx", (F.col("chunk_offset") + F.col("offset")).alias("offset"), "size", "dts", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"), F.col("delta").alias("duration"), "description_index", (~F.col("has_sync") | F.coalesce("marked", F.lit(False))).alias("is_sync"))
+    sync = (F.col("has").bitwiseAND(F.lit(1)) == 0) | (F.col("marked") == 1)
+    return rows.select("track", "sample_idx", (F.col("chunk_offset") + F.col("offset")).alias("offset"), "size", "dts", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"), F.col("delta").alias("duration"), "description_index", sync.alias("is_sync"))
 
 
 def units(files: DataFrame, of_samples: DataFrame, length_size: int = 4) -> DataFrame:
