@@ -200,3 +200,55 @@ def countable(a: Column) -> Column:
 def inverse_map(values: Column) -> Column:
     """The index of each value from 0 to the length less 1 in a permutation."""
     return F.transform(values, lambda _, i: F.array_position(values, i.cast("bigint")) - 1)
+
+
+# The taps of half-sample interpolation.
+TAPS = (1, -5, 20, 20, -5, 1)
+
+
+def _tapped(values: list[Column]) -> Column:
+    out = values[0] * TAPS[0]
+    for v, w in zip(values[1:], TAPS[1:], strict=True):
+        out = out + v * w
+    return out
+
+
+def _byte(v: Column) -> Column:
+    return F.least(F.greatest(v, F.lit(0)), F.lit(255))
+
+
+def half_samples(window: Column) -> dict[str, Column]:
+    """Samples around the middle of a 6x6 window in raster order: full (the sample itself), right and below (half a sample on), centre (half on in both, from unrounded sums), and quarter between full and right."""
+    at = lambda r, c: _at(window, 6 * r + c)
+    right = _byte(F.shiftright(_tapped([at(2, c) for c in range(6)]) + 16, 5))
+    below = _byte(F.shiftright(_tapped([at(r, 2) for r in range(6)]) + 16, 5))
+    rows = F.array(*[_tapped([at(r, c) for c in range(6)]) for r in range(6)])
+    centre = F.transform(F.array(rows), lambda x: _byte(F.shiftright(_tapped([x[k] for k in range(6)]) + 512, 10)))[0]
+    return {"full": at(2, 2), "right": right, "below": below, "centre": centre, "quarter": F.shiftright(at(2, 2) + right + 1, 1)}
+
+
+def partitions(width: int, height: int, x: Column | None = None, y: Column | None = None, size: int = 16) -> Column:
+    """The parts of a square of size samples at (x, y), width by height each, in decoding order, as an array of structs (x, y, width, height)."""
+    x, y = (F.lit(0) if v is None else v for v in (x, y))
+    value = lambda v: F.lit(v).cast("bigint")
+    return F.array(*[F.struct((x + i).cast("bigint").alias("x"), (y + j).cast("bigint").alias("y"), value(width).alias("width"), value(height).alias("height")) for j in range(0, size, height) for i in range(0, size, width)])
+
+
+def inter_partitions(raw: Column, sub_types: Column) -> Column:
+    """The motion partitions of a P macroblock type (0 to 4); sub_types has one for each quarter of types 3 and 4. Null for others.
+
+    Types: whole, two halves above each other, two beside each other, quarters; of quarters: whole, two above each other, two beside each other, four.
+    """
+    halves = [partitions(16, 16), partitions(16, 8), partitions(8, 16)]
+    shapes = [(8, 8), (8, 4), (4, 8), (4, 4)]
+
+    def quarter(i: int) -> Column:
+        made, x, y = F.lit(None), F.lit(i % 2 * 8), F.lit(i // 2 * 8)
+        for k, (w, h) in enumerate(shapes):
+            made = F.when(_at(sub_types, i) == k, partitions(w, h, x, y, 8)).otherwise(made)
+        return made
+
+    out = F.when(raw.isin(3, 4), F.concat(*[quarter(i) for i in range(4)]))
+    for k, made in enumerate(halves):
+        out = F.when(raw == k, made).otherwise(out)
+    return out

@@ -867,3 +867,35 @@ def dpb_marking(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES["dpb_marking"] = dpb_marking  # a buffer that each picture changes is beyond SQL; tests replay it
+
+
+# --- interpolation and partitions over whole tables -----------------------------------------------
+
+_WINDOW_SQL = """w AS (SELECT vec_id, unnest(range(9)) AS w, list_transform(embedding, lambda v: (CAST(floor(CAST(v AS DOUBLE) * 128) AS BIGINT) & 255)) AS b FROM embeddings),
+x AS (SELECT vec_id, CAST(w AS INTEGER) AS w, list_transform(range(36), lambda i: b[(w // 3 + i // 6) * 8 + w % 3 + i % 6 + 1]) AS s FROM w)"""
+_TAP_SQL = lambda places: "(" + " + ".join(f"{t} * s[{p + 1}]" for t, p in zip(B.TAPS, places, strict=True)) + ")"
+_CLIP_SQL = lambda v: f"CAST(greatest(least({v}, 255), 0) AS BIGINT)"
+_CENTRE_SQL = " + ".join(f"{t} * {_TAP_SQL([6 * r + c for c in range(6)])}" for r, t in enumerate(B.TAPS))
+
+
+@_query(f"""WITH {_WINDOW_SQL}, y AS (SELECT *, {_CLIP_SQL(f'({_TAP_SQL([12, 13, 14, 15, 16, 17])} + 16) >> 5')} AS r FROM x)
+SELECT vec_id, w, s[15] AS "full", r AS "right", {_CLIP_SQL(f'({_TAP_SQL([2, 8, 14, 20, 26, 32])} + 16) >> 5')} AS below, {_CLIP_SQL(f'({_CENTRE_SQL} + 512) >> 10')} AS centre, (s[15] + r + 1) >> 1 AS quarter FROM y""")
+def luma_half_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as an 8x8 picture; all its 6x6 windows."""
+    b = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform(B.quantised(F.col("embedding"), 128), lambda v: v.bitwiseAND(F.lit(255))).alias("b"))
+    w = b.select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("w"))
+    x = w.select("vec_id", "w", F.expr("transform(sequence(0, 35), i -> b[CAST((w div 3 + i div 6) * 8 + w % 3 + i % 6 AS INT)])").alias("s"))
+    return x.select("vec_id", "w", *[c.alias(n) for n, c in B.half_samples(F.col("s")).items()])
+
+
+_SHAPES_SQL = "[[8, 8], [8, 4], [4, 8], [4, 4]]"
+
+
+@_query(f"""WITH p AS (SELECT p_partkey, p_partkey % 6 AS raw, p_size AS z FROM part),
+h AS (SELECT p_partkey, CAST(i % (16 // w) * w AS BIGINT) AS x, CAST(i // (16 // w) * h AS BIGINT) AS y, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height FROM (SELECT p_partkey, CASE raw WHEN 2 THEN 8 ELSE 16 END AS w, CASE raw WHEN 1 THEN 8 ELSE 16 END AS h, unnest(range(CASE raw WHEN 0 THEN 1 ELSE 2 END)) AS i FROM p WHERE raw < 3)),
+q AS (SELECT p_partkey, q, list_extract({_SHAPES_SQL}, CAST((z + q) % 4 AS INTEGER) + 1) AS s FROM (SELECT *, unnest(range(4)) AS q FROM p WHERE raw IN (3, 4))),
+e AS (SELECT p_partkey, q, s, unnest(range(64 // (s[1] * s[2]))) AS i FROM q)
+SELECT * FROM h UNION ALL SELECT p_partkey, CAST(q % 2 * 8 + i % (8 // s[1]) * s[1] AS BIGINT), CAST(q // 2 * 8 + i // (8 // s[1]) * s[2] AS BIGINT), CAST(s[1] AS BIGINT), CAST(s[2] AS BIGINT) FROM e""")
+def macroblock_partitions(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "part", "p_partkey", "p_size").select("p_partkey", (F.col("p_partkey") % 6).alias("raw"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("p_size") + i) % 4).alias("sub"))
+    return x.select("p_partkey", F.explode(B.inter_partitions(F.col("raw"), F.col("sub"))).alias("p")).select("p_partkey", "p.*")
