@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 import tempfile
@@ -186,9 +187,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _recorders:
+        _recorders[-1].append(out)
     return out
 
 
+_recorders: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recording(frames: list[DataFrame]) -> Iterator[None]:
+    """What materialize() writes meanwhile is added to frames, for discard()."""
+    _recorders.append(frames)
+    try:
+        yield
+    finally:
+        _recorders.pop()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote for these frames, once nothing reads them any more."""
     for df in frames:
