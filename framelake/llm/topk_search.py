@@ -10,28 +10,77 @@ are dealt to blocks as well, so a task holds a block of either kind, whatever th
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize, table
+from framelake.llm.common import bounded_batches, materialize, table
 
 #: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 1024, 2048
+CANDIDATES, QUERIES = 4096, 4096
 #: Depth of the first look at the threshold; it doubles from one look to the next.
 FIRST_DEPTH = 16
-#: Components are integers of at most this size, so that sums of their products are exact in doubles.
+#: Up to this size of components, sums of their products are exact in doubles (of 64 dimensions; checked for more).
 LARGEST = 1 << 22
+#: Scores are 64-bit integers; what is beyond counts as the largest or the smallest one.
+MOST = (1 << 63) - 1
 
 
-def quantized(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<double> of integers floor(256 * x)) of the rows that take part."""
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v array<double>) of the rows that take part."""
     x = F.col(vector).cast("array<double>")
-    usable = F.size(x) > 0
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= LARGEST / 256))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    return rows.where(F.when(usable, finite).otherwise(False)).select(F.col(key).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(c * 256.0).cast("double")).alias("v"))
+    return rows.where(F.when(F.size(x) > 0, finite).otherwise(False)).select(F.col(key).cast("bigint").alias("id"), x.alias("v"))
+
+
+def quantized(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of floor(256 * x) as doubles, whether a row is wide: its integers are too large for exact sums in doubles)."""
+    with np.errstate(over="ignore"):
+        q = np.floor(v * 256.0)
+    return q, np.abs(q).max(axis=1, initial=0) > LARGEST / max(1.0, (v.shape[1] / 64) ** 0.5)
+
+
+def _integers(v: np.ndarray) -> list[list[int]]:
+    """floor(256 * x) of rows of doubles of any size, exactly."""
+    return [[(256 * n) // d for n, d in map(float.as_integer_ratio, row)] for row in v.tolist()]
+
+
+def wide_topk(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """threshold_topk() in integers of any size, for the few rows that need them."""
+    rows, out = _integers(v), []
+    for q, me in zip(_integers(queries), own.tolist(), strict=True):
+        scored = ((max(-MOST - 1, min(MOST, sum(a * b for a, b in zip(x, q, strict=True)))), i) for x, i in zip(rows, ids.tolist(), strict=True) if i != me)
+        best = heapq.nsmallest(k, scored, key=lambda s: (-s[0], s[1]))
+        out.append((np.array([i for _, i in best], dtype=np.int64), np.array([s for s, _ in best], dtype=np.int64)))
+    return out
+
+
+def block_topk(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """threshold_topk() over vectors of doubles of any finite size."""
+    (x, wide_x), (q, wide_q) = quantized(v), quantized(queries)
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in own]
+
+    def add(at: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for i, f in zip(at.tolist(), found, strict=True):
+            parts[i].append(f)
+
+    plain_x, plain_q = np.flatnonzero(~wide_x), np.flatnonzero(~wide_q)
+    if len(plain_x) and len(plain_q):
+        add(plain_q, threshold_topk(x[plain_x], ids[plain_x], q[plain_q], own[plain_q], k))
+    if wide_x.any() and len(plain_q):
+        add(plain_q, wide_topk(v[wide_x], ids[wide_x], queries[plain_q], own[plain_q], k))
+    if wide_q.any():
+        add(np.flatnonzero(wide_q), wide_topk(v, ids, queries[wide_q], own[wide_q], k))
+    out = []
+    for found in parts:
+        i, s = np.concatenate([np.zeros(0, dtype=np.int64), *[f[0] for f in found]]), np.concatenate([np.zeros(0, dtype=np.int64), *[f[1] for f in found]])
+        first = sorted(range(len(i)), key=lambda r: (-int(s[r]), int(i[r])))[:k] if len(found) > 1 else slice(k)
+        out.append((i[first], s[first]))
+    return out
 
 
 def threshold_topk(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -76,27 +125,29 @@ def threshold_topk(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, key, score) of each query's k highest integer inner products.
 
-    Components count as floor(256 * x). Rows with a null key, a null or empty vector, or a null,
-    non-finite or absurdly large component (beyond 16384, where sums would no longer be exact) take
+    Components count as floor(256 * x), exactly for any finite x; a score beyond 64 bits counts as the largest or smallest long. Rows with a
+    null key, a null or empty vector, or a null or non-finite component take
     no part, neither as query nor as candidate. A query meets the candidates of its own number of dimensions except rows with its
-    key; rows that repeat a query's key are one query. Fewer candidates than k give fewer rows.
+    key; rows that repeat a query's key are one query, and rows that repeat a candidate's are candidates of their own. Ties go to the smaller key. Fewer candidates than k give fewer rows.
     """
-    q = materialize(quantized(queries, key, vector).groupBy("id").agg(F.min("v").alias("v")), "queries")
-    c = materialize(quantized(candidates, key, vector), "candidates")
+    bounded_batches(queries.sparkSession)
+    q = materialize(usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    c = materialize(usable(candidates, key, vector), "candidates")
     nq, nc = max(1, -(-q.count() // QUERIES)), max(1, -(-c.count() // CANDIDATES))
     q = q.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)).cast("array<bigint>")))
     c = c.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(nc)).alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
-
-    def run(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if some.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        own = some["id"].to_numpy()
-        found = threshold_topk(np.stack(block["v"]), block["id"].to_numpy(), np.stack(some["v"]), own, k)
-        return pd.DataFrame({"query_id": np.repeat(own, [len(i) for i, _ in found]), "id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-    best = q.groupBy("qb", "cb", "dim").cogroup(c.groupBy("qb", "cb", "dim")).applyInPandas(run, "query_id bigint, id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    columns = ["query_id", "id", "score"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in columns})
+        found = block_topk(np.stack(right["v"]), right["id"].to_numpy(), np.stack(left["v"]), left["id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), [len(i) for i, _ in found]), "id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+
+    by = ["dim", "qb", "cb"]
+    met = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(run, "query_id bigint, id bigint, score bigint")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
