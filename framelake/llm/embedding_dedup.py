@@ -1,7 +1,8 @@
 """Embedding near-duplicates by cross-polytope hashing after fast Hadamard rotations.
 
 A rotation is three rounds of random signs and a fast Walsh-Hadamard transform. A hash is the axis
-nearest to the rotated vector and its sign; a table's bucket joins HASHES of them. Each vector enters
+nearest to the rotated vector and its sign; a table's bucket joins as many of them as there must be for a bucket a vector of the
+largest label, so that buckets stay small however many vectors there are. Each vector enters
 its own bucket and, as probes, those with one hash replaced by the second nearest axis. Vectors
 that share a bucket are compared by cosine in double precision.
 
@@ -20,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, connected_components, grouped_stream, materialize, table
+from framelake.llm.common import bounded_batches, connected_components, discard, frugal, grouped_stream, materialize, table
 
-#: At a cosine of 0.98 in 64 dimensions, tests find over 0.99 of all links with these.
-TABLES, HASHES, COSINE = 8, 2, 0.98
+#: At a cosine of 0.98 in 64 dimensions, tests find over 0.99 of all links with these tables and two to five hashes.
+TABLES, COSINE = 8, 0.98
 #: Members of a block of a bucket.
 BLOCK = 512
 
@@ -43,7 +44,13 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_keys(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES) -> np.ndarray:
+def hashes_for(n: int, dim: int) -> int:
+    """Hashes of a bucket, two at least, for n vectors of dim components."""
+    axes = 2 << max(1, (dim - 1).bit_length())
+    return next((k for k in range(2, 8) if axes**k >= n), 8)
+
+
+def bucket_keys(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
     """(n, tables * (1 + hashes)) keys of the buckets of each row: its own and its probes, table by table."""
     n, d = x.shape
     dim = 1 << max(1, (d - 1).bit_length())
@@ -113,13 +120,14 @@ def compare_blocks(x: np.ndarray, y: np.ndarray | None, kx: np.ndarray, ky: np.n
     return nx, ny, np.stack([at, label[at]], axis=1)
 
 
-def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tables: int = TABLES, hashes: int = HASHES) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tables: int = TABLES, hashes: int | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
     Rows are compared when their labels are equal and not null and their vectors have equal length.
     A null, empty or zero vector and one with a null or non-finite component links with nothing,
     as does a row with a null key (whose component_id is null and kept false). Rows with equal vectors link with each
-    other; a row that repeats another's key is one more vector of that class. Extra columns are ignored.
+    other; a row that repeats another's key is one more vector of that class. Extra columns are ignored. hashes is hashes_for() the
+    largest label where it is not given.
     """
     bounded_batches(vectors.sparkSession)
     x = F.col(vector).cast("array<double>")
@@ -129,6 +137,10 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
     rows = materialize(rows, "vectors")
     classes = materialize(rows.where("l is not null").groupBy("l", "x").agg(F.min("k").alias("head"), F.count("*").alias("w")), "classes")
 
+    if hashes is None:
+        n, dim = classes.groupBy("l").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).agg(F.max("n"), F.max("d")).first()
+        hashes = hashes_for(n or 1, dim or 1)
+
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, group in batch.groupby(batch["x"].map(len)):
@@ -138,7 +150,7 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
                 keys = bucket_keys(m, tables, hashes)
                 yield pd.DataFrame({"head": group["head"], "l": group["l"], "w": group["w"], "dim": m.shape[1], "u": list(m), "keys": list(keys)})
 
-    units = materialize(classes.mapInPandas(hashed, "head bigint, l string, w bigint, dim int, u array<double>, keys array<bigint>"), "units")
+    units = materialize(classes.mapInPandas(frugal(hashed), "head bigint, l string, w bigint, dim int, u array<double>, keys array<bigint>"), "units")
     entries = units.select("head", "l", "dim", F.explode("keys").alias("bucket"))
     sizes = entries.groupBy("l", "dim", "bucket").agg(F.count("*").alias("m")).where("m > 1")
     placed = entries.join(sizes, ["l", "dim", "bucket"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
@@ -176,6 +188,7 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
     found = grouped_stream(members, ["l", "dim", "bucket", "i", "j"], compared, "head bigint, links bigint, up bigint, has boolean")
     found = materialize(found, "found")
     links = found.groupBy("head").agg(F.sum("links").alias("links"))
+    discard(units)
     groups = connected_components(found.where("has").select(F.col("head").alias("a"), F.col("up").alias("b")))
     named = classes.join(links, "head", "left").join(groups, F.col("head") == F.col("node"), "left")
     named = named.select("l", "x", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
