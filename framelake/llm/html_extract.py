@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ TRAINING_PAGES = 600
 # Elements by their role in HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = "script|style|title|head-only|textarea|noscript|template|svg|iframe|object|canvas|math|noframes|xmp"
+RAW_TAGS = frozenset("script style title head-only textarea noscript template svg iframe object canvas math noframes xmp".split())
 #: Tags that may stand in a head; any other one, or text, ends it.
 HEAD_TAGS = frozenset("html head title meta link base basefont bgsound style script noscript noframes template head-only".split())
 CLOSES_P = BLOCK_TAGS - frozenset("body html button label".split())
@@ -54,7 +55,9 @@ TELLING = {
 }
 TELLING_OF = {w: p for p, ws in TELLING.items() for w in ws.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?:svg|math)(?=[\s/>])[^>]*/>|<(" + RAW_TAGS + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+_NAME_AT = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile(r"[>\"']")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -68,6 +71,77 @@ class Block:
         self.text, self.path, self.linked, self.tag = text, path, linked, tag
 
 
+def tokens_of(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) along the page: 'text', 'open', 'close', 'raw' (a raw element, swallowed whole) or 'cdata' (its text).
+
+    Reads each character once or twice, whatever the page is: what was looked for in vain is not looked for again. A quote counts inside a tag behind an
+    equals sign, as in browsers; a tag without an end, and one in whose quotes the page would end, is cut at its first '>', or else text.
+    """
+    n, at, start = len(page), 0, 0
+    gone: set[str] = set()  # what does not come any more
+
+    def find(what: str, begin: int) -> int:
+        if what in gone:
+            return -1
+        place = page.find(what, begin)
+        if place < 0:
+            gone.add(what)
+        return place
+
+    def tag_end(begin: int) -> int:
+        """Where the tag's '>' is, -1 if nowhere."""
+        here = begin
+        while m := _TAG_STOP.search(page, here) if ">" not in gone else None:
+            if m[0] == ">":
+                return m.start()
+            before = m.start() - 1
+            while before >= begin and page[before].isspace():
+                before -= 1
+            if before >= begin and page[before] == "=":
+                close = find(m[0], m.end())
+                if close < 0:
+                    return find(">", begin)
+                here = close + 1
+            else:
+                here = m.end()
+        gone.add(">")
+        return -1
+
+    while (lt := page.find("<", at)) >= 0:
+        follow = page[lt + 1 : lt + 2]
+        closing = follow == "/"
+        name = _NAME_AT.match(page, lt + 1 + closing) if closing or follow.isalpha() else None
+        end, out = -1, None
+        if name:
+            stop = tag_end(name.end())
+            if stop >= 0:
+                tag, attributes, end = name[0].lower(), page[name.end() : stop], stop + 1
+                if tag in RAW_TAGS and not closing:
+                    if not (tag in ("svg", "math") and attributes.endswith("/")):
+                        m = _RAW_END[tag].search(page, end)
+                        end = m.end() if m else n
+                    out = ("raw", tag, "")
+                else:
+                    out = ("close" if closing else "open", tag, attributes)
+        elif page.startswith("<!--", lt):
+            stop = find("-->", lt + 4)
+            end, out = (stop + 3 if stop >= 0 else n), ("comment", "", "")
+        elif page.startswith("<![CDATA[", lt) and (stop := find("]]>", lt + 9)) >= 0:
+            end, out = stop + 3, ("cdata", page[lt + 9 : stop], "")
+        elif follow in ("!", "?") and (stop := find(">", lt + 2)) >= 0:
+            end, out = stop + 1, ("comment", "", "")
+        if out is None:
+            at = lt + 1
+            continue
+        if lt > start:
+            yield "text", page[start:lt], ""
+        if out[0] != "comment":
+            yield out
+        at = start = end
+    if start < n:
+        yield "text", page[start:], ""
+
+
 _purposes: dict[str, tuple[str, ...]] = {}
 
 
@@ -91,82 +165,99 @@ def _element_features(tag: str, attributes: str) -> tuple[str, ...]:
     return known
 
 
+class _Open:
+    """An open element: its tag, the nearest block tag, features of all open elements, and the nearest element below that nesting rules ask for."""
+
+    __slots__ = ("tag", "block", "path", "rule")
+
+    def __init__(self, tag: str, block: str, path: tuple, rule: int):
+        self.tag, self.block, self.path, self.rule = tag, block, path, rule
+
+
+_RULED = frozenset(SELF_NESTING) | frozenset(t for scope in SELF_NESTING.values() for t in scope.split())
+#: Tags that end an open element of the same kind.
+_LIKE = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of the whole page in order. Character references are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = []
+    count: Counter[str] = Counter()
     text: list[str] = []
-    linked = 0
+    linked, in_head = 0, False
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(htmllib.unescape("".join(text)).split())
         if joined:
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "")
-            out.append(Block(joined, tuple(dict.fromkeys(f for _, fs in stack for f in fs)), linked, tag))
+            out.append(Block(joined, stack[-1].path if stack else (), linked, stack[-1].block if stack else ""))
         text.clear()
         linked = 0
 
-    page, at, links, in_head = page or "", 0, 0, False
-    for m in _TOKEN.finditer(page):
-        piece = page[at : m.start()]
-        in_head = in_head and not piece.strip()
-        if piece and not in_head:
-            text.append(piece)
-            if links:
-                linked += len(piece)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(htmllib.escape(m[0][9:-3]))
-            elif m[0][1].isalpha() and (m[1] or "svg").lower() not in HEAD_TAGS:
-                in_head = False
+    def close_from(place: int) -> None:
+        for x in stack[place:]:
+            count[x.tag] -= 1
+        del stack[place:]
+
+    for kind, value, attributes in tokens_of(page or ""):
+        if kind == "text":
+            in_head = in_head and not value.strip()
+            if not in_head:
+                text.append(value)
+                if count["a"]:
+                    linked += len(value)
             continue
-        tag = tag.lower()
+        if kind == "cdata":
+            text.append(htmllib.escape(value))
+            continue
+        if kind == "raw":
+            in_head = in_head and value in HEAD_TAGS
+            continue
+        tag, closing = value, kind == "close"
         if tag == "head":
-            in_head = not m[2]
+            in_head = not closing
             continue
-        if tag not in HEAD_TAGS and (not m[2] or tag in ("body", "br")):
+        if tag not in HEAD_TAGS and (not closing or tag in ("body", "br")):
             in_head = False
         if tag == "br":
             text.append(" ")
             continue
         if in_head:
             continue
-        if m[2]:
+        if closing:
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            if count[tag]:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                close_from(place)
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-                i = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if not any(t in BLOCK_TAGS for t, _ in stack[i + 1 :]):
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+            if tag in CLOSES_P and stack and stack[-1].block == "p":
+                place = len(stack) - 1
+                while stack[place].tag != "p":
+                    place -= 1
+                close_from(place)
             if tag in SELF_NESTING:
-                scope = SELF_NESTING[tag].split()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] == tag or (tag in ("td", "th") and stack[i][0] in ("td", "th")) or (tag in ("dt", "dd") and stack[i][0] in ("dt", "dd")):
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                scope, like = SELF_NESTING[tag].split(), _LIKE.get(tag, (tag,))
+                place = (len(stack) - 1 if stack[-1].tag in _RULED else stack[-1].rule) if stack and any(count[t] for t in like) else -1
+                while place >= 0 and stack[place].tag not in scope:
+                    if stack[place].tag in like:
+                        close_from(place)
                         break
+                    place = stack[place].rule
         if tag in VOID_TAGS:
             continue
-        attributes = m[4] or ""
         if not attributes.rstrip().endswith("/") or tag in BLOCK_TAGS or tag == "a":
-            stack.append((tag, _element_features(tag, attributes)))
-            links += tag == "a"
-    if at < len(page) and not (in_head and not page[at:].strip()):
-        text.append(page[at:])
+            below = stack[-1] if stack else _Open("", "", (), -1)
+            own = _element_features(tag, attributes)
+            path = below.path if all(f in below.path for f in own) else tuple(dict.fromkeys((*below.path, *own)))
+            rule = len(stack) - 1 if below.tag in _RULED else below.rule
+            stack.append(_Open(tag, tag if tag in BLOCK_TAGS else below.block, path, rule))
+            count[tag] += 1
     flush()
     return out
 
@@ -177,9 +268,9 @@ def features(block: Block, position: float) -> list[str]:
     n = len(words)
     share = block.linked / max(1, len(block.text))
     out = [*block.path, f"tag={block.tag}", f"len={min(6, n.bit_length())}", f"links={min(4, int(share * 4.99))}", f"end={block.text[-1] in '.!?…:;»”'}", f"at={int(position * 4.99)}", "bias"]
-    if n <= 60:
-        out += {f"says={TELLING_OF[w]}" for x in words if (w := x.lower().strip(".,:;!()")) in TELLING_OF}
-    return out
+    said = Counter(TELLING_OF[w] for x in words if (w := x.lower().strip(".,:;!()")) in TELLING_OF)
+    # a word tells more of a short block
+    return out + [f"says={p},{min(3, int(8 * k / n))}" for p, k in said.items()]
 
 
 class Field:
