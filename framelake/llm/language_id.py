@@ -12,15 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, discard, materialize, table
+from framelake.llm.common import bounded_batches, frugal, give_back, start_task, table
 
 #: N-grams in a language's profile and in a document's; both lists are cut there by definition of the method.
 PROFILE = 400
 #: Labelled documents that a language's profile is learned from, at most (a hash of the key chooses them).
 LEARNED_DOCS = 4_000
+#: Languages that are learned, at most: the most frequent ones, as a column of dirty labels may hold any number.
+LANGUAGES = 500
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -58,17 +60,17 @@ def ranked(text: str | None, size: int = PROFILE) -> np.ndarray:
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = LEARNED_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
     """language -> its n-gram codes in rank order, from rows with a text and a language.
 
-    At most about per_language documents of each language are read (all of them, where there are
-    fewer), chosen by a hash of the key, so that a rerun learns the same. What the driver gets is
+    At most about per_language documents of each of the LANGUAGES most frequent languages are read (all of them, where there are
+    fewer), chosen by a hash of the key, so that a rerun learns the same; a null key is a key like others. What the driver gets is
     size codes a language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64(F.lit("language profile"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < share[F.col(lang)]).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    sample = rows.where(place < F.coalesce(share[F.col(lang)], F.lit(0.0))).select(F.col(lang).alias("l"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,10 +78,12 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
                 codes, n = np.unique(np.concatenate([ngrams(t) for t in group["t"]]), return_counts=True)
                 yield pd.DataFrame({"l": name, "code": codes, "n": n.astype(np.int64)})
 
-    counts = materialize(sample.mapInPandas(run, "l string, code bigint, n bigint").groupBy("l", "code").agg(F.sum("n").alias("n")), "ngrams")
-    out = {k: [r["code"] for r in counts.where(F.col("l") == k).orderBy(F.desc("n"), "code").limit(size).collect()] for k in sorted(sizes)}
-    discard(counts)
-    return {k: v for k, v in out.items() if v}
+    counts = sample.mapInPandas(frugal(run), "l string, code bigint, n bigint").groupBy("l", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "code"))
+    out: dict[str, list[int]] = {}
+    for r in counts.withColumn("place", place).where(F.col("place") <= size).orderBy("l", "place").collect():
+        out.setdefault(r["l"], []).append(r["code"])
+    return out
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE) -> DataFrame:
@@ -109,11 +113,17 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
         return best[0], 1.0 - best[1] / (size * len(own))
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) for x in t], columns=["lang_pred", "score"])
-
-    kept = docs.drop("lang_pred", "score", "__found")
-    return kept.withColumn("__found", predict(F.col(text))).select(*[kept[c] for c in kept.columns], F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        start_task("language")
+        for t in batches:
+            yield pd.DataFrame([one(x) for x in t], columns=["lang_pred", "score"])
+        give_back()
+
+    found = "__found"
+    while found in docs.columns:  # a column may be called anything
+        found += "_"
+    kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn(found, predict(F.col(text))).select(*kept, F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
 
 
 def held_out(key: str = "doc_id") -> F.Column:
