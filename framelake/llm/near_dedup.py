@@ -12,7 +12,8 @@ allow the similarity, and by an estimate from a longer signature (of these docum
 four standard deviations of the threshold; this happens inside tasks, block by block, and the pairs that pass are
 checked in full. Every two members of a bucket thus end in one group or have been compared.
 
-Equal documents (the same set of shingles) are one class, found by a hash of the set; links are looked for between classes.
+Equal documents (the same set of shingles) are one class, found by a hash of the set; links are looked for between classes. Classes
+have numbers of their own, so rows that repeat a key with other texts are documents of their own too.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, connected_components, grouped_stream, materialize, table, word_hashes
+from framelake.llm.common import bounded_batches, connected_components, discard, frugal, grouped_stream, materialize, table, word_hashes
 
 #: Words of a shingle, similarity in hundredths, bands and signature values of a band. At 0.75, four
 #: values in each of 28 bands miss a pair once in 40,000 times; at 0.8 once in 3 million.
@@ -34,7 +36,7 @@ SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 28, 4
 #: Values of the longer signature, a byte of each is kept; standard deviations of its estimate that are allowed for.
 SKETCH, DEVIATIONS = 1024, 4
 #: Members of a bucket that meet in a task.
-BLOCK = 1024
+BLOCK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,27 +80,34 @@ def min_max_signature(hashes: np.ndarray, values: int) -> np.ndarray:
     return np.stack([low, high], axis=1).reshape(-1)
 
 
-def _band_hashes(sig: np.ndarray, bands: int, rows: int) -> list[int]:
-    raw = sig.astype("<u4").tobytes()
-    return [xxhash.xxh64_intdigest(raw[4 * rows * k : 4 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)]
+def _band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    h = np.arange(1, bands + 1, dtype=np.uint64) * _ODD
+    for column in sig.reshape(bands, rows).T:
+        h = (h ^ column) * _ODD
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
-def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(k, n_shingles, whole hash of the set, bands array)."""
+def signatures(rows: DataFrame, n: int, bands: int, values: int) -> DataFrame:
+    """(k, h, n_shingles, whole hash of the set, bands array) from rows (k, t); h is xxhash64 of the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, t in zip(batch["k"].tolist(), batch["t"].tolist(), strict=True):
-                h = shingle_hashes(t, n)
-                if len(h):
-                    sig = min_max_signature(h, bands * rows)
-                    out.append((k, len(h), xxhash.xxh3_128_digest(h.tobytes()), _band_hashes(sig, bands, rows)))
+            sizes, whole, hashes = [], [], []
+            for t in batch.column("t").to_pylist():
+                s = shingle_hashes(t, n)
+                sizes.append(len(s))
+                if len(s):
+                    whole.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    hashes.append(_band_hashes(min_max_signature(s, bands * values), bands, values))
                 else:
-                    out.append((k, 0, None, None))
-            yield pd.DataFrame(out, columns=["k", "n_shingles", "whole", "bands"])
+                    whole.append(None)
+            some = np.array(sizes, dtype=np.int64) > 0
+            ends = np.concatenate([[0], np.cumsum(some) * bands]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *hashes])
+            yield pa.record_batch({"k": batch.column("k"), "h": batch.column("h"), "n_shingles": pa.array(sizes, pa.int64()), "whole": pa.array(whole, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, "k bigint, n_shingles bigint, whole binary, bands array<bigint>")
+    return rows.select("k", F.xxhash64("t").alias("h"), "t").mapInArrow(frugal(run), "k bigint, h bigint, n_shingles bigint, whole binary, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -118,29 +127,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     ta = docs.select(F.col("k").alias("a"), F.col("t").alias("ta"))
     tb = docs.select(F.col("k").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint")
+    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(frugal(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of docs.
 
     component_id is the smallest key that links reach, kept says that it is the row's own. A null
-    or empty text or one without words has no shingle and no link; rows with a null key link with
-    nothing and have a null component_id, kept false. Repeated rows are equal documents: both keep
-    their row. Extra columns are ignored. Texts are compared whole.
+    or empty text or one without words has no shingle and no link; a row with a null key is no
+    link between others, has the component_id of an equal set (null without one), and kept false. Repeated rows are equal documents: both keep
+    their row; rows that repeat a key with another text link by their own texts. Extra columns are ignored. Texts are compared whole.
     """
     bounded_batches(docs.sparkSession)
     rows_in = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    sig = materialize(signatures(rows_in, "k", "t", n, bands, rows), "signatures")
-    # one document stands for a class of equal sets
-    classes = materialize(sig.where("whole is not null and k is not null").groupBy("whole").agg(F.min("k").alias("head")), "classes")
-    heads = sig.join(classes, (sig.whole == classes["whole"]) & (sig.k == classes["head"])).groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    heads = materialize(heads, "heads")
+    sig = materialize(signatures(rows_in, n, bands, rows), "signatures")
+    # one document stands for a class of equal sets; its number holds once it is written
+    classes = sig.where("whole is not null and k is not null").groupBy("whole").agg(F.min(F.struct("k", "h")).alias("head"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    heads = materialize(classes.select(F.monotonically_increasing_id().alias("k"), "whole", F.col("head.k").alias("key"), F.col("head.h").alias("h"), "n", "bands"), "classes")
     buckets = heads.select("k", F.posexplode("bands").alias("band", "bucket")).select("k", "band", F.xxhash64("band", "bucket").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("k").alias("star"), F.max("k").alias("last")).where("star < last").select("bucket", "star")
     members = materialize(buckets.join(shared, "bucket"), "members")
     info = heads.select("k", "n", "bands")
-    texts = materialize(rows_in.join(members.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("t", ignorenulls=True).alias("t")), "texts")
+    wanted = heads.join(members.select("k").distinct(), "k", "left_semi").select(F.col("k").alias("c"), "key", "h")
+    texts = rows_in.select(F.col("k").alias("key"), F.xxhash64("t").alias("h"), "t").join(wanted, ["key", "h"]).groupBy("key", "h", "c").agg(F.first("t").alias("t"))
+    texts = materialize(texts.select(F.col("c").alias("k"), "t"), "texts")
 
     low = percent / 100
     least = low - DEVIATIONS * math.sqrt(low * (1 - low) / SKETCH)
@@ -188,16 +198,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     asking = open_.where("outside").withColumn("i", F.pmod("own", "ni")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("asking", F.lit(True))
     asked = open_.withColumn("j", F.pmod("own", "nj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("asking", F.lit(False))
     columns = ["bucket", "band", "i", "j", "k", "g", "outside", "asking"]
-    longer = texts.join(open_.select("k").distinct(), "k", "left_semi").mapInPandas(sketched, "k bigint, sketch binary").join(info, "k")
-    met = asking.select(columns).union(asked.select(columns)).join(materialize(longer, "sketches"), "k")
+    longer = texts.join(open_.select("k").distinct(), "k", "left_semi").mapInPandas(frugal(sketched), "k bigint, sketch binary").join(info, "k")
+    longer = materialize(longer, "sketches")
+    met = asking.select(columns).union(asked.select(columns)).join(longer, "k")
     rest = grouped_stream(met, ["bucket", "i", "j"], compared, "a bigint, b bigint").distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = materialize(_verified(rest, texts, n, percent), "links")
     found = connected_components(links.union(more))
-    # a class takes the smallest key of all that it reaches; class heads are the smallest of their classes
-    named = classes.join(found, classes["head"] == found.node, "left").select("whole", F.coalesce("component", "head").alias("component_id"))
-    out = sig.select("k", "n_shingles", "whole").join(named, "whole", "left")
-    return out.select(F.col("k").alias(key), "n_shingles", F.coalesce("component_id", "k").alias("component_id"), F.coalesce(F.coalesce("component_id", "k") == F.col("k"), F.lit(False)).alias("kept"))
+    discard(members, texts, links, first, grouped, longer, rest, more)
+    # a group takes the smallest key of all its classes
+    grouped = found.join(heads, heads["k"] == found["node"]).select("whole", "component", "key")
+    least_key = grouped.groupBy("component").agg(F.min("key").alias("component_id"))
+    named = grouped.join(least_key, "component").select("whole", "component_id")
+    of_class = heads.select("whole", "key").join(named, "whole", "left").select("whole", F.coalesce("component_id", "key").alias("c"))
+    out = sig.select("k", "n_shingles", "whole").join(of_class, "whole", "left")
+    component = F.coalesce("c", "k")
+    return out.select(F.col("k").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(False)).alias("kept"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
