@@ -10,10 +10,14 @@ enters about one bucket for three words.
 
 In each bucket, every document is paired with the bucket's smallest, a star. Each pair's texts are
 aligned by their shingles, and passages of at least WINDOW words, from the first to the last equal word, with an exact Jaccard
-similarity of 0.75 or more are repeats: the document with the larger key loses them. All documents of a bucket in which one has no
-repeat with the star (a short line that many texts hold can fill a bucket) enter buckets of equal paragraphs as well, with
-the hashes of all their paragraphs, where stars can't fail. No bucket is paired with itself. What can be missed is an equal paragraph of two
-documents that both repeat other passages of a star that lacks it. Connected components over verified pairs name the
+similarity of 0.75 or more are repeats: the document with the larger key loses them. A bucket is settled by a document if the
+part that brought it there lies in a repeat with the star. All documents of a bucket that is not settled by one of them
+(a short line that many texts hold can fill a bucket) meet again in two ways: in buckets of equal paragraphs, by
+the hashes of all their paragraphs that hold such a part, where stars can't fail (of an equal paragraph that no bucket has settled, some part is in a bucket that is not); and, for paragraphs that are only similar, in narrower buckets of the first one's key with a
+minimum over the shingles next to the part, on either side and under several permutations. No bucket is paired with itself. What can be missed is
+a similar, not equal, paragraph of two documents if all buckets that they share, narrower ones too, have a star unlike both: a
+paragraph of nothing but lines that fill buckets. A bucket that a good part of all documents enter is found in a sample and sorted in many tasks, each with a
+star of its own; these stars then meet in the bucket. Connected components over verified pairs name the
 cluster of each removal.
 """
 
@@ -23,19 +27,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import WORD, bounded_batches, connected_components, materialize, slide, table, word_hashes
+from framelake.llm.common import WORD, bounded_batches, connected_components, discard, frugal, materialize, slide, table, word_hashes
 
 #: Words of a shingle and of a paragraph, similarity in hundredths.
 SHINGLE, WINDOW, PERCENT = 5, 50, 75
 #: Words that an edit inside a passage may take.
 EDIT = 10
 
+#: Minima on each side of a part that narrow a bucket which is not settled.
+NARROW = 3
+#: Documents that are sampled for buckets with many documents, documents in the sample that make a bucket one, and tasks that such a bucket is dealt to.
+SAMPLED, HOT, SALTS = 4096, 32, 64
+
 _random = np.random.default_rng(977)
-_FACTORS = _random.integers(0, 1 << 31, 2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_MASKS = _random.integers(0, 1 << 32, 2, dtype=np.uint32)
+_FACTORS = _random.integers(0, 1 << 31, 2 + NARROW, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _random.integers(0, 1 << 32, 2 + NARROW, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,24 +80,73 @@ def part_width(window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -
     return max(1, out)
 
 
-def bucket_keys(text: str | None, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> np.ndarray:
-    """The distinct bucket keys of all paragraphs of the whole text; none for a shorter text."""
-    s = shingles(word_hashes(text), n)
+def part_keys(s: np.ndarray, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> np.ndarray:
+    """The bucket key of the part that begins at each shingle; none for a text that is shorter than a paragraph."""
     if len(s) < window - n + 1:
         return np.zeros(0, dtype=np.int64)
     width = part_width(window, percent, n)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    first, second = [(x ^ m) * f for m, f in zip(_MASKS, _FACTORS, strict=True)]
+    first, second = [(x ^ m) * f for m, f in zip(_MASKS[:2], _FACTORS[:2], strict=True)]
     key = np.ones(len(s) - width + 1, dtype=np.uint64)
     for v in (slide(first, width, np.minimum), slide(first, width, np.maximum), slide(second, width, np.minimum)):
         key = (key ^ v.astype(np.uint64)) * _MIX
         key ^= key >> np.uint64(31)
-    return np.unique(key[np.concatenate([[True], key[1:] != key[:-1]])]).view(np.int64)
+    return key.view(np.int64)
+
+
+def bucket_keys(text: str | None, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> np.ndarray:
+    """The distinct bucket keys of all paragraphs of the whole text; none for a shorter text."""
+    return np.unique(part_keys(shingles(word_hashes(text), n), window, percent, n))
+
+
+def narrower_keys(text: str | None, buckets: np.ndarray, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> np.ndarray:
+    """For each part of the text in one of the buckets: its key with each of NARROW minima over the shingles on its left, and on its right.
+
+    A paragraph's shingles that a part leaves stand at least half on one side of it, so that half of their number is looked at on either.
+    """
+    s = shingles(word_hashes(text), n)
+    keys = part_keys(s, window, percent, n)
+    if not len(keys):
+        return keys
+    width = part_width(window, percent, n)
+    side = max(1, (window - n + 1 - width + 1) // 2)
+    at = np.flatnonzero(_among(keys, np.sort(buckets)))
+    at = at[np.concatenate([[True], keys[at[1:]] != keys[at[:-1]]])] if len(at) else at
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    out = [np.zeros(0, dtype=np.int64)]
+    for k in range(NARROW):
+        low = slide((x ^ _MASKS[2 + k]) * _FACTORS[2 + k], side, np.minimum)
+        for place, places in ((1, at - side), (2, at + width)):
+            here = (places >= 0) & (places < len(low))
+            made = (keys[at[here]].view(np.uint64) ^ (low[places[here]].astype(np.uint64) + np.uint64((2 * k + place) << 32))) * _MIX
+            out.append((made ^ (made >> np.uint64(31))).view(np.int64))
+    return np.unique(np.concatenate(out))
+
+
+def unsettled(keys_a: np.ndarray, keys_b: np.ndarray, spans: list[tuple[int, int]], window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> np.ndarray:
+    """The distinct keys of parts of b that a (whose keys are sorted) has as well, if one of these parts lies in no span of b by a shingle or more."""
+    at = np.flatnonzero(_among(keys_b, keys_a))
+    words, open_ = part_width(window, percent, n) + n - 1, np.ones(len(at), dtype=bool)
+    for lo, hi in spans:
+        open_ &= ~((np.minimum(at + words, hi) - np.maximum(at, lo)) >= n)
+    return np.unique(keys_b[at[open_]])
 
 
-def paragraph_hashes(text: str | None, window: int = WINDOW) -> np.ndarray:
-    """The distinct hashes of all paragraphs of the whole text, each of its words in order."""
-    return np.unique(shingles(word_hashes(text), window)).view(np.int64)
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def paragraph_hashes(text: str | None, buckets: np.ndarray, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the paragraphs of the whole text that hold a part in one of the buckets, each of its words in order."""
+    words = word_hashes(text)
+    hit = _among(part_keys(shingles(words, n), window, percent, n), np.sort(buckets))
+    if not hit.any():
+        return np.zeros(0, dtype=np.int64)
+    held = slide(hit.astype(np.uint8), window - n + 2 - part_width(window, percent, n), np.maximum)
+    return np.unique(shingles(words, window)[held > 0]).view(np.int64)
 
 
 def _equal_ends(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -195,25 +254,67 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, window: int, percent: int) -> DataFrame:
-    """(a, b, h, spans): b's spans that repeat in a, for the pairs that have any; h tells versions of b apart."""
+def _verified(pairs: DataFrame, docs: DataFrame, window: int, percent: int, open_too: bool) -> DataFrame:
+    """(a, b, h, spans, open): b's spans that repeat in a, and with open_too the buckets of both that these don't settle, for the pairs that have any; h tells versions of b apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str | None, np.ndarray, np.ndarray] = (None, *[np.zeros(0, dtype=np.uint64)] * 2)
+        nothing = np.zeros(0, dtype=np.int64)
+        last: tuple = (None, None, None, None)
         for batch in batches:
             out = []
             for a, b, h, ta, tb in batch.itertuples(index=False):
                 if last[0] != ta:
-                    last = (ta, words := word_hashes(ta), shingles(words))
+                    words = word_hashes(ta)
+                    s = shingles(words)
+                    last = (ta, words, s, np.unique(part_keys(s, window, percent)) if open_too else nothing)
                 words_b = word_hashes(tb)
-                if found := repeats(last[1], last[2], words_b, shingles(words_b), window, percent):
-                    out.append((a, b, h, [{"lo": lo, "hi": hi} for lo, hi in found]))
-            yield pd.DataFrame(out, columns=["a", "b", "h", "spans"])
+                s = shingles(words_b)
+                found = repeats(last[1], last[2], words_b, s, window, percent)
+                left = unsettled(last[3], part_keys(s, window, percent), found, window, percent) if open_too else nothing
+                if found or len(left):
+                    out.append((a, b, h, [{"lo": lo, "hi": hi} for lo, hi in found], left))
+            yield pd.DataFrame(out, columns=["a", "b", "h", "spans", "open"])
 
     # both joins read one exchange of the texts
     joined = pairs.join(docs.alias("y"), F.col("b") == F.col("y.k")).select("a", "b", F.col("y.t").alias("tb"))
     joined = joined.join(docs.alias("x"), F.col("a") == F.col("x.k")).select("a", "b", F.xxhash64("tb").alias("h"), F.col("x.t").alias("ta"), "tb")
-    return joined.mapInPandas(run, "a bigint, b bigint, h bigint, spans array<struct<lo:int,hi:int>>")
+    return joined.mapInPandas(frugal(run), "a bigint, b bigint, h bigint, spans array<struct<lo:int,hi:int>>, open array<bigint>")
+
+
+def _keyed(docs: DataFrame, keys_of: Callable[..., np.ndarray], hot: np.ndarray) -> DataFrame:
+    """(bucket, salt, k) for each key that keys_of() gives for a row of docs (k, t, and what else it takes); salt is -1 but for hot buckets."""
+    given = [c for c in docs.columns if c != "k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("k").to_numpy()
+            made = [keys_of(*row) for row in zip(*[batch.column(c).to_pylist() for c in given], strict=True)]
+            bucket = np.concatenate([np.zeros(0, dtype=np.int64), *made])
+            k = np.repeat(own, [len(x) for x in made])
+            salt = np.full(len(k), -1, dtype=np.int32)
+            if len(hot):
+                many = np.isin(bucket, hot)
+                salt[many] = (k[many].view(np.uint64) * _MIX >> np.uint64(40)).astype(np.int64) % SALTS
+            for at in range(0, len(k), 1 << 17):
+                yield pa.record_batch({"bucket": bucket[at : at + (1 << 17)], "salt": salt[at : at + (1 << 17)], "k": k[at : at + (1 << 17)]})
+
+    return docs.mapInArrow(frugal(run), "bucket bigint, salt int, k bigint")
+
+
+def _stars(docs: DataFrame, keys_of: Callable[..., np.ndarray], name: str) -> DataFrame:
+    """(bucket, a, b), stored: a bucket's star, its smallest document, with each other one; in a hot bucket a star of the document's share, and these with the bucket's."""
+    total = docs.count()
+    sample = docs if total <= SAMPLED else docs.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("k")), F.lit(total // SAMPLED)) == 0)
+    counted = _keyed(sample, keys_of, np.zeros(0, dtype=np.int64)).groupBy("bucket").count().where(F.col("count") >= HOT)
+    hot = np.array(sorted(r[0] for r in counted.orderBy(F.desc("count"), "bucket").limit(4096).collect()), dtype=np.int64) if total > HOT else np.zeros(0, dtype=np.int64)
+    # the running first value needs no buffer: a bucket streams by, however many documents it has
+    so_far = lambda *by: Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starred = _keyed(docs, keys_of, hot).withColumn("star", F.first("k").over(so_far("bucket", "salt")))
+    first = materialize(starred.where("k <> star OR salt >= 0"), name)
+    tops = first.where("k = star").select("bucket", "k").withColumn("star", F.first("k").over(so_far("bucket")))
+    out = first.where("k <> star").select("bucket", F.col("star").alias("a"), F.col("k").alias("b")).union(tops.where("k <> star").select("bucket", F.col("star").alias("a"), F.col("k").alias("b")))
+    out.stored_at = first.stored_at
+    return out
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
@@ -226,32 +327,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-
-    def stars(docs: DataFrame, keys_of: Callable[[str], np.ndarray]) -> DataFrame:
-        """(bucket, a, b): the smallest document of a bucket and each other one."""
-
-        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keys = [keys_of(t) for t in batch["t"]]
-                yield pd.DataFrame({"bucket": np.concatenate([np.zeros(0, dtype=np.int64), *keys]), "k": np.repeat(batch["k"].to_numpy(), [len(x) for x in keys])})
-
-        # the running first value needs no buffer: a bucket streams by, however many documents it has
-        order = Window.partitionBy("bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        starred = docs.mapInPandas(keyed, "bucket bigint, k bigint").withColumn("star", F.first("k").over(order))
-        return starred.where("k <> star").select("bucket", F.col("star").alias("a"), F.col("k").alias("b"))
-
-    hits = materialize(stars(rows, lambda t: bucket_keys(t, window, percent)), "hits")
+    hits = _stars(rows, lambda t: bucket_keys(t, window, percent), "hits")
     pairs = materialize(hits.select("a", "b").distinct(), "pairs")
-    found = materialize(_verified(pairs, rows, window, percent), "repeats")
-    failed = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-    mixed = hits.join(hits.join(failed, ["a", "b"]).select("bucket").distinct(), "bucket", "left_semi")
-    mixed = materialize(mixed.select(F.col("b").alias("k")).union(mixed.select("a")).distinct(), "mixed")
-    rest = rows.join(mixed, "k", "left_semi")
-    again = stars(rest, lambda t: paragraph_hashes(t, window)).select("a", "b").distinct()
+    found = materialize(_verified(pairs, rows, window, percent, True), "repeats")
+    # documents of buckets that one of them does not settle
+    open_ = found.select(F.explode("open").alias("bucket")).distinct()
+    mixed = hits.join(open_, "bucket", "left_semi")
+    mixed = materialize(mixed.select(F.col("b").alias("k"), "bucket").union(mixed.select("a", "bucket")).groupBy("k").agg(F.collect_set("bucket").alias("m")), "mixed")
+    rest = materialize(rows.join(mixed, "k"), "rest")
+    equal = _stars(rest.select("k", "t", "m"), lambda t, m: paragraph_hashes(t, np.array(m, dtype=np.int64), window, percent), "equal")
+    near = _stars(rest.select("k", "t", "m"), lambda t, m: narrower_keys(t, np.array(m, dtype=np.int64), window, percent), "near")
+    again = equal.select("a", "b").union(near.select("a", "b")).distinct()
     again = materialize(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_verified(again, rest, window, percent), "repeats")
-    every = found.union(more)
+    more = materialize(_verified(again, rest.select("k", "t"), window, percent, False), "repeats")
+    every = found.union(more).where(F.size("spans") > 0)
     clusters = connected_components(every)
+    discard(hits, pairs, mixed, rest, equal, near, again)
 
     @F.pandas_udf("array<struct<lo:int,hi:int>>")
     def union_of(lists: pd.Series) -> pd.Series:
@@ -285,6 +376,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("k"), "spans", "removed_words", "cluster_id")
-    out = docs.select("doc_id").join(spans, F.col("doc_id") == F.col("k"), "left")
+    spans = repeated_spans(docs).select(F.col("doc_id").alias("k"), "h", "spans", "removed_words", "cluster_id")
+    own = docs.select("doc_id", F.xxhash64("text").alias("own"))
+    out = own.join(spans, (F.col("doc_id") == F.col("k")) & (F.col("own") == F.col("h")), "left")
     return out.select("doc_id", F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "spans", F.coalesce("cluster_id", "doc_id").alias("cluster_id"))
