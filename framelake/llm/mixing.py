@@ -87,16 +87,16 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("pos", "n")).select("shard", (F.col("pos") + 1).alias("rank"), "n")
 
 
-def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, size, source_size, target, taken, pieces) for every row of docs.
 
     size counts the words of the whole text (null: 0). pieces has, for each time that the mix takes
     the row: copy (1, 2), words (the size, but fewer where the source's target ends inside the
     document), shard, and place (the order in the shard); taken is the sum of words. The sum over a source is its target
     rounded to whole words. A null source is a source of its own; rows without words are never
-    taken; rows that repeat a key are documents of their own. Extra columns are ignored.
+    taken; rows that repeat a key are documents of their own. Extra columns are ignored but for the carried ones.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint").alias("size"))
+    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint").alias("size"), *carried)
     rows = materialize(rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("k"))), "sizes")
     stretches = 1 << max(0, math.ceil(math.log2(max(1, rows.count()) / STRETCH)) + 4)
     sources = materialize(source_targets(rows), "sources").withColumn("goal", F.round("target").cast("bigint"))
@@ -126,7 +126,7 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     piece = [F.when(F.col(f"words{c}") > 0, F.struct(F.lit(c).alias("copy"), F.col(f"words{c}").alias("words"), F.col(f"shard{c}").alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), F.lit(c), F.col("k")).alias("place"))) for c in (1, 2)]
     pieces = F.filter(F.array(*piece), lambda x: x.isNotNull())
     placed = placed.withColumn("pieces", pieces)
-    return placed.select(F.col("k").alias(key), "size", "source_size", "target", F.aggregate("pieces", F.lit(0).cast("bigint"), lambda a, x: a + x["words"]).alias("taken"), "pieces")
+    return placed.select(F.col("k").alias(key), "size", "source_size", "target", F.aggregate("pieces", F.lit(0).cast("bigint"), lambda a, x: a + x["words"]).alias("taken"), "pieces", *carried)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -135,14 +135,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     A document where its source's target ends keeps the words before that end, joined by spaces;
     all others keep their whole text. Rows with a null key are taken as often as the plan says for null keys.
     """
-    plan = mixing_plan(docs, key, text, source, shards, seed).where("taken > 0").select(F.col(key).alias("__k"), F.col("size").alias("__size"), F.explode("pieces").alias("__p"))
-    # rows that repeat a key are told apart by their number, so that each meets its own plan
-    order = Window.partitionBy("__k", "__size", "__p.copy").orderBy(F.desc("__p.words"), "__p.place")
-    plan = plan.withColumn("__n", F.row_number().over(order))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint")
-    rows = docs.withColumn("__s", size)
-    rows = rows.withColumn("__m", F.row_number().over(Window.partitionBy(key, "__s").orderBy(F.xxhash64(*docs.columns))))
-    taken = rows.join(plan, rows[key].eqNullSafe(plan["__k"]) & (F.col("__s") == F.col("__size")) & (F.col("__m") == F.col("__n")))
+    rows = docs.withColumns({"__s": size, "__r": F.xxhash64(*docs.columns)})
+    plan = mixing_plan(rows, key, text, source, shards, seed, carried=("__r",)).where("taken > 0")
+    # rows that are equal in all columns take turns in the pieces of their plans; texts are shuffled once for this and once to their shards
+    plan = plan.groupBy(F.col("size").alias("__s"), "__r").agg(F.collect_list("pieces").alias("__all"))
+    rows = rows.withColumn("__m", F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__r")))
+    taken = rows.join(plan, ["__s", "__r"]).where(F.col("__m") <= F.size("__all")).withColumn("__p", F.explode(F.get("__all", F.col("__m") - 1)))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD_PATTERN})")), 1, F.col("__p.words").cast("int")), " ")
     taken = taken.withColumn(text, F.when(F.col("__p.words") < F.col("__s"), cut).otherwise(F.col(text)))
     taken = taken.repartitionByRange(shards, "__p.shard").sortWithinPartitions("__p.shard", "__p.place", key)
