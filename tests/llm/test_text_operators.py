@@ -59,6 +59,38 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in L.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_equals_plain_distances(spark, sf):
+    """Profiles and out-of-place distances counted letter by letter."""
+
+    def grams(text):
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        padded = " " + " ".join(letters.split()) + " "
+        return collections.Counter(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n].strip()) if letters.strip() else {}
+
+    def code(g):  # ties go by this number
+        return sum((0 if c == " " else ord(c)) << 18 * (len(g) - 1 - i) for i, c in enumerate(g)) | {1: 1 << 60, 2: 1 << 61, 3: 0}[len(g)]
+
+    top = lambda counts: sorted(counts, key=lambda g: (-counts[g], code(g)))[: L.PROFILE]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    learned = {}
+    for r in docs.where(~L.held_out()).collect():
+        if r.lang is not None and r.text is not None:
+            learned.setdefault(r.lang, collections.Counter()).update(grams(r.text))
+    places = {k: {g: i for i, g in enumerate(top(c))} for k, c in learned.items()}
+    out = {r.doc_id: r for r in L.op1_language_id(spark, sf).collect()}
+    for r in docs.collect():
+        own = top(grams(r.text))
+        far = {k: sum(min(abs(p[g] - i), L.PROFILE) if g in p else L.PROFILE for i, g in enumerate(own)) for k, p in places.items()}
+        best = min(sorted(far), key=far.get) if own else "und"
+        assert out[r.doc_id].lang_pred == best
+        assert out[r.doc_id].score == (pytest.approx(1 - far[best] / (L.PROFILE * len(own))) if own else 0)
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = docs_of(spark, [(1, "abab", "y"), (2, "abab", "x"), (3, "abab", None)])
+    assert {r.lang_pred for r in L.identify(docs, L.learn(docs)).collect()} == {"x"}
+
+
 def brute_groups(rows, percent=75):
     sets, parent = {}, {}
     for k, t in rows:
@@ -109,6 +141,16 @@ def test_near_duplicates_edges(spark):
     assert N.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_versions_of_a_key(spark):
+    """Rows that repeat a key with other texts are documents of their own: none of their links is lost."""
+    r = random.Random(12)
+    a, b = prose(r, 60), prose(r, 60)
+    near = lambda t: t + " zzz"
+    rows = [(5, a), (5, b), (7, near(a)), (9, near(b)), (11, prose(r, 60))]
+    out = sorted((x.doc_id, x.component_id, x.kept) for x in N.near_duplicates(docs_of(spark, rows)).collect())
+    assert out == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)]
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
@@ -180,6 +222,36 @@ def test_repeats_edges(spark):
     assert [(r.doc_id, r.removed_words) for r in near] == [(2, 70)]
 
 
+def test_repeats_of_versions(spark):
+    r = random.Random(5)
+    p, q = prose(r, 70), prose(r, 80)
+    rows = [(1, p + " " + q), (3, p + " one"), (3, q + " two"), (None, p)]
+    out = D.repeated_spans(docs_of(spark, rows)).collect()
+    assert sorted((x.doc_id, x.removed_words) for x in out) == [(3, 70), (3, 80)]
+    docs = docs_of(spark, rows).select("doc_id", "text")
+    assert sorted((str(x.doc_id), x.text) for x in D.remove_repeats(docs).collect()) == sorted([("1", rows[0][1]), ("3", "one"), ("3", "two"), ("None", p)])
+
+
+def test_passages_of_lines_that_fill_buckets(spark):
+    """Similar, not equal, passages made of lines that many documents hold: recall is measured, and equal ones are all found."""
+    r = random.Random(21)
+    lines = [prose(r, 26) for _ in range(14)]
+    rows = [(k, "\n".join([prose(r, 30), lines[k % 14], prose(r, 30)])) for k in range(140)]
+    pairs = []
+    for k in range(140, 200, 2):
+        passage = " ".join(r.sample(lines, 3)).split()
+        changed = list(passage)
+        if k % 4:
+            changed[r.randint(5, 70)] = "zz"
+        for own, words_ in ((k, passage), (k + 1, changed)):
+            rows.append((own, " ".join([prose(r, 40), *words_, prose(r, 40)])))
+        pairs.append((k, k + 1, k % 4 == 0))
+    spans = {x.doc_id: x.removed_words for x in D.repeated_spans(docs_of(spark, rows)).collect()}
+    assert all(spans.get(b, 0) >= 50 for _, b, equal in pairs if equal)
+    near = [spans.get(b, 0) >= 50 for _, b, equal in pairs if not equal]
+    assert sum(near) >= 0.9 * len(near), sum(near)
+
+
 def near_passages(seed):
     """Two texts that share a passage of 50 to 80 words with a Jaccard similarity of 0.75 or more; its first and last words are equal."""
     r = random.Random(seed)
@@ -308,3 +380,23 @@ def test_sharding(spark, shards):
     assert max(loads.values()) <= max(group, 1.05 * sum(loads.values()) / shards + 30)
     assert not rest or rest[-1] - rest[0] <= 0.05 * sum(loads.values()) / shards + 30
     assert H.shard_documents(docs_of(spark, rows).limit(0), shards).count() == 0
+
+
+@pytest.mark.parametrize("shards", [3, 24])
+def test_sharding_against_one_heap(spark, shards):
+    """The tree of schedules is as even as one longest-processing-time schedule over all groups, but for a small group's size."""
+    import heapq
+
+    r = random.Random(3)
+    rows = [(k, prose(r, r.choice([1, 5, 30, 200]))) for k in range(900)] + [(900 + k, f"copy {k % 20}") for k in range(300)]
+    groups = collections.Counter()
+    for _, t in rows:
+        groups[t] += 8 + len(t.encode())
+    heap = [0] * shards
+    for load in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + load)
+    out = collections.Counter()
+    for x in H.shard_documents(docs_of(spark, rows), shards).collect():
+        out[x.shard] += x["size"]
+    assert sum(out.values()) == sum(heap)
+    assert max(out.values()) <= max(heap) + max(16, sum(heap) // shards // 50)

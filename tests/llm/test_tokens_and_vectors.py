@@ -1,10 +1,12 @@
 """Token encoders, token files, HTML, search and embedding dedup against libraries and brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +34,7 @@ def test_pieces_equal_the_library(spark, sf):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = odd_texts() + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, None, 1), (0, texts[0], 1)], "doc_id bigint, text string, n_tokens int")
-    out = S.encode_documents(docs, PIECES, with_ids=True).collect()
+    out = S.encode_documents(docs, PIECES, with_ids=True, with_text=True).collect()
     assert len(out) == len(texts) + 2
     for r in out:
         ids = lib.encode(texts[r.doc_id] if r.doc_id is not None else "", add_bos=True, add_eos=True)
@@ -167,6 +169,63 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert [tuple(o) for o in K.top_k(two.where("vec_id = 0"), two, 5).collect()] == [(0, 1, 1, 65536)]
 
 
+def test_topk_of_large_components(spark):
+    """Components of any finite size count exactly; scores beyond 64 bits count as the largest or smallest."""
+    rows = [(0, [20_000.0, 1.0]), (1, [1.5, -2.0]), (2, [20_000.5, 3.0]), (3, [-1e30, 4.0]), (4, [1e300, 0.0]), (5, [0.25, 1e9]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    q = {k: [math.floor(256 * Fraction(x)) for x in v] for k, v in rows}
+    most = (1 << 63) - 1
+    want = set()
+    for a in q:
+        scored = sorted((-max(-most - 1, min(most, sum(x * y for x, y in zip(q[a], q[b], strict=True)))), b) for b in q if b != a)[:4]
+        want |= {(a, i + 1, b, -s) for i, (s, b) in enumerate(scored)}
+    assert {tuple(o) for o in K.top_k(df, df, 4).collect()} == want
+
+
+@pytest.mark.parametrize("hashes", [2, 3, 4, 5])
+def test_planted_links_share_a_bucket(hashes):
+    """Recall of pairs at a cosine just above the threshold, whatever number of hashes the size of the table asks for."""
+    r = np.random.default_rng(hashes)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = r.normal(size=x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    y = 0.981 * x + math.sqrt(1 - 0.981**2) * e
+    a, b = E.bucket_keys(x, E.TABLES, hashes), E.bucket_keys(y, E.TABLES, hashes)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.97
+    assert E.hashes_for(128**hashes, 64) == hashes and E.hashes_for(128**hashes + 1, 64) == hashes + 1
+
+
+def test_embedding_rows_that_repeat_a_key(spark):
+    v, w = [1.0] * 64, [1.0] * 32 + [-1.0] * 32
+    rows = [(1, v, 0), (1, v, 0), (1, w, 0), (4, w, 0), (None, v, 0)]
+    out = sorted(map(tuple, E.embedding_duplicates(vectors(spark, rows)).collect()), key=str)
+    assert out == sorted([(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (4, 1, 1, False), (None, 0, None, False)], key=str)
+
+
+@pytest.mark.parametrize("piece", ["<svg x ", "<a \"x ' ", "<![CDATA[ ", "<div>text ", "<p title=\"it's>", "<a href='", "</p", "<li><div>x"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        page, began = piece * (n // len(piece)), time.process_time()
+        X.page_features(X.blocks_of(page))
+        return time.process_time() - began
+
+    assert seconds(400_000) <= 6 * seconds(100_000) + 0.5
+
+
+def test_words_apart_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    lib, enc, r = Tokenizer.from_file(BYTES), T.WordEncoder(BYTES, False), random.Random(9)
+    bits = ["the", "of", " ", "  ", "\n", "\n\n", ".", ",", "...", "'s", "'", "\t", "\r\n", "\u00a0", "é", "日本", "½", "\u0301", "&&&", "42", "<|endoftext|>", "|", "_", "@x.com", "\0", "\x1c", "\u3000", "🙂", "I'm.", "x.", " word", " the,"]
+    for _ in range(500):
+        texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(4)]
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("block", [8, 512])
 def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(E, "BLOCK", block)
