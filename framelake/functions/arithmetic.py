@@ -153,3 +153,23 @@ def least_reference(left: str, top: str) -> Column:
 def increments(left: str, top: str) -> Column:
     """How many of two conditions on neighbours hold; an unknown one does not."""
     return F.expr(f"CAST(CAST(coalesce({left}, false) AS INT) + CAST(coalesce({top}, false) AS INT) AS BIGINT)")
+
+
+def block_place(index: str) -> tuple[Column, Column]:
+    """(x, y) of a 4x4 block in its macroblock, blocks in order of quarters and of their quarters."""
+    return F.expr(f"{index} % 2 + {index} div 4 % 2 * 2"), F.expr(f"{index} div 2 % 2 + {index} div 8 * 2")
+
+
+def raster_place(address: str, width: int) -> tuple[Column, Column]:
+    """(x, y) of an address in rows of width."""
+    return F.expr(f"{address} % {width}"), F.expr(f"{address} div {width}")
+
+
+def gradient(place: str, steps: int) -> Column:
+    """A byte that rises from 0 to 255 over steps places."""
+    return F.expr(f"CAST({place} * 255 div {steps - 1} AS BIGINT)")
+
+
+def wrapped_qp(before: str, delta: str, first: int = 26) -> Column:
+    """A quantiser from the sum of the deltas before and its own, from 0 to 51."""
+    return F.expr(f"CAST(pmod({first} + {before} + {delta}, 52) AS BIGINT)")

@@ -252,3 +252,13 @@ def inter_partitions(raw: Column, sub_types: Column) -> Column:
     for k, made in enumerate(halves):
         out = F.when(raw == k, made).otherwise(out)
     return out
+
+
+def nonzero(a: Column) -> Column:
+    """How many values are not 0."""
+    return F.size(F.filter(a, lambda v: v != 0)).cast("bigint")
+
+
+def checksum(a: Column) -> Column:
+    """The sum of all values."""
+    return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)

@@ -12,9 +12,10 @@ from framelake.functions import bitstrings as S
 from framelake.functions import blocks as B
 from framelake.operators import parameter_sets as P
 from framelake.operators import references as R
+from framelake.operators import relations as N
 from framelake.operators import timeline as T
 from framelake.operators import units as U
-from framelake.operators.scan import latest, prefix, scan
+from framelake.operators.scan import latest, preceding, prefix, scan
 from framelake.sources import container as C
 from framelake.sources.storage import stored
 from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, stored_timed, timed
@@ -107,13 +108,13 @@ def sliding_refs(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {SAMPLES_SQL} SELECT event_id, CAST(((26 + sum(k % 7 - 3) OVER (PARTITION BY user_id ORDER BY idx)) % 52 + 52) % 52 AS BIGINT) AS qp FROM s")
 def qp_accum(spark: SparkSession, d: str) -> DataFrame:
     q = samples(spark, d, before=prefix(F.col("k") % 7 - 3))
-    return q.select("event_id", F.pmod(26 + F.col("before") + F.col("k") % 7 - 3, F.lit(52)).cast("bigint").alias("qp"))
+    return q.select("event_id", A.wrapped_qp("before", "k % 7 - 3").alias("qp"))
 
 
 @_query("WITH r AS (SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY user_id, event_type) SELECT user_id, event_type, event_id FROM r")
 def last_write_wins(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events", "user_id", "event_type", "event_id", "ts")
-    return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return N.last_writes(e, ["user_id", "event_type"], "event_id", ["ts", "event_id"])
 
 
 @_query("SELECT event_id, CAST(floor((event_id - 5000) / 7.0) AS BIGINT) AS quotient, (((event_id - 5000) % 7) + 7) % 7 AS remainder FROM events")
@@ -166,20 +167,20 @@ def stsc_asof(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) AS is_sync FROM orders")
 def sync_flag(spark: SparkSession, d: str) -> DataFrame:
-    marked = read(spark, d, "lineitem", "l_orderkey", "l_quantity").where("l_quantity >= 49").select(F.col("l_orderkey").alias("m")).distinct()
-    return read(spark, d, "orders", "o_orderkey").join(marked, F.col("o_orderkey") == F.col("m"), "left").select("o_orderkey", F.col("m").isNotNull().alias("is_sync"))
+    marks = read(spark, d, "lineitem", "l_orderkey", "l_quantity").where("l_quantity >= 49")
+    return N.flagged(read(spark, d, "orders", "o_orderkey"), "o_orderkey", marks, "l_orderkey", "is_sync")
 
 
 @_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey")
 def desc_lookup(spark: SparkSession, d: str) -> DataFrame:
-    j = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").join(read(spark, d, "part", "p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    j = N.described(read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", read(spark, d, "part", "p_partkey", "p_brand", "p_type"), "p_partkey")
     return j.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "l_partkey", "p_brand", "p_type")
 
 
 @_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def fk_violations(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer", "c_custkey", "c_mktsegment").where("c_mktsegment <> 'BUILDING'")
-    return read(spark, d, "orders", "o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return N.dangling(read(spark, d, "orders", "o_orderkey", "o_custkey"), "o_custkey", c, "c_custkey")
 
 
 @_query("""WITH x AS (SELECT *, o_orderstatus = 'F' AS long, CAST(o_orderkey % 16 AS BIGINT) AS fn, CAST(o_orderkey % 32 AS BIGINT) AS li FROM orders), y AS (SELECT *, fn - CASE WHEN fn > 9 THEN 16 ELSE 0 END AS pn FROM x)
@@ -201,9 +202,8 @@ def ref_list_b(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("WITH r AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) SELECT * FROM r WHERE place <= 5")
 def topk_active(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    c = read(spark, d, "customer", "c_mktsegment", "c_custkey", "c_acctbal").withColumn("place", F.row_number().over(w).cast("bigint"))
-    return c.where("place <= 5").select("c_mktsegment", "c_custkey", "place")
+    c = read(spark, d, "customer", "c_mktsegment", "c_custkey", "c_acctbal")
+    return N.top(c, ["c_mktsegment"], [F.desc("c_acctbal"), "c_custkey"], 5).select("c_mktsegment", "c_custkey", "place")
 
 
 @_query("""SELECT o_orderkey, CAST(CASE WHEN s = 0 THEN 0 ELSE least((t // s) * CAST(1000000000 AS HUGEINT) + (t % s) * 1000000000 // s, 9223372036854775807) END AS BIGINT) AS ns
@@ -215,14 +215,13 @@ def duration_saturate(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def duplicate_addresses(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    x = N.duplicates(read(spark, d, "lineitem", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
     return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "n")
 
 
 @_query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS decoded, CAST(max(l_linenumber) AS BIGINT) AS expected, count(DISTINCT l_linenumber) = max(l_linenumber) AS complete FROM lineitem GROUP BY l_orderkey")
 def complete_pictures(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey").agg(F.countDistinct("l_linenumber").alias("decoded"), F.max("l_linenumber").cast("bigint").alias("expected"))
-    return g.withColumn("complete", F.col("decoded") == F.col("expected"))
+    return N.completeness(read(spark, d, "lineitem", "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", F.max("l_linenumber"))
 
 
 # --- scalar functions over lineitem and part --------------------------------------------------
@@ -308,18 +307,18 @@ def cabac_init(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT p_partkey, p_partkey % 16 % 2 + p_partkey % 16 // 4 % 2 * 2 AS bx, p_partkey % 16 // 2 % 2 + p_partkey % 16 // 8 * 2 AS \"by\" FROM part")
 def block_xy(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part", "p_partkey").selectExpr("p_partkey", "p_partkey % 16 % 2 + p_partkey % 16 div 4 % 2 * 2 AS bx", "p_partkey % 16 div 2 % 2 + p_partkey % 16 div 8 * 2 AS by")
+    return read(spark, d, "part", "p_partkey").select("p_partkey", *[c.alias(n) for n, c in zip(("bx", "by"), A.block_place("(p_partkey % 16)"), strict=True)])
 
 
 @_query("SELECT p_partkey, p_partkey % 40 AS mb_x, p_partkey // 40 AS mb_y FROM part")
 def raster_xy(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part", "p_partkey").selectExpr("p_partkey", "p_partkey % 40 AS mb_x", "p_partkey div 40 AS mb_y")
+    return read(spark, d, "part", "p_partkey").select("p_partkey", *[c.alias(n) for n, c in zip(("mb_x", "mb_y"), A.raster_place("p_partkey", 40), strict=True)])
 
 
 @_query("SELECT n_nationkey AS y, CAST(x AS INTEGER) AS x, CAST(x * 255 // 24 AS BIGINT) AS red, CAST(n_nationkey * 255 // 24 AS BIGINT) AS green FROM nation, range(25) r(x)")
 def gradient(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "nation", "n_nationkey").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(24))))
-    return n.selectExpr("n_nationkey AS y", "x", "CAST(x * 255 div 24 AS BIGINT) AS red", "CAST(n_nationkey * 255 div 24 AS BIGINT) AS green")
+    return n.select(F.col("n_nationkey").alias("y"), "x", A.gradient("x", 25).alias("red"), A.gradient("n_nationkey", 25).alias("green"))
 
 
 def _motion(suffix: str, shift: int) -> dict[str, str]:
@@ -383,9 +382,7 @@ def macroblock_types(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.conv_id, a.turn, CAST(COALESCE((l.n + t.n + 1) // 2, l.n, t.n, 0) AS BIGINT) AS nc FROM x a LEFT JOIN x l ON l.conv_id = a.conv_id AND l.turn = a.turn - 1 LEFT JOIN x t ON t.conv_id = a.conv_id AND t.turn = a.turn - 3""")
 def neighbour_nc(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", (F.length("text") % 17).cast("bigint").alias("n"))
-    left = x.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("n").alias("l"))
-    top = x.select("conv_id", (F.col("turn") + 3).alias("turn"), F.col("n").alias("t"))
-    j = x.join(left, ["conv_id", "turn"], "left").join(top, ["conv_id", "turn"], "left")
+    j = N.with_neighbours(x, "conv_id", "turn", "n", {"l": 1, "t": 3})
     return j.select("conv_id", "turn", A.neighbour_total("l", "t").alias("nc"))
 
 
@@ -420,12 +417,12 @@ def _block_sql(n: int, scale: int = 512) -> str:
 
 @_query(f"WITH {_block_sql(64, 16)} SELECT vec_id, len(list_filter(b, lambda v: v <> 0)) AS n FROM x")
 def count_nonzero(spark: SparkSession, d: str) -> DataFrame:
-    return _block(spark, d, 64, 16).select("vec_id", F.size(F.filter("b", lambda v: v != 0)).cast("bigint").alias("n"))
+    return _block(spark, d, 64, 16).select("vec_id", B.nonzero(F.col("b")).alias("n"))
 
 
 @_query(f"WITH {_block_sql(64)} SELECT vec_id, CAST(list_sum(b) AS BIGINT) AS total FROM x")
 def plane_checksum(spark: SparkSession, d: str) -> DataFrame:
-    return _block(spark, d, 64).select("vec_id", F.aggregate("b", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+    return _block(spark, d, 64).select("vec_id", B.checksum(F.col("b")).alias("total"))
 
 
 @_query(f"WITH {_blocks_sql()} SELECT vec_id, g, array_to_string(list_transform({[A.ZIGZAG.index(i) + 1 for i in range(16)]}, lambda i: b[i]), ',') AS block FROM x")
@@ -899,3 +896,20 @@ SELECT * FROM h UNION ALL SELECT p_partkey, CAST(q % 2 * 8 + i % (8 // s[1]) * s
 def macroblock_partitions(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "part", "p_partkey", "p_size").select("p_partkey", (F.col("p_partkey") % 6).alias("raw"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("p_size") + i) % 4).alias("sub"))
     return x.select("p_partkey", F.explode(B.inter_partitions(F.col("raw"), F.col("sub"))).alias("p")).select("p_partkey", "p.*")
+
+
+@_query(f"WITH {SAMPLES_SQL} SELECT event_id, lag(k) OVER (PARTITION BY user_id ORDER BY idx) AS previous FROM s")
+def previous_carry(spark: SparkSession, d: str) -> DataFrame:
+    return samples(spark, d, previous=preceding(F.col("k"))).select("event_id", "previous")
+
+
+@_query("SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS intra, CAST(sum(CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END) AS BIGINT) AS coded FROM lineitem GROUP BY l_orderkey")
+def block_counts(spark: SparkSession, d: str) -> DataFrame:
+    return N.conditional_counts(read(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_quantity"), ["l_orderkey"], {"intra": F.col("l_returnflag") == "A", "coded": F.col("l_quantity") >= 25})
+
+
+@_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE NOT l_linenumber - 1 < p_size % 5")
+def address_range(spark: SparkSession, d: str) -> DataFrame:
+    x = N.described(read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", read(spark, d, "part", "p_partkey", "p_size"), "p_partkey")
+    x = x.selectExpr("l_orderkey", "CAST(l_linenumber AS BIGINT) AS line", "l_partkey", "l_linenumber - 1 AS address", "p_size % 5 AS total")
+    return N.out_of_range(x, "address", "total").select("l_orderkey", "line", "l_partkey")

@@ -23,8 +23,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and safe from lost executors."""
+    """Write df to the shared folder and read it back: computed once, and safe from lost executors. clear_stored() deletes it."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete all that stored() has written in this process, once no frame that reads it is needed; how many tables that were."""
+    jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

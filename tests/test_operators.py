@@ -10,6 +10,7 @@ from framelake.functions import arithmetic as A
 from framelake.functions import blocks as B
 from framelake.operators import parameter_sets as P
 from framelake.operators import references as R
+from framelake.operators import relations as N
 from framelake.operators import scan as S
 from framelake.operators import units as U
 from framelake.plans import catalogue
@@ -224,3 +225,27 @@ def test_list_modifications(spark):
     assert ids(f"array({op(2, 2)}, {op(0, 0)})") == [3, 1, 2]
     assert ids(f"array({op(0, 0)}, {op(1, 15)})") == [1, 1, 2, 3]  # a picture that stands before the place stays there
     assert ids(f"array({op(0, 4)})") is None
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from framelake.sources import storage
+
+    storage.clear_stored(spark)
+    df = storage.stored(spark.range(3), "kept")
+    path = storage._written[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    assert storage.clear_stored(spark) == 1 and not os.path.exists(path)
+
+
+def test_relations(spark):
+    a = spark.createDataFrame([(1, 5, 1), (1, 7, 2), (None, 3, 1)], "k bigint, v bigint, t bigint")
+    b = spark.createDataFrame([(1,), (1,), (None,)], "m bigint")
+    assert sorted(map(tuple, N.last_writes(a, ["k"], "v", ["t"]).collect()), key=str) == [(1, 7), (None, 3)]
+    assert sorted((r.v, r.f) for r in N.flagged(a, "k", b, "m", "f").collect()) == [(3, False), (5, True), (7, True)]
+    assert [r.v for r in N.dangling(a, "k", b, "m").collect()] == [3]
+    assert [tuple(r) for r in N.duplicates(b, ["m"]).collect()] == [(1, 2)]
+    assert sorted((r.v, r.p) for r in N.with_neighbours(a.where("k = 1"), "k", "t", "v", {"p": 1}).collect()) == [(5, None), (7, 5)]
+    assert sorted(r.v for r in N.out_of_range(a.withColumn("total", F.lit(2)), "t", "total").collect()) == [7]
+    assert N.top(a.limit(0), ["k"], ["v"], 2).count() == 0
