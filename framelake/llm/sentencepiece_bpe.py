@@ -21,17 +21,18 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, table
+from framelake.llm.common import Admitted, bounded_batches, frugal, keeps_cache, table
 
 SPACE = "▁"
-#: Chunks kept by a Python worker (the first that it meets, frequent ones among them); pairs kept for compatibility, beyond which
+#: Chunks kept by a Python worker (those that it meets again); pairs kept for compatibility, beyond which
 #: that cache starts anew.
-CACHED_CHUNKS, CACHED_PAIRS = 450_000, 250_000
+CACHED_CHUNKS, CACHED_PAIRS = 250_000, 250_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 
@@ -60,7 +61,7 @@ class PieceModel:
         for p in self.reach:
             self.prefix[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reach), None)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.chunks = Admitted(CACHED_CHUNKS)
 
     def merge(self, text: str) -> list[str]:
         """The plain definition: merge the neighbours whose joint piece scores highest, leftmost first."""
@@ -161,8 +162,7 @@ class PieceModel:
         if found is None:
             ids = self.chunk_ids(SPACE + chunk)
             found = (struct.pack(f"<{len(ids)}I", *ids), self.pieces_text(ids))
-            if len(chunk) <= 64 and len(self.chunks) < CACHED_CHUNKS:
-                self.chunks[chunk] = found
+            self.chunks.offer(chunk, found)
         return found
 
     def encode_text(self, text: str) -> tuple[bytes, str]:
@@ -195,36 +195,50 @@ def model_at(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def forget_chunks() -> None:
+    """Drop the chunks that this worker has kept, and what is known of pairs."""
+    for m in _models.values():
+        m.chunks, m.pairs = Admitted(CACHED_CHUNKS), {}
+
+
+keeps_cache("sentencepiece", forget_chunks)
+
+
+def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again; a null text counts as empty.
 
-    Returns key, n_tokens, ids_sha256, decoded_sha256, and with with_ids also ids (array of int,
-    begin and end included) and decoded. An empty text has the begin and the end id alone. Repeated
-    rows give repeated results; other columns are ignored. A map over partitions: no shuffle.
+    Returns key, n_tokens, ids_sha256, decoded_sha256, with with_ids also ids (array of int,
+    begin and end included), and with with_text decoded. An empty text has the begin and the end id alone. Rows with a null key and repeated
+    rows give a row each; other columns are ignored. A map over partitions: no shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_at(model_path)
         first, last = struct.pack("<I", m.bos), struct.pack("<I", m.eos)
         for batch in batches:
-            rows = []
-            for k, t in zip(batch["k"].tolist(), batch["t"].tolist(), strict=True):
+            n, ids, ids_sha, text_sha, texts = [], [], [], [], []
+            for t in batch.column("t").to_pylist():
                 raw, decoded = m.encode_text(t or "")
                 raw = first + raw + last
-                row = (k, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, list(struct.unpack(f"<{len(raw) // 4}I", raw)), decoded) if with_ids else row)
-            out = pd.DataFrame(rows, columns=names)
-            out[key] = out[key].astype("Int64") if kind == "bigint" else out[key]
-            yield out
+                n.append(len(raw) // 4)
+                ids_sha.append(hashlib.sha256(raw).hexdigest())
+                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if with_ids:
+                    ids.append(raw)
+                if with_text:
+                    texts.append(decoded)
+            out = {"k": batch.column("k"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            if with_text:
+                out["decoded"] = pa.array(texts, pa.string())
+            yield pa.record_batch(out)
 
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
-    # nulls would turn whole integers into floats on their way to pandas, hence the nullable type above and strings here
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    rows = rows.withColumn("k", F.col("k").cast("string")) if kind == "bigint" else rows
-    return rows.mapInPandas(run, schema)
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(frugal(run, "sentencepiece"), f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text)
+    return out.withColumnRenamed("k", key)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
