@@ -110,8 +110,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold what goes to a Python worker at once to 8 MB (of rows beyond the first), as texts and vectors vary in size."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Hold what goes to a Python worker at once to 2 MB (of rows beyond the first), as texts and vectors vary in size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 class Admitted(dict):
