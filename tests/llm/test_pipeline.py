@@ -77,11 +77,11 @@ def test_stages_take_odd_rows(spark):
         (None, other + " more", "en", None),
         (1, long, "de", "a"),
         (1, long, "de", "a"),
-        (1, "the dog runs with the other dog " + passage, None, "b"),
+        (1, " ".join(f"the dog{k} runs with" for k in range(20)) + " " + passage, None, "b"),
         (2, None, "en", "b"),
         (3, "", None, None),
         (None, None, None, None),
-        (4, "the cat sleeps " + passage + " today", "en", "b"),
+        (4, "the cat sleeps " + passage + " " + " ".join(f"in a house{k} of" for k in range(20, 40)), "en", "b"),
         (5, "12 34", "de", "a"),
     ]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, k int, size string, component_id int, spans string, rank int, __k string"
