@@ -49,15 +49,15 @@ _MASKS = _random.integers(0, 1 << 32, 2 + NARROW, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """Hashes of the n-word shingles in order, from the words' hashes."""
+def shingles(words: np.ndarray, n: int = SHINGLE, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the n-word shingles in order, or of those that begin at the given places, from the words' hashes."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
-    out = words[: len(words) - n + 1].copy()
+    out = words[: len(words) - n + 1].copy() if at is None else words[at]
     for k in range(1, n):
         out *= _MIX
         out ^= out >> np.uint64(29)
-        out += words[k : len(words) - n + 1 + k]
+        out += words[k : len(words) - n + 1 + k] if at is None else words[at + k]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out
@@ -146,7 +146,7 @@ def paragraph_hashes(text: str | None, buckets: np.ndarray, window: int = WINDOW
     if not hit.any():
         return np.zeros(0, dtype=np.int64)
     held = slide(hit.astype(np.uint8), window - n + 2 - part_width(window, percent, n), np.maximum)
-    return np.unique(shingles(words, window)[held > 0]).view(np.int64)
+    return np.unique(shingles(words, window, np.flatnonzero(held))).view(np.int64)
 
 
 def _equal_ends(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
