@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import embedding_dedup, html_extract, language_id, mixing, near_dedup, sentencepiece_bpe, sharding, substring_dedup, token_files, topk_search
+from framelake.llm import embedding_dedup, html_extract, language_id, mixing, near_dedup, sentencepiece_bpe, sharding, substring_dedup, token_alignment, token_files, topk_search, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk_search": topk_search.op8_topk_search,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_token_files": token_files.op10_token_files,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_url_filter": url_filter.op13_url_filter,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_near_dedup": near_dedup.ORACLE,
         "op8_topk_search": topk_search.ORACLE,
         "op9_embedding_dedup": embedding_dedup.ORACLE,
+        "op13_url_filter": url_filter.ORACLE,
     }
