@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.scan import index as row_number
+from framelake.operators.scan import prefix, scan
+
 
 def list_p(pictures: DataFrame, group: str, tie: str, current: int, largest: int) -> DataFrame:
     """pictures with place from 0: short-term by wrapped picture number from high to low, then long-term by index."""
@@ -97,6 +103,51 @@ def marked(held: list[tuple[int, int, bool, int]], picture: int, frame_num: int,
     return [*out, (picture, frame_num, own is not None, own or 0)], None
 
 
+def shown(held: list[tuple[int, int, bool, int]]) -> str:
+    """A buffer as text: picture:frame_num, with L and the index for long-term pictures, in order of arrival."""
+    return ",".join(f"{p}:{n}" + (f"L{k}" if is_long else "") for p, n, is_long, k in held)
+
+
+def buffers(pictures: DataFrame, track: str, order: list[str], picture: str, chunk: Column, max_refs: int = 4, largest: int = 16) -> DataFrame:
+    """(track, picture, held, error) for each reference picture: the decoded-picture buffer that it is decoded with, and what its marking breaks.
+
+    pictures are rows (track, order columns, picture, frame_num, idr, long_term, adaptive, operations array of structs (operation, first, second)); chunk is a
+    column for scan() that never falls along the order. An IDR picture empties the buffer, so what lies from one to the next is a segment that folds alone; an IDR picture closes
+    a segment, which says what it is decoded with, and opens the next. Segments of all tracks are dealt out by a hash, and a task folds its own one after another,
+    with one buffer in memory however long a segment is. A null flag counts as false, null operations as none; rows of a null track are a track. No rows give none.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    rows = scan(pictures.withColumn("idr", flag("idr")), [track], order, chunk, __segment=prefix(F.col("idr").cast("int")), __at=row_number())
+    parts = F.when(F.col("idr"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.select(F.col(track).alias("__track"), "__segment", "__at", F.col(picture).cast("bigint").alias("__picture"), F.col("frame_num").cast("bigint").alias("frame_num"), "idr", flag("long_term"), flag("adaptive"), "operations", F.explode(parts).alias("__opens"))
+    rows = rows.withColumn("__segment", F.col("__segment") + F.col("__opens"))
+    kind = dict(rows.dtypes)["__track"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, held = None, []
+        for batch in batches:
+            at, seen, errors = [], [], []
+            for i, r in enumerate(batch.to_pylist()):
+                if segment != (now := (r["__track"], r["__segment"])):
+                    segment, held = now, []
+                if closes := r["idr"] and not r["__opens"]:
+                    error = None
+                if not r["__opens"]:
+                    at.append(i)
+                    seen.append(shown(held))
+                if not closes:
+                    operations = [(o["operation"], o["first"], o["second"]) for o in r["operations"] or []]
+                    held, error = marked(held, r["__picture"], r["frame_num"], r["idr"], r["long_term"], r["adaptive"], operations, largest, max_refs)
+                if not r["__opens"]:
+                    errors.append(error)
+            kept = batch.select(["__track", "__picture"]).take(pa.array(at, pa.int64()))
+            yield pa.record_batch({"track": kept.column(0), "picture": kept.column(1), "held": pa.array(seen, pa.string()), "error": pa.array(errors, pa.string())})
+
+    dealt = rows.repartition("__track", "__segment").sortWithinPartitions("__track", "__segment", "__at")
+    out = dealt.mapInArrow(run, f"track {kind}, picture bigint, held string, error string")
+    return out.select(F.col("track").alias(track), F.col("picture").alias(picture), "held", "error")
+
+
 def six_tap(samples: DataFrame, track: str, index: str, value: str, taps: tuple[int, ...]) -> DataFrame:
     """samples with sample: the half-way value behind each by a six-tap filter, (sum + 16) >> 5 clipped to a byte.
 

@@ -644,16 +644,42 @@ def container_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {_FILE_SQL}, u AS (SELECT path, idx, CAST(0 AS BIGINT) AS unit_idx, 3 AS r, 7 AS t, 1 AS b FROM m WHERE sync UNION ALL SELECT path, idx, CASE WHEN sync THEN 1 ELSE 0 END, CASE WHEN sync THEN 3 ELSE 2 END, CASE WHEN sync THEN 5 ELSE 1 END, 1 + strlen(props) FROM m)
-SELECT path || '#0' AS track, idx AS sample_idx, CAST(unit_idx AS BIGINT) AS unit_idx, CAST(r AS BIGINT) AS ref_idc, CAST(t AS BIGINT) AS nal_type, CAST(b AS BIGINT) AS bytes FROM u""")
+SELECT path || '#0' AS track, idx AS sample_idx, CAST(unit_idx AS BIGINT) AS unit_idx, CAST(r AS BIGINT) AS ref_idc, CAST(t AS BIGINT) AS nal_type, CAST(b AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS error FROM u""")
 def container_units(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    return C.units(files, C.samples(C.tracks(C.boxes(files))))
+    t = C.tracks(C.boxes(files))
+    return C.units(files, C.samples(t), C.length_sizes(t))
 
 
-@_query(f"""WITH {_FILE_SQL}, c AS (SELECT path, count(*) AS n, CAST(sum(size) AS BIGINT) AS media FROM m GROUP BY path)
-SELECT path, 'ftyp' AS type, CAST(0 AS BIGINT) AS "offset", CAST(24 AS BIGINT) AS size FROM c UNION ALL SELECT path, 'mdat', 24, media + 8 FROM c""")
+#: The boxes of a file by what they hold: (path of the box, bytes of its payload; n samples, c chunks, st steps of the chunk table, s sync samples). A table's payload has eight bytes before its rows.
+_BOX_TREE = {
+    "/moov/mvhd": "100", "/moov/trak/tkhd": "84", "/moov/trak/mdia/mdhd": "24", "/moov/trak/mdia/hdlr": "25", "/moov/trak/mdia/minf/stbl/stsd": "8 + 8 + 78 + 8 + 5", "/moov/trak/mdia/minf/stbl/stts": "8 + 8 * n",
+    "/moov/trak/mdia/minf/stbl/ctts": "8 + 8 * n", "/moov/trak/mdia/minf/stbl/stsc": "8 + 12 * st", "/moov/trak/mdia/minf/stbl/stsz": "12 + 4 * n", "/moov/trak/mdia/minf/stbl/stco": "8 + 4 * c", "/moov/trak/mdia/minf/stbl/stss": "8 + 4 * s",
+}
+
+
+def _boxes_sql() -> str:
+    """Every box of the written files: sizes from the leaves up, offsets in the order of writing."""
+    order = ["/moov", "/moov/mvhd", "/moov/trak", "/moov/trak/tkhd", "/moov/trak/mdia", "/moov/trak/mdia/mdhd", "/moov/trak/mdia/hdlr", "/moov/trak/mdia/minf", "/moov/trak/mdia/minf/stbl", *[k for k in _BOX_TREE if "/stbl/" in k]]
+    size = {k: f"(8 + {v})" for k, v in _BOX_TREE.items()}
+    for k in sorted((k for k in order if k not in size), key=lambda k: -k.count("/")):
+        size[k] = "(8 + " + " + ".join(size[x] for x in order if x.rpartition("/")[0] == k) + ")"
+    rows, at = ["('/ftyp', 0, 24)", "('/mdat', 24, media + 8)"], "media + 32"
+    for k in order:
+        rows.append(f"('{k}', {at}, {size[k]})")
+        at += " + " + ("8" if k not in _BOX_TREE else size[k])
+    return "[" + ", ".join(f"{{'b': {r[1:-1].split(', ', 2)[0]}, 'o': CAST({r[1:-1].split(', ', 2)[1]} AS BIGINT), 's': CAST({r[1:-1].split(', ', 2)[2]} AS BIGINT)}}" for r in rows) + "]"
+
+
+_BOXES_SQL = f"""WITH {_FILE_SQL}, q AS (SELECT path, count(*) AS n, CAST(sum(size) AS BIGINT) AS media, (count(*) + 2) // 3 AS c, CASE WHEN count(*) % 3 = 0 OR count(*) < 3 THEN 1 ELSE 2 END AS st, count(*) FILTER (WHERE sync) AS s FROM m GROUP BY path),
+u AS (SELECT path, unnest({_boxes_sql()}) AS x FROM q)
+SELECT path, CAST(CASE WHEN x.b LIKE '/moov/trak%' THEN 0 ELSE -1 END AS INTEGER) AS trak, x.b AS box_path, CAST(length(x.b) - length(replace(x.b, '/', '')) - 1 AS INTEGER) AS depth, right(x.b, 4) AS type, x.o AS "offset", x.s AS size, CAST(NULL AS VARCHAR) AS error FROM u"""
+
+
+@_query(_BOXES_SQL)
 def container_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return C.boxes(_files(spark, d)).where("depth = 0 AND type IN ('ftyp', 'mdat')").select("path", "type", "offset", "size")
+    """Every box, at every depth."""
+    return C.boxes(_files(spark, d)).select("path", "trak", "box_path", "depth", "type", "offset", "size", "error")
 
 
 @_query(f"""WITH {_FILE_SQL} SELECT DISTINCT path, 'isom' AS major, CAST(512 AS BIGINT) AS minor, 'isom,mp42' AS compatible, CAST(NULL AS VARCHAR) AS error FROM m""")
@@ -686,22 +712,37 @@ def container_errors(spark: SparkSession, d: str) -> DataFrame:
 # --- parameter sets -----------------------------------------------------------------------------
 
 
-@_query("""SELECT p_partkey, CAST(p_partkey % 32 AS BIGINT) AS sps_id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 100 ELSE 66 END AS BIGINT) AS profile, CAST(p_size AS BIGINT) AS level, 4 + p_partkey % 9 AS log2_max_frame_num,
-CAST(0 AS BIGINT) AS poc_type, 4 + p_partkey % 7 AS log2_max_poc, p_partkey % 5 AS max_refs, true AS frame_mbs_only, 16 * (1 + p_partkey % 120) AS coded_width, 16 * (1 + p_partkey % 70) AS coded_height,
-16 * (1 + p_partkey % 120) - 2 * (p_partkey % 4) AS width, 16 * (1 + p_partkey % 70) - 2 * (p_partkey % 3) AS height, CAST(NULL AS VARCHAR) AS error FROM part""")
+_SPS_SQL = """x AS (SELECT *, p_partkey % 3 = 0 AS high, p_partkey // 3 AS h, p_partkey % 4 AS kind FROM part),
+y AS (SELECT *, CASE WHEN high THEN h % 4 ELSE 1 END AS chroma, high AND h % 4 = 3 AND h // 4 % 2 = 1 AS planes FROM x)"""
+
+
+@_query(f"""WITH {_SPS_SQL} SELECT p_partkey, CAST(p_partkey % 32 AS BIGINT) AS sps_id, CAST(CASE WHEN high THEN 100 ELSE 66 END AS BIGINT) AS profile, CAST(p_size AS BIGINT) AS level, 4 + p_partkey % 9 AS log2_max_frame_num,
+CASE WHEN kind = 3 THEN 0 ELSE kind END AS poc_type, CASE WHEN kind IN (0, 3) THEN 4 + p_partkey % 7 ELSE 0 END AS log2_max_poc, p_partkey % 5 AS max_refs, true AS frame_mbs_only, 16 * (1 + p_partkey % 120) AS coded_width, 16 * (1 + p_partkey % 70) AS coded_height,
+16 * (1 + p_partkey % 120) - CASE WHEN chroma IN (1, 2) THEN 2 ELSE 1 END * (p_partkey % 4) AS width, 16 * (1 + p_partkey % 70) - CASE WHEN chroma = 1 THEN 2 ELSE 1 END * (p_partkey % 3) AS height,
+CAST(chroma AS BIGINT) AS chroma_format, CAST(CASE WHEN high THEN 8 + h % 3 ELSE 8 END AS BIGINT) AS bit_depth, planes AS separate_planes, kind = 1 AND p_partkey // 4 % 2 = 1 AS poc_always_zero, CAST(NULL AS VARCHAR) AS error FROM y""")
 def sequence_sets(spark: SparkSession, d: str) -> DataFrame:
-    high = "p_partkey % 3 = 0"
-    bits = [S.fixed(f"CASE WHEN {high} THEN 100 ELSE 66 END", 8), S.fixed("0", 8), S.fixed("p_size", 8), S.ue("p_partkey % 32"), f"CASE WHEN {high} THEN concat({S.ue('1')}, {S.ue('0')}, {S.ue('0')}, '00') ELSE '' END"]
-    bits += [S.ue("p_partkey % 9"), S.ue("0"), S.ue("p_partkey % 7"), S.ue("p_partkey % 5"), "'0'", S.ue("p_partkey % 120"), S.ue("p_partkey % 70"), "'1'", "'1'", "'1'", S.ue("0"), S.ue("p_partkey % 4"), S.ue("0"), S.ue("p_partkey % 3"), "'0'"]
+    """Sequence sets of parts: two profiles, all chroma formats, depths of 8 to 10, scaling lists, and all three kinds of picture order."""
+    h = "p_partkey div 3"
+    lists = f"CASE WHEN {h} % 5 = 0 THEN concat('11', repeat('1', 16), repeat('0', CASE WHEN {h} % 4 = 3 THEN 11 ELSE 7 END)) ELSE '0' END"
+    high = f"concat({S.ue(f'{h} % 4')}, CASE WHEN {h} % 4 = 3 THEN {S.fixed(f'{h} div 4 % 2', 1)} ELSE '' END, {S.ue(f'{h} % 3')}, {S.ue('0')}, '0', {lists})"
+    cycle = f"concat({S.ue('p_partkey % 3')}, repeat({S.se('(p_partkey % 9 - 4)')}, CAST(p_partkey % 3 AS INT)))"
+    order = f"CASE p_partkey % 4 WHEN 1 THEN concat({S.ue('1')}, {S.fixed('p_partkey div 4 % 2', 1)}, {S.se('(p_partkey % 7 - 3)')}, {S.se('2')}, {cycle}) WHEN 2 THEN {S.ue('2')} ELSE concat({S.ue('0')}, {S.ue('p_partkey % 7')}) END"
+    bits = [S.fixed("CASE WHEN p_partkey % 3 = 0 THEN 100 ELSE 66 END", 8), S.fixed("0", 8), S.fixed("p_size", 8), S.ue("p_partkey % 32"), f"CASE WHEN p_partkey % 3 = 0 THEN {high} ELSE '' END"]
+    bits += [S.ue("p_partkey % 9"), order, S.ue("p_partkey % 5"), "'0'", S.ue("p_partkey % 120"), S.ue("p_partkey % 70"), "'1'", "'1'", "'1'", S.ue("0"), S.ue("p_partkey % 4"), S.ue("0"), S.ue("p_partkey % 3"), "'0'"]
     units = read(spark, d, "part", "p_partkey", "p_size").selectExpr("p_partkey", f"concat(unhex('67'), {S.payload(f'concat({', '.join(bits)})')}) AS unit")
     return P.parsed(units, "p_partkey", "unit", "sps")
 
 
-@_query("""SELECT p_partkey, p_partkey % 256 AS pps_id, p_partkey % 32 AS sps_id, p_partkey % 2 = 1 AS cabac, CAST(1 AS BIGINT) AS slice_groups, 1 + p_partkey % 4 AS refs_l0, 1 + p_partkey % 3 AS refs_l1, p_partkey % 5 = 0 AS weighted_pred,
-p_partkey % 3 AS weighted_bipred, CAST(p_size AS BIGINT) AS init_qp, 26 + p_partkey % 7 - 3 AS init_qs, p_partkey % 25 - 12 AS chroma_qp_offset, true AS deblocking_control, p_partkey % 2 = 0 AS constrained_intra, CAST(NULL AS VARCHAR) AS error FROM part""")
+@_query("""SELECT p_partkey, p_partkey % 256 AS pps_id, p_partkey % 32 AS sps_id, p_partkey % 2 = 1 AS cabac, CAST(CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS slice_groups, 1 + p_partkey % 4 AS refs_l0, 1 + p_partkey % 3 AS refs_l1, p_partkey % 5 = 0 AS weighted_pred,
+p_partkey % 3 AS weighted_bipred, CAST(p_size AS BIGINT) AS init_qp, 26 + p_partkey % 7 - 3 AS init_qs, p_partkey % 25 - 12 AS chroma_qp_offset, p_partkey % 7 <> 0 AS deblocking_control, p_partkey % 2 = 0 AS constrained_intra,
+p_partkey % 3 = 1 AS bottom_order, p_partkey % 4 = 3 AS redundant_counts, CAST(NULL AS VARCHAR) AS error FROM part""")
 def picture_sets(spark: SparkSession, d: str) -> DataFrame:
-    bits = [S.ue("p_partkey % 256"), S.ue("p_partkey % 32"), S.fixed("p_partkey % 2", 1), "'0'", S.ue("0"), S.ue("p_partkey % 4"), S.ue("p_partkey % 3"), S.fixed("CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END", 1), S.fixed("p_partkey % 3", 2)]
-    bits += [S.se("(p_size - 26)"), S.se("(p_partkey % 7 - 3)"), S.se("(p_partkey % 25 - 12)"), "'1'", S.fixed("1 - p_partkey % 2", 1), "'0'"]
+    """Picture sets of parts; one in eleven has two slice groups, of each kind of map in turn."""
+    flag = lambda test: f"CASE WHEN {test} THEN '1' ELSE '0' END"
+    kinds = [f"concat({S.ue('0')}, {S.ue('3')}, {S.ue('5')})", S.ue("1"), f"concat({S.ue('2')}, {S.ue('4')}, {S.ue('9')})", *[f"concat({S.ue(k)}, '1', {S.ue('6')})" for k in "345"], f"concat({S.ue('6')}, {S.ue('3')}, '0110')"]
+    groups = f"CASE WHEN p_partkey % 11 > 0 THEN {S.ue('0')} ELSE concat({S.ue('1')}, CASE p_partkey div 11 % 7 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(kinds))} END) END"
+    bits = [S.ue("p_partkey % 256"), S.ue("p_partkey % 32"), S.fixed("p_partkey % 2", 1), flag("p_partkey % 3 = 1"), groups, S.ue("p_partkey % 4"), S.ue("p_partkey % 3"), flag("p_partkey % 5 = 0"), S.fixed("p_partkey % 3", 2)]
+    bits += [S.se("(p_size - 26)"), S.se("(p_partkey % 7 - 3)"), S.se("(p_partkey % 25 - 12)"), flag("p_partkey % 7 <> 0"), S.fixed("1 - p_partkey % 2", 1), flag("p_partkey % 4 = 3")]
     units = read(spark, d, "part", "p_partkey", "p_size").selectExpr("p_partkey", f"concat(unhex('68'), {S.payload(f'concat({', '.join(bits)})')}) AS unit")
     return P.parsed(units, "p_partkey", "unit", "pps")
 
@@ -859,11 +900,50 @@ def modified_refs(spark: SparkSession, d: str) -> DataFrame:
     return made.select("o_custkey", B.joined(F.col("ids")).alias("list"), R.place_in_list("ids", "array_max(ids)").alias("newest"))
 
 
+def _marking_sql() -> str:
+    """Pictures one after another, by recursion: the buffer is a list of structs (p, n, l, k), and each of two operations at most is a list expression."""
+    first = lambda held, test: f"list_position(list_transform({held}, lambda x: {test}), true)"
+
+    def without(held: str, test: str) -> str:
+        at = first(held, test)
+        return f"CASE WHEN COALESCE({at}, 0) = 0 THEN {held} ELSE list_concat({held}[:{at} - 1], {held}[{at} + 1:]) END"
+
+    number = lambda a: f"(e.n - {a} - 1 + 16) % 16"
+    picture = lambda long, k: f"{{'p': e.event_id, 'n': e.n, 'l': {long}, 'k': {k}}}"
+    short = lambda a: f"NOT x.l AND x.n = {number(a)}"
+    index = lambda a: f"x.l AND x.k = {a}"
+    plus = lambda held, new: f"list_append({held}, {new})"
+    freed = without("b.held", index("e.k % 4"))
+    lacks = f"COALESCE({first(freed, short('e.k % 2'))}, 0) = 0"
+    made_long = f"list_transform({freed}, lambda x, i: CASE WHEN i = {first(freed, short('e.k % 2'))} THEN {{'p': x.p, 'n': x.n, 'l': true, 'k': e.k % 4}} ELSE x END)"
+    longs = "len(list_filter(b.held, lambda x: x.l))"
+    # room for one more: the oldest short-term pictures go
+    room = f"list_filter(b.held, lambda x, i: x.l OR len(list_filter(b.held[:i], lambda y: NOT y.l)) > len(b.held) - 3)"
+    cases = [
+        ("e.idr", f"[{picture('e.k % 2 = 1', '0')}]", "NULL"),
+        ("e.k % 9 = 1", plus(without("b.held", short("e.k % 3")), picture("false", "0")), "NULL"),
+        ("e.k % 9 = 2", f"CASE WHEN {lacks} THEN b.held ELSE {plus(made_long, picture('false', '0'))} END", f"CASE WHEN {lacks} THEN 'no short-term picture ' || {number('e.k % 2')} END"),
+        ("e.k % 9 = 3", plus(without("b.held", index("e.k % 4")), picture("false", "0")), "NULL"),
+        ("e.k % 9 = 4", plus("list_filter(b.held, lambda x: NOT x.l OR x.k < e.k % 3)", picture("false", "0")), "NULL"),
+        ("e.k % 9 = 5", plus(without("b.held", index("e.k % 4")), picture("true", "e.k % 4")), "NULL"),
+        ("e.k % 9 = 6", plus(without(f"({without('b.held', short('0'))})", short("1")), picture("false", "0")), "NULL"),
+        ("e.k % 9 = 7", f"[{picture('false', '0')}]", "NULL"),
+        (f"len(b.held) >= 4 AND {longs} >= 4", "b.held", "'buffer is full of long-term pictures'"),
+        ("len(b.held) >= 4", plus(room, picture("false", "0")), "NULL"),
+    ]
+    held = " ".join(f"WHEN {test} THEN {new}" for test, new, _ in cases)
+    error = " ".join(f"WHEN {test} THEN {why}" for test, _, why in cases)
+    kind = "STRUCT(p BIGINT, n BIGINT, l BOOLEAN, k BIGINT)[]"
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, COALESCE(event_type = 'signup', false) AS idr, event_id % 16 AS n, COALESCE(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT), 0) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b(user_id, i, event_id, seen, held, error) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS {kind}), CAST([] AS {kind}), CAST(NULL AS VARCHAR) FROM events
+  UNION ALL SELECT e.user_id, e.i, e.event_id, b.held, CAST(CASE {held} ELSE {plus('b.held', picture('false', '0'))} END AS {kind}), CAST(CASE {error} END AS VARCHAR) FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS track, event_id AS sample, array_to_string(list_transform(seen, lambda x: x.p || ':' || x.n || CASE WHEN x.l THEN 'L' || x.k ELSE '' END), ',') AS held, error FROM b WHERE i > 0"""
+
+
+@_query(_marking_sql())
 def dpb_marking(spark: SparkSession, d: str) -> DataFrame:
-    return D.marking_rows(spark, d)
-
-
-_QUERIES["dpb_marking"] = dpb_marking  # a buffer that each picture changes is beyond SQL; tests replay it
+    """The events as reference pictures of a track a user: a sign-up is an IDR picture, numbers in props choose the operations."""
+    return R.buffers(D.marked_events(spark, d), "track", ["ts", "sample"], "sample", F.date_trunc("day", F.col("ts")))
 
 
 # --- interpolation and partitions over whole tables -----------------------------------------------

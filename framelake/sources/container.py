@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators import timeline as T
+from framelake.operators import units as U
 
 # Boxes that hold boxes, and sample entry formats of video.
 CONTAINERS = ("moov", "trak", "mdia", "minf", "stbl")
@@ -75,11 +76,11 @@ def long(data: str, at: str | int, width: int = 4) -> str:
 
 
 def _entries(payload: str, width: int, fields: list[tuple[str, int, int]]) -> Column:
-    """A table box's rows as an array of structs; a count that the payload's length contradicts raises an error."""
+    """A table box's rows as an array of structs; null for a count that the payload's length contradicts (track_error() says so)."""
     count = long(payload, 4)
     made = ", ".join(f"'{name}', {long(payload, f'8 + i * {width} + {at}', n)}" for name, at, n in fields)
     rows = f"transform(CASE WHEN {count} = 0 THEN CAST(array() AS ARRAY<BIGINT>) ELSE sequence(0L, {count} - 1) END, i -> named_struct({made}))"
-    return F.expr(f"CASE WHEN {payload} IS NULL THEN NULL WHEN length({payload}) <> 8 + {count} * {width} THEN raise_error('table box has a wrong length') ELSE {rows} END")
+    return F.expr(f"CASE WHEN length({payload}) >= 8 AND length({payload}) = 8 + {count} * {width} THEN {rows} END")
 
 
 def brands(found: DataFrame) -> DataFrame:
@@ -94,9 +95,11 @@ def brands(found: DataFrame) -> DataFrame:
 
 
 def tracks(found: DataFrame) -> DataFrame:
-    """One row a track: ids, handler, timescales, durations, size, sample entry and the payloads of its sample tables."""
+    """One row a track: ids, handler, timescales, durations, size, sample entry and the payloads of its sample tables; track_error() says what is wrong with it."""
     wanted = ["tkhd", "mdhd", "hdlr", "stsd", "stts", "ctts", "stsc", "stsz", "stco", "co64", "stss"]
-    t = found.where(F.col("error").isNull() & (F.col("trak") >= 0)).groupBy("path", "trak").agg(*[F.min_by("payload", F.when(F.col("type") == k, F.col("offset"))).alias(k) for k in wanted])
+    t = found.where(F.col("error").isNull() & (F.col("trak") >= 0)).groupBy("path", "trak").agg(
+        *[F.min_by("payload", F.when(F.col("type") == k, F.col("offset"))).alias(k) for k in wanted], *[F.coalesce(F.bool_or(F.col("type") == k), F.lit(False)).alias(f"has_{k}") for k in ("minf", "stbl")]
+    )
     movie = found.where("type = 'mvhd' AND error IS NULL").groupBy("path").agg(F.max_by("payload", "offset").alias("mvhd"))
 
     def timed(box: str, at: int) -> tuple[str, str]:
@@ -119,7 +122,7 @@ def tracks(found: DataFrame) -> DataFrame:
         f"shiftright({long('tkhd', f'{n} - 4')}, 16) AS height",
         f"{long('stsd', 4)} AS entries",
         "decode(substring(stsd, 13, 4), 'ISO-8859-1') AS format",
-        *["tkhd", "stts", "ctts", "stsc", "stsz", "stco", "co64", "stss", "stsd"],
+        *["tkhd", "stts", "ctts", "stsc", "stsz", "stco", "co64", "stss", "stsd", "mvhd", "mdhd", "hdlr", "has_minf", "has_stbl"],
     )
 
 
@@ -168,10 +171,20 @@ def track_error() -> Column:
     """What is wrong with a row of tracks(), null if nothing: the checks of headers and sample tables beyond their lengths."""
     size = lambda k: F.length(k)
     v1 = F.expr("hex(substring(tkhd, 1, 1)) = '01'")
+
+    def header(k: str, what: str) -> Column:
+        version = long(k, 0, 1)
+        return F.expr(f"{k} IS NOT NULL AND " + (f"length({k}) < CASE WHEN {version} = 1 THEN 32 ELSE 20 END" if what == "cut" else f"{version} > 1"))
+
     head = (
         F.when(F.col("tkhd").isNull(), "track has no header")
         .when(size("tkhd") < F.when(v1, 96).otherwise(84), "tkhd box is cut short")
+        .when(header("mvhd", "cut"), "mvhd box is cut short")
+        .when(header("mvhd", "version"), "mvhd box has an unknown version")
+        .when(F.col("movie_timescale") == 0, "movie timescale is zero")
         .when(F.col("timescale").isNull(), "track has no media header")
+        .when(header("mdhd", "cut"), "mdhd box is cut short")
+        .when(header("mdhd", "version"), "mdhd box has an unknown version")
         .when(F.col("timescale") == 0, "timescale is zero")
         .when(F.col("handler").isNull() | (F.col("handler") == "\0\0\0\0"), "track has no handler")
     )
@@ -179,24 +192,43 @@ def track_error() -> Column:
     def framed(k: str, width: int) -> Column:
         return F.expr(f"{k} IS NOT NULL AND (length({k}) < 8 OR length({k}) <> 8 + {long(k, 4)} * {width})")
 
+    # a track with no table at all may have its samples elsewhere
+    some = "coalesce(stts, stsc, stsz, stco, co64) IS NOT NULL"
+    head = head.when(F.col("has_minf") & ~F.col("has_stbl"), "media has no sample tables")
+    for k in ("stts", "stsc", "stsz"):
+        head = head.when(F.expr(f"{some} AND {k} IS NULL"), f"{k} box is missing")
+    head = head.when(F.expr(f"{some} AND (stco IS NULL) = (co64 IS NULL)"), "not exactly one of stco and co64")
     for k, width in (("stts", 8), ("ctts", 8), ("stsc", 12), ("stco", 4), ("co64", 8), ("stss", 4)):
         head = head.when(framed(k, width), f"{k} box has a wrong length")
-    head = head.when(F.expr(f"stsz IS NOT NULL AND (length(stsz) < 12 OR length(stsz) <> 12 + CASE WHEN {long('stsz', 4)} = 0 THEN 4 * {long('stsz', 8)} ELSE 0 END)"), "stsz box has a wrong length")
+    head = head.when(F.expr(f"stsz IS NOT NULL AND (length(stsz) < 12 OR {long('stsz', 4)} = 0 AND length(stsz) <> 12 + 4 * {long('stsz', 8)})"), "stsz box has a wrong length")
     counts = lambda k: F.exists(_entries(k, 8, [("n", 0, 4)]), lambda e: e["n"] == 0)
     steps = _entries("stsc", 12, [("chunk", 0, 4), ("n", 4, 4), ("d", 8, 4)])
     later = F.exists(F.zip_with(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), lambda b, a: b["chunk"] <= a["chunk"]), lambda x: x)
     marks = _entries("stss", 4, [("k", 0, 4)])
+    total = lambda k: F.aggregate(_entries(k, 8, [("n", 0, 4)]), F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
+    chunks, count = F.expr(f"CASE WHEN stco IS NOT NULL THEN {long('stco', 4)} ELSE {long('co64', 4)} END"), F.expr(long("stsz", 8))
+    # a step holds for the chunks up to the next one's first, the last one to the end
+    ends = F.concat(F.transform(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), lambda e: e["chunk"] - 1), F.array(chunks))
+    mapped = F.aggregate(F.zip_with(steps, ends, lambda e, end: e["n"] * F.greatest(F.least(end, chunks) - e["chunk"] + 1, F.lit(0))), F.lit(0).cast("bigint"), lambda a, n: a + n)
     return (
-        head.when(counts("stts"), "stts box has a zero count")
+        head.when(F.expr(f"ctts IS NOT NULL AND {long('ctts', 0, 1)} > 1"), "ctts box has an unknown version")
+        .when(counts("stts"), "stts box has a zero count")
         .when(counts("ctts"), "ctts box has a zero count")
+        .when(F.size(steps) == 0, "stsc box is empty")
         .when(F.exists(steps, lambda e: (e["chunk"] == 0) | (e["n"] == 0) | (e["d"] == 0)), "stsc box has a zero")
         .when((F.size(steps) > 0) & (F.get(steps, F.lit(0))["chunk"] != 1), "stsc box does not begin at the first chunk")
         .when(later, "stsc box does not rise")
         .when(F.exists(steps, lambda e: e["d"] > F.col("entries")), "stsc box names a description that is not there")
-        .when(F.exists(marks, lambda e: (e["k"] == 0) | (e["k"] > F.expr(long("stsz", 8)))), "stss box names a sample that is not there")
+        .when(F.exists(marks, lambda e: (e["k"] == 0) | (e["k"] > count)), "stss box names a sample that is not there")
+        .when((total("stts") != count) | (total("ctts") != count) | (mapped != count), "sample tables differ in length")
     )
 
 
+def bad_tracks(t: DataFrame) -> DataFrame:
+    """(path, trak, error): the tracks that samples() leaves out, and why."""
+    return t.withColumn("error", track_error()).where("error IS NOT NULL").select("path", "trak", "error")
+
+
 def is_video(handler: str = "handler") -> Column:
     return F.col(handler) == "vide"
 
@@ -247,8 +279,6 @@ def _facts(stts: bytes | None, ctts: bytes | None, stsc: bytes | None, stsz: byt
     flags = (stss is not None) + 2 * (ctts is not None)
     if stsz is not None:
         fixed, count = int.from_bytes(stsz[4:8], "big"), int.from_bytes(stsz[8:12], "big")
-        if len(stsz) != 12 + (0 if fixed else 4 * count):
-            raise ValueError("table box has a wrong length")
         if fixed:
             yield "size", column([0], [count], [fixed], [flags], 0)
         else:
@@ -278,8 +308,7 @@ def samples(t: DataFrame) -> DataFrame:
     """The sample table of each of tracks(): track, sample_idx, offset, size, dts, pts, duration, description_index, is_sync.
 
     Tables are decoded by the column, runs become a row a sample, and what the tables say of a sample meets in one aggregation.
-    Tracks without any table have no samples. The tables are positional: their lengths must agree,
-    and a sample that one of them lacks raises an error.
+    A track without any table, or without sample entries, has no samples. Tracks with an error are left out: bad_tracks() has them.
     """
     tables = ["stts", "ctts", "stsc", "stsz", "stco", "co64", "stss"]
 
@@ -294,41 +323,38 @@ def samples(t: DataFrame) -> DataFrame:
                         part = rows[at : at + BATCH]
                         yield pa.record_batch({"track": [row["track"]] * len(part), "kind": [kind] * len(part)} | dict(zip(("first", "n", "a", "b", "c"), part.T.copy(), strict=True)))
 
-    named = t.select(F.concat_ws("#", "path", F.col("trak").cast("string")).alias("track"), *tables)
+    whole = t.where(track_error().isNull() & F.col("stsd").isNotNull() & F.col("stsz").isNotNull())
+    named = whole.select(F.concat_ws("#", "path", F.col("trak").cast("string")).alias("track"), *tables)
     facts = named.mapInArrow(run, FACTS).repartition("track", "first").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.expr(value)))
     rows = facts.groupBy("track", (F.col("first") + F.col("rep")).alias("sample_idx")).agg(
         of("size", "a").alias("size"), of("size", "b").alias("has"), of("time", "a + rep * b").alias("dts"), of("time", "b").alias("delta"), of("shift", "a").alias("shift"),
         of("chunk", "a").alias("chunk_offset"), of("chunk", "b").alias("description_index"), of("chunk", "c").alias("chunk"), F.coalesce(of("sync", "1"), F.lit(0)).alias("marked"),
     )
-    lost = F.col("size").isNull() | F.col("delta").isNull() | F.col("chunk").isNull() | (F.col("has").bitwiseAND(F.lit(2)) > 0) & F.col("shift").isNull()
-    rows = rows.withColumn("size", F.when(lost, F.raise_error(F.lit("sample tables differ in length")).cast("bigint")).otherwise(F.col("size")))
     rows = T.byte_offsets(rows, ["track", "chunk"], ["sample_idx"], "size")
     sync = (F.col("has").bitwiseAND(F.lit(1)) == 0) | (F.col("marked") == 1)
     return rows.select("track", "sample_idx", (F.col("chunk_offset") + F.col("offset")).alias("offset"), "size", "dts", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"), F.col("delta").alias("duration"), "description_index", sync.alias("is_sync"))
 
 
-def units(files: DataFrame, of_samples: DataFrame, length_size: int = 4) -> DataFrame:
-    """(track, sample_idx, unit_idx, ref_idc, nal_type, bytes) for each length-prefixed unit of each sample."""
-    located = of_samples.withColumn("path", F.substring_index("track", "#", 1)).join(files, "path")
-    cut = located.select("track", "sample_idx", F.expr("substring(content, CAST(offset + 1 AS INT), CAST(size AS INT))").alias("data"))
+def length_sizes(t: DataFrame) -> DataFrame:
+    """(track, description_index, length_size): how many bytes the length before a unit has, by the decoder configuration of each sample entry of tracks()."""
+    d = descriptions(t).where("config_type = 'avcC' AND error IS NULL")
+    return d.select(F.concat_ws("#", "path", F.col("trak").cast("string")).alias("track"), "description_index", F.expr(f"CAST(({long('config', 4, 1)} & 3) + 1 AS INT)").alias("length_size"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for track, idx, data in batch.itertuples(index=False):
-                at, k = 0, 0
-                while at < len(data):
-                    n = int.from_bytes(data[at : at + length_size], "big")
-                    at += length_size
-                    if n == 0 or at + n > len(data):
-                        raise ValueError(f"unit {k} of sample {idx} of {track} is cut short")
-                    rows.append((track, idx, k, bytes(data[at : at + n])))
-                    at, k = at + n, k + 1
-            yield pd.DataFrame(rows, columns=["track", "sample_idx", "unit_idx", "data"])
-
-    split = cut.mapInPandas(run, "track string, sample_idx bigint, unit_idx bigint, data binary")
-    return split.selectExpr("track", "sample_idx", "unit_idx", f"shiftright({long('data', 0, 1)}, 5) & 3 AS ref_idc", f"{long('data', 0, 1)} & 31 AS nal_type", "CAST(length(data) AS BIGINT) AS bytes")
+
+def units(files: DataFrame, of_samples: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(track, sample_idx, unit_idx, ref_idc, nal_type, bytes, error) for each length-prefixed unit of each sample.
+
+    sizes is length_sizes() of the tracks; a description without a configuration, and any where sizes is not given, has lengths of four bytes. A malformed sample, and one that its file does
+    not hold whole, is one row with an error in place of its units.
+    """
+    located = of_samples.withColumn("path", F.substring_index("track", "#", 1)).join(files, "path")
+    if sizes is not None:
+        located = located.join(sizes, ["track", "description_index"], "left")
+    length = F.coalesce("length_size", F.lit(4)) if sizes is not None else F.lit(4)
+    cut = located.select("track", "sample_idx", length.alias("length_size"), F.expr("CASE WHEN offset + size <= length(content) THEN substring(content, CAST(offset + 1 AS INT), CAST(size AS INT)) END").alias("data"))
+    split = U.unit_headers(U.split_bytes(cut, ["track", "sample_idx"], "data", "length_size"), "unit")
+    return split.select("track", "sample_idx", "unit_idx", "ref_idc", "nal_type", F.octet_length("unit").cast("bigint").alias("bytes"), "error")
 
 
 # --- writing ----------------------------------------------------------------------------------

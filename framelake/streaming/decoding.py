@@ -105,10 +105,14 @@ def decoder_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS)
     return streamed(events, ["ts", "event_id"], decoder_state, OUT, slice_rows)
 
 
-def marking_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """marking_state() over the events as reference pictures of a track a user: a sign-up is an IDR picture, numbers in props choose the operations."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.coalesce(F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"), F.lit(0)))
+def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as reference pictures of a track a user: a sign-up is an IDR picture, numbers in props choose the operations."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.coalesce(F.regexp_extract("props", "([0-9]+)", 1).try_cast("bigint"), F.lit(0)))
     op = lambda n, first, second="0": f"named_struct('operation', {n}L, 'first', CAST({first} AS BIGINT), 'second', CAST({second} AS BIGINT))"
     operations = f"CASE k % 9 WHEN 1 THEN array({op(1, 'k % 3')}) WHEN 2 THEN array({op(3, 'k % 2', 'k % 4')}) WHEN 3 THEN array({op(2, 'k % 4')}) WHEN 4 THEN array({op(4, 'k % 3')}) WHEN 5 THEN array({op(6, 'k % 4')}) WHEN 6 THEN array({op(1, '0')}, {op(1, '1')}) WHEN 7 THEN array({op(5, '0')}) ELSE array() END"
-    rows = e.selectExpr("CAST(user_id AS STRING) AS track", "event_id AS sample", "ts", "event_id % 16 AS frame_num", "coalesce(event_type = 'signup', false) AS idr", "k % 2 = 1 AS long_term", "k % 9 BETWEEN 1 AND 7 AS adaptive", f"CAST({operations} AS ARRAY<STRUCT<operation: BIGINT, first: BIGINT, second: BIGINT>>) AS operations")
-    return streamed(rows, ["ts", "sample"], marking_state, MARKED, slice_rows)
+    return e.selectExpr("CAST(user_id AS STRING) AS track", "event_id AS sample", "ts", "event_id % 16 AS frame_num", "coalesce(event_type = 'signup', false) AS idr", "k % 2 = 1 AS long_term", "k % 9 BETWEEN 1 AND 7 AS adaptive", f"CAST({operations} AS ARRAY<STRUCT<operation: BIGINT, first: BIGINT, second: BIGINT>>) AS operations")
+
+
+def marking_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """marking_state() over the events as reference pictures."""
+    return streamed(marked_events(spark, sf_dir), ["ts", "sample"], marking_state, MARKED, slice_rows)

@@ -50,8 +50,47 @@ def test_absent_and_empty_tables_differ(spark):
 @pytest.mark.parametrize("bad", [([(1, 10)], None, [1, 1]), ([(2, 10)], [(1, 0)], [1, 1]), ([(2, 10)], None, [1])])
 def test_lengths_must_agree(spark, bad):
     stts, ctts, sizes = bad
-    with pytest.raises(Exception, match="differ in length"):
-        C.samples(C.tracks(C.boxes(files(spark, movie(stts, ctts, [(1, 2, 1)], sizes, [100], None))))).collect()
+    good = movie([(2, 10)], None, [(1, 2, 1)], [1, 1], [100], None)
+    t = C.tracks(C.boxes(files(spark, movie(stts, ctts, [(1, 2, 1)], sizes, [100], None), good)))
+    assert [(r.path, r.error) for r in C.bad_tracks(t).collect()] == [("f0", "sample tables differ in length")]
+    assert {r.track for r in C.samples(t).collect()} == {"f1#0"}  # one bad track takes no other with it
+
+
+def test_missing_and_odd_tables(spark):
+    good = movie([(2, 10)], [(2, 0)], [(1, 2, 1)], [1, 1], [100], None)
+
+    def without(kind):
+        at = good.index(kind.encode()) - 4
+        size = int.from_bytes(good[at : at + 4], "big")
+        out = bytearray(good[:at] + good[at + size :])
+        for outer in ("moov", "trak", "mdia", "minf", "stbl"):
+            if (start := out.find(outer.encode()) - 4) >= 0 and start < at:
+                out[start : start + 4] = (int.from_bytes(out[start : start + 4], "big") - size).to_bytes(4, "big")
+        return bytes(out)
+
+    fixed = movie([(2, 10)], None, [(1, 2, 1)], [1, 1], [100], None).replace(box("stsz", u32(0, 0, 2), u32(1, 1)), box("stsz", u32(0, 5, 2), u32(1, 1)))
+    made = [without("stts"), without("stsc"), without("stsz"), without("stco"), without("stbl"), good.replace(b"ctts\1", b"ctts\2"), good.replace(u32(1000, 2500), u32(0, 2500)), movie([(2, 10)], None, [], [1, 1], [100], None), fixed, without("stsd"), good]
+    t = C.tracks(C.boxes(files(spark, *made)))
+    errors = {r.path: r.error for r in C.bad_tracks(t).collect()}
+    assert errors == {
+        "f0": "stts box is missing", "f1": "stsc box is missing", "f2": "stsz box is missing", "f3": "not exactly one of stco and co64", "f4": "media has no sample tables",
+        "f5": "ctts box has an unknown version", "f6": "movie timescale is zero", "f7": "stsc box is empty",
+    }
+    rows = C.samples(t).orderBy("track", "sample_idx").collect()
+    assert [(r.track, r.size) for r in rows if r.track == "f8#0"] == [("f8#0", 5), ("f8#0", 5)]  # bytes behind a fixed size are let be
+    assert {r.track for r in rows} == {"f8#0", "f10#0"}
+
+
+def test_units_of_bad_samples(spark):
+    stts, sizes = [(4, 10)], [7, 3, 4, 9]
+    head = movie(stts, None, [(1, 4, 1)], sizes, [0], None)
+    media = bytes([0, 0, 0, 3, 0x65, 1, 2]) + bytes([0, 0, 9]) + bytes([0, 0, 0, 0])
+    f = files(spark, movie(stts, None, [(1, 4, 1)], sizes, [len(head)], None) + media)
+    out = C.units(f, C.samples(C.tracks(C.boxes(f).where("offset < 100000 AND box_path LIKE '/moov%'")))).orderBy("sample_idx").collect()
+    assert [(r.sample_idx, r.nal_type, r.bytes, r.error is None) for r in out] == [(0, 5, 3, True), (1, None, None, False), (2, None, None, False), (3, None, None, False)]
+    two = spark.createDataFrame([("f0#0", 1, 2)], "track string, description_index bigint, length_size int")
+    s = spark.createDataFrame([("f0#0", 0, 0, 5, 1)], "track string, sample_idx bigint, offset bigint, size bigint, description_index bigint")
+    assert [(r.nal_type, r.bytes) for r in C.units(files(spark, bytes([0, 3, 0x65, 1, 2])), s, two).collect()] == [(5, 3)]
 
 
 def test_boxes(spark):
