@@ -671,12 +671,13 @@ def _boxes_sql() -> str:
     return "[" + ", ".join(f"{{'b': {r[1:-1].split(', ', 2)[0]}, 'o': CAST({r[1:-1].split(', ', 2)[1]} AS BIGINT), 's': CAST({r[1:-1].split(', ', 2)[2]} AS BIGINT)}}" for r in rows) + "]"
 
 
-_BOXES_SQL = f"""WITH {_FILE_SQL}, q AS (SELECT path, count(*) AS n, CAST(sum(size) AS BIGINT) AS media, (count(*) + 2) // 3 AS c, CASE WHEN count(*) % 3 = 0 OR count(*) < 3 THEN 1 ELSE 2 END AS st, count(*) FILTER (WHERE sync) AS s FROM m GROUP BY path),
+def _boxes_query() -> str:
+    return f"""WITH {_FILE_SQL}, q AS (SELECT path, count(*) AS n, CAST(sum(size) AS BIGINT) AS media, (count(*) + 2) // 3 AS c, CASE WHEN count(*) % 3 = 0 OR count(*) < 3 THEN 1 ELSE 2 END AS st, count(*) FILTER (WHERE sync) AS s FROM m GROUP BY path),
 u AS (SELECT path, unnest({_boxes_sql()}) AS x FROM q)
 SELECT path, CAST(CASE WHEN x.b LIKE '/moov/trak%' THEN 0 ELSE -1 END AS INTEGER) AS trak, x.b AS box_path, CAST(length(x.b) - length(replace(x.b, '/', '')) - 1 AS INTEGER) AS depth, right(x.b, 4) AS type, x.o AS "offset", x.s AS size, CAST(NULL AS VARCHAR) AS error FROM u"""
 
 
-@_query(_BOXES_SQL)
+@_query(_boxes_query())
 def container_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Every box, at every depth."""
     return C.boxes(_files(spark, d)).select("path", "trak", "box_path", "depth", "type", "offset", "size", "error")
@@ -993,3 +994,6 @@ def address_range(spark: SparkSession, d: str) -> DataFrame:
     x = N.described(read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", read(spark, d, "part", "p_partkey", "p_size"), "p_partkey")
     x = x.selectExpr("l_orderkey", "CAST(l_linenumber AS BIGINT) AS line", "l_partkey", "l_linenumber - 1 AS address", "p_size % 5 AS total")
     return N.out_of_range(x, "address", "total").select("l_orderkey", "line", "l_partkey")
+
+
+from framelake.plans import media as _media  # noqa: E402, F401  its queries register themselves

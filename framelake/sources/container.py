@@ -20,11 +20,18 @@ from framelake.operators import units as U
 # Boxes that hold boxes, and sample entry formats of video.
 CONTAINERS = ("moov", "trak", "mdia", "minf", "stbl")
 VIDEO_FORMATS = ("avc1", "avc3", "hvc1", "hev1", "vp09", "av01")
+# Boxes whose bytes are no metadata.
+MEDIA = ("mdat", "free", "skip")
 
 BOXES = "path string, trak int, box_path string, depth int, ord int, type string, offset bigint, size bigint, header_size int, payload binary, error string"
 
 
-def _scan(data: bytes, start: int, end: int, depth: int, parent: str, trak: int) -> Iterator[tuple]:
+def header_error(left: int, size: int, head: int) -> str | None:
+    """What is wrong with a box of size bytes, head of them its header, where left bytes are left."""
+    return "box is cut short" if left < 8 or size == 1 else "box is smaller than its header" if size < head else "box runs past its parent" if size > left else None
+
+
+def scan_boxes(data: bytes, start: int, end: int, depth: int, parent: str, trak: int) -> Iterator[tuple]:
     """Rows of the boxes from start to end and of those inside; a malformed box gives an error row and ends its level."""
     at, order, traks = start, 0, 0
     while at < end:
@@ -34,16 +41,16 @@ def _scan(data: bytes, start: int, end: int, depth: int, parent: str, trak: int)
             size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
         elif size == 0:
             size = end - at
-        bad = "box is cut short" if end - at < 8 or (size == 1) else "box is smaller than its header" if size < head else "box runs past its parent" if at + size > end else None
+        bad = header_error(end - at, size, head)
         if bad:
             yield (trak, f"{parent}/{kind}", depth, order, kind, at, size, head, None, bad)
             return
         own = traks if kind == "trak" else trak
         traks += kind == "trak"
         inner = kind in CONTAINERS
-        yield (own, f"{parent}/{kind}", depth, order, kind, at, size, head, None if inner or kind in ("mdat", "free", "skip") else data[at + head : at + size], None)
+        yield (own, f"{parent}/{kind}", depth, order, kind, at, size, head, None if inner or kind in MEDIA else data[at + head : at + size], None)
         if inner:
-            yield from _scan(data, at + head, at + size, depth + 1, f"{parent}/{kind}", own)
+            yield from scan_boxes(data, at + head, at + size, depth + 1, f"{parent}/{kind}", own)
         at, order = at + size, order + 1
 
 
@@ -60,7 +67,7 @@ def boxes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in ([_NULL] if c is None else _scan(bytes(c), 0, len(c), 0, "", -1))]
+            rows = [(p, *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in ([_NULL] if c is None else scan_boxes(bytes(c), 0, len(c), 0, "", -1))]
             yield pd.DataFrame(rows, columns=["path", "trak", "box_path", "depth", "ord", "type", "offset", "size", "header_size", "payload", "error"])
 
     return files.select("path", "content").mapInPandas(run, BOXES)
@@ -138,7 +145,7 @@ def _described(data: bytes | None) -> Iterator[tuple]:
     if len(data) < 8:
         yield (None, None, None, None, None, None, None, "stsd box has a wrong length")
         return
-    found = [r for r in _scan(data, 8, len(data), 0, "", -1)]
+    found = [r for r in scan_boxes(data, 8, len(data), 0, "", -1)]
     bad = next((r[-1] for r in found if r[-1]), None) or ("stsd box counts its entries wrongly" if len(found) != int.from_bytes(data[4:8], "big") else None)
     if bad:
         yield (None, None, None, None, None, None, None, bad)
@@ -150,7 +157,7 @@ def _described(data: bytes | None) -> Iterator[tuple]:
         elif len(body) < 78:
             yield (k + 1, kind, True, None, None, None, None, "sample entry is cut short")
         else:
-            inner = list(_scan(body, 78, len(body), 0, "", -1))
+            inner = list(scan_boxes(body, 78, len(body), 0, "", -1))
             bad = next((r[-1] for r in inner if r[-1]), None)
             config = next(((r[4], body[r[5] + r[7] : r[5] + r[6]]) for r in inner if r[4] in CONFIGS), (None, None))
             yield (k + 1, kind, True, int.from_bytes(body[24:26], "big"), int.from_bytes(body[26:28], "big"), *config, bad)
@@ -266,7 +273,7 @@ def _table(data: bytes | None, width: int, kind: str = ">u4") -> np.ndarray:
     return np.frombuffer(data, dtype=kind, offset=8).reshape(-1, width // int(kind[2])).astype(np.int64)
 
 
-def _facts(stts: bytes | None, ctts: bytes | None, stsc: bytes | None, stsz: bytes | None, stco: bytes | None, co64: bytes | None, stss: bytes | None) -> Iterator[tuple[str, np.ndarray]]:
+def track_facts(stts: bytes | None, ctts: bytes | None, stsc: bytes | None, stsz: bytes | None, stco: bytes | None, co64: bytes | None, stss: bytes | None) -> Iterator[tuple[str, np.ndarray]]:
     """(kind, rows of first sample, number of samples, a, b, c) from one track's tables."""
     before = lambda x: np.cumsum(x) - x
     column = lambda *cs: np.stack(np.broadcast_arrays(*cs), axis=1).astype(np.int64)
@@ -285,6 +292,7 @@ def _facts(stts: bytes | None, ctts: bytes | None, stsc: bytes | None, stsz: byt
             yield "size", column(np.arange(count), 1, np.frombuffer(stsz, dtype=">u4", offset=12), flags, 0)
     offsets = (_table(stco, 4) if stco is not None else _table(co64, 8, ">u8"))[:, 0]
     steps = _table(stsc, 12)
+    yield "step", steps
     chunk = np.arange(1, len(offsets) + 1)
     step = np.searchsorted(steps[:, 0], chunk, side="right") - 1
     some = step >= 0
@@ -315,7 +323,9 @@ def samples(t: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for kind, rows in _facts(*[row[k] for k in tables]):
+                for kind, rows in track_facts(*[row[k] for k in tables]):
+                    if kind == "step":  # the chunks have them
+                        continue
                     rows, place = _cut(rows)
                     if kind == "time":
                         rows[:, 2] += place * rows[:, 3]
