@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,7 @@ from framelake.llm.common import Admitted, bounded_batches, frugal, keeps_cache,
 from framelake.llm.token_files import WordEncoder
 
 #: Chunks kept by a Python worker, those that it meets again; characters split at a time; new chunks aligned at a time.
-CACHED_CHUNKS, SPLIT_CHARS, NEW_CHUNKS = 150_000, 1 << 19, 4096
+CACHED_CHUNKS, SPLIT_CHARS, NEW_CHUNKS = 300_000, 1 << 19, 4096
 #: Documents of a block, and links whose postings are made at a time (a longer document is one block).
 BLOCK_DOCS, BLOCK_LINKS = 1 << 16, 1 << 21
 #: A pair is a 64-bit integer: 24 bits for the id of A, 24 for that of B, 16 for the document's offset in its block.
@@ -40,6 +41,7 @@ DOCUMENTS = -1
 
 _EVEN = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_SPACE = re.compile(r"\s")
 
 
 class Aligned(NamedTuple):
@@ -57,26 +59,52 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def link(a: list[int], a_bytes: list[bytes], b: list[int], b_bytes: list[bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups of ids, links) of two segmentations of the same bytes, in order."""
-    groups, links = [], []
-    i = j = first_i = first_j = 0
-    end_a, end_b = len(a_bytes[0]) if a else 0, len(b_bytes[0]) if b else 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a:
-            i += 1
-        if step_b:
-            j += 1
-        if step_a and step_b:
-            groups.append((a[first_i:i], b[first_j:j]))
-            first_i, first_j = i, j
-        if step_a and i < len(a):
-            end_a += len(a_bytes[i])
-        if step_b and j < len(b):
-            end_b += len(b_bytes[j])
-    return groups, links
+class Vocabulary:
+    """Token bytes by id, and what vector operations need of them: lengths, and ids as decimal digits with zeros behind."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        width = len(str(len(tokens)))
+        text = np.array([str(i).encode() for i in range(len(tokens))], dtype=f"S{width}")
+        self.digits = text.view(np.uint8).reshape(len(tokens), width)
+        self.digit_counts = (self.digits > 0).sum(axis=1)
+
+
+def _per_chunk(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values up to each end since the end before."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends], prepend=0)
+
+
+def link_chunks(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, va: Vocabulary, vb: Vocabulary) -> list[Aligned]:
+    """Chunks one behind another, n_a and n_b tokens each, of which both segmentations give the same bytes: a chunk's end is a cut like any other, so all are one sequence."""
+    len_a, len_b = va.lengths[a], vb.lengths[b]
+    end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
+    start_a, start_b = end_a - len_a, end_b - len_b
+    cuts = end_a[end_b[np.searchsorted(end_b, end_a)] == end_a]
+    # an A token's links: the B tokens that end behind its start and start before its end
+    low, high = np.searchsorted(end_b, start_a, side="right"), np.searchsorted(start_b, end_a, side="left")
+    times = high - low
+    j = np.arange(int(times.sum())) + np.repeat(low - (np.cumsum(times) - times), times)
+    pairs = np.repeat(a, times) << (ID_BITS + DOC_BITS) | b[j] << DOC_BITS
+    # groups as text: the tokens of A and then of B in each, a sign behind each token
+    group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+    order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+    width = max(va.digits.shape[1], vb.digits.shape[1])
+    text = np.zeros((len(a) + len(b), width + 1), dtype=np.uint8)
+    text[: len(a), : va.digits.shape[1]] = va.digits[a]
+    text[len(a) :, : vb.digits.shape[1]] = vb.digits[b]
+    text[: len(a), width] = np.where(cuts[group_a] == end_a, ord("|"), ord(","))
+    text[len(a) :, width] = np.where(cuts[group_b] == end_b, ord(";"), ord(","))
+    text = text[order].reshape(-1)
+    text = text[text > 0].tobytes()
+    lengths = np.concatenate([va.digit_counts[a], vb.digit_counts[b]])[order] + 1
+    ends_a, ends_both = np.cumsum(n_a), np.cumsum(n_a + n_b)
+    text_ends = np.cumsum(_per_chunk(lengths, ends_both)).tolist()
+    link_ends = (np.cumsum(_per_chunk(times, ends_a)) * 8).tolist()
+    groups = np.diff(np.searchsorted(cuts, end_a[ends_a - 1], side="right"), prepend=0)
+    counts, links = np.stack([n_a, n_b, groups], axis=1).astype("<u4").tobytes(), pairs.tobytes()
+    return [Aligned(counts[12 * k : 12 * k + 12], text[s : e - 1], links[x:y]) for k, (s, e, x, y) in enumerate(zip([0, *text_ends], text_ends, [0, *link_ends], link_ends, strict=False))]
 
 
 class Aligner:
@@ -89,20 +117,24 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         alphabet = byte_alphabet()
         vocabulary = self.a.lib.get_vocab()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in vocabulary.items()}
-        self.b_bytes, splits = [], True
+        tokens = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            tokens[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
+        self.va = Vocabulary(tokens)
+        tokens, splits = [], True
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
-                self.b_bytes.append(bytes([int(piece[3:5], 16)]))
+                tokens.append(bytes([int(piece[3:5], 16)]))
             elif self.b.is_control(i) or self.b.is_unknown(i):
-                self.b_bytes.append(b"")
+                tokens.append(b"")
             else:
-                self.b_bytes.append(piece.replace("▁", " ").encode())
+                tokens.append(piece.replace("▁", " ").encode())
                 splits &= "▁" not in piece.lstrip("▁")
+        self.vb = Vocabulary(tokens)
         self.splits = splits  # else a piece may reach over the start of a word, and texts stay whole
-        if max(max(self.a_bytes), len(self.b_bytes)) >= 1 << ID_BITS:
-            raise ValueError(f"a vocabulary has 2**{ID_BITS} ids or more")
+        if max(len(self.va.tokens), len(self.vb.tokens)) > 1 << ID_BITS:
+            raise ValueError(f"a vocabulary has more than 2**{ID_BITS} ids")
         self.chunks = Admitted(CACHED_CHUNKS)
 
     def split(self, text: str) -> list[str]:
@@ -111,22 +143,26 @@ class Aligner:
             return [text]
         return _CUT.split(text) if _EVEN.search(text) else text.split(" ")
 
-    def align_chunk(self, chunk: str, a: list[int], b: list[int]) -> Aligned | None:
-        want = (" " + chunk).encode()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != want or b"".join(b_bytes) != want:
-            return None
-        groups, links = link(a, a_bytes, b, b_bytes)
-        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-        pairs = np.array(links, dtype=np.int64)
-        return Aligned(np.array([len(a), len(b), len(groups)], dtype="<u4").tobytes(), text.encode(), (pairs[:, 0] << np.int64(ID_BITS + DOC_BITS) | pairs[:, 1] << np.int64(DOC_BITS)).tobytes())
-
     def _align(self, chunks: list[str]) -> dict[str, Aligned | None]:
-        plain = [c for c in chunks if self.a._alone(" " + c)]
-        odd = [c for c in chunks if not self.a._alone(" " + c)]
-        raw = [*self.a.raw_words([" " + c for c in plain]), *self.a.raw([" " + c for c in odd])] if plain else self.a.raw([" " + c for c in odd])
-        both = [*plain, *odd]
-        return {c: self.align_chunk(c, np.frombuffer(r, dtype=self.a.kind).tolist(), p) for c, r, p in zip(both, raw, self.b.encode(both, num_threads=1), strict=True)}
+        plain, odd = [], []
+        for c in chunks:
+            (odd if _SPACE.search(c) or not c or "\0" in c else plain).append(" " + c)
+        raw = [*(self.a.raw_words(plain) if plain else []), *self.a.raw(odd)]
+        both = [c[1:] for c in (*plain, *odd)]
+        pieces = self.b.encode(both, num_threads=1)
+        k = self.a.kind.itemsize
+        n_a, n_b = np.array([len(r) // k for r in raw], dtype=np.int64), np.array([len(p) for p in pieces], dtype=np.int64)
+        a, b = np.frombuffer(b"".join(raw), dtype=self.a.kind).astype(np.int64), np.fromiter(chain.from_iterable(pieces), dtype=np.int64, count=int(n_b.sum()))
+        octets = [(" " + c).encode() for c in both]
+        sizes = np.array([len(o) for o in octets], dtype=np.int64)
+        good = (n_a > 0) & (n_b > 0) & (_per_chunk(self.va.lengths[a], np.cumsum(n_a)) == sizes) & (_per_chunk(self.vb.lengths[b], np.cumsum(n_b)) == sizes)
+        whole = b"".join(octets)
+        if not (good.all() and b"".join([self.va.tokens[i] for i in a.tolist()]) == whole and b"".join([self.vb.tokens[i] for i in b.tolist()]) == whole):
+            for i, (x, y) in enumerate(zip(np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1]), strict=True)):
+                good[i] &= b"".join([self.va.tokens[t] for t in x.tolist()]) == octets[i] and b"".join([self.vb.tokens[t] for t in y.tolist()]) == octets[i]
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        made = iter(link_chunks(a, n_a[good], b, n_b[good], self.va, self.vb) if good.any() else [])
+        return {c: next(made) if ok else None for c, ok in zip(both, good.tolist(), strict=True)}
 
     def known(self, chunks: list[str]) -> dict[str, Aligned | None]:
         """What becomes of chunks that are not kept yet."""
