@@ -219,6 +219,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def unused(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name a column name that df does not have, whatever the case of its letters."""
+    have, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        made = f"__{name}"
+        while made.lower() in have:
+            made += "_"
+        have.add(made.lower())
+        out[name] = made
+    return out
+
+
 def grouped_stream(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """run() over each group of rows with equal keys; for very many small groups, which applyInPandas would call one by one at a price.
 

@@ -21,8 +21,6 @@ from framelake.llm.common import bounded_batches, frugal, give_back, start_task,
 PROFILE = 400
 #: Labelled documents that a language's profile is learned from, at most (a hash of the key chooses them).
 LEARNED_DOCS = 4_000
-#: Languages that are learned, at most: the most frequent ones, as a column of dirty labels may hold any number.
-LANGUAGES = 500
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -60,17 +58,14 @@ def ranked(text: str | None, size: int = PROFILE) -> np.ndarray:
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = LEARNED_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
     """language -> its n-gram codes in rank order, from rows with a text and a language.
 
-    At most about per_language documents of each of the LANGUAGES most frequent languages are read (all of them, where there are
+    At most about per_language documents of each language are read (all of them, where there are
     fewer), chosen by a hash of the key, so that a rerun learns the same; a null key is a key like others. What the driver gets is
-    size codes a language.
+    size codes a language, of all languages.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
+    sizes = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64(F.lit("language profile"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < F.coalesce(share[F.col(lang)], F.lit(0.0))).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    sample = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("place")).join(sizes, "l").where(F.col("place") * F.col("n") < per_language).select("l", "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,7 +122,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 
 
 def held_out(key: str = "doc_id") -> F.Column:
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether the crc32 of the key as text is a multiple of 5; false for a null key, which has none."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

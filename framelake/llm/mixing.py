@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import WORD_PATTERN, materialize, table
+from framelake.llm.common import WORD_PATTERN, materialize, table, unused
 
 #: Weights of the sources in turn, the words of the mix over all words, and times that a source may repeat.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -130,22 +130,27 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The rows that the mix takes, with the columns of docs, a row for each time, partitioned by shard and shuffled inside.
+    """The rows that the mix takes, with the columns of docs, a row for each time, in the order of shards and shuffled inside each; a task holds a range of that order.
 
     A document where its source's target ends keeps the words before that end, joined by spaces;
     all others keep their whole text. Rows with a null key are taken as often as the plan says for null keys.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint")
-    rows = docs.withColumns({"__s": size, "__r": F.xxhash64(*docs.columns)})
-    plan = mixing_plan(rows, key, text, source, shards, seed, carried=("__r",)).where("taken > 0")
+    free = unused(docs, "size", "row", "turn", "piece", "pieces")
+    c = {name: F.col(f"`{made}`") for name, made in free.items()}
+    own = F.col(f"`{text}`")
+    size = F.coalesce(F.regexp_count(own, F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint")
+    rows = docs.withColumns({free["size"]: size, free["row"]: F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns])})
+    plan = mixing_plan(rows, key, text, source, shards, seed, carried=(free["row"],)).where("taken > 0")
     # rows that are equal in all columns take turns in the pieces of their plans; texts are shuffled once for this and once to their shards
-    plan = plan.groupBy(F.col("size").alias("__s"), "__r").agg(F.collect_list("pieces").alias("__all"))
-    rows = rows.withColumn("__m", F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__r")))
-    taken = rows.join(plan, ["__s", "__r"]).where(F.col("__m") <= F.size("__all")).withColumn("__p", F.explode(F.get("__all", F.col("__m") - 1)))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD_PATTERN})")), 1, F.col("__p.words").cast("int")), " ")
-    taken = taken.withColumn(text, F.when(F.col("__p.words") < F.col("__s"), cut).otherwise(F.col(text)))
-    taken = taken.repartitionByRange(shards, "__p.shard").sortWithinPartitions("__p.shard", "__p.place", key)
-    return taken.select(*docs.columns)
+    plan = plan.groupBy(F.col("size").alias(free["size"]), free["row"]).agg(F.collect_list("pieces").alias(free["pieces"]))
+    rows = rows.withColumn(free["turn"], F.row_number().over(Window.partitionBy(free["size"], free["row"]).orderBy(free["row"])))
+    taken = rows.join(plan, [free["size"], free["row"]]).where(c["turn"] <= F.size(c["pieces"])).withColumn(free["piece"], F.explode(F.get(c["pieces"], c["turn"] - 1)))
+    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(f"({WORD_PATTERN})")), 1, c["piece"]["words"].cast("int")), " ")
+    taken = taken.withColumn(text, F.when(c["piece"]["words"] < c["size"], cut).otherwise(own))
+    # as many tasks as the session deals shuffles to, or as few as the bytes ask for: files follow the order of shards
+    place = [c["piece"]["shard"], c["piece"]["place"]]
+    taken = taken.repartitionByRange(*place).sortWithinPartitions(*place, F.col(f"`{key}`"))
+    return taken.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

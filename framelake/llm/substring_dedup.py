@@ -31,13 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import WORD, bounded_batches, connected_components, discard, frugal, materialize, slide, table, word_hashes
+from framelake.llm.common import WORD, bounded_batches, connected_components, discard, frugal, materialize, slide, table, unused, word_hashes
 
 #: Words of a shingle and of a paragraph, similarity in hundredths.
 SHINGLE, WINDOW, PERCENT = 5, 50, 75
-#: Words that an edit inside a passage may take.
-EDIT = 10
-
 #: Minima on each side of a part that narrow a bucket which is not settled.
 NARROW = 3
 #: Documents that are sampled for buckets with many documents, documents in the sample that make a bucket one, and tasks that such a bucket is dealt to.
@@ -150,32 +147,54 @@ def paragraph_hashes(text: str | None, buckets: np.ndarray, window: int = WINDOW
 
 
 def _equal_ends(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Where equal words behind an edit end, as words of a and of b from the edge of a run outwards; no edit comes first."""
+    """Where equal words behind an edit end, as words of a and of b from the edge of a run outwards; no edit comes first.
+
+    An edit changes as many words as it takes out, or puts in or takes out any number, or replaces up to three words by another number of them.
+    """
     m = min(len(a), len(b))
     same = np.concatenate([a[:m] == b[:m], [False]])
     out = [(0, 0)] + [(k, k) for k in (np.flatnonzero(same[:-1] & ~same[1:]) + 1).tolist()]
-    for i, j in ((i, j) for i in range(4) for j in range(4) if i != j):  # an edit that shifts what is behind it
-        m = min(len(a) - i, len(b) - j)
-        if m > 0 and (k := int((np.concatenate([a[i : i + m] == b[j : j + m], [False]])).argmin())):
+    shifts = [(i, 0) for i in range(1, len(a))] + [(0, j) for j in range(1, len(b))] + [(i, j) for i in range(1, 4) for j in range(1, 4) if i != j]
+    for i, j in shifts:
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            m = min(len(a) - i, len(b) - j)
+            k = int(np.concatenate([a[i : i + m] == b[j : j + m], [False]]).argmin())
             out.append((i + k, j + k))
     return out
 
 
+def _feasible(shared: list[int], gaps: list[float], per_gap: float) -> list[tuple[int, int]]:
+    """Stretches (from, to) between gaps that no similar passage can hold.
+
+    A passage of stretches needs per_gap shared shingles for each one that a gap takes. A gap can be in one only if the best
+    run of stretches that ends before it and the best one that begins behind it have enough.
+    """
+    left, right = [float(shared[0])], [float(shared[-1])]
+    for s, g in zip(shared[1:], gaps, strict=True):
+        left.append(s + max(0.0, left[-1] - per_gap * g))
+    for s, g in zip(shared[-2::-1], gaps[::-1], strict=True):
+        right.append(s + max(0.0, right[-1] - per_gap * g))
+    right.reverse()
+    cuts = [k + 1 for k, g in enumerate(gaps) if left[k] + right[k + 1] < per_gap * g]
+    return list(zip([0, *cuts], [*cuts, len(shared)], strict=True))
+
+
 def repeats(words_a: np.ndarray, a: np.ndarray, words_b: np.ndarray, b: np.ndarray, window: int = WINDOW, percent: int = PERCENT, n: int = SHINGLE) -> list[tuple[int, int]]:
     """Word spans (from, to) of the second text that repeat in the first, given both texts' word hashes and shingles.
 
-    Shingles of b that a has are joined to runs along one diagonal, over gaps that an edit makes. A
-    run counts if it has window words and the exact Jaccard similarity of its set and that of the span of a
-    that it lies on allows; if a run with gaps doesn't, its stretches between gaps are tried, the longest first. Where a few words
-    lack, the run goes on over an edit near its edge, behind which are too few equal words for a shingle.
+    Shingles of b that a has make stretches along diagonals. Stretches are joined over gaps of any length that the similarity allows, and a
+    passage counts if it has window words and the exact Jaccard similarity of its set and that of the span of a
+    that it lies on suffices; else fewer stretches are tried, the longest row of them first. Where a few words
+    lack, the passage goes on over an edit near its edge, behind which are too few equal words for a shingle.
     """
     if not len(a) or not len(b):
         return []
+    least = -(-percent * (window - n + 1) // 100)
     order = np.argsort(a, kind="stable")
     sorted_a = a[order]
     at = np.minimum(np.searchsorted(sorted_a, b), len(a) - 1)
     there = np.flatnonzero(sorted_a[at] == b)
-    if len(there) < window - n + 1 - EDIT:
+    if len(there) < least:
         return []
     places = order[at[there]]
     # a shingle that a has several times goes on with its left neighbour's place where it can, else with its right one's
@@ -188,12 +207,13 @@ def repeats(words_a: np.ndarray, a: np.ndarray, words_b: np.ndarray, b: np.ndarr
             if not (k and there[k] - there[k - 1] == 1 and places[k] == places[k - 1] + 1):
                 places[k] = p
     steps_b, steps_a = np.diff(there), np.diff(places)
-    exact = (steps_b == 1) & (steps_a == 1)
-    loose = exact | ((steps_b <= EDIT + n) & (steps_a > 0) & (steps_a <= EDIT + n))
-
-    def runs(joined: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
-        cuts = np.flatnonzero(~joined[lo : hi - 1]) + 1 + lo
-        return list(zip([lo, *cuts.tolist()], [*cuts.tolist(), hi], strict=True))
+    broken = np.flatnonzero((steps_b != 1) | (steps_a != 1))
+    starts, ends = np.concatenate([[0], broken + 1]), np.concatenate([broken + 1, [len(there)]])
+    # shingles of both texts between two stretches; none can be joined to one that stands before it in a
+    gaps = np.where(steps_a[broken] > 0, steps_a[broken] + steps_b[broken] - 2.0, np.inf)
+    per_gap = percent / (100 - percent) if percent < 100 else np.inf
+    # words that an edit near an edge can lie away from a run that is too short without what is behind it
+    reach = window * (100 - percent) // max(percent, 1) + 1
 
     def similar(a0: int, a1: int, b0: int, b1: int) -> bool:
         x, y = np.unique(a[a0 : a1 - n + 1]), np.unique(b[b0 : b1 - n + 1])
@@ -204,32 +224,32 @@ def repeats(words_a: np.ndarray, a: np.ndarray, words_b: np.ndarray, b: np.ndarr
         a0, a1, b0, b1 = int(places[lo]), int(places[hi - 1]) + n, int(there[lo]), int(there[hi - 1]) + n
         if b1 - b0 >= window:
             return (b0, b1) if similar(a0, a1, b0, b1) else None
-        left = _equal_ends(words_a[max(0, a0 - EDIT) : a0][::-1], words_b[max(0, b0 - EDIT) : b0][::-1])
-        right = _equal_ends(words_a[a1 : a1 + EDIT], words_b[b1 : b1 + EDIT])
-        longer = [(i + k, a0 - i, a1 + k, b0 - j, b1 + m) for i, j in left for k, m in right if b1 - b0 + j + m >= window]
+        left = _equal_ends(words_a[max(0, a0 - reach) : a0][::-1], words_b[max(0, b0 - reach) : b0][::-1])
+        right = _equal_ends(words_a[a1 : a1 + reach], words_b[b1 : b1 + reach])
+        longer = [(i + j + k + m, a0 - i, a1 + k, b0 - j, b1 + m) for i, j in left for k, m in right if b1 - b0 + j + m >= window]
         for _, *span in sorted(longer):
             if similar(*span):
                 return span[2], span[3]
         return None
 
+    rows = [(0, 1)] if len(starts) == 1 else _feasible((ends - starts).tolist(), gaps.tolist(), per_gap)
     out = []
-    for lo, hi in runs(loose, 0, len(there)):
-        if there[hi - 1] + n - there[lo] < window - 2 * EDIT:
+    for first, last in rows:
+        lo, hi = int(starts[first]), int(ends[last - 1])
+        if hi - lo < least or there[hi - 1] + n - there[lo] < least + n - 1:
             continue
         if found := passage(lo, hi):
             out.append(found)
             continue
-        cuts = runs(exact, lo, hi)
-        starts, ends = np.array([x for x, _ in cuts]), np.array([y for _, y in cuts])
-        i = 0
-        while i < len(cuts):
-            shared = ends[i:] - starts[i]
-            in_a, in_b = places[ends[i:] - 1] - places[starts[i]] + 1, there[ends[i:] - 1] - there[starts[i]] + 1
-            may = np.flatnonzero((100 * shared >= percent * (in_a + in_b - shared)) & (in_b + n - 1 >= window - 2 * EDIT))
-            last = next((int(k) for k in may[::-1] if (found := passage(int(starts[i]), int(ends[i + k])))), None)
-            if last is not None:
+        i = first
+        while i < last:
+            shared = np.cumsum(ends[i:last] - starts[i:last])
+            in_a, in_b = places[ends[i:last] - 1] - places[starts[i]] + 1, there[ends[i:last] - 1] - there[starts[i]] + 1
+            may = np.flatnonzero((100 * shared >= percent * (in_a + in_b - shared)) & (in_b >= least))
+            end = next((int(k) for k in may[::-1] if (found := passage(int(starts[i]), int(ends[i + k])))), None)
+            if end is not None:
                 out.append(found)
-                i += last
+                i += end
             i += 1
     return out
 
@@ -361,17 +381,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     A document that loses all its words goes; every other row stays, and one without a repeat has
     its text as it was, nulls and empty texts included.
     """
-    spans = materialize(repeated_spans(docs, key, text, window, percent), "spans").select(F.col(key).alias("__k"), "h", F.col("spans").alias("__spans"))
+    free = unused(docs, "k", "h", "spans", "cut")
+    spans = materialize(repeated_spans(docs, key, text, window, percent), "spans").select(F.col(key).alias(free["k"]), F.col("h").alias(free["h"]), F.col("spans").alias(free["spans"]))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else without_spans(t, [(x["lo"], x["hi"]) for x in s]) for t, s in zip(texts, lists, strict=True)])
 
-    joined = docs.join(spans, (docs[key] == spans["__k"]) & (F.xxhash64(docs[text]) == spans["h"]), "left")
-    # an extra name, as a column may be called anything
-    joined = joined.select(*[docs[c] for c in docs.columns], F.col("__spans"), cut(docs[text], F.col("__spans")).alias("__cut"))
-    joined = joined.where(F.col("__spans").isNull() | F.col("__cut").rlike(r"[^\x20\x09-\x0D]"))
-    return joined.select(*[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.col("__cut")).alias(c) if c == text else F.col(c) for c in docs.columns])
+    c = lambda name: F.col(f"`{name}`")
+    joined = docs.join(spans, (c(key) == c(free["k"])) & (F.xxhash64(c(text)) == c(free["h"])), "left")
+    joined = joined.withColumn(free["cut"], cut(c(text), c(free["spans"])))
+    joined = joined.where(c(free["spans"]).isNull() | c(free["cut"]).rlike(r"[^\x20\x09-\x0D]"))
+    return joined.select(*[F.when(c(free["spans"]).isNull(), c(x)).otherwise(c(free["cut"])).alias(x) if x == text else c(x) for x in docs.columns])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

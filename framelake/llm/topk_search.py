@@ -10,8 +10,6 @@ are dealt to blocks as well, so a task holds a block of either kind, whatever th
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +23,7 @@ CANDIDATES, QUERIES = 4096, 4096
 FIRST_DEPTH = 16
 #: Up to this size of components, sums of their products are exact in doubles (of 64 dimensions; checked for more).
 LARGEST = 1 << 22
-#: Scores are 64-bit integers; what is beyond counts as the largest or the smallest one.
+#: Scores are given as 64-bit integers; what is beyond is given as the largest or the smallest one, and ranks by all its digits.
 MOST = (1 << 63) - 1
 
 
@@ -49,43 +47,46 @@ def _integers(v: np.ndarray) -> list[list[int]]:
     return [[(256 * n) // d for n, d in map(float.as_integer_ratio, row)] for row in v.tolist()]
 
 
-def wide_topk(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """threshold_topk() in integers of any size, for the few rows that need them."""
-    rows, out = _integers(v), []
-    for q, me in zip(_integers(queries), own.tolist(), strict=True):
-        scored = ((max(-MOST - 1, min(MOST, sum(a * b for a, b in zip(x, q, strict=True)))), i) for x, i in zip(rows, ids.tolist(), strict=True) if i != me)
-        best = heapq.nsmallest(k, scored, key=lambda s: (-s[0], s[1]))
-        out.append((np.array([i for _, i in best], dtype=np.int64), np.array([s for s, _ in best], dtype=np.int64)))
+def _exact(v: np.ndarray) -> np.ndarray:
+    """_integers() as an array of Python integers."""
+    out = np.empty(v.shape, dtype=object)
+    for i, row in enumerate(_integers(v)):
+        out[i] = row
     return out
 
 
-def block_topk(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """threshold_topk() over vectors of doubles of any finite size."""
+def order_key(score: int) -> bytes:
+    """Bytes that sort as integers of any size do: sign, number of bytes, bytes; those below zero upside down."""
+    raw = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    key = len(raw).to_bytes(4, "big") + raw
+    return b"\1" + key if score >= 0 else b"\0" + bytes(255 - b for b in key)
+
+
+def block_topk(v: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """For each query its (score, id), exactly, from vectors of doubles of any finite size: wide rows and queries go through the threshold algorithm in Python's integers."""
     (x, wide_x), (q, wide_q) = quantized(v), quantized(queries)
-    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in own]
-
-    def add(at: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        for i, f in zip(at.tolist(), found, strict=True):
-            parts[i].append(f)
-
-    plain_x, plain_q = np.flatnonzero(~wide_x), np.flatnonzero(~wide_q)
-    if len(plain_x) and len(plain_q):
-        add(plain_q, threshold_topk(x[plain_x], ids[plain_x], q[plain_q], own[plain_q], k))
-    if wide_x.any() and len(plain_q):
-        add(plain_q, wide_topk(v[wide_x], ids[wide_x], queries[plain_q], own[plain_q], k))
-    if wide_q.any():
-        add(np.flatnonzero(wide_q), wide_topk(v, ids, queries[wide_q], own[wide_q], k))
-    out = []
-    for found in parts:
-        i, s = np.concatenate([np.zeros(0, dtype=np.int64), *[f[0] for f in found]]), np.concatenate([np.zeros(0, dtype=np.int64), *[f[1] for f in found]])
-        first = sorted(range(len(i)), key=lambda r: (-int(s[r]), int(i[r])))[:k] if len(found) > 1 else slice(k)
-        out.append((i[first], s[first]))
-    return out
+    out: list[list[tuple[int, int]]] = [[] for _ in own]
+
+    def add(rows: np.ndarray, x: np.ndarray, at: np.ndarray, q: np.ndarray) -> None:
+        if len(rows) and len(at):
+            for i, (found, scores) in zip(at.tolist(), threshold_topk(x, ids[rows], q, own[at], k), strict=True):
+                out[i] += zip(scores.tolist(), found.tolist(), strict=True)
+
+    plain_x, plain_q, far_x, far_q = np.flatnonzero(~wide_x), np.flatnonzero(~wide_q), np.flatnonzero(wide_x), np.flatnonzero(wide_q)
+    add(plain_x, x[plain_x], plain_q, q[plain_q])
+    if len(far_x):
+        add(far_x, _exact(v[far_x]), plain_q, _exact(queries[plain_q]))
+    if len(far_q):
+        add(np.arange(len(ids)), _exact(v), far_q, _exact(queries[far_q]))
+    return [sorted(found, key=lambda s: (-s[0], s[1]))[:k] for found in out]
 
 
 def threshold_topk(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query: (ids, scores) of the k rows of x with the highest inner product, ties to the smaller id, ids equal to own left out."""
-    n = len(x)
+    """For each query: (ids, scores) of the k rows of x with the highest inner product, ties to the smaller id, ids equal to own left out.
+
+    Rows and queries are whole numbers, as doubles whose sums are exact or as Python's integers.
+    """
+    n, exact = len(x), x.dtype == object
     up = np.argsort(x, axis=0, kind="stable").astype(np.int32)
     down = up[::-1]
     low, high = np.take_along_axis(x, up, 0), np.take_along_axis(x, down, 0)
@@ -101,7 +102,7 @@ def threshold_topk(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.
     for q, me, limit in zip(queries, own.tolist(), limits, strict=True):
         falls = q >= 0
         seen = ids == me
-        best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
+        best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=x.dtype)
         at = 0
         for d, bound in zip(depths, limit.tolist(), strict=True):
             met = np.zeros(n, dtype=bool)
@@ -111,42 +112,46 @@ def threshold_topk(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.
             at = d
             s = x[rows] @ q
             if len(best) == k:
-                good = s >= best[-1]
+                good = (s >= best[-1]).astype(bool)
                 rows, s = rows[good], s[good]
             best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, s])
-            first = np.lexsort((best_ids, -best))[:k]
+            first = sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i]))[:k] if exact else np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[first], best[first]
             if len(best) == k and best[-1] > bound:  # an equal score could still come from a smaller id
                 break
-        out.append((best_ids, best.astype(np.int64)))
+        out.append((best_ids, best if exact else best.astype(np.int64)))
     return out
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, key, score) of each query's k highest integer inner products.
 
-    Components count as floor(256 * x), exactly for any finite x; a score beyond 64 bits counts as the largest or smallest long. Rows with a
+    Components count as floor(256 * x), exactly for any finite x; rows rank by exact scores of any length, and a score beyond 64 bits is given as the largest or smallest long. Rows with a
     null key, a null or empty vector, or a null or non-finite component take
     no part, neither as query nor as candidate. A query meets the candidates of its own number of dimensions except rows with its
-    key; rows that repeat a query's key are one query, and rows that repeat a candidate's are candidates of their own. Ties go to the smaller key. Fewer candidates than k give fewer rows.
+    key. Query rows that repeat a key with another vector are queries of their own under that key, equal ones are one; rows that repeat a candidate's are candidates of their own. Ties go to the smaller key. Fewer candidates than k give fewer rows.
     """
     bounded_batches(queries.sparkSession)
-    q = materialize(usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    q = materialize(usable(queries, key, vector).distinct(), "queries")
     c = materialize(usable(candidates, key, vector), "candidates")
     nq, nc = max(1, -(-q.count() // QUERIES)), max(1, -(-c.count() // CANDIDATES))
-    q = q.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)).cast("array<bigint>")))
+    q = q.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(nq)).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)).cast("array<bigint>")))
     c = c.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(nc)).alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
-    columns = ["query_id", "id", "score"]
+    q = q.withColumn("h", F.xxhash64("v"))
+    columns = ["query_id", "h", "id", "score", "beyond"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in columns})
+            return pd.DataFrame({c: pd.Series(dtype="object" if c == "beyond" else "int64") for c in columns})
         found = block_topk(np.stack(right["v"]), right["id"].to_numpy(), np.stack(left["v"]), left["id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), [len(i) for i, _ in found]), "id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+        sizes = [len(f) for f in found]
+        rows = [x for f in found for x in f]
+        made = {"query_id": np.repeat(left["id"].to_numpy(), sizes), "h": np.repeat(left["h"].to_numpy(), sizes), "id": [i for _, i in rows], "score": [max(-MOST - 1, min(MOST, s)) for s, _ in rows]}
+        return pd.DataFrame(made | {"beyond": pd.Series([order_key(s) if abs(s) >= MOST else None for s, _ in rows], dtype=object)}).astype({"id": "int64", "score": "int64"})
 
     by = ["dim", "qb", "cb"]
-    met = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(run, "query_id bigint, id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    met = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(run, "query_id bigint, h bigint, id bigint, score bigint, beyond binary")
+    best = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), F.desc("beyond"), "id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 

@@ -280,6 +280,44 @@ def test_near_passages_meet_and_are_found():
     assert right >= 0.99 * len(found), right
 
 
+def jaccard(p, q):
+    g = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return len(g(p) & g(q)) / len(g(p) | g(q))
+
+
+@pytest.mark.parametrize(("size", "more"), [(80, 10), (80, 11), (80, 12), (80, 15), (90, 14), (98, 20), (200, 40), (60, 8)])
+def test_long_edits_up_to_the_similarity(size, more):
+    """One insertion, deletion or change of as many words as the similarity allows."""
+    r = random.Random(size * more)
+    for k in range(30):
+        p = ["".join(r.choices("abcdefghijkl", k=7)) for _ in range(size)]
+        new = ["".join(r.choices("mnopqrst", k=7)) for _ in range(more)]
+        at = r.randint(size // 3, size - size // 3)
+        q = [*p[:at], *new, *p[at:]] if k % 3 else [*p[:at], *new[: more // 2], *p[at + more // 2 :]]
+        if jaccard(p, q) < 0.75:
+            continue
+        texts = [" ".join([prose(r, r.randint(0, 60)), *w, prose(r, r.randint(1, 60))]) for w in ((p, q) if k % 2 else (q, p))]
+        met, spans = share(texts)
+        assert met and sum(hi - lo for lo, hi in spans) >= 50
+
+
+def test_recall_by_similarity():
+    """Near passages with one to three edits of any length: nine in ten at least are found in each band of similarity."""
+    r, found = random.Random(12), collections.defaultdict(list)
+    for _ in range(1500):
+        p = ["".join(r.choices("abcdefghijkl", k=6)) for _ in range(r.randint(50, 120))]
+        q = list(p)
+        for _ in range(r.randint(1, 3)):
+            at, cut, new = r.randint(0, len(q)), r.choice([0, 0, 1, 2, 9]), r.choice([0, 1, 1, 3, 8, 14])
+            q[at : at + cut] = ["".join(r.choices("mnopqrst", k=6)) for _ in range(new)]
+        j = jaccard(p, q)
+        if j < 0.75 or len(q) < 50 or p == q:
+            continue
+        met, spans = share([" ".join([prose(r, 30), *w, prose(r, 30)]) for w in (p, q)])
+        found["0.75" if j < 0.8 else "0.8" if j < 0.9 else "0.9"].append(met and sum(hi - lo for lo, hi in spans) >= 45)
+    assert set(found) == {"0.75", "0.8", "0.9"} and all(len(x) > 40 and sum(x) >= 0.9 * len(x) for x in found.values()), {k: (sum(x), len(x)) for k, x in found.items()}
+
+
 @pytest.mark.parametrize("at", [1, 3, 4, 20, 46, 48])
 def test_passage_edited_near_its_edge(at):
     r = random.Random(at)
@@ -400,3 +438,15 @@ def test_sharding_against_one_heap(spark, shards):
         out[x.shard] += x["size"]
     assert sum(out.values()) == sum(heap)
     assert max(out.values()) <= max(heap) + max(16, sum(heap) // shards // 50)
+
+
+def test_column_names_of_the_callers_are_kept(spark):
+    r = random.Random(8)
+    same = prose(r, 70)
+    rows = [(k, f"{prose(r, 20)} {same}", "s", k, f"keep{k}", "a", "b", "c", "d") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, `__size` bigint, `__row` string, `__spans` string, `__cut` string, h string, `__k` string")
+    mixed = M.mix(docs)
+    assert mixed.columns == docs.columns and all(x["__row"] == f"keep{x.doc_id}" and x["__size"] == x.doc_id and x.h == "c" for x in mixed.collect())
+    left = D.remove_repeats(docs).orderBy("doc_id").collect()
+    assert [x["__row"] for x in left] == ["keep0", "keep1", "keep2"] and all((x["__spans"], x["__cut"], x.h, x["__k"]) == ("a", "b", "c", "d") for x in left)
+    assert same in left[0].text and same not in left[1].text + left[2].text
