@@ -173,3 +173,17 @@ def gradient(place: str, steps: int) -> Column:
 def wrapped_qp(before: str, delta: str, first: int = 26) -> Column:
     """A quantiser from the sum of the deltas before and its own, from 0 to 51."""
     return F.expr(f"CAST(pmod({first} + {before} + {delta}, 52) AS BIGINT)")
+
+
+def temporal_direct(x: str, y: str, reference_poc: str, colocated_poc: str, poc: str, long_term: str) -> Column:
+    """Motion of a block in temporal direct mode from its colocated block's vector (x, y), as a struct (x0, y0, x1, y1): scaled by picture distances; as it is, with no second vector, for a long-term reference or one at no distance.
+
+    reference_poc is of the picture that the colocated block refers to, null where that is none (an intra block): no motion.
+    """
+    td, tb = clip(f"{colocated_poc} - {reference_poc}", -128, 127), clip(f"{poc} - {reference_poc}", -128, 127)
+    tx = f"((16384 + abs(({td}) div 2)) div nullif({td}, 0))"
+    scale = clip(f"shiftright(({tb}) * {tx} + 32, 6)", -1024, 1023)
+    plain = f"{long_term} OR {colocated_poc} = {reference_poc}"
+    first = lambda v: f"CASE WHEN {reference_poc} IS NULL THEN 0 WHEN {plain} THEN {v} ELSE shiftright(({scale}) * {v} + 128, 8) END"
+    second = lambda v: f"CASE WHEN {reference_poc} IS NULL OR {plain} THEN 0 ELSE shiftright(({scale}) * {v} + 128, 8) - {v} END"
+    return F.expr("named_struct(" + ", ".join(f"'{n}{k}', CAST({f(v)} AS BIGINT)" for k, f in ((0, first), (1, second)) for n, v in (("x", x), ("y", y))) + ")")

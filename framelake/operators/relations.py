@@ -57,6 +57,43 @@ def with_neighbours(blocks: DataFrame, picture: str, address: str, value: str, s
     return out
 
 
+#: Blocks across and down a tile of tiled_neighbours().
+TILE = 16
+
+
+def tiled_neighbours(blocks: DataFrame, picture: str, address: str, value: str, slice_id: str, width: int | Column, tile: int = TILE) -> DataFrame:
+    """(picture, address, value, slice, left, top, top_right, top_left): each block with the values of its four neighbours, null where one is not available.
+
+    Addresses run in raster order in a picture of width blocks across. A neighbour is available if it is in the picture, is there, and belongs to the block's slice. Pictures are cut into tiles; a
+    block goes to its own tile and, as a border, to those of the blocks that look at it, so that one shuffle by tile brings all four directions, and a tile is at most (tile + 2) ** 2 blocks
+    however large a picture is. Of rows that repeat an address the one with the smallest (slice, value) counts. Rows with a null picture, address or slice have no neighbours and are left out, as is an address
+    below 0; a null value is a block whose value is null.
+    """
+    w = F.lit(width) if isinstance(width, int) else width
+    rows = blocks.select(F.col(picture).alias("p"), F.col(address).cast("bigint").alias("a"), F.col(value).alias("v"), F.col(slice_id).alias("s"), w.cast("bigint").alias("w")).where("p IS NOT NULL AND a >= 0 AND s IS NOT NULL AND w > 0")
+    x, y = F.col("a") % F.col("w"), F.floor(F.col("a") / F.col("w"))
+    places = []
+    for dx, dy in ((0, 0), (1, 0), (0, 1), (-1, 1), (1, 1)):  # itself, and the blocks whose left, top, top right and top left neighbour it is
+        inside = (x + dx >= 0) & (x + dx < F.col("w"))
+        places.append(F.when(inside, F.struct(F.floor((x + dx) / tile).alias("tx"), F.floor((y + dy) / tile).alias("ty"))))
+    tiles = F.array_distinct(F.filter(F.array(*places), lambda t: t.isNotNull()))
+    own = F.struct(F.floor(x / tile).alias("tx"), F.floor(y / tile).alias("ty"))
+    spread = rows.withColumn("own", own).withColumn("t", F.explode(tiles))
+    gathered = spread.groupBy("p", "t", "w").agg(F.array_sort(F.collect_list(F.struct("a", "s", "v", (F.col("own") == F.col("t")).alias("mine")))).alias("b"))
+    # the first of each address, as a map by address
+    firsts = F.filter("b", lambda r, i: (i == 0) | (F.get("b", i - 1)["a"] != r["a"]))
+    gathered = gathered.withColumn("b", firsts).withColumn("m", F.map_from_entries(F.transform("b", lambda r: F.struct(r["a"], r))))
+    each = gathered.select("p", "w", "m", F.explode(F.filter("b", lambda r: r["mine"])).alias("r"))
+
+    def neighbour(step: Column, edge: Column) -> Column:
+        there = F.try_element_at("m", F.col("r.a") - step)
+        return F.when(edge & (there["s"] == F.col("r.s")), there["v"])
+
+    x, width_ = F.col("r.a") % F.col("w"), F.col("w")
+    named = {"left": neighbour(F.lit(1), x > 0), "top": neighbour(width_, F.lit(True)), "top_right": neighbour(width_ - 1, x < width_ - 1), "top_left": neighbour(width_ + 1, x > 0)}
+    return each.select(F.col("p").alias(picture), F.col("r.a").alias(address), F.col("r.v").alias(value), F.col("r.s").alias(slice_id), *[c.alias(n) for n, c in named.items()])
+
+
 def conditional_counts(rows: DataFrame, keys: list[str], conditions: dict[str, Column]) -> DataFrame:
     """(keys, a count for each condition): rows for which it holds."""
     return rows.groupBy(*keys).agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("bigint").alias(n) for n, c in conditions.items()])

@@ -7,6 +7,8 @@ track must come in decode order from batch to batch; inside a batch they are put
 from __future__ import annotations
 
 import json
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -72,30 +74,47 @@ def marking_state(stream: DataFrame, max_refs: int = 4, largest: int = 16) -> Da
     return stream.groupBy("track").applyInPandasWithState(run, MARKED, "held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def time_slices(rows: DataFrame, order: list[str], slice_rows: int, folder: str) -> list[int]:
-    """Write rows to folder, cut along order into parts slice=0, 1, ... of about slice_rows rows; the parts in order."""
+def time_slices(rows: DataFrame, order: list[str], slice_rows: int, folder: str) -> int:
+    """Write rows to folder as files slice=0, 1, ... of about slice_rows rows, cut along order, whose times of change ascend: a stream takes one after another. Returns their number."""
+    spark = rows.sparkSession
     n = max(1, -(-rows.count() // slice_rows))
     # whatever the table's files are: a stream takes its files in no order of their rows
     dealt = rows.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in order]).withColumn("slice", F.spark_partition_id())
     dealt.write.partitionBy("slice").parquet(folder)
-    return sorted(r[0] for r in rows.sparkSession.read.schema(dealt.schema).parquet(folder).select("slice").distinct().collect())
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/slice=*/*.parquet")
+    fs = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = sorted((int(re.search(r"slice=(\d+)/", f.getPath().toString())[1]), f.getPath().toString()) for f in fs.globStatus(pattern) or [])
+    start = int(time.time() * 1000) - 20 * len(files)
+    for k, (_, path) in enumerate(files):  # a call a file, of a million rows each
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(path), start + 10 * k, -1)
+    return len(files)
+
+
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], DataFrame], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """state() over rows, one slice along order a batch, into a table of the shared folder.
+def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], DataFrame], schema: str, slice_rows: int = SLICE_ROWS, conf: dict[str, str] | None = None) -> DataFrame:
+    """state() over rows, one slice along order a batch of one stream, into a table of the shared folder.
 
-    A slice comes into the streamed folder when the stream has ended the one before; what a worker
-    holds of a track at once is in one slice.
+    What a worker holds of a track at once is in one slice. conf holds while the stream starts.
     """
     spark = rows.sparkSession
     folder = new_folder(spark, "decoder")
-    slices = time_slices(rows, order, slice_rows, f"{folder}/slices")
-    for k in slices:
-        part = spark.read.parquet(f"{folder}/slices/slice={k}")
-        part.write.mode("append").parquet(f"{folder}/live")
-        stream = state(spark.readStream.schema(part.schema).parquet(f"{folder}/live"))
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out") if slices else spark.createDataFrame([], schema)
+    if not time_slices(rows, order, slice_rows, f"{folder}/slices"):
+        return spark.createDataFrame([], schema)
+    fields = spark.read.parquet(f"{folder}/slices").schema
+    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slices").drop("slice")
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = state(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
 def decoder_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
