@@ -10,8 +10,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Profiles whose sets name a chroma format; unit types; slice types.
 HIGH_PROFILES = (44, 83, 86, 100, 110, 118, 122, 128, 134, 135, 138, 139, 144, 244)
@@ -334,35 +337,90 @@ def last_of_sample(sets: DataFrame, track: str, ident: str, order: str) -> DataF
     return sets.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _arrow_struct(fields: str) -> pa.DataType:
+    return pa.struct([(n, _ARROW[k]) for n, k in (f.split() for f in fields.split(", "))])
+
+
+def parsed_units(units: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """(keys, kind, pps_id, sps_id, sps, pps, error) for each set and coded slice among units, in one pass: a set's id and fields, or the id of the picture set that a slice names.
+
+    kind is the unit's type. A malformed unit has an error and null fields; units of other types are left out.
+    """
+    kind = F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(31))
+    rows = units.select(*keys, F.col(data).alias("unit"), kind.alias("kind")).where(f"kind IN ({SLICE}, {IDR_SLICE}, {SPS_UNIT}, {PPS_UNIT})")
+    sps_names, pps_names, sps_type, pps_type = _names(SPS), _names(PPS), _arrow_struct(SPS), _arrow_struct(PPS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: dict[str, list] = {"pps_id": [], "sps_id": [], "sps": [], "pps": [], "error": []}
+            for unit, kind in zip(batch.column("unit").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+                pps_id = sps_id = sps = pps = error = None
+                try:
+                    if kind == SPS_UNIT:
+                        sps = dict(zip(sps_names, read_sps(unit), strict=True))
+                        sps_id = sps["sps_id"]
+                    elif kind == PPS_UNIT:
+                        pps = dict(zip(pps_names, read_pps(unit), strict=True))
+                        pps_id, sps_id = pps["pps_id"], pps["sps_id"]
+                    else:
+                        pps_id = read_slice_start(unit)[2]
+                except Malformed as e:
+                    error = str(e)
+                for name, value in zip(made, (pps_id, sps_id, sps, pps, error), strict=True):
+                    made[name].append(value)
+            kinds = {"pps_id": pa.int64(), "sps_id": pa.int64(), "sps": sps_type, "pps": pps_type, "error": pa.string()}
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("kind"), *[pa.array(v, kinds[n]) for n, v in made.items()]], [*keys, "kind", *made])
+
+    struct = lambda fields: "struct<" + fields.replace(" ", ":").replace(",:", ",") + ">"
+    types = dict(units.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", kind int, pps_id bigint, sps_id bigint, sps {struct(SPS)}, pps {struct(PPS)}, error string")
+
+
 def slice_headers(units: DataFrame, track: str = "track", order: str = "unit_idx", data: str = "unit") -> DataFrame:
     """(track, sample_idx, order, pps_id, sps_id, header fields, error) for each coded slice (types 1 and 5) among units.
 
-    units are rows (track, sample_idx, order, data); sets of a file's configuration stand at sample -1. A slice's picture set, and that
-    set's sequence set, are those in force at the slice's sample; where one is not there, or a unit is malformed, the row has an error. Other units are left out.
+    units are rows (track, sample_idx, order, data), best stored, as they are read twice; sets of a file's configuration stand at sample -1. A slice's picture set, and that
+    set's sequence set, are those in force at the slice's sample (the last of several with one id); where one is not there, or a unit is malformed, the row has an error. Other units are left out.
+    Units are parsed once; the sets themselves are carried along one ordered scan for either kind, and meet the slices' bytes in one join at the end.
     """
-    kind = F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(31))
-    units = units.select(track, "sample_idx", order, F.col(data).alias("unit"), kind.alias("kind"))
+    from framelake.operators.scan import latest, scan
+    from framelake.operators.timeline import by_index
+    from framelake.sources.storage import stored
+
     keys = [track, "sample_idx", order]
-    sps = last_of_sample(parsed(units.where(f"kind = {SPS_UNIT}"), keys, "unit", "sps").where("error IS NULL"), track, "sps_id", order).drop("error", order)
-    pps = last_of_sample(parsed(units.where(f"kind = {PPS_UNIT}"), keys, "unit", "pps").where("error IS NULL"), track, "pps_id", order).drop("error", order)
-    slices = units.where(f"kind IN ({SLICE}, {IDR_SLICE})")
-    starts = parsed(slices, keys, "unit", "start").select(*keys, "pps_id", F.col("error").alias("__bad"))
-    found = in_force(starts, pps, track, "pps_id").withColumnRenamed("set", "__pps")
-    found = found.join(pps.withColumnRenamed("sample_idx", "__pps"), [track, "__pps", "pps_id"], "left")
-    found = in_force(found, sps, track, "sps_id").withColumnRenamed("set", "__sps")
-    found = found.join(sps.withColumnRenamed("sample_idx", "__sps"), [track, "__sps", "sps_id"], "left")
-    whole = found.join(slices.drop("kind"), keys)
-    lacking = F.coalesce("__bad", F.when(F.col("__pps").isNull(), "picture set is missing"), F.when(F.col("__sps").isNull(), "sequence set is missing"))
-    sets = lambda fields: F.struct(*[F.col(c) for c in _names(fields)])
-    packed = whole.select(*[F.col(c).cast("string").alias(c) for c in [*keys, "pps_id", "sps_id"]], "unit", lacking.alias("lacking"), F.to_json(sets(PPS)).alias("pps"), F.to_json(sets(SPS)).alias("sps"))
-
-    def read(unit: bytes, lacking: str | None, pps: str, sps: str) -> tuple:
-        import json
-
-        if lacking is not None:
-            raise Malformed(lacking)
-        return read_slice(bytes(unit), json.loads(pps), json.loads(sps))
+    is_slice = F.col("kind").isin(SLICE, IDR_SLICE)
+    found = stored(parsed_units(units, keys, data), "parsed").withColumn("late", is_slice.cast("int"))
+    chunk = by_index("sample_idx")
+    ordered = ["sample_idx", "late", order]
+    # what is malformed passes by: a bad set changes nothing, a bad slice has its error
+    first = scan(found.where(is_slice | ((F.col("kind") == PPS_UNIT) & F.col("error").isNull())).drop("sps", "sps_id"), [track, "pps_id"], ordered, chunk, held=latest(F.col("pps")))
+    first = first.where("late = 1").select(*keys, "kind", "late", "pps_id", F.col("held.sps_id").alias("sps_id"), F.col("held").alias("pps"), F.lit(None).cast(dict(found.dtypes)["sps"]).alias("sps"), "error")
+    sets = found.where((F.col("kind") == SPS_UNIT) & F.col("error").isNull()).select(*keys, "kind", "late", "pps_id", "sps_id", F.lit(None).cast(dict(found.dtypes)["pps"]).alias("pps"), "sps", "error")
+    second = scan(stored(first, "slices").unionByName(sets), [track, "sps_id"], ordered, chunk, held=latest(F.col("sps"))).where("late = 1")
+    lacking = F.coalesce("error", F.when(F.col("pps").isNull(), "picture set is missing"), F.when(F.col("held").isNull(), "sequence set is missing"))
+    kept = second.select(*keys, "pps_id", "sps_id", "pps", F.col("held").alias("sps"), lacking.alias("lacking"))
+    bytes_of = units.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col(data).alias("unit"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+    whole = kept.join(bytes_of, same).drop(*[f"__{i}" for i in range(len(keys))])
+    fields = StructType.fromDDL(f"{SLICE_HEADER}, error string")
+    made_schema, names = to_arrow_schema(fields), _names(SLICE_HEADER)
+    carried = [*keys, "pps_id", "sps_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for unit, pps, sps, lacking in zip(*[batch.column(c).to_pylist() for c in ("unit", "pps", "sps", "lacking")], strict=True):
+                try:
+                    if lacking is not None:
+                        raise Malformed(lacking)
+                    made.append(dict(zip(names, read_slice(unit, pps, sps), strict=True)) | {"error": None})
+                except Malformed as e:
+                    made.append({"error": str(e)})
+            out = pa.RecordBatch.from_pylist(made, schema=made_schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *out.columns], [*carried, *names, "error"])
 
-    types = dict(units.dtypes)
-    out = _rows(packed, SLICE_HEADER, read, [*keys, "pps_id", "sps_id"])
-    return out.withColumns({k: F.col(k).cast(types.get(k, "bigint")) for k in [*keys, "pps_id", "sps_id"]})
+    types = dict(kept.dtypes)
+    return whole.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carried) + f", {SLICE_HEADER}, error string")

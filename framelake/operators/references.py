@@ -12,6 +12,10 @@ from framelake.operators.scan import index as row_number
 from framelake.operators.scan import prefix, scan
 
 
+#: Samples of a chunk of six_tap().
+TAP_CHUNK = 1 << 16
+
+
 def list_p(pictures: DataFrame, group: str, tie: str, current: int, largest: int) -> DataFrame:
     """pictures with place from 0: short-term by wrapped picture number from high to low, then long-term by index."""
     wrapped = F.col("frame_num") - F.when(F.col("frame_num") > current, largest).otherwise(0)
@@ -151,19 +155,25 @@ def buffers(pictures: DataFrame, track: str, order: list[str], picture: str, chu
 def six_tap(samples: DataFrame, track: str, index: str, value: str, taps: tuple[int, ...]) -> DataFrame:
     """samples with sample: the half-way value behind each by a six-tap filter, (sum + 16) >> 5 clipped to a byte.
 
-    Beyond the track's ends the end value is repeated. Each sample goes to the six places that read
-    it and places are summed up on the map side first, so that no track needs to be in one task.
+    Beyond the track's ends the end value is repeated. index counts a track's samples from 0. One exchange: samples are cut into chunks, and the few at a chunk's ends go to
+    the neighbouring chunk as well, so that a plain window inside a chunk sees all six and no track needs to be in one task.
     """
-    last = samples.groupBy(track).agg(F.max(index).alias("__last"))
-    reach = range(-2, 4)
-    rows = samples.join(last, track)
-    # how often a sample counts at place t: once for its own offset, and for all offsets beyond an end that it is
-    taken = F.array(*[F.struct((F.col(index) - o).alias("t"), F.lit(w).alias("w")) for o, w in zip(reach, taps, strict=True)])
-    below = [F.struct(F.lit(t).cast("bigint").alias("t"), F.lit(sum(w for o, w in zip(reach, taps, strict=True) if t + o < 0)).alias("w")) for t in (0, 1)]
-    above = [F.struct((F.col("__last") - back).alias("t"), F.lit(sum(w for o, w in zip(reach, taps, strict=True) if o > back)).alias("w")) for back in (0, 1, 2)]
-    none = F.array().cast("array<struct<t:bigint,w:int>>")
-    spread = F.concat(taken, F.when(F.col(index) == 0, F.array(*below)).otherwise(none), F.when(F.col(index) == F.col("__last"), F.array(*above)).otherwise(none))
-    parts = rows.select(track, "__last", F.col(value).alias("__v"), F.explode(spread).alias("p")).where((F.col("p.t") >= 0) & (F.col("p.t") <= F.col("__last")))
-    sums = parts.groupBy(track, F.col("p.t").alias(index)).agg(F.sum(F.col("__v") * F.col("p.w")).alias("__sum"))
-    clipped = F.least(F.greatest(F.shiftright(F.col("__sum") + 16, 5), F.lit(0)), F.lit(255)).cast("bigint")
-    return samples.join(sums, [track, index]).withColumn("sample", clipped).drop("__sum")
+    reach = (2, 3)
+    chunk = F.floor(F.col(index) / TAP_CHUNK).cast("bigint")
+    place = F.col(index) % TAP_CHUNK
+    none = F.lit(None).cast("bigint")
+    to = F.array(chunk, F.when(place < reach[1], chunk - 1).otherwise(none), F.when(place >= TAP_CHUNK - reach[0], chunk + 1).otherwise(none))
+    rows = samples.withColumn("__own", chunk).withColumn("__chunk", F.explode(F.filter(to, lambda c: c.isNotNull() & (c >= 0))))
+    w = Window.partitionBy(track, "__chunk").orderBy(index)
+    back = [F.lag(value, k).over(w) for k in (2, 1)]
+    ahead = [F.lead(value, k).over(w) for k in (1, 2, 3)]
+    # beyond an end: the nearest value that is there
+    own = F.col(value)
+    one_back = F.when(F.lag(index, 1).over(w).isNotNull(), back[1]).otherwise(own)
+    two_back = F.when(F.lag(index, 2).over(w).isNotNull(), back[0]).otherwise(one_back)
+    one = F.when(F.lead(index, 1).over(w).isNotNull(), ahead[0]).otherwise(own)
+    two = F.when(F.lead(index, 2).over(w).isNotNull(), ahead[1]).otherwise(one)
+    three = F.when(F.lead(index, 3).over(w).isNotNull(), ahead[2]).otherwise(two)
+    total = sum((v * t for v, t in zip((two_back, one_back, own, one, two, three), taps, strict=True)), F.lit(0))
+    clipped = F.least(F.greatest(F.shiftright(total.cast("bigint") + 16, 5), F.lit(0)), F.lit(255)).cast("bigint")
+    return rows.withColumn("sample", clipped).where(F.col("__own") == F.col("__chunk")).drop("__own", "__chunk")

@@ -815,21 +815,30 @@ def avc_configs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slice_units(spark: SparkSession, d: str) -> DataFrame:
-    """Units of a track a user. Configuration sets stand at sample -1; a sign-up brings new ones behind its IDR slice, other events hold a P or I slice.
+    """Units of a track a user. Configuration sets stand at sample -1; a sign-up brings new ones behind its IDR slice, other events hold a slice of any type, some with explicit weights and some for arithmetic coding.
 
     Set ids are by user; what a set says is by version, 0 at first and then the sign-up's idx; a slice is written by the version in force.
     """
     e = samples(spark, d, since=latest(F.expr("CASE WHEN event_type = 'signup' THEN 0 END")), version=latest(F.expr("CASE WHEN event_type = 'signup' THEN event_id END")))
     e = stored(e.selectExpr("user_id", "idx", "k", "event_type = 'signup' AS idr", "coalesce(version, 0) AS v"), "slices")
     sps_bits = [S.fixed("66", 8), S.fixed("0", 8), S.fixed("30", 8), S.ue("user_id % 4"), S.ue("v % 9"), S.ue("0"), S.ue("v % 7"), S.ue("4"), "'0'", S.ue("19"), S.ue("9"), "'1'", "'1'", "'0'", "'0'"]
-    pps_bits = [S.ue("user_id % 8"), S.ue("user_id % 4"), "'0'", "'0'", S.ue("0"), S.ue("1"), S.ue("0"), "'0'", "'00'", S.se("(v % 13 - 6)"), S.se("0"), S.se("0"), "'1'", "'0'", "'0'"]
-    inter = "(NOT idr AND k % 3 > 0)"
+    pps_bits = [S.ue("user_id % 8"), S.ue("user_id % 4"), S.fixed("v % 2", 1), "'0'", S.ue("0"), S.ue("1"), S.ue("0"), S.fixed("CASE WHEN v % 5 = 0 THEN 1 ELSE 0 END", 1), S.fixed("v % 3", 2), S.se("(v % 13 - 6)"), S.se("0"), S.se("0"), "'1'", "'0'", "'0'"]
+    kind = "(CASE WHEN idr THEN 2 ELSE k % 5 END)"  # P, B, I, SP, SI
+    inter = f"({kind} IN (0, 1, 3))"
+    moves = lambda test, idc, value: f"CASE WHEN {test} THEN concat('1', {S.ue(idc)}, {S.ue(value)}, {S.ue('3')}) ELSE '0' END"
+    luma = f"CASE WHEN i % 2 = 0 THEN concat('1', {S.se('(k % 9 - 4)')}, {S.se('2')}) ELSE '0' END"
+    chroma = f"CASE WHEN i = 0 AND k % 2 = 0 THEN concat('1', {S.se('1')}, {S.se('(-1)')}, {S.se('2')}, {S.se('(-2)')}) ELSE '0' END"
+    entries = lambda n: f"array_join(transform(sequence(0, CAST({n} AS INT) - 1), i -> concat({luma}, {chroma})), '')"
+    weighted = f"((v % 5 = 0 AND {kind} IN (0, 3)) OR (v % 3 = 1 AND {kind} = 1))"
     slice_bits = [
-        S.ue("k % 50"), S.ue(f"(CASE WHEN {inter} THEN 0 ELSE 7 END)"), S.ue("user_id % 8"), f"right(lpad(bin(idx % 16), 64, '0'), CAST(4 + v % 9 AS INT))",
+        S.ue("k % 50"), S.ue(f"(CASE WHEN idr THEN 7 ELSE {kind} + k % 2 * 5 END)"), S.ue("user_id % 8"), f"right(lpad(bin(idx % 16), 64, '0'), CAST(4 + v % 9 AS INT))",
         f"CASE WHEN idr THEN {S.ue('k % 7')} ELSE '' END", "right(lpad(bin(idx % 16), 64, '0'), CAST(4 + v % 7 AS INT))",
-        f"CASE WHEN {inter} THEN concat('1', {S.ue('k % 4')}, CASE WHEN k % 2 = 1 THEN concat('1', {S.ue('0')}, {S.ue('k % 5')}, {S.ue('3')}) ELSE '0' END) ELSE '' END",
+        f"CASE WHEN {kind} = 1 THEN {S.fixed('k % 2', 1)} ELSE '' END",
+        f"CASE WHEN {inter} THEN concat('1', {S.ue('k % 4')}, CASE WHEN {kind} = 1 THEN {S.ue('k % 3')} ELSE '' END, {moves('k % 2 = 1', '0', 'k % 5')}, CASE WHEN {kind} = 1 THEN {moves('k % 7 = 1', '1', '3')} ELSE '' END) ELSE '' END",
+        f"CASE WHEN {weighted} THEN concat({S.ue('k % 6')}, {S.ue('k % 4')}, {entries('(k % 4 + 1)')}, CASE WHEN {kind} = 1 THEN {entries('(k % 3 + 1)')} ELSE '' END) ELSE '' END",
         f"CASE WHEN idr THEN concat('0', {S.fixed('k % 2', 1)}) WHEN k % 4 = 0 THEN concat('1', {S.ue('1')}, {S.ue('k % 3')}, {S.ue('0')}) ELSE '0' END",
-        S.se("(k % 9 - 4)"), S.ue("k % 3"), f"CASE WHEN k % 3 <> 1 THEN concat({S.se('(k % 7 - 3)')}, {S.se('0')}) ELSE '' END",
+        f"CASE WHEN {inter} AND v % 2 = 1 THEN {S.ue('k % 3')} ELSE '' END", S.se("(k % 9 - 4)"), f"CASE WHEN {kind} = 3 THEN '1' ELSE '' END", f"CASE WHEN {kind} IN (3, 4) THEN {S.se('(k % 5 - 2)')} ELSE '' END",
+        S.ue("k % 3"), f"CASE WHEN k % 3 <> 1 THEN concat({S.se('(k % 7 - 3)')}, {S.se('0')}) ELSE '' END",
     ]
     made = lambda head, bits: f"concat({head}, {S.payload(f'concat({', '.join(bits)})')})"
     sets = lambda rows, at: rows.select("user_id", F.lit(-1).cast("bigint").alias("sample_idx") if at is None else F.col(at).alias("sample_idx"), F.expr(f"array({made("unhex('67')", sps_bits)}, {made("unhex('68')", pps_bits)})").alias("u")).select("user_id", "sample_idx", F.posexplode("u").alias("unit_idx", "unit"))
@@ -843,12 +852,18 @@ _SLICE_SQL = f"""{SAMPLES_SQL}, v AS (SELECT user_id, idx, k, event_type = 'sign
   COALESCE(last_value(CASE WHEN event_type = 'signup' THEN idx END IGNORE NULLS) OVER w, -1) AS since FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-@_query(f"""WITH {_SLICE_SQL} SELECT user_id, idx AS sample_idx, user_id % 8 AS pps_id, user_id % 4 AS sps_id, k % 50 AS first_mb, CASE WHEN NOT idr AND k % 3 > 0 THEN 'P' ELSE 'I' END AS slice_type, idx % 16 AS frame_num, idx % 16 AS poc_lsb,
-CASE WHEN idr THEN k % 7 ELSE 0 END AS idr_pic_id, CASE WHEN NOT idr AND k % 3 > 0 THEN k % 4 + 1 ELSE 2 END AS active_l0, CAST(CASE WHEN NOT idr AND k % 3 > 0 AND k % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS modifications,
-CAST(CASE WHEN NOT idr AND k % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS marking, 26 + v % 13 - 6 + k % 9 - 4 AS qp, k % 3 AS deblocking_off, CASE WHEN k % 3 <> 1 THEN 2 * (k % 7 - 3) ELSE 0 END AS alpha_offset, CAST(NULL AS VARCHAR) AS error FROM v""")
+@_query(f"""WITH {_SLICE_SQL}, t AS (SELECT *, CASE WHEN idr THEN 2 ELSE k % 5 END AS t FROM v), w AS (SELECT *, t IN (0, 1, 3) AS inter, (v % 5 = 0 AND t IN (0, 3)) OR (v % 3 = 1 AND t = 1) AS weighted, k % 4 + 1 AS n0, CASE WHEN t = 1 THEN k % 3 + 1 ELSE 0 END AS n1 FROM t)
+SELECT user_id, idx AS sample_idx, user_id % 8 AS pps_id, user_id % 4 AS sps_id, k % 50 AS first_mb, list_extract(['P', 'B', 'I', 'SP', 'SI'], CAST(t + 1 AS INTEGER)) AS slice_type, idr OR k % 2 = 1 AS all_same_type, idx % 16 AS frame_num, idx % 16 AS poc_lsb, CASE WHEN idr THEN k % 7 ELSE 0 END AS idr_pic_id,
+t = 1 AND k % 2 = 1 AS direct_spatial, CASE WHEN inter THEN n0 ELSE 2 END AS active_l0, CASE WHEN t = 1 THEN n1 ELSE 1 END AS active_l1, CAST(CASE WHEN inter AND k % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN t = 1 AND k % 7 = 1 THEN 1 ELSE 0 END AS BIGINT) AS modifications,
+CAST(CASE WHEN weighted THEN n0 + n1 ELSE 0 END AS BIGINT) AS weights, CAST(CASE WHEN weighted THEN ((n0 + 1) // 2 + (n1 + 1) // 2) * (k % 9 - 4) + (n0 // 2 + n1 // 2) * (1 << (k % 6)) ELSE 0 END AS BIGINT) AS luma_sum,
+CAST(CASE WHEN weighted THEN (n0 + n1) * (1 << (k % 4)) + CASE WHEN k % 2 = 0 THEN CASE WHEN t = 1 THEN 2 ELSE 1 END * (1 - (1 << (k % 4))) ELSE 0 END ELSE 0 END AS BIGINT) AS cb_sum,
+CAST(CASE WHEN NOT idr AND k % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS marking, CASE WHEN inter AND v % 2 = 1 THEN k % 3 ELSE 0 END AS cabac_init, 26 + v % 13 - 6 + k % 9 - 4 AS qp, CASE WHEN t IN (3, 4) THEN 26 + k % 5 - 2 ELSE 0 END AS qs,
+k % 3 AS deblocking_off, CASE WHEN k % 3 <> 1 THEN 2 * (k % 7 - 3) ELSE 0 END AS alpha_offset, CAST(NULL AS VARCHAR) AS error FROM w""")
 def slice_headers(spark: SparkSession, d: str) -> DataFrame:
     h = P.slice_headers(_slice_units(spark, d), "user_id")
-    return h.select("user_id", "sample_idx", "pps_id", "sps_id", "first_mb", "slice_type", "frame_num", "poc_lsb", "idr_pic_id", "active_l0", F.size("modifications").cast("bigint").alias("modifications"), F.size("marking").cast("bigint").alias("marking"), "qp", "deblocking_off", "alpha_offset", "error")
+    size, total = lambda c: F.size(c).cast("bigint").alias(c), lambda f: F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, w: a + w[f])
+    h = h.withColumns({"luma_sum": F.when(F.col("error").isNull(), total("luma")), "cb_sum": F.when(F.col("error").isNull(), total("cb"))})
+    return h.select("user_id", "sample_idx", "pps_id", "sps_id", "first_mb", "slice_type", "all_same_type", "frame_num", "poc_lsb", "idr_pic_id", "direct_spatial", "active_l0", "active_l1", size("modifications"), size("weights"), "luma_sum", "cb_sum", size("marking"), "cabac_init", "qp", "qs", "deblocking_off", "alpha_offset", "error")
 
 
 @_query(f"WITH {_SLICE_SQL} SELECT user_id, idx AS sample_idx, user_id % 8 AS pps_id, since AS set_sample FROM v")

@@ -249,3 +249,40 @@ def test_relations(spark):
     assert sorted((r.v, r.p) for r in N.with_neighbours(a.where("k = 1"), "k", "t", "v", {"p": 1}).collect()) == [(5, None), (7, 5)]
     assert sorted(r.v for r in N.out_of_range(a.withColumn("total", F.lit(2)), "t", "total").collect()) == [7]
     assert N.top(a.limit(0), ["k"], ["v"], 2).count() == 0
+
+
+def test_taps_over_chunks(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(t, i, r.randint(0, 255)) for t, n in (("a", 40), ("b", 1), ("c", 2), ("d", 11), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "t string, i bigint, v bigint")
+    taps, values = (1, -5, 20, 20, -5, 1), {}
+    for t, i, v in rows:
+        values.setdefault(t, {})[i] = v
+    want = set()
+    for t, of in values.items():
+        for i in of:
+            total = sum(w * of[min(max(i + o, 0), len(of) - 1)] for o, w in zip(range(-2, 4), taps, strict=True))
+            want.add((t, i, min(max(total + 16 >> 5, 0), 255)))
+    for size in (4, 5, 1 << 16):
+        monkeypatch.setattr(R, "TAP_CHUNK", size)
+        out = R.six_tap(df, "t", "i", "v", taps)
+        assert {(x.t, x.i, x["sample"]) for x in out.collect()} == want and out.count() == len(rows)
+    plan = R.six_tap(df, "t", "i", "v", taps)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_slice_header_plan_and_lacking_sets(spark, sf):
+    units = catalogue._slice_units(spark, sf)
+    plan = P.slice_headers(units, "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") <= 6 and plan.count("Exchange hashpartitioning") <= 8
+    some = units.where("sample_idx <= 3")
+    whole = P.slice_headers(some, "user_id")
+    assert whole.where("error IS NOT NULL").count() == 0
+    no_pps = P.slice_headers(some.where("substring(unit, 1, 1) <> unhex('68')"), "user_id")
+    assert {r.error for r in no_pps.collect()} == {"picture set is missing"}
+    no_sps = P.slice_headers(some.where("substring(unit, 1, 1) <> unhex('67')"), "user_id")
+    assert {r.error for r in no_sps.collect()} == {"sequence set is missing"}
+    cut = P.slice_headers(some.withColumn("unit", F.expr("CASE WHEN substring(unit, 1, 1) IN (unhex('41'), unhex('65')) THEN substring(unit, 1, 3) ELSE unit END")), "user_id")
+    rows = cut.collect()
+    assert len(rows) == whole.count() and all(r.error and r.qp is None for r in rows)
+    assert P.slice_headers(units.limit(0), "user_id").count() == 0
