@@ -111,11 +111,6 @@ def chroma_dc(c: Column, qp: Column) -> Column:
     return F.when(qp.between(0, 87), F.transform(made, lambda v: F.when(q >= 1, _shift(v * scale, q - 1)).otherwise(F.shiftright(v * scale, 1))))
 
 
-def with_dc(raster: Column, dc: Column) -> Column:
-    """A block of scaled coefficients with a DC value that was transformed apart."""
-    return F.concat(F.array(dc), F.slice(raster, 2, 15))
-
-
 def intra_dc(top: Column, left: Column, n: int = 4) -> Column:
     """The rounded mean of the n samples of each known side (null: unknown), 128 without any."""
     total = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(0))
@@ -227,6 +222,108 @@ def half_samples(window: Column) -> dict[str, Column]:
     return {"full": at(2, 2), "right": right, "below": below, "centre": centre, "quarter": F.shiftright(at(2, 2) + right + 1, 1)}
 
 
+def quarter_samples(window: Column) -> Column:
+    """The 16 samples at quarter steps from the middle of a 6x6 window in raster order, as an array: four across for each of four steps down, the first the sample itself.
+
+    Half samples make a grid of two steps; what is between two of its points, across or down, is their rounded mean, and what is between four is the rounded mean of the nearest
+    two that are half steps in one direction only.
+    """
+    at = lambda r, c: _at(window, 6 * r + c)
+    rows = F.array(*[_tapped([at(r, c) for c in range(6)]) for r in range(6)])
+    fixed = {(x, y): at(2 + y // 4, 2 + x // 4) for x in (0, 4) for y in (0, 4)}
+    fixed |= {(x, 2): _byte(F.shiftright(_tapped([at(r, 2 + x // 4) for r in range(6)]) + 16, 5)) for x in (0, 4)}
+
+    def sample(x: int, y: int, point: dict[tuple[int, int], Column]) -> Column:
+        if x % 2 == 0 and y % 2 == 0:
+            return point[x, y]
+        if x % 2 and y % 2:
+            a, b = point[2, 0 if y < 2 else 4], point[0 if x < 2 else 4, 2]
+        elif x % 2:
+            a, b = point[x - 1, y], point[x + 1, y]
+        else:
+            a, b = point[x, y - 1], point[x, y + 1]
+        return F.shiftright(a + b + 1, 1)
+
+    # row sums are used twice, so a lambda names them
+    def made(sums: Column) -> Column:
+        point = fixed | {(2, y): _byte(F.shiftright(sums[2 + y // 4] + 16, 5)) for y in (0, 4)}
+        point[2, 2] = _byte(F.shiftright(_tapped([sums[k] for k in range(6)]) + 512, 10))
+        return F.array(*[sample(x, y, point).cast("bigint") for y in range(4) for x in range(4)])
+
+    return F.transform(F.array(rows), made)[0]
+
+
+def intra_plane(top: Column, left: Column, corner: Column, size: int) -> Column:
+    """A predicted square of 16 luma or 8 chroma samples in raster order: the plane that the border's slopes give; null where a side or the corner is missing."""
+    half, factor = size // 2, {16: 5, 8: 34}[size]
+
+    def slope(side: Column) -> Column:
+        before = lambda i: _at(side, half - 1 - i) if i < half else corner
+        total = F.lit(0).cast("bigint")
+        for i in range(1, half + 1):
+            total = total + i * (_at(side, half - 1 + i) - before(i))
+        return F.shiftright(factor * total + 32, 6)
+
+    base = 16 * (_at(top, size - 1) + _at(left, size - 1)) + 16
+    terms = F.array(F.struct(base.alias("a"), slope(top).alias("b"), slope(left).alias("c")))
+    places = F.sequence(F.lit(0), F.lit(size * size - 1))
+    made = F.transform(terms, lambda t: F.transform(places, lambda i: _byte(F.shiftright(t["a"] + t["b"] * (i % size - (half - 1)) + t["c"] * (F.floor(i / size) - (half - 1)), 5)).cast("bigint")))[0]
+    return F.when(top.isNotNull() & left.isNotNull() & corner.isNotNull(), made)
+
+
+def intra_square(mode: int, top: Column, left: Column, corner: Column, size: int = 16) -> Column:
+    """A predicted square of luma (16) or chroma (8) in raster order by its mode: down, across, mean or plane; null where what the mode needs is missing.
+
+    Modes count 0 down, 1 across, 2 mean, 3 plane for luma and 0 mean, 1 across, 2 down, 3 plane for chroma, whose mean is taken quarter by quarter.
+    """
+    places = F.sequence(F.lit(0), F.lit(size * size - 1))
+    kind = ("down", "across", "mean", "plane")[mode] if size == 16 else ("mean", "across", "down", "plane")[mode]
+    if kind == "down":
+        return F.when(top.isNotNull(), F.transform(places, lambda i: F.get(top, i % size)))
+    if kind == "across":
+        return F.when(left.isNotNull(), F.transform(places, lambda i: F.get(left, F.floor(i / size).cast("int"))))
+    if kind == "plane":
+        return intra_plane(top, left, corner, size)
+    if size == 16:
+        return F.array_repeat(intra_dc(top, left, 16), 256)
+    part = lambda side, k: F.when(side.isNotNull(), F.slice(side, 1 + 4 * k, 4))
+    none = F.lit(None).cast("array<bigint>")
+    # a quarter beside one border only takes that one where it is there
+    means = [intra_dc(part(top, 0), part(left, 0)), intra_dc(part(top, 1), F.when(top.isNull(), part(left, 0)).otherwise(none)), intra_dc(F.when(left.isNull(), part(top, 0)).otherwise(none), part(left, 1)), intra_dc(part(top, 1), part(left, 1))]
+    return F.transform(F.array(F.array(*means)), lambda m: F.transform(places, lambda i: F.get(m, (F.floor(i / 32) * 2 + F.floor(i % 8 / 4)).cast("int"))))[0]
+
+
+# What the halves of B macroblock types from 4 on use, a pair for two types (16x8 and 8x16): 0 the first list, 1 the second, 2 both;
+# and width, height and lists of the parts of their quarters' types, the first of which is direct.
+B_HALVES = ((0, 0), (1, 1), (0, 1), (1, 0), (0, 2), (1, 2), (2, 0), (2, 1), (2, 2))
+B_QUARTERS = ((8, 8, 3), (8, 8, 0), (8, 8, 1), (8, 8, 2), (8, 4, 0), (4, 8, 0), (8, 4, 1), (4, 8, 1), (8, 4, 2), (4, 8, 2), (4, 4, 0), (4, 4, 1), (4, 4, 2))
+
+
+def _with_lists(parts: Column, lists: list[int]) -> Column:
+    """Partitions with which lists each uses (0, 1, 2 both, 3 direct), taken in turn."""
+    kinds = F.array(*[F.lit(k) for k in lists])
+    kind = lambda i: F.get(kinds, (i % len(lists)).cast("int"))
+    return F.transform(parts, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["width"].alias("width"), p["height"].alias("height"), kind(i).isin(0, 2).alias("list0"), kind(i).isin(1, 2).alias("list1"), (kind(i) == 3).alias("direct")))
+
+
+def bi_partitions(raw: Column, sub_types: Column) -> Column:
+    """The motion partitions of a B macroblock type (0 direct, 1 to 3 whole, 4 to 21 halves, 22 quarters by their sub_types), with the lists that each uses. Null for others."""
+
+    def quarter(i: int) -> Column:
+        made, x, y = F.lit(None), F.lit(i % 2 * 8), F.lit(i // 2 * 8)
+        for k, (w, h, lists) in enumerate(B_QUARTERS):
+            made = F.when(_at(sub_types, i) == k, _with_lists(partitions(w, h, x, y, 8), [lists])).otherwise(made)
+        return made
+
+    out = F.when(raw == 22, F.concat(*[quarter(i) for i in range(4)]))
+    for k, lists in enumerate((3, 0, 1, 2)):
+        out = F.when(raw == k, _with_lists(partitions(16, 16), [lists])).otherwise(out)
+    for k, lists in enumerate(B_HALVES):
+        for n, shape in enumerate(((16, 8), (8, 16))):
+            out = F.when(raw == 4 + 2 * k + n, _with_lists(partitions(*shape), list(lists))).otherwise(out)
+    return out
+
+
 def partitions(width: int, height: int, x: Column | None = None, y: Column | None = None, size: int = 16) -> Column:
     """The parts of a square of size samples at (x, y), width by height each, in decoding order, as an array of structs (x, y, width, height)."""
     x, y = (F.lit(0) if v is None else v for v in (x, y))

@@ -12,7 +12,7 @@ from framelake.operators import relations as N
 from framelake.operators import table_functions
 from framelake.operators.codes import with_code
 from framelake.operators.units import configurations, seeded_sets
-from framelake.plans.catalogue import _FILE_SQL, _boxes_query, _files, _query, _slice_units, _streams, oracle_sql
+from framelake.plans.catalogue import _FILE_SQL, _WINDOW_SQL, _boxes_query, _files, _query, _slice_units, _streams, oracle_sql
 from framelake.sources import file_sink, ranges
 from framelake.sources.storage import new_folder, stored
 from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, stored_timed
@@ -177,3 +177,79 @@ def annexb_lateral(spark: SparkSession, d: str) -> DataFrame:
     _streams(spark, d).createOrReplaceTempView("framelake_streams")
     return spark.sql("""SELECT doc_id, unit_idx, CAST(octet_length(unit) AS BIGINT) AS bytes, shiftright(b, 5) & 3 AS ref_idc, b & 31 AS nal_type, error
       FROM (SELECT s.doc_id, u.*, CAST(conv(hex(substring(u.unit, 1, 1)), 16, 10) AS BIGINT) AS b FROM framelake_streams s, LATERAL annexb_units_of(s.stream) u)""")
+
+
+# --- prediction as columns ---------------------------------------------------------------------------
+
+_H = lambda row: f"least(greatest((t[{row}] + 16) >> 5, 0), 255)"
+_V = lambda column: f"least(greatest((({' + '.join(f'{w} * s[{6 * r + column}]' for r, w in enumerate(B.TAPS))}) + 16) >> 5, 0), 255)"
+_D = f"least(greatest((({' + '.join(f'{w} * t[{r + 1}]' for r, w in enumerate(B.TAPS))}) + 512) >> 10, 0), 255)"
+_MEAN = lambda a, b: f"(({a}) + ({b}) + 1) >> 1"
+_G, _R, _B, _RB = "s[15]", "s[16]", "s[21]", "s[22]"  # the sample, and those to its right, below and both
+_PLACES = [
+    _G, _MEAN(_G, "h"), "h", _MEAN("h", _R),
+    _MEAN(_G, "v"), _MEAN("h", "v"), _MEAN("h", "d"), _MEAN("h", "m"),
+    "v", _MEAN("v", "d"), "d", _MEAN("d", "m"),
+    _MEAN("v", _B), _MEAN("v", "u"), _MEAN("d", "u"), _MEAN("u", "m"),
+]
+
+
+@_query(f"""WITH {_WINDOW_SQL}, y AS (SELECT *, list_transform(range(6), lambda r: {' + '.join(f'{w} * s[6 * r + {c + 1}]' for c, w in enumerate(B.TAPS))}) AS t FROM x),
+z AS (SELECT vec_id, w, s, {_H(3)} AS h, {_H(4)} AS u, {_V(3)} AS v, {_V(4)} AS m, {_D} AS d FROM y)
+SELECT vec_id, w, concat_ws(',', {', '.join(f'CAST({p} AS BIGINT)' for p in _PLACES)}) AS places FROM z""")
+def luma_quarter_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as an 8x8 picture; all 16 quarter samples of all its 6x6 windows."""
+    b = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform(B.quantised(F.col("embedding"), 128), lambda v: v.bitwiseAND(F.lit(255))).alias("b"))
+    w = b.select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("w"))
+    x = w.select("vec_id", "w", F.expr("transform(sequence(0, 35), i -> b[CAST((w div 3 + i div 6) * 8 + w % 3 + i % 6 AS INT)])").alias("s"))
+    return x.select("vec_id", "w", B.joined(B.quarter_samples(F.col("s"))).alias("places"))
+
+
+def _plane_sql(top: str, left: str, size: int, factor: int) -> str:
+    half = size // 2
+    at = lambda side, i: f"{side}[{i + 1}]" if i >= 0 else "c"
+    slope = lambda side: f"(({factor} * ({' + '.join(f'{i} * ({at(side, half - 1 + i)} - {at(side, half - 1 - i)})' for i in range(1, half + 1))}) + 32) >> 6)"
+    return f"list_transform(range({size * size}), lambda i: least(greatest((16 * ({top}[{size}] + {left}[{size}]) + {slope(top)} * (i % {size} - {half - 1}) + {slope(left)} * (i // {size} - {half - 1}) + 16) >> 5, 0), 255))"
+
+
+def _mean_sql(*sides: tuple[str, int, int]) -> str:
+    """The rounded mean of parts of sides (name, first, number) that are all there."""
+    n = sum(k for *_, k in sides)
+    return f"CAST(({' + '.join(f'list_sum({s}[{a}:{a + k - 1}])' for s, a, k in sides)} + {n // 2}) // {n} AS BIGINT)"
+
+
+_CHROMA_MEAN = f"""CASE WHEN t IS NOT NULL AND l IS NOT NULL THEN [{_mean_sql(('t', 1, 4), ('l', 1, 4))}, {_mean_sql(('t', 5, 4))}, {_mean_sql(('l', 5, 4))}, {_mean_sql(('t', 5, 4), ('l', 5, 4))}]
+ WHEN t IS NOT NULL THEN [{_mean_sql(('t', 1, 4))}, {_mean_sql(('t', 5, 4))}, {_mean_sql(('t', 1, 4))}, {_mean_sql(('t', 5, 4))}] WHEN l IS NOT NULL THEN [{_mean_sql(('l', 1, 4))}, {_mean_sql(('l', 1, 4))}, {_mean_sql(('l', 5, 4))}, {_mean_sql(('l', 5, 4))}] ELSE [128, 128, 128, 128] END"""
+_LUMA_MEAN = f"CASE WHEN t IS NOT NULL AND l IS NOT NULL THEN {_mean_sql(('t', 1, 16), ('l', 1, 16))} WHEN t IS NOT NULL THEN {_mean_sql(('t', 1, 16))} WHEN l IS NOT NULL THEN {_mean_sql(('l', 1, 16))} ELSE 128 END"
+
+
+@_query(f"""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: (CAST(floor(CAST(v AS DOUBLE) * 128) AS BIGINT) & 255)) AS b FROM embeddings),
+y AS (SELECT vec_id, CASE WHEN vec_id % 4 <> 1 AND vec_id % 8 <> 6 THEN b[1:16] END AS t, CASE WHEN vec_id % 4 <> 2 THEN b[17:32] END AS l, CASE WHEN vec_id % 5 > 0 THEN b[33] END AS c FROM x),
+m AS (SELECT *, {_LUMA_MEAN} AS dc, {_CHROMA_MEAN} AS cm FROM y)
+SELECT vec_id, array_to_string(CASE WHEN t IS NOT NULL THEN list_transform(range(256), lambda i: t[i % 16 + 1]) END, ',') AS luma_down, array_to_string(CASE WHEN l IS NOT NULL THEN list_transform(range(256), lambda i: l[i // 16 + 1]) END, ',') AS luma_across, dc AS luma_mean,
+array_to_string(CASE WHEN t IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL THEN {_plane_sql('t', 'l', 16, 5)} END, ',') AS luma_plane, array_to_string(list_transform(range(64), lambda i: cm[i // 32 * 2 + i % 8 // 4 + 1]), ',') AS chroma_mean,
+array_to_string(CASE WHEN t IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL THEN {_plane_sql('t', 'l', 8, 34)} END, ',') AS chroma_plane FROM m""")
+def intra_squares(spark: SparkSession, d: str) -> DataFrame:
+    """Borders of squares from every vector, some without one side or the corner; luma and chroma modes."""
+    b = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform(B.quantised(F.col("embedding"), 128), lambda v: v.bitwiseAND(F.lit(255))).alias("b"))
+    b = b.selectExpr("vec_id", "CASE WHEN vec_id % 4 <> 1 AND vec_id % 8 <> 6 THEN slice(b, 1, 16) END AS t", "CASE WHEN vec_id % 4 <> 2 THEN slice(b, 17, 16) END AS l", "CASE WHEN vec_id % 5 > 0 THEN b[32] END AS c")
+    t, l, c = F.col("t"), F.col("l"), F.col("c")
+    joined = lambda mode, size: B.joined(B.intra_square(mode, F.slice(t, 1, size), F.slice(l, 1, size), c, size))
+    return b.select("vec_id", joined(0, 16).alias("luma_down"), joined(1, 16).alias("luma_across"), B.intra_square(2, t, l, c)[0].alias("luma_mean"), joined(3, 16).alias("luma_plane"), joined(0, 8).alias("chroma_mean"), joined(3, 8).alias("chroma_plane"))
+
+
+_SUB_SQL = "[[8, 8, 3], [8, 8, 0], [8, 8, 1], [8, 8, 2], [8, 4, 0], [4, 8, 0], [8, 4, 1], [4, 8, 1], [8, 4, 2], [4, 8, 2], [4, 4, 0], [4, 4, 1], [4, 4, 2]]"
+_PAIR_SQL = "[[0, 0], [1, 1], [0, 1], [1, 0], [0, 2], [1, 2], [2, 0], [2, 1], [2, 2]]"
+
+
+@_query(f"""WITH p AS (SELECT p_partkey, CAST(p_partkey % 24 AS INTEGER) AS raw, p_size AS z FROM part),
+w AS (SELECT p_partkey, 0 AS x, 0 AS y, 16 AS width, 16 AS height, (raw + 3) % 4 AS k FROM p WHERE raw < 4),
+h AS (SELECT p_partkey, CASE WHEN raw % 2 = 1 THEN 8 * i ELSE 0 END AS x, CASE WHEN raw % 2 = 0 THEN 8 * i ELSE 0 END AS y, CASE WHEN raw % 2 = 1 THEN 8 ELSE 16 END AS width, CASE WHEN raw % 2 = 1 THEN 16 ELSE 8 END AS height, list_extract(list_extract({_PAIR_SQL}, (raw - 4) // 2 + 1), i + 1) AS k FROM (SELECT *, CAST(unnest(range(2)) AS INTEGER) AS i FROM p WHERE raw BETWEEN 4 AND 21)),
+q AS (SELECT p_partkey, q, list_extract({_SUB_SQL}, CAST((z + q) % 13 AS INTEGER) + 1) AS s FROM (SELECT *, CAST(unnest(range(4)) AS INTEGER) AS q FROM p WHERE raw = 22)),
+e AS (SELECT p_partkey, q, s, CAST(unnest(range(64 // (s[1] * s[2]))) AS INTEGER) AS i FROM q),
+a AS (SELECT * FROM w UNION ALL SELECT * FROM h UNION ALL SELECT p_partkey, q % 2 * 8 + i % (8 // s[1]) * s[1], q // 2 * 8 + i // (8 // s[1]) * s[2], s[1], s[2], s[3] FROM e)
+SELECT p_partkey, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, k IN (0, 2) AS list0, k IN (1, 2) AS list1, k = 3 AS direct FROM a""")
+def bi_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as B macroblocks of every type and an unknown one."""
+    x = read(spark, d, "part", "p_partkey", "p_size").select("p_partkey", (F.col("p_partkey") % 24).alias("raw"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("p_size") + i) % 13).alias("sub"))
+    return x.select("p_partkey", F.explode(B.bi_partitions(F.col("raw"), F.col("sub"))).alias("p")).select("p_partkey", "p.*")
