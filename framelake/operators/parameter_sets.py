@@ -32,7 +32,7 @@ PPS = (
 SLICE_HEADER = (
     "first_mb bigint, slice_type string, all_same_type boolean, frame_num bigint, field boolean, bottom boolean, idr_pic_id bigint, poc_lsb bigint, redundant bigint, direct_spatial boolean, active_l0 bigint, active_l1 bigint"
     ", modifications array<struct<list:bigint,idc:bigint,value:bigint>>, luma_denominator bigint, chroma_denominator bigint, weights array<struct<list:bigint,entry:bigint,luma:bigint,luma_offset:bigint,cb:bigint,cb_offset:bigint,cr:bigint,cr_offset:bigint>>"
-    ", long_term boolean, adaptive_marking boolean, marking array<struct<operation:bigint,first:bigint,second:bigint>>, cabac_init bigint, qp bigint, qs bigint, deblocking_off bigint, alpha_offset bigint, beta_offset bigint, header_bits bigint"
+    ", long_term boolean, adaptive_marking boolean, marking array<struct<operation:bigint,first:bigint,second:bigint>>, cabac_init bigint, qp bigint, qs bigint, deblocking_off bigint, alpha_offset bigint, beta_offset bigint, header_bits bigint, has_data boolean"
 )
 
 
@@ -195,7 +195,7 @@ def read_slice_start(unit: bytes) -> tuple:
 
 
 def read_slice(unit: bytes, pps: dict, sps: dict) -> tuple:
-    """The fields of SLICE_HEADER, given the sets that the slice refers to, as dicts of their columns."""
+    """The fields of SLICE_HEADER, given the sets that the slice refers to, as dicts of their columns. has_data says whether anything but the closing bits is behind the header."""
     r = _reader(unit, SLICE, IDR_SLICE)
     idr, is_reference = unit[0] & 31 == IDR_SLICE, unit[0] >> 5 & 3 != 0
     first, coded, _ = r.ue(), r.ue(9, "slice type"), r.ue()
@@ -261,7 +261,7 @@ def read_slice(unit: bytes, pps: dict, sps: dict) -> tuple:
         off = r.ue(2, "filter switch")
         if off != 1:
             alpha, beta = 2 * r.se(-6, 6, "filter offset"), 2 * r.se(-6, 6, "filter offset")
-    return first, kind, coded >= 5, frame_num, field, bottom, idr_pic, poc, redundant, direct, *active, modifications, luma, chroma, weights, long_term, adaptive, marking, cabac, qp, qs, off, alpha, beta, r.at
+    return first, kind, coded >= 5, frame_num, field, bottom, idr_pic, poc, redundant, direct, *active, modifications, luma, chroma, weights, long_term, adaptive, marking, cabac, qp, qs, off, alpha, beta, r.at, r.more()
 
 
 def _names(fields: str) -> list[str]:

@@ -94,6 +94,11 @@ def tiled_neighbours(blocks: DataFrame, picture: str, address: str, value: str,
     return each.select(F.col("p").alias(picture), F.col("r.a").alias(address), F.col("r.v").alias(value), F.col("r.s").alias(slice_id), *[c.alias(n) for n, c in named.items()])
 
 
+def strongest(edges: DataFrame, keys: list[str], strength: str, name: str) -> DataFrame:
+    """(keys, name): the largest strength of the edges of each key, as that of two luma segments is a chroma segment's; nulls do not count, and the result is null where all are null."""
+    return edges.groupBy(*keys).agg(F.max(strength).alias(name))
+
+
 def conditional_counts(rows: DataFrame, keys: list[str], conditions: dict[str, Column]) -> DataFrame:
     """(keys, a count for each condition): rows for which it holds."""
     return rows.groupBy(*keys).agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("bigint").alias(n) for n, c in conditions.items()])

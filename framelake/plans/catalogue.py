@@ -838,7 +838,7 @@ def _slice_units(spark: SparkSession, d: str) -> DataFrame:
         f"CASE WHEN {weighted} THEN concat({S.ue('k % 6')}, {S.ue('k % 4')}, {entries('(k % 4 + 1)')}, CASE WHEN {kind} = 1 THEN {entries('(k % 3 + 1)')} ELSE '' END) ELSE '' END",
         f"CASE WHEN idr THEN concat('0', {S.fixed('k % 2', 1)}) WHEN k % 4 = 0 THEN concat('1', {S.ue('1')}, {S.ue('k % 3')}, {S.ue('0')}) ELSE '0' END",
         f"CASE WHEN {inter} AND v % 2 = 1 THEN {S.ue('k % 3')} ELSE '' END", S.se("(k % 9 - 4)"), f"CASE WHEN {kind} = 3 THEN '1' ELSE '' END", f"CASE WHEN {kind} IN (3, 4) THEN {S.se('(k % 5 - 2)')} ELSE '' END",
-        S.ue("k % 3"), f"CASE WHEN k % 3 <> 1 THEN concat({S.se('(k % 7 - 3)')}, {S.se('0')}) ELSE '' END",
+        S.ue("k % 3"), f"CASE WHEN k % 3 <> 1 THEN concat({S.se('(k % 7 - 3)')}, {S.se('0')}) ELSE '' END", "CASE WHEN k % 4 < 2 THEN '' WHEN k % 4 = 2 THEN '0000' ELSE '10110001000000001' END",
     ]
     made = lambda head, bits: f"concat({head}, {S.payload(f'concat({', '.join(bits)})')})"
     sets = lambda rows, at: rows.select("user_id", F.lit(-1).cast("bigint").alias("sample_idx") if at is None else F.col(at).alias("sample_idx"), F.expr(f"array({made("unhex('67')", sps_bits)}, {made("unhex('68')", pps_bits)})").alias("u")).select("user_id", "sample_idx", F.posexplode("u").alias("unit_idx", "unit"))
@@ -858,12 +858,12 @@ t = 1 AND k % 2 = 1 AS direct_spatial, CASE WHEN inter THEN n0 ELSE 2 END AS act
 CAST(CASE WHEN weighted THEN n0 + n1 ELSE 0 END AS BIGINT) AS weights, CAST(CASE WHEN weighted THEN ((n0 + 1) // 2 + (n1 + 1) // 2) * (k % 9 - 4) + (n0 // 2 + n1 // 2) * (1 << (k % 6)) ELSE 0 END AS BIGINT) AS luma_sum,
 CAST(CASE WHEN weighted THEN (n0 + n1) * (1 << (k % 4)) + CASE WHEN k % 2 = 0 THEN CASE WHEN t = 1 THEN 2 ELSE 1 END * (1 - (1 << (k % 4))) ELSE 0 END ELSE 0 END AS BIGINT) AS cb_sum,
 CAST(CASE WHEN NOT idr AND k % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS marking, CASE WHEN inter AND v % 2 = 1 THEN k % 3 ELSE 0 END AS cabac_init, 26 + v % 13 - 6 + k % 9 - 4 AS qp, CASE WHEN t IN (3, 4) THEN 26 + k % 5 - 2 ELSE 0 END AS qs,
-k % 3 AS deblocking_off, CASE WHEN k % 3 <> 1 THEN 2 * (k % 7 - 3) ELSE 0 END AS alpha_offset, CAST(NULL AS VARCHAR) AS error FROM w""")
+k % 3 AS deblocking_off, CASE WHEN k % 3 <> 1 THEN 2 * (k % 7 - 3) ELSE 0 END AS alpha_offset, k % 4 >= 2 AS has_data, CAST(NULL AS VARCHAR) AS error FROM w""")
 def slice_headers(spark: SparkSession, d: str) -> DataFrame:
     h = P.slice_headers(_slice_units(spark, d), "user_id")
     size, total = lambda c: F.size(c).cast("bigint").alias(c), lambda f: F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, w: a + w[f])
     h = h.withColumns({"luma_sum": F.when(F.col("error").isNull(), total("luma")), "cb_sum": F.when(F.col("error").isNull(), total("cb"))})
-    return h.select("user_id", "sample_idx", "pps_id", "sps_id", "first_mb", "slice_type", "all_same_type", "frame_num", "poc_lsb", "idr_pic_id", "direct_spatial", "active_l0", "active_l1", size("modifications"), size("weights"), "luma_sum", "cb_sum", size("marking"), "cabac_init", "qp", "qs", "deblocking_off", "alpha_offset", "error")
+    return h.select("user_id", "sample_idx", "pps_id", "sps_id", "first_mb", "slice_type", "all_same_type", "frame_num", "poc_lsb", "idr_pic_id", "direct_spatial", "active_l0", "active_l1", size("modifications"), size("weights"), "luma_sum", "cb_sum", size("marking"), "cabac_init", "qp", "qs", "deblocking_off", "alpha_offset", "has_data", "error")
 
 
 @_query(f"WITH {_SLICE_SQL} SELECT user_id, idx AS sample_idx, user_id % 8 AS pps_id, since AS set_sample FROM v")

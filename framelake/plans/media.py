@@ -12,7 +12,7 @@ from framelake.operators import relations as N
 from framelake.operators import table_functions
 from framelake.operators.codes import with_code
 from framelake.operators.units import configurations, seeded_sets
-from framelake.plans.catalogue import _FILE_SQL, _WINDOW_SQL, _boxes_query, _files, _query, _slice_units, _streams, oracle_sql
+from framelake.plans.catalogue import _FILE_SQL, _WINDOW_SQL, _boxes_query, _files, _query, _slice_units, _streams, bs_strength, oracle_sql
 from framelake.sources import file_sink, ranges
 from framelake.sources.storage import new_folder, stored
 from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, stored_timed
@@ -179,6 +179,13 @@ def annexb_lateral(spark: SparkSession, d: str) -> DataFrame:
       FROM (SELECT s.doc_id, u.*, CAST(conv(hex(substring(u.unit, 1, 1)), 16, 10) AS BIGINT) AS b FROM framelake_streams s, LATERAL annexb_units_of(s.stream) u)""")
 
 
+@_query(f"SELECT l_orderkey, (line - 1) // 2 AS segment, max(bs) AS bs FROM ({oracle_sql()['bs_strength']}) GROUP BY ALL")
+def chroma_strength(spark: SparkSession, d: str) -> DataFrame:
+    """The strength of a chroma segment, which lies along two luma segments: neighbouring lines of an order."""
+    edges = bs_strength(spark, d).withColumn("segment", F.expr("(line - 1) div 2"))
+    return N.strongest(edges, ["l_orderkey", "segment"], "bs", "bs")
+
+
 # --- prediction as columns ---------------------------------------------------------------------------
 
 _H = lambda row: f"least(greatest((t[{row}] + 16) >> 5, 0), 255)"
