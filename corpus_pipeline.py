@@ -35,7 +35,10 @@ _left: list[DataFrame] = []
 
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes what the stages before it have stored: their results are written by then."""
+    """A stage that first deletes what the stages before it have stored: their results are written by then.
+
+    So a stage's result, which is read lazily, must be written before the next stage begins, and a process runs one pipeline at a time.
+    """
 
     @functools.wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,6 @@ SPACE = "▁"
 #: Chunks kept by a Python worker (those that it meets again); pairs kept for compatibility, beyond which
 #: that cache starts anew.
 CACHED_CHUNKS, CACHED_PAIRS = 250_000, 250_000
-NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 
 class PieceModel:
