@@ -70,10 +70,15 @@ def saturated_ns(ticks: str, timescale: str) -> Column:
     return F.expr(f"CASE WHEN {timescale} = 0 THEN 0L ELSE CAST(least({exact}, CAST({most} AS DECIMAL(38,0))) AS BIGINT) END")
 
 
+def gop_number(before: Column, starts: Column) -> Column:
+    """The group of pictures that a sample is in, from how many groups start before it and whether it starts one."""
+    return (before + starts.cast("int")).cast("bigint")
+
+
 def gop_ids(samples: DataFrame, track: str, starts: Column) -> DataFrame:
     """samples with gop: how many samples up to and including this one start a group of pictures."""
     counted = in_decode_order(samples, track, __g=prefix(starts.cast("int")))
-    return counted.withColumn("gop", (F.col("__g") + starts.cast("int")).cast("bigint")).drop("__g")
+    return counted.withColumn("gop", gop_number(F.col("__g"), starts)).drop("__g")
 
 
 def reorder_occupancy(samples: DataFrame, track: str) -> DataFrame:

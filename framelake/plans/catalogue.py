@@ -49,7 +49,7 @@ _STARTS = "CAST(event_type = 'signup' AS INT)"
 
 def _groups(rows: DataFrame) -> DataFrame:
     """rows (with before: the starts before each) with gop, the group that each is in."""
-    return rows.withColumn("gop", F.expr(f"before + {_STARTS}").cast("bigint")).drop("before")
+    return rows.withColumn("gop", T.gop_number(F.col("before"), F.expr(_STARTS))).drop("before")
 
 
 # --- timelines over events -------------------------------------------------------------------
