@@ -50,11 +50,23 @@ def out_of_range(blocks: DataFrame, address: str, total: str) -> DataFrame:
 
 
 def with_neighbours(blocks: DataFrame, picture: str, address: str, value: str, steps: dict[str, int]) -> DataFrame:
-    """blocks with the value of the block so many addresses before, for each name of steps; null where there is none. Equi-joins, no window over a picture."""
-    out = blocks
-    for name, step in steps.items():
-        out = out.join(blocks.select(picture, (F.col(address) + step).alias(address), F.col(value).alias(name)), [picture, address], "left")
-    return out
+    """blocks with the value of the block so many addresses before, for each name of steps; null where there is none. Of neighbours that repeat an address the largest value counts.
+
+    Each block goes to its own address and to those that look at it, so one shuffle brings all directions. A row with a null picture or address has no neighbours; columns of blocks with the new names are replaced.
+    """
+    kept = [c for c in blocks.columns if c not in steps]
+    own = F.struct(*[F.col(f"`{c}`") for c in kept])
+    at, v = F.col(f"`{address}`"), F.col(f"`{value}`")
+    there = at.isNotNull() & F.col(f"`{picture}`").isNotNull()
+    none, nothing = F.lit(None).cast(blocks.select(own.alias("o")).schema["o"].dataType), F.lit(None).cast(dict(blocks.dtypes)[value])
+    sent = [F.struct(F.lit(0).alias("k"), at.cast("bigint").alias("a"), own.alias("own"), nothing.alias("v"))]
+    sent += [F.when(there, F.struct(F.lit(k).alias("k"), (at + step).cast("bigint").alias("a"), none.alias("own"), v.alias("v"))) for k, step in enumerate(steps.values(), 1)]
+    # rows without an address meet nobody, so each is a group of its own
+    salt = F.when(there, F.lit(0).cast("bigint")).otherwise(F.monotonically_increasing_id()).alias("s")
+    spread = blocks.select(F.col(f"`{picture}`").alias("p"), salt, F.explode(F.filter(F.array(*sent), lambda x: x.isNotNull())).alias("x")).select("p", "s", "x.*")
+    met = spread.groupBy("p", "a", "s").agg(F.collect_list(F.when(F.col("k") == 0, F.col("own"))).alias("own"), *[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in range(1, len(steps) + 1)])
+    each = met.select(F.explode("own").alias("own"), *[f"v{k}" for k in range(1, len(steps) + 1)])
+    return each.select(*[F.col(f"own.`{c}`").alias(c) for c in kept], *[F.col(f"v{k}").alias(n) for k, n in enumerate(steps, 1)])
 
 
 #: Blocks across and down a tile of tiled_neighbours().

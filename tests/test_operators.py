@@ -286,3 +286,16 @@ def test_slice_header_plan_and_lacking_sets(spark, sf):
     rows = cut.collect()
     assert len(rows) == whole.count() and all(r.error and r.qp is None for r in rows)
     assert P.slice_headers(units.limit(0), "user_id").count() == 0
+
+
+def test_neighbours_in_one_exchange(spark):
+    r = random.Random(6)
+    rows = [(p, a, r.randint(0, 9) if r.random() < 0.9 else None) for p in ("x", "y", None) for a in [*range(30), 4, None] if r.random() < 0.8]
+    out = N.with_neighbours(spark.createDataFrame(rows, "p string, a int, v int"), "p", "a", "v", {"l": 1, "t": 7})
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    best = {}
+    for p, a, v in rows:
+        if p is not None and a is not None and v is not None:
+            best[p, a] = max(v, best.get((p, a), v))
+    want = [(p, a, v, *[best.get((p, a - s)) if a is not None and p is not None else None for s in (1, 7)]) for p, a, v in rows]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
