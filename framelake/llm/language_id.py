@@ -21,6 +21,8 @@ from framelake.llm.common import bounded_batches, frugal, give_back, start_task,
 PROFILE = 400
 #: Labelled documents that a language's profile is learned from, at most (a hash of the key chooses them).
 LEARNED_DOCS = 4_000
+#: Languages whose sizes are sent to all tasks, at most.
+SHIPPED_LANGUAGES = 10_000
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -64,6 +66,8 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
+    if sizes.count() <= SHIPPED_LANGUAGES:  # else labels are dirty, and texts are shuffled by them
+        sizes = F.broadcast(sizes)
     place = F.pmod(F.xxhash64(F.lit("language profile"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("place")).join(sizes, "l").where(F.col("place") * F.col("n") < per_language).select("l", "t")
 
