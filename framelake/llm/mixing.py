@@ -8,7 +8,7 @@ differ as a random shuffle would make them differ while sums stay exact. A sourc
 another hashed order, are then dealt to the leaves without overlap, and each shard orders what it got by a hash.
 
 Draws are by inversion: probabilities run from 8 standard deviations below the mean to 8 above. What
-is drawn depends on hashes of the seed, the node and the document's key alone, so reruns agree.
+is drawn depends on hashes of the seed, the node and the document's key and text alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -96,8 +96,10 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rounded to whole words. A null source is a source of its own; rows without words are never
     taken; rows that repeat a key are documents of their own. Extra columns are ignored but for the carried ones.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint").alias("size"), *carried)
-    rows = materialize(rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("k"))), "sizes")
+    # the text counts in the hash, so rows that share a key, or have none, are spread as others are
+    h = F.xxhash64(F.lit(seed), F.col("k"), F.col("of_text"))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("of_text"), F.col(source).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint").alias("size"), *carried)
+    rows = materialize(rows.withColumn("h", h), "sizes").drop("of_text")
     stretches = 1 << max(0, math.ceil(math.log2(max(1, rows.count()) / STRETCH)) + 4)
     sources = materialize(source_targets(rows), "sources").withColumn("goal", F.round("target").cast("bigint"))
     block = F.greatest(F.lit(1), F.ceil(F.sum("goal").over(Window.partitionBy(F.lit(1))) / (shards * BLOCKS_A_SHARD))).cast("bigint")
@@ -123,7 +125,7 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         own = blocks.select(F.col("rank").alias("r"), F.col("b").alias(f"b{copy}"), F.col("shard").alias(f"shard{copy}"))
         placed = placed.withColumn(f"words{copy}", taken).withColumn(f"at{copy}", F.when(taken > 0, F.floor(begin / F.col("block"))))
         placed = placed.join(own, (F.col("rank") == F.col("r")) & (F.col(f"at{copy}") == F.col(f"b{copy}")), "left").drop("r", f"b{copy}")
-    piece = [F.when(F.col(f"words{c}") > 0, F.struct(F.lit(c).alias("copy"), F.col(f"words{c}").alias("words"), F.col(f"shard{c}").alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), F.lit(c), F.col("k")).alias("place"))) for c in (1, 2)]
+    piece = [F.when(F.col(f"words{c}") > 0, F.struct(F.lit(c).alias("copy"), F.col(f"words{c}").alias("words"), F.col(f"shard{c}").alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), F.lit(c), F.col("h")).alias("place"))) for c in (1, 2)]
     pieces = F.filter(F.array(*piece), lambda x: x.isNotNull())
     placed = placed.withColumn("pieces", pieces)
     return placed.select(F.col("k").alias(key), "size", "source_size", "target", F.aggregate("pieces", F.lit(0).cast("bigint"), lambda a, x: a + x["words"]).alias("taken"), "pieces", *carried)
@@ -133,18 +135,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The rows that the mix takes, with the columns of docs, a row for each time, in the order of shards and shuffled inside each; a task holds a range of that order.
 
     A document where its source's target ends keeps the words before that end, joined by spaces;
-    all others keep their whole text. Rows with a null key are taken as often as the plan says for null keys.
+    all others keep their whole text. Rows that share a key, or have none, are documents of their own.
     """
-    free = unused(docs, "size", "row", "turn", "piece", "pieces")
+    free = unused(docs, "size", "row", "turn", "piece")
     c = {name: F.col(f"`{made}`") for name, made in free.items()}
     own = F.col(f"`{text}`")
     size = F.coalesce(F.regexp_count(own, F.lit(f"({WORD_PATTERN})")), F.lit(0)).cast("bigint")
     rows = docs.withColumns({free["size"]: size, free["row"]: F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns])})
     plan = mixing_plan(rows, key, text, source, shards, seed, carried=(free["row"],)).where("taken > 0")
-    # rows that are equal in all columns take turns in the pieces of their plans; texts are shuffled once for this and once to their shards
-    plan = plan.groupBy(F.col("size").alias(free["size"]), free["row"]).agg(F.collect_list("pieces").alias(free["pieces"]))
-    rows = rows.withColumn(free["turn"], F.row_number().over(Window.partitionBy(free["size"], free["row"]).orderBy(free["row"])))
-    taken = rows.join(plan, [free["size"], free["row"]]).where(c["turn"] <= F.size(c["pieces"])).withColumn(free["piece"], F.explode(F.get(c["pieces"], c["turn"] - 1)))
+    # one of the rows that are equal in all columns stands for them, found before the shuffle; texts are shuffled once for this and once to their shards
+    plan = plan.select(F.col("size").alias(free["size"]), free["row"], F.explode("pieces").alias(free["piece"]))
+    rows = rows.withColumn(free["turn"], F.row_number().over(Window.partitionBy(free["size"], free["row"]).orderBy(free["row"]))).where(c["turn"] == 1)
+    taken = plan.join(rows, [free["size"], free["row"]])
     cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(f"({WORD_PATTERN})")), 1, c["piece"]["words"].cast("int")), " ")
     taken = taken.withColumn(text, F.when(c["piece"]["words"] < c["size"], cut).otherwise(own))
     # as many tasks as the session deals shuffles to, or as few as the bytes ask for: files follow the order of shards

@@ -90,7 +90,7 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
 
     size is the text's UTF-8 bytes plus 8. Rows of equal text stay in one shard; null texts are one
     such group of size 8 a row, with a null crc. slot numbers a shard's rows from 0 without a gap,
-    by a hash of the key and then the key; rows that repeat a key get a slot each. The law is
+    by a hash of the key and the text's crc and then the key; rows that repeat a key, or have none, get a slot each. The law is
     `bytes`: shards have near equal sums of size, as far as a group larger than a shard's share
     allows. grown_shard is null, as that law says nothing of another number of shards.
     """
@@ -103,7 +103,7 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     base = materialize(base, "sizes")
     placed = assign(base.groupBy("g").agg(F.sum("size").alias("load")), shards)
     parts = max(1, base.count() // (shards * NUMBERED))
-    rows = base.join(placed, "g").select("k", "size", "text_crc32", "shard", F.pmod(F.xxhash64("k"), F.lit(parts)).alias("sub"))
+    rows = base.join(placed, "g").select("k", "size", "text_crc32", "shard", F.pmod(F.xxhash64("k", "text_crc32"), F.lit(parts)).alias("sub"))
     rows = materialize(rows, "placed")
     order = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("shard", "sub").count().select("shard", "sub", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("before"))

@@ -372,6 +372,24 @@ def test_mixing_targets_and_draws(spark):
     assert [(r.size, r.target, r.taken) for r in empty] == [(0, 0.0, 0)] * 2
 
 
+def test_mixing_rows_without_keys_and_equal_rows(spark):
+    """Rows that have no key are spread over shards, each with its own text; equal rows are taken as often as their plans say."""
+    r = random.Random(12)
+    rows = [(None, prose(r, 30), None, "a") for _ in range(60)] + [(7, "same words here", None, "b")] * 90 + [(None, None, None, "a")] * 5
+    docs = docs_of(spark, rows)
+    plan = M.mixing_plan(docs, carried=("text",)).collect()
+    assert len(plan) == len(rows) and len({p.shard for x in plan if x.doc_id is None for p in x.pieces}) > 1
+    assert len({p.place for x in plan if x.doc_id is None for p in x.pieces}) > 60
+    truth = collections.Counter()
+    for x in plan:
+        for p in x.pieces:
+            truth[x.doc_id, x.text if p.words == x.size else " ".join(WORD.findall(x.text)[: p.words])] += 1
+    mixed = M.mix(docs)
+    assert collections.Counter((x.doc_id, x.text) for x in mixed.collect()) == truth and truth[7, "same words here"] > 90
+    assert collections.Counter((x.doc_id, x.text) for x in M.mix(docs.repartition(9)).collect()) == truth
+    assert "collect_list" not in mixed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tree_keeps_quotas(spark):
     q = spark.createDataFrame([(1, 500), (2, 0), (3, 37), (4, 1)], "rank int, quota bigint")
     got = M.split_quotas(q, 8).collect()
