@@ -4,8 +4,8 @@ Two data sources in Python, for any store that pyarrow's file systems reach (fil
 
 * `mp4_boxes`: the rows of container.boxes(). A partition is a range of the list of files. A task seeks from one top-level box to the next and reads
   sixteen bytes of each; only metadata is read whole.
-* `mp4_samples`: a row a sample with its bytes. A partition is a byte range of one file, so one large file is spread over many tasks; a sample belongs to the range that
-  its first byte is in. Each task reads the file's metadata and then its own samples only, neighbours in one read.
+* `mp4_samples`: a row a sample with its bytes. Files are cut into byte ranges, so one large file is spread over many tasks; a sample belongs to the range that
+  its first byte is in. A partition is a run of ranges, one of full size or many small ones. A task reads a file's metadata once for all its ranges and then its own samples only, neighbours in one read.
 
 Options: path (a file, a folder, or a pattern in its last part), range_bytes, files_per_task.
 """
@@ -28,6 +28,8 @@ from framelake.sources import container as C
 RANGE_BYTES, FILES_A_TASK, GAP = 64 << 20, 64, 64 << 10
 #: Bytes that one read asks for at most.
 READ_BYTES = 8 << 20
+#: Ranges of a task, if they are small, at least and at most; between them as many as make this number of tasks.
+LEAST_RANGES, MOST_RANGES, TASKS = 64, 1024, 256
 SAMPLES = "path string, trak int, sample_idx bigint, offset bigint, size bigint, dts bigint, pts bigint, duration bigint, description_index bigint, is_sync boolean, data binary, error string"
 
 
@@ -86,13 +88,18 @@ class Files(InputPartition):
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     size: int
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[Range]
+
+
 class BoxReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -197,17 +204,38 @@ def read_samples(f: pa.NativeFile, offset: np.ndarray, size: np.ndarray) -> Iter
 _TABLES = ("stts", "ctts", "stsc", "stsz", "stco", "co64", "stss")
 
 
+def dealt(files: list[tuple[str, int]], range_bytes: int) -> list[Ranges]:
+    """The files' ranges as partitions: in order, as many ranges a task as have RANGE_BYTES, a small one counted as a share of that. Neighbours of a file that meet in a task are one range."""
+    share = RANGE_BYTES // min(MOST_RANGES, max(LEAST_RANGES, sum(-(-size // range_bytes) for _, size in files) // TASKS))
+    out, held = [], 0
+    for path, size in files:
+        for at in range(0, size, range_bytes):
+            end = min(size, at + range_bytes)
+            cost = max(share, end - at)
+            if not out or held + cost > RANGE_BYTES:
+                out.append(Ranges([]))
+                held = 0
+            held += cost
+            own = out[-1].ranges
+            if at and own:
+                own[-1].end = end
+            else:
+                own.append(Range(path, size, at, end))
+    return out
+
+
 class SampleReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        n = int(self.options.get("range_bytes", RANGE_BYTES))
-        return [Range(p, size, at, min(size, at + n)) for p, size in list_files(self.options["path"]) for at in range(0, size, n)] or [Range("", 0, 0, 0)]
+        return dealt(list_files(self.options["path"]), int(self.options.get("range_bytes", RANGE_BYTES))) or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from self._read(part)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.size:
-            return
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         fs, at = file_system(partition.path)
         with fs.open_input_file(at) as f:
             traks: dict[int, dict[str, bytes | None]] = {}

@@ -127,3 +127,19 @@ def test_images(spark):
     out = {r.name: r for r in W.images(frames).collect()}
     assert out["a"].content[:11] == b"P6\n3 2\n255\n" and len(out["a"].content) == 11 + 18 and out["a"].error is None
     assert {k: out[k].error for k in "bcd"} == {"b": "a plane has a wrong length", "c": "frame has a null", "d": "frame has no size"}
+
+
+def test_small_ranges_share_tasks(tmp_path):
+    """As many tasks as the bytes and the number of files ask for, not one a range; every byte is in one range, and a file is in a task's list once."""
+    files = [(f"{k:05d}", 3000 + k % 7 * 1000) for k in range(20_000)]
+    parts = R.dealt(files, 4096)
+    assert len(parts) <= 2 * R.TASKS
+    seen = {}
+    for p in parts:
+        assert len({r.path for r in p.ranges}) == len(p.ranges)
+        for r in p.ranges:
+            seen.setdefault((r.path, r.size), []).append((r.start, r.end))
+    assert {k: sum(e - s for s, e in v) for k, v in seen.items()} == {f: f[1] for f in files}
+    assert all(sorted(v)[0][0] == 0 and all(a[1] == b[0] for a, b in zip(sorted(v), sorted(v)[1:], strict=False)) for v in seen.values())
+    whole = R.dealt([("a", 5 * R.RANGE_BYTES), ("b", 1)], R.RANGE_BYTES)
+    assert [[(r.path, r.start // R.RANGE_BYTES) for r in p.ranges] for p in whole] == [[("a", k)] for k in range(5)] + [[("b", 0)]]
