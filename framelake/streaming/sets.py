@@ -1,6 +1,6 @@
 """Parameter sets in force over a stream of units: one decoder a (track, sample description), each with maps of sets by id.
 
-State is two maps, sequence sets and picture sets by their ids, at most 32 and 256 by the format, whatever the track's length; an initial state
+State is two lists, sequence sets and picture sets by their ids, at most 32 and 256 by the format, whatever the track's length; an initial state
 seeds them with the sets of each description's configuration. A sample's units come in one batch and samples in decode order from batch to batch; the sets of
 a sample apply before its slices.
 """
@@ -16,57 +16,77 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from framelake.operators.parameter_sets import IDR_SLICE, PPS, PPS_UNIT, SLICE, SPS, SPS_UNIT, Malformed, _names, read_pps, read_slice_start, read_sps
 
 OUT = "track string, description bigint, sample_idx bigint, unit_idx bigint, first_mb bigint, pps_id bigint, set_sample bigint, sps_id bigint, sps_sample bigint, init_qp bigint, log2_max_frame_num bigint, error string"
+_OUT = [f.split()[0] for f in OUT.split(", ")]
 #: Samples before the first one, where the sets of a configuration stand.
 SEEDED = -1
 _QP, _FRAME_NUM = _names(PPS).index("init_qp"), _names(SPS).index("log2_max_frame_num")
 
 
 class SetsInForce(StatefulProcessor):
+    """The sets are read once and written once for all of a batch's units of a decoder: a call of the state is a message to another process."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sequence = handle.getMapState("sequence", "id bigint", "sample bigint, log2_max_frame_num bigint")
-        self.picture = handle.getMapState("picture", "id bigint", "sample bigint, sps_id bigint, init_qp bigint")
+        self.held = handle.getValueState("held", "sequence array<struct<id:bigint,sample:bigint,log2_max_frame_num:bigint>>, picture array<struct<id:bigint,sample:bigint,sps_id:bigint,init_qp:bigint>>")
+
+    def _sets(self) -> tuple[dict[int, tuple], dict[int, tuple]]:
+        held = self.held.get()
+        return tuple({r[0]: tuple(r)[1:] for r in kind} for kind in held) if held is not None else ({}, {})
 
-    def _take(self, sample: int, unit: bytes) -> None:
+    def _keep(self, sequence: dict[int, tuple], picture: dict[int, tuple]) -> None:
+        self.held.update(tuple([(k, *v) for k, v in kind.items()] for kind in (sequence, picture)))
+
+    @staticmethod
+    def _take(sequence: dict[int, tuple], picture: dict[int, tuple], sample: int, unit: bytes) -> None:
         """Keep a set; a malformed one leaves the one in force."""
         try:
             if unit[0] & 31 == SPS_UNIT:
                 s = read_sps(unit)
-                self.sequence.updateValue((s[0],), (sample, s[_FRAME_NUM]))
+                sequence[s[0]] = sample, s[_FRAME_NUM]
             else:
                 p = read_pps(unit)
-                self.picture.updateValue((p[0],), (sample, p[1], p[_QP]))
+                picture[p[0]] = sample, p[1], p[_QP]
         except Malformed:
             pass
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        sequence, picture = self._sets()
         for unit in initialState["unit"]:
-            self._take(SEEDED, bytes(unit))
+            self._take(sequence, picture, SEEDED, bytes(unit))
+        self._keep(sequence, picture)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        units = pd.concat(list(rows))
-        units["kind"] = [(u[0] & 31) if u else 0 for u in units["unit"]]
-        units["slice"] = units["kind"].isin([SLICE, IDR_SLICE])
-        units = units[units["slice"] | units["kind"].isin([SPS_UNIT, PPS_UNIT])].sort_values(["sample_idx", "slice", "unit_idx"])
-        out = []
-        for sample, place, unit, is_slice in zip(units["sample_idx"].tolist(), units["unit_idx"].tolist(), units["unit"], units["slice"], strict=True):
+        units = []
+        for batch in rows:
+            for sample, place, unit in zip(batch["sample_idx"].tolist(), batch["unit_idx"].tolist(), batch["unit"].tolist(), strict=True):
+                kind = unit[0] & 31 if unit else 0
+                if kind in (SLICE, IDR_SLICE, SPS_UNIT, PPS_UNIT):
+                    units.append((sample, kind in (SLICE, IDR_SLICE), place, unit))
+        units.sort(key=lambda u: u[:3])
+        sequence, picture = self._sets()
+        out, changed = [], False
+        for sample, is_slice, place, unit in units:
             if is_slice:
-                out.append((*key, sample, place, *self._resolved(bytes(unit))))
+                out.append((*key, sample, place, *self._resolved(sequence, picture, unit)))
             else:
-                self._take(sample, bytes(unit))
-        made = pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")], dtype=object)
-        yield made
-
-    def _resolved(self, unit: bytes) -> tuple:
+                self._take(sequence, picture, sample, unit)
+                changed = True
+        if changed:
+            self._keep(sequence, picture)
+        if out:
+            yield pd.DataFrame(dict(zip(_OUT, (pd.Series(c, dtype=object) for c in zip(*out, strict=True)), strict=True)))
+
+    @staticmethod
+    def _resolved(sequence: dict[int, tuple], picture: dict[int, tuple], unit: bytes) -> tuple:
         try:
             first, _, ident = read_slice_start(unit)
         except Malformed as e:
             return (None,) * 7 + (str(e),)
-        if not self.picture.containsKey((ident,)):
+        if ident not in picture:
             return first, ident, None, None, None, None, None, "picture set is missing"
-        sample, sps, qp = self.picture.getValue((ident,))
-        if not self.sequence.containsKey((sps,)):
+        sample, sps, qp = picture[ident]
+        if sps not in sequence:
             return first, ident, sample, sps, None, qp, None, "sequence set is missing"
-        sps_sample, bits = self.sequence.getValue((sps,))
+        sps_sample, bits = sequence[sps]
         return first, ident, sample, sps, sps_sample, qp, bits, None
 
     def close(self) -> None:
