@@ -70,7 +70,7 @@ def image_sink(spark: SparkSession, d: str) -> DataFrame:
 # --- streams with state -------------------------------------------------------------------------
 
 
-def reorder_rows(spark: SparkSession, d: str, slice_rows: int = decoding.SLICE_ROWS) -> DataFrame:
+def reorder_rows(spark: SparkSession, d: str, slice_rows: int | None = None) -> DataFrame:
     """reordered() over the events' samples, which arrive up to three days late."""
     rows = stored_timed(spark, d).select(F.col("user_id").cast("string").alias("track"), "idx", "ts", "dts", "delta", "pts", F.timestamp_add("HOUR", F.pmod(F.xxhash64("event_id"), F.lit(72)).cast("int"), F.col("ts")).alias("arrives"))
     # a row of no track, a season later, tells that nothing more is to come
@@ -86,7 +86,7 @@ def stream_reorder(spark: SparkSession, d: str) -> DataFrame:
     return reorder_rows(spark, d)
 
 
-def set_rows(spark: SparkSession, d: str, slice_rows: int = decoding.SLICE_ROWS) -> DataFrame:
+def set_rows(spark: SparkSession, d: str, slice_rows: int | None = None) -> DataFrame:
     """sets_in_force() over the units of slice_headers, whose samples change between two descriptions every five samples; each description is seeded by its own configuration."""
     units = _slice_units(spark, d)
     when = samples(spark, d).select("user_id", F.col("idx").alias("sample_idx"), "ts")
@@ -98,7 +98,7 @@ def set_rows(spark: SparkSession, d: str, slice_rows: int = decoding.SLICE_ROWS)
     record = first.selectExpr("CAST(user_id AS STRING) AS track", f"unhex(concat('0142000AFFE1', {size('s')}, s, '01', {size('p')}, p)) AS config")
     seeds = seeded_sets(configurations(record, ["track"], "config"), "track").select("track", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("description"), "unit")
     seeds = stored(seeds, "seeds")
-    return decoding.streamed(inband, ["ts"], lambda s: sets.sets_in_force(s, seeds), sets.OUT, slice_rows, decoding.ROCKS)
+    return decoding.streamed(inband, ["ts"], lambda s: sets.sets_in_force(s, seeds), sets.OUT, slice_rows, decoding.ROCKS, ("track", "description"))
 
 
 @_query(f"""WITH {SAMPLES_SQL}, v AS (SELECT user_id, idx, event_id, k, event_type = 'signup' AS idr, idx // 5 % 2 + 1 AS description FROM s),

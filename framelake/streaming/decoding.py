@@ -19,8 +19,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from framelake.operators.references import marked
 from framelake.sources.storage import new_folder
 
-#: Rows of a batch, about.
-SLICE_ROWS = 1_000_000
+#: Rows of a slice, about, and slices of a batch at most; of a track no batch holds more rows than a slice has.
+SLICE_ROWS, SLICES_A_BATCH = 1_000_000, 16
 OUT = "user_id bigint, event_id bigint, set_id bigint, refs string"
 
 
@@ -94,17 +94,29 @@ def time_slices(rows: DataFrame, order: list[str], slice_rows: int, folder: str)
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], DataFrame], schema: str, slice_rows: int = SLICE_ROWS, conf: dict[str, str] | None = None) -> DataFrame:
-    """state() over rows, one slice along order a batch of one stream, into a table of the shared folder.
+def slices_a_batch(slices: DataFrame, tracks: list[str], most_rows: int = SLICE_ROWS) -> int:
+    """The most neighbouring slices, SLICES_A_BATCH at most, of which no run holds more than most_rows rows of a track.
 
-    What a worker holds of a track at once is in one slice. conf holds while the stream starts.
+    A track of a batch has its price, however few its rows are: with a batch a slice, tracks that last would be met in each, more often the more tracks there are.
+    """
+    largest = slices.groupBy("slice", *tracks).count().groupBy("slice").agg(F.max("count").alias("n")).orderBy("slice")
+    rows = [r.n for r in largest.collect()]  # one a slice of a million rows
+    fits = lambda m: all(sum(rows[i : i + m]) <= most_rows for i in range(len(rows)))
+    return next((m for m in range(min(SLICES_A_BATCH, len(rows)), 1, -1) if fits(m)), 1)
+
+
+def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], DataFrame], schema: str, slice_rows: int | None = None, conf: dict[str, str] | None = None, tracks: tuple[str, ...] = ("track",)) -> DataFrame:
+    """state() over rows, slices along order as batches of one stream, into a table of the shared folder.
+
+    A batch is one slice of slice_rows, or, without that, as many slices of SLICE_ROWS as slices_a_batch() says: what a worker holds of a track at once is no more than one slice. conf holds while the stream starts.
     """
     spark = rows.sparkSession
     folder = new_folder(spark, "decoder")
-    if not time_slices(rows, order, slice_rows, f"{folder}/slices"):
+    if not time_slices(rows, order, slice_rows or SLICE_ROWS, f"{folder}/slices"):
         return spark.createDataFrame([], schema)
-    fields = spark.read.parquet(f"{folder}/slices").schema
-    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slices").drop("slice")
+    slices = spark.read.parquet(f"{folder}/slices")
+    files = 1 if slice_rows else slices_a_batch(slices, list(tracks))
+    stream = spark.readStream.schema(slices.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slices").drop("slice")
     before = {k: spark.conf.get(k, None) for k in conf or {}}
     for k, v in (conf or {}).items():
         spark.conf.set(k, v)
@@ -117,11 +129,11 @@ def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], Dat
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def decoder_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def decoder_rows(spark: SparkSession, sf_dir: str, slice_rows: int | None = None) -> DataFrame:
     """decoder_state() over the events."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = events.select("user_id", "event_id", "ts", F.coalesce(F.col("event_type") == "signup", F.lit(False)).alias("starts"))
-    return streamed(events, ["ts", "event_id"], decoder_state, OUT, slice_rows)
+    return streamed(events, ["ts", "event_id"], decoder_state, OUT, slice_rows, tracks=("user_id",))
 
 
 def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +144,6 @@ def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr("CAST(user_id AS STRING) AS track", "event_id AS sample", "ts", "event_id % 16 AS frame_num", "coalesce(event_type = 'signup', false) AS idr", "k % 2 = 1 AS long_term", "k % 9 BETWEEN 1 AND 7 AS adaptive", f"CAST({operations} AS ARRAY<STRUCT<operation: BIGINT, first: BIGINT, second: BIGINT>>) AS operations")
 
 
-def marking_rows(spark: SparkSession, sf_dir: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def marking_rows(spark: SparkSession, sf_dir: str, slice_rows: int | None = None) -> DataFrame:
     """marking_state() over the events as reference pictures."""
     return streamed(marked_events(spark, sf_dir), ["ts", "sample"], marking_state, MARKED, slice_rows)

@@ -22,19 +22,20 @@ class ReorderBuffer(StatefulProcessor):
         self.least_shift, self.gap_ms = least_shift, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        # one value, as a call of the state is a message to another process
         self.handle = handle
-        self.held = handle.getListState("held", "pts bigint, idx bigint, dts bigint, delta bigint")
-        self.next = handle.getValueState("next", "idx bigint, dts bigint, left bigint, newest bigint")
+        self.state = handle.getValueState("state", "idx bigint, dts bigint, left bigint, newest bigint, held array<struct<pts:bigint,idx:bigint,dts:bigint,delta:bigint>>")
 
-    def _state(self) -> tuple[int, int, int, int]:
-        return self.next.get() if self.next.exists() else (0, 0, 0, 0)
+    def _state(self) -> tuple[int, int, int, int, list[tuple]]:
+        state = self.state.get()
+        return (*tuple(state)[:4], [tuple(r) for r in state[4]]) if state is not None else (0, 0, 0, 0, [])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        idx, dts, left, newest = self._state()
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        idx, dts, left, newest, held = self._state()
+        timer = newest + self.gap_ms if held else None
         for batch in rows:
             newest = max(newest, int(batch["at"].max()))
-            held += [tuple(map(int, r)) for r in batch[["pts", "idx", "dts", "delta"]].itertuples(index=False)]
+            held += zip(*[batch[c].tolist() for c in ("pts", "idx", "dts", "delta")], strict=True)
         came = {r[1]: r[2] + r[3] for r in held}
         while idx in came:
             dts = came[idx]
@@ -42,25 +43,27 @@ class ReorderBuffer(StatefulProcessor):
         held.sort()
         bound = (dts + self.least_shift, idx)  # of what is still to come, at the earliest
         n = next((i for i, r in enumerate(held) if r[:2] >= bound), len(held))
-        self._keep(held[n:], idx, dts, left + n, newest)
-        yield _frame(key[0], held[:n], left)
+        self._keep(held[n:], idx, dts, left + n, newest, timer)
+        if n:
+            yield _frame(key[0], held[:n], left)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        idx, dts, left, newest = self._state()
-        held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
+        idx, dts, left, newest, held = self._state()
         if held:
+            held.sort()
             idx, dts = max((idx, dts), *((r[1] + 1, r[2] + r[3]) for r in held))
-        self.held.clear()
-        self.next.update((idx, dts, left + len(held), newest))
-        yield _frame(key[0], held, left)
-
-    def _keep(self, stay: list[tuple], idx: int, dts: int, left: int, newest: int) -> None:
-        self.held.put(stay) if stay else self.held.clear()
-        self.next.update((idx, dts, left, newest))
-        for timer in self.handle.listTimers():
+        self.state.update((idx, dts, left + len(held), newest, []))
+        if held:
+            yield _frame(key[0], held, left)
+
+    def _keep(self, stay: list[tuple], idx: int, dts: int, left: int, newest: int, timer: int | None) -> None:
+        """Keep what stays; a track that holds samples has one timer, gap past its newest sample."""
+        self.state.update((idx, dts, left, newest, stay))
+        due = newest + self.gap_ms if stay else None
+        if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
-        if stay:
-            self.handle.registerTimer(newest + self.gap_ms)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from framelake.operators import codes as K
@@ -105,3 +106,40 @@ def test_tiles_equal_plain_neighbours(spark, tile):
     got = [tuple(x) for x in out.collect()]
     assert len(got) == len(want) and set(got) == want
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_batches_by_the_rows_of_a_track(spark):
+    """Slices meet in a batch as long as no track has more rows there than a slice may have: short tracks do not come again in each slice."""
+    every = [(s, f"t{k}") for s in range(40) for k in range(10)]
+    frame = lambda rows: spark.createDataFrame(rows, "slice int, track string")
+    assert decoding.slices_a_batch(frame(every), ["track"], 100) == decoding.SLICES_A_BATCH
+    assert decoding.slices_a_batch(frame(every), ["track"], 3) == 3
+    assert decoding.slices_a_batch(frame(every + [(7, "t1")] * 9), ["track"], 12) == 3
+    assert decoding.slices_a_batch(frame([(0, "a")] * 5), ["track"], 1) == 1
+
+
+def test_one_read_and_one_write_of_the_state(spark):
+    """Calls of the state do not grow with the slices of a batch; sets of later batches are in force."""
+    from framelake.streaming import sets
+
+    class Held:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    processor = sets.SetsInForce()
+    processor.held = Held()
+    sps, pps = bytes.fromhex("6742000ADA79"), bytes.fromhex("68CE3C80")
+    rows = [(0, 0, sps), (0, 1, pps)] + [(k, 2, bytes.fromhex("6588842F")) for k in range(500)]
+    frame = pd.DataFrame(rows, columns=["sample_idx", "unit_idx", "unit"])
+    out = list(processor.handleInputRows(("t", 1), iter([frame[:100], frame[100:]]), None))
+    assert sum(map(len, out)) == 500 and processor.held.calls == 2
+    later = pd.concat(processor.handleInputRows(("t", 1), iter([frame[2:10]]), None))
+    assert len(later) == 8 and set(later["set_sample"]) == {0} and later["error"].isna().all() and processor.held.calls == 3
