@@ -8,11 +8,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators.parameter_sets import IDR_SLICE, SLICE, Malformed, unit_type
+from framelake.sources.storage import bounded_batches, frugal
+
+#: Units, and bytes of them, that go back from a worker at once, about.
+BATCH_UNITS, BATCH_BYTES = 4096, 2 << 20
 
 _START = re.compile(b"\0\0\1")
 
@@ -77,27 +81,43 @@ def split_bytes(streams: DataFrame, keys: list[str], data: str, length_size: str
     A malformed stream, and a null one, is one row with an error and no unit. Units are binary.
     """
     kinds = dict(streams.dtypes)
+    bounded_batches(streams.sparkSession)
     size = F.col(length_size).cast("int") if length_size else F.lit(0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in of_keys], pa.array(places, pa.int64()), pa.array(units, pa.binary()), pa.array(errors, pa.string())], [*keys, "unit_idx", "unit", "error"])
+
+        of_keys, places, units, errors, held = [[] for _ in keys], [], [], [], 0
         for batch in batches:
-            at, rows = [], []
-            for i, (d, n) in enumerate(zip(batch["__data"], batch["__size"], strict=True)):
+            columns = [batch.column(k) for k in keys]
+            for i in range(batch.num_rows):  # a stream at a time, so that one is there as bytes and units
+                d, n = batch.column("__data")[i].as_py(), batch.column("__size")[i].as_py()
                 try:
                     if d is None:
                         raise Malformed("stream is null")
-                    found = cut_lengths(bytes(d), int(n)) if length_size else cut_annexb(bytes(d))
-                    rows += [(k, u, None) for k, u in enumerate(found)]
-                    at += [i] * len(found)
+                    found: list = cut_lengths(d, n) if length_size else cut_annexb(d)
+                    error = None
                 except Malformed as e:
-                    rows.append((None, None, str(e)))
-                    at.append(i)
-            out = pd.DataFrame(rows, columns=["unit_idx", "unit", "error"])
-            out["unit_idx"] = out["unit_idx"].astype("Int64")
-            yield pd.concat([batch[keys].iloc[at].reset_index(drop=True), out], axis=1)
+                    found, error = [None], str(e)
+                key = [c[i].as_py() for c in columns]
+                for at in range(0, len(found), BATCH_UNITS):
+                    part = found[at : at + BATCH_UNITS]
+                    for c, k in zip(of_keys, key, strict=True):
+                        c += [k] * len(part)
+                    places += range(at, at + len(part)) if error is None else [None]
+                    units += part
+                    errors += [error] * len(part)
+                    held += sum(map(len, part)) if error is None else 0
+                    if len(units) >= BATCH_UNITS or held >= BATCH_BYTES:
+                        yield made()
+                        of_keys, places, units, errors, held = [[] for _ in keys], [], [], [], 0
+            del batch, columns
+        if units:
+            yield made()
 
     rows = streams.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(data).alias("__data"), F.coalesce(size, F.lit(0)).alias("__size"))
-    out = rows.mapInPandas(run, ", ".join(f"`{k}` string" for k in keys) + ", unit_idx bigint, unit binary, error string")
+    out = rows.mapInArrow(frugal(run), ", ".join(f"`{k}` string" for k in keys) + ", unit_idx bigint, unit binary, error string")
     return out.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
 
 

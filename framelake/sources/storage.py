@@ -1,11 +1,15 @@
-"""Frames written to the folder that all machines share, where a later step reads them more than once."""
+"""Frames written to the folder that all machines share, where a later step reads them more than once; memory of Python workers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,3 +45,22 @@ def clear_stored(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
     return n
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold what goes to a Python worker at once to 2 MB (of rows beyond the first), as files and streams vary in size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run(), which maps a partition's batches; at its end the worker, which lives on, gives memory back to the machine."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
