@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import timeline as T
 from framelake.operators import units as U
+from framelake.sources.storage import bounded_batches, frugal
 
 # Boxes that hold boxes, and sample entry formats of video.
 CONTAINERS = ("moov", "trak", "mdia", "minf", "stbl")
@@ -65,12 +66,35 @@ def read_files(spark: SparkSession, pattern: str) -> DataFrame:
 def boxes(files: DataFrame) -> DataFrame:
     """A row for each box of files (path, content); payload is there for metadata boxes, not for media bytes. A file of null content is an error row, an empty one has no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in ([_NULL] if c is None else scan_boxes(bytes(c), 0, len(c), 0, "", -1))]
-            yield pd.DataFrame(rows, columns=["path", "trak", "box_path", "depth", "ord", "type", "offset", "size", "header_size", "payload", "error"])
+    names = [f.split()[0] for f in BOXES.split(", ")]
 
-    return files.select("path", "content").mapInPandas(run, BOXES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time
+                path, content = batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
+                for r in [_NULL] if content is None else scan_boxes(content, 0, len(content), 0, "", -1):
+                    rows.append((path, *r))
+                    held += len(r[8] or b"") + ROW_BYTES
+                    if held >= BATCH_BYTES:
+                        yield _batch(rows, names)
+                        rows, held = [], 0
+            del batch
+        if rows:
+            yield _batch(rows, names)
+
+    bounded_batches(files.sparkSession)
+    return files.select("path", "content").mapInArrow(frugal(run), BOXES)
+
+
+_BOX_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+#: Bytes of boxes that go back from a worker at once, about; those of a row beside its payload.
+BATCH_BYTES, ROW_BYTES = 2 << 20, 200
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [_BOX_TYPES[f.split()[1]] for f in BOXES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def number(data: str, at: str | int, width: int) -> str:

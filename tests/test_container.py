@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import parameter_sets as P
+from framelake.operators import units as U
 from framelake.sources import container as C
 
 
@@ -152,3 +153,22 @@ def test_files_are_read_from_a_path(spark, tmp_path):
     (tmp_path / "a.mp4").write_bytes(movie([(1, 10)], None, [(1, 1, 1)], [1], [100], None))
     t = C.tracks(C.boxes(C.read_files(spark, f"{tmp_path}/*.mp4"))).collect()
     assert len(t) == 1 and t[0].track_id == 7
+
+
+def test_batches_of_bytes(spark):
+    """What a worker holds is bounded by bytes, not by rows: batches go in by 2 MB and units and boxes leave a part at a time, all of them."""
+    n = U.BATCH_UNITS + 5
+    many = b"".join(b"\0\0\1\x65" + k.to_bytes(3, "big").replace(b"\0", b"\1") for k in range(n))
+    big = b"\0\0\1\x65" + b"a" * (2 * U.BATCH_BYTES)
+    streams = spark.createDataFrame([(1, many), (2, None), (3, big), (4, b"junk"), (None, b"\0\0\1\x41b")], "k bigint, s binary")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    out = U.split_bytes(streams, ["k"], "s")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString() and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
+    rows = out.collect()
+    assert sorted(r.unit_idx for r in rows if r.k == 1) == list(range(n)) and all(bytes(r.unit) == b"\x65" + r.unit_idx.to_bytes(3, "big").replace(b"\0", b"\1") for r in rows if r.k == 1)
+    assert sorted((str(r.k), r.unit_idx, r.unit and len(r.unit), r.error) for r in rows if r.k != 1) == sorted([("2", None, None, "stream is null"), ("3", 0, 1 + 2 * U.BATCH_BYTES, None), ("4", None, None, "stream has no start code"), ("None", 0, 2, None)], key=str)
+    free = b"".join(box("ftyp", bytes(C.BATCH_BYTES // 2)) for _ in range(5))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = C.boxes(spark.createDataFrame([("a", free), ("b", None), ("c", b"")], "path string, content binary"))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
+    assert sorted((r.path, r.ord, r.payload and len(r.payload), r.error) for r in found.collect()) == [("a", k, C.BATCH_BYTES // 2, None) for k in range(5)] + [("b", 0, None, "content is null")]
