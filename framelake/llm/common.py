@@ -135,6 +135,22 @@ class Admitted(dict):
         elif len(self) < self.most and len(word) <= self.longest:
             self[word] = made
 
+    def offer_all(self, made: dict[str, object]) -> None:
+        """offer() of many words."""
+        if self.marks + len(made) > 1 << 21:
+            for word, x in made.items():
+                self.offer(word, x)
+            return
+        met, longest, room = self.met, self.longest, self.most - len(self)
+        for word, x in made.items():
+            place = hash(word) & 0x3FFFFF
+            if not met[place]:
+                met[place] = 1
+                self.marks += 1
+            elif room > 0 and len(word) <= longest:
+                room -= word not in self
+                self[word] = x
+
 
 _caches: dict[str, Callable[[], None]] = {}
 

@@ -17,8 +17,10 @@ loop over tokens.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from framelake.llm.common import Admitted, bounded_batches, discard, frugal, giv
 CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 300_000, 1 << 19, 4096, 1 << 15
 #: Signs that are looked up apart at the end of a word.
 SIGNS = ".,;:!?&$#%*"
+#: Whether the library encodes a word alone as inside its text: no white space but one space or newline at its start.
+ALONE = re.compile(r"[ \n]?[^\s\0](?:[^\0 \n]*[^\s\0])?").fullmatch
 #: UTF-8 bytes of text aimed at in a key range, and the bytes that count as one when ranges are made. Key ranges, each larger
 #: where there would be more: what the driver sees of the keys.
 RANGE_BYTES, UNIT_BYTES, MOST_RANGES = 1 << 24, 1 << 10, 20_000
@@ -123,25 +127,20 @@ class WordEncoder:
                 some, held = [], 0
         yield from self._encode(some)
 
-    @staticmethod
-    def _alone(word: str) -> bool:
-        """Whether the library encodes the word alone as inside its text: no white space but one space or newline at its start."""
-        rest = word[1:] if word[:1] in (" ", "\n") else word
-        return bool(rest[:1].strip()) and not rest[-1].isspace() and not any(c in rest for c in "\0 \n")
-
     def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that the library encodes alone; signs at a word's end are tokens of their own, so they are looked up apart."""
-        get, offer = self.words.get, self.words.offer
-        ends, need = {}, {}
-        for w in words:
+        """The ids of words that the library encodes alone and that are not kept; signs at a word's end are tokens of their own, so they are looked up apart."""
+        get = self.words.get
+        ends, need = {}, dict.fromkeys([w for w in words if w[-1] not in SIGNS])
+        for w in [w for w in words if w[-1] in SIGNS]:
             base = w.rstrip(SIGNS)
-            if len(base) < len(w) and base[-1:].isalnum():
+            if base[-1:].isalnum():
                 sign = w[len(base) :]
                 if sign not in self.signs:
                     self.signs[sign] = self.raw([sign])[0]
                 ends[w] = base, self.signs[sign]
-                w = base
-            need[w] = get(w)
+                need[base] = get(base)
+            else:
+                need[w] = None
         lacking = [w for w, x in need.items() if x is None]
         spaced = [w for w in lacking if w[0] in " \n"]
         made = {}
@@ -150,27 +149,23 @@ class WordEncoder:
             made.update(zip(some, self.raw_words(some), strict=True))
         first = [w for w in lacking if w[0] not in " \n"]
         made.update(zip(first, self.raw(first), strict=True))
-        for w, x in made.items():
-            offer(w, x)
         need.update(made)
-        for w, (base, sign) in ends.items():
-            need[w] = need[base] + sign
-            offer(w, need[w])
+        whole = {w: need[base] + sign for w, (base, sign) in ends.items()}
+        self.words.offer_all(made)
+        self.words.offer_all(whole)
+        need.update(whole)
         if len(self.signs) > 10_000:
             self.signs.clear()
         return need
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        get = self.words.get
         split = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in t and not any(x in t for x in self.added) else [t] for t in texts]
-        parts = [list(map(get, ws)) for ws in split]
-        holes = [[i for i, x in enumerate(p) if x is None] for p in parts]
-        new = dict.fromkeys([ws[i] for ws, at in zip(split, holes, strict=True) for i in at])
-        made = self._new_words([w for w in new if self._alone(w)])
+        distinct = dict.fromkeys(chain.from_iterable(split))
+        have = dict(zip(distinct, map(self.words.get, distinct), strict=True))
+        have.update(self._new_words([w for w, x in have.items() if x is None and ALONE(w)]))
         out: list[bytes | None] = []
-        for ws, p, at, t in zip(split, parts, holes, texts, strict=True):
-            for i in at:
-                p[i] = made.get(ws[i])
+        for ws, t in zip(split, texts, strict=True):
+            p = list(map(have.__getitem__, ws))
             plain = None not in p and (len(ws) > 1 or not any(x in t for x in self.added))
             out.append(b"".join(p) if plain else None)
         whole = [i for i, x in enumerate(out) if x is None]

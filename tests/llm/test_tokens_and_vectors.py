@@ -358,3 +358,23 @@ def test_column_names_of_the_callers_are_kept(spark):
     rows = spark.createDataFrame([("a", "b", "c", 5, LAYOUTS["advert inside"][0])], "`__text` string, `__text_` string, other string, n_chars int, html string")
     out = X.extract(rows, X.Field({}, [[0.0, 0.0], [0.0, 0.0]])).first()
     assert (out["__text"], out["__text_"], out.other, out.text, out.n_chars) == ("a", "b", "c", "", 0)
+
+
+def test_words_alone_and_offered_together():
+    """The pattern says of each word what its rule in words says, and offering many words keeps what offering each keeps."""
+    from framelake.llm.common import Admitted
+
+    def alone(word):
+        rest = word[1:] if word[:1] in (" ", "\n") else word
+        return bool(rest[:1].strip()) and not rest[-1].isspace() and not any(c in rest for c in "\0 \n")
+
+    r = random.Random(4)
+    words = {"".join(r.choice("ab. \n\t\0  　\x1c\x85é") for _ in range(r.randint(0, 5))) for _ in range(20_000)}
+    assert all(bool(T.ALONE(w)) == alone(w) for w in words)
+    one, many = Admitted(300), Admitted(300)
+    for k in range(4):
+        made = {f"w{r.randint(0, 400)}" + "x" * (70 * (k == 3)): k for _ in range(300)}
+        for w, x in made.items():
+            one.offer(w, x)
+        many.offer_all(made)
+    assert one == many and one.marks == many.marks and len(many) <= 300
