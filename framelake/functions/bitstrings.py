@@ -20,8 +20,7 @@ def se(x: str) -> str:
 
 def payload(bits: str) -> str:
     """SQL: the bytes of a unit's body: a stop bit, zeros to the byte, and a 3 after two zero bytes before a byte up to 3."""
-    stopped = f"concat({bits}, '1')"
-    padded = f"transform(array({stopped}), s -> rpad(s, CAST(ceil(length(s) / 8) * 8 AS INT), '0'))[0]"
-    octets = f"transform(array({padded}), s -> transform(sequence(0, CAST(length(s) / 8 AS INT) - 1), i -> CAST(conv(substring(s, i * 8 + 1, 8), 2, 10) AS INT)))[0]"
-    step = "named_struct('out', concat(a.out, IF(a.zeros >= 2 AND o <= 3, '03', ''), lpad(hex(o), 2, '0')), 'zeros', IF(o <> 0, 0, IF(a.zeros >= 2, 1, a.zeros + 1)))"
-    return f"unhex(aggregate({octets}, named_struct('out', '', 'zeros', 0), (a, o) -> {step}, a -> a.out))"
+    # 64 bits at a time, the last in as many bytes as it fills; codes of whole bytes are matched from where the one before ended
+    octets = "substring(lpad(conv(rpad(p, 64, '0'), 2, 16), 16, '0'), 1, CAST(ceil(length(p) / 8) * 2 AS INT))"
+    hexed = f"array_join(transform(regexp_extract_all(concat({bits}, '1'), '.{{1,64}}', 0), p -> {octets}), '')"
+    return f"unhex(regexp_replace({hexed}, '\\\\G((?:..)*?)0000(?=0[0-3])', '$1000003'))"

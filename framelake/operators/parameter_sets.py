@@ -6,10 +6,10 @@ with an error and null fields, never a failed task.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,15 +69,25 @@ class Bits:
         return part >> (-last % 8) & ((1 << n) - 1)
 
     def flag(self) -> bool:
-        return bool(self.u(1))
+        at = self.at
+        if at >= self.end:
+            raise Malformed("unit is cut short")
+        self.at = at + 1
+        return bool(self.body[at >> 3] >> (7 - (at & 7)) & 1)
 
     def ue(self, most: int | None = None, what: str = "value") -> int:
-        n = 0
-        while not self.u(1):
-            n += 1
-            if n > 63:
-                raise Malformed("code is too long")
-        value = (1 << n) - 1 + self.u(n)
+        # the longest code is 127 bits, so a whole one is in 17 bytes if the body has it
+        at = self.at
+        part = self.body[at >> 3 : (at >> 3) + 17]
+        size = 8 * len(part) - (at & 7)
+        left = int.from_bytes(part, "big") & ((1 << size) - 1) if size > 0 else 0
+        n = size - left.bit_length()
+        if n > 63:
+            raise Malformed("code is too long")
+        if 2 * n >= size:
+            raise Malformed("unit is cut short")
+        self.at = at + 2 * n + 1
+        value = (left >> (size - 2 * n - 1)) - 1
         if most is not None and value > most:
             raise Malformed(f"{what} is out of range")
         return value
@@ -270,28 +280,33 @@ def _names(fields: str) -> list[str]:
 
 
 def _rows(df: DataFrame, fields: str, read: Callable[..., tuple], carried: list[str]) -> DataFrame:
-    """df's carried columns, the fields that read() gives for each row's other columns (by name), and the error, if any."""
+    """df's carried columns, the fields that read() gives for each row's other columns (in their order), and the error, if any."""
     names, kinds = _names(fields), dict(df.dtypes)
     given = [c for c in df.columns if c not in carried]
+    made_types = to_arrow_schema(StructType.fromDDL(f"{fields}, error string")).types
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for row in batch[given].itertuples(index=False):
-                try:
-                    made.append((*read(**dict(zip(given, row, strict=True))), None))
-                except Malformed as e:
-                    made.append((*[None] * len(names), str(e)))
-            out = pd.DataFrame(made, columns=[*names, "error"], dtype=object)
-            yield pd.concat([batch[carried].reset_index(drop=True), out], axis=1)
+            made = _read_rows(read, zip(*[batch.column(c).to_pylist() for c in given], strict=True), len(names))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *_columns(made, made_types)], [*carried, *names, "error"])
 
     keys = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
-    return df.mapInPandas(run, f"{keys}, {fields}, error string")
+    return df.mapInArrow(run, f"{keys}, {fields}, error string")
+
 
+def _read_rows(read: Callable[..., tuple], rows: Iterable[tuple], n: int) -> list[tuple]:
+    """The n fields that read() gives for each row and a null, or n nulls and the error."""
+    made = []
+    for row in rows:
+        try:
+            made.append((*read(*row), None))
+        except Malformed as e:
+            made.append((*[None] * n, str(e)))
+    return made
 
-def _keyed(units: DataFrame, keys: list[str], data: str) -> DataFrame:
-    """Keys as strings for the way through pandas, where a null would make a whole number a float."""
-    return units.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(data).alias("unit"))
+
+def _columns(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
 
 
 def parsed(units: DataFrame, key: str | list[str], data: str, kind: str) -> DataFrame:
@@ -301,9 +316,7 @@ def parsed(units: DataFrame, key: str | list[str], data: str, kind: str) -> Data
     """
     keys = [key] if isinstance(key, str) else key
     read, fields = {"sps": (read_sps, SPS), "pps": (read_pps, PPS), "start": (read_slice_start, "first_mb bigint, coded_type bigint, pps_id bigint")}[kind]
-    types = dict(units.dtypes)
-    out = _rows(_keyed(units, keys, data), fields, lambda unit: read(bytes(unit) if unit is not None else b""), keys)
-    return out.withColumns({k: F.col(k).cast(types[k]) for k in keys})
+    return _rows(units.select(*keys, F.col(data).alias("unit")), fields, lambda unit: read(unit or b""), keys)
 
 
 def unsupported(error: str = "error") -> Column:
@@ -337,46 +350,36 @@ def last_of_sample(sets: DataFrame, track: str, ident: str, order: str) -> DataF
     return sets.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
-
-
-def _arrow_struct(fields: str) -> pa.DataType:
-    return pa.struct([(n, _ARROW[k]) for n, k in (f.split() for f in fields.split(", "))])
-
-
 def parsed_units(units: DataFrame, keys: list[str], data: str) -> DataFrame:
-    """(keys, kind, pps_id, sps_id, sps, pps, error) for each set and coded slice among units, in one pass: a set's id and fields, or the id of the picture set that a slice names.
+    """(keys, kind, pps_id, sps_id, set, error) for each set and coded slice among units, in one pass: a set's ids and bytes, or the id of the picture set that a slice names.
 
-    kind is the unit's type. A malformed unit has an error and null fields; units of other types are left out.
+    kind is the unit's type. A malformed unit has an error in place of ids and bytes; units of other types are left out.
     """
     kind = F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(31))
     rows = units.select(*keys, F.col(data).alias("unit"), kind.alias("kind")).where(f"kind IN ({SLICE}, {IDR_SLICE}, {SPS_UNIT}, {PPS_UNIT})")
-    sps_names, pps_names, sps_type, pps_type = _names(SPS), _names(PPS), _arrow_struct(SPS), _arrow_struct(PPS)
+
+    def read(unit: bytes, kind: int) -> tuple:
+        if kind == SPS_UNIT:
+            return None, read_sps(unit)[0], unit
+        if kind == PPS_UNIT:
+            return *read_pps(unit)[:2], unit
+        return read_slice_start(unit)[2], None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: dict[str, list] = {"pps_id": [], "sps_id": [], "sps": [], "pps": [], "error": []}
-            for unit, kind in zip(batch.column("unit").to_pylist(), batch.column("kind").to_pylist(), strict=True):
-                pps_id = sps_id = sps = pps = error = None
-                try:
-                    if kind == SPS_UNIT:
-                        sps = dict(zip(sps_names, read_sps(unit), strict=True))
-                        sps_id = sps["sps_id"]
-                    elif kind == PPS_UNIT:
-                        pps = dict(zip(pps_names, read_pps(unit), strict=True))
-                        pps_id, sps_id = pps["pps_id"], pps["sps_id"]
-                    else:
-                        pps_id = read_slice_start(unit)[2]
-                except Malformed as e:
-                    error = str(e)
-                for name, value in zip(made, (pps_id, sps_id, sps, pps, error), strict=True):
-                    made[name].append(value)
-            kinds = {"pps_id": pa.int64(), "sps_id": pa.int64(), "sps": sps_type, "pps": pps_type, "error": pa.string()}
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("kind"), *[pa.array(v, kinds[n]) for n, v in made.items()]], [*keys, "kind", *made])
-
-    struct = lambda fields: "struct<" + fields.replace(" ", ":").replace(",:", ",") + ">"
+            made = _read_rows(read, zip(batch.column("unit").to_pylist(), batch.column("kind").to_pylist(), strict=True), 3)
+            found = _columns(made, [pa.int64(), pa.int64(), pa.binary(), pa.string()])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("kind"), *found], [*keys, "kind", "pps_id", "sps_id", "set", "error"])
+
     types = dict(units.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", kind int, pps_id bigint, sps_id bigint, sps {struct(SPS)}, pps {struct(PPS)}, error string")
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", kind int, pps_id bigint, sps_id bigint, set binary, error string")
+
+
+@functools.lru_cache(maxsize=4096)
+def _set_fields(unit: bytes) -> dict:
+    """The fields of a well-formed set."""
+    names, read = (_names(SPS), read_sps) if unit_type(unit) == SPS_UNIT else (_names(PPS), read_pps)
+    return dict(zip(names, read(unit), strict=True))
 
 
 def slice_headers(units: DataFrame, track: str = "track", order: str = "unit_idx", data: str = "unit") -> DataFrame:
@@ -384,7 +387,7 @@ def slice_headers(units: DataFrame, track: str = "track", order: str = "unit_idx
 
     units are rows (track, sample_idx, order, data), best stored, as they are read twice; sets of a file's configuration stand at sample -1. A slice's picture set, and that
     set's sequence set, are those in force at the slice's sample (the last of several with one id); where one is not there, or a unit is malformed, the row has an error. Other units are left out.
-    Units are parsed once; the sets themselves are carried along one ordered scan for either kind, and meet the slices' bytes in one join at the end.
+    The sets' bytes are carried along one ordered scan for either kind, and meet the slices' bytes in one join at the end; a worker reads a set once for many slices.
     """
     from framelake.operators.scan import latest, scan
     from framelake.operators.timeline import by_index
@@ -396,31 +399,29 @@ def slice_headers(units: DataFrame, track: str = "track", order: str = "unit_idx
     chunk = by_index("sample_idx")
     ordered = ["sample_idx", "late", order]
     # what is malformed passes by: a bad set changes nothing, a bad slice has its error
-    first = scan(found.where(is_slice | ((F.col("kind") == PPS_UNIT) & F.col("error").isNull())).drop("sps", "sps_id"), [track, "pps_id"], ordered, chunk, held=latest(F.col("pps")))
-    first = first.where("late = 1").select(*keys, "kind", "late", "pps_id", F.col("held.sps_id").alias("sps_id"), F.col("held").alias("pps"), F.lit(None).cast(dict(found.dtypes)["sps"]).alias("sps"), "error")
-    sets = found.where((F.col("kind") == SPS_UNIT) & F.col("error").isNull()).select(*keys, "kind", "late", "pps_id", "sps_id", F.lit(None).cast(dict(found.dtypes)["pps"]).alias("pps"), "sps", "error")
-    second = scan(stored(first, "slices").unionByName(sets), [track, "sps_id"], ordered, chunk, held=latest(F.col("sps"))).where("late = 1")
+    pps = found.where(is_slice | ((F.col("kind") == PPS_UNIT) & F.col("error").isNull()))
+    first = scan(pps, [track, "pps_id"], ordered, chunk, held=latest(F.when(~is_slice, F.struct("sps_id", "set")))).where("late = 1")
+    first = first.select(*keys, "late", "pps_id", F.col("held.sps_id").alias("sps_id"), F.col("held.set").alias("pps"), F.lit(None).cast("binary").alias("set"), "error")
+    sps = found.where((F.col("kind") == SPS_UNIT) & F.col("error").isNull()).select(*keys, "late", "pps_id", "sps_id", F.lit(None).cast("binary").alias("pps"), "set", "error")
+    second = scan(stored(first, "slices").unionByName(sps), [track, "sps_id"], ordered, chunk, held=latest(F.col("set"))).where("late = 1")
     lacking = F.coalesce("error", F.when(F.col("pps").isNull(), "picture set is missing"), F.when(F.col("held").isNull(), "sequence set is missing"))
     kept = second.select(*keys, "pps_id", "sps_id", "pps", F.col("held").alias("sps"), lacking.alias("lacking"))
     bytes_of = units.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col(data).alias("unit"))
     same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
     whole = kept.join(bytes_of, same).drop(*[f"__{i}" for i in range(len(keys))])
     fields = StructType.fromDDL(f"{SLICE_HEADER}, error string")
-    made_schema, names = to_arrow_schema(fields), _names(SLICE_HEADER)
+    made_types, names = to_arrow_schema(fields).types, _names(SLICE_HEADER)
     carried = [*keys, "pps_id", "sps_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(unit: bytes, pps: bytes, sps: bytes, lacking: str | None) -> tuple:
+            if lacking is not None:
+                raise Malformed(lacking)
+            return read_slice(unit, _set_fields(pps), _set_fields(sps))
+
         for batch in batches:
-            made = []
-            for unit, pps, sps, lacking in zip(*[batch.column(c).to_pylist() for c in ("unit", "pps", "sps", "lacking")], strict=True):
-                try:
-                    if lacking is not None:
-                        raise Malformed(lacking)
-                    made.append(dict(zip(names, read_slice(unit, pps, sps), strict=True)) | {"error": None})
-                except Malformed as e:
-                    made.append({"error": str(e)})
-            out = pa.RecordBatch.from_pylist(made, schema=made_schema)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *out.columns], [*carried, *names, "error"])
+            rows = zip(*[batch.column(c).to_pylist() for c in ("unit", "pps", "sps", "lacking")], strict=True)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *_columns(_read_rows(read, rows, len(names)), made_types)], [*carried, *names, "error"])
 
     types = dict(kept.dtypes)
     return whole.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carried) + f", {SLICE_HEADER}, error string")

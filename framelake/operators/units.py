@@ -159,11 +159,9 @@ def read_config(data: bytes) -> tuple:
 
 def configurations(rows: DataFrame, keys: list[str], data: str) -> DataFrame:
     """(keys, fields of CONFIG, error) for each avcC payload; a malformed or null one has an error and null fields."""
-    from framelake.operators.parameter_sets import _keyed, _rows
+    from framelake.operators.parameter_sets import _rows
 
-    kinds = dict(rows.dtypes)
-    out = _rows(_keyed(rows, keys, data), CONFIG, lambda unit: read_config(bytes(unit) if unit is not None else b""), keys)
-    return out.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
+    return _rows(rows.select(*keys, F.col(data).alias("unit")), CONFIG, lambda unit: read_config(unit or b""), keys)
 
 
 def seeded_sets(configs: DataFrame, track: str) -> DataFrame:

@@ -299,3 +299,44 @@ def test_neighbours_in_one_exchange(spark):
             best[p, a] = max(v, best.get((p, a), v))
     want = [(p, a, v, *[best.get((p, a - s)) if a is not None and p is not None else None for s in (1, 7)]) for p, a, v in rows]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sets_go_through_scans_as_bytes(spark, sf):
+    plan = P.slice_headers(catalogue._slice_units(spark, sf), "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert "chroma_qp_offset" not in plan and "log2_max_poc" not in plan
+    assert P._set_fields.cache_info().maxsize
+
+
+def test_codes_of_any_length_and_payloads(spark):
+    from framelake.functions import bitstrings as S
+
+    payload = S.payload("bits")
+    assert "aggregate" not in payload  # no loop over octets
+    r = random.Random(4)
+    rows = [("".join(r.choice("0001") if k % 3 else r.choice(("00000000", "00000011", "1")) for _ in range(r.randint(0, 60))),) for k in range(300)] + [("0" * n,) for n in range(200)] + [(None,)]
+    for bits, made in spark.createDataFrame(rows, "bits string").selectExpr("bits", f"{payload} AS made").collect():
+        if bits is None:
+            assert made is None
+            continue
+        whole = bits + "1" + "0" * (-(len(bits) + 1) % 8)
+        want, zeros = bytearray(), 0
+        for o in int(whole, 2).to_bytes(len(whole) // 8, "big"):
+            if zeros == 2 and o <= 3:
+                want.append(3)
+                zeros = 0
+            want.append(o)
+            zeros = zeros + 1 if o == 0 else 0
+        assert bytes(made) == bytes(want) and P.unescaped(bytes(made)) == int(whole, 2).to_bytes(len(whole) // 8, "big")
+    for n in range(64):
+        for tail in (0, (1 << n) - 1):
+            bits = "101" + "0" * n + "1" + (f"{tail:0{n}b}" if n else "")
+            body = int(bits + "0" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8, "big")
+            reader = P.Bits(b"\x67")
+            reader.body, reader.end = body, len(bits)
+            assert (reader.u(3), reader.ue(), reader.at) == (5, (1 << n) - 1 + tail, len(bits))
+    for zeros, error in ((63, "unit is cut short"), (64, "code is too long"), (80, "code is too long")):
+        reader = P.Bits(b"\x67")
+        reader.body = bytes(zeros // 8) + b"\x01" * bool(zeros % 8)
+        reader.end = 8 * len(reader.body)
+        with pytest.raises(P.Malformed, match=error):
+            reader.ue()
