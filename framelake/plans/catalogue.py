@@ -868,10 +868,10 @@ def slice_headers(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_SLICE_SQL} SELECT user_id, idx AS sample_idx, user_id % 8 AS pps_id, since AS set_sample FROM v")
 def slice_sets_asof(spark: SparkSession, d: str) -> DataFrame:
-    units = _slice_units(spark, d)
-    typed = U.unit_headers(units, "unit")
-    pps = P.parsed(typed.where("nal_type = 8"), ["user_id", "sample_idx"], "unit", "pps")
-    slices = P.parsed(U.coded_slices(typed), ["user_id", "sample_idx"], "unit", "start").select("user_id", "sample_idx", "pps_id")
+    found = P.parsed_units(_slice_units(spark, d), ["user_id", "sample_idx"], "unit").select("user_id", "sample_idx", "kind", "pps_id", "error")
+    found = stored(found.where(F.col("kind") != P.SPS_UNIT), "parsed")
+    pps = found.where((F.col("kind") == P.PPS_UNIT) & F.col("error").isNull())
+    slices = found.where(F.col("kind") != P.PPS_UNIT).select("user_id", "sample_idx", "pps_id")
     return P.in_force(slices, pps, "user_id", "pps_id").select("user_id", "sample_idx", "pps_id", F.col("set").alias("set_sample"))
 
 

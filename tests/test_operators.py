@@ -340,3 +340,8 @@ def test_codes_of_any_length_and_payloads(spark):
         reader.end = 8 * len(reader.body)
         with pytest.raises(P.Malformed, match=error):
             reader.ue()
+
+
+def test_sets_asof_parse_units_once(spark, sf):
+    plan = catalogue.slice_sets_asof(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan and "ArrowEvalPython" not in plan  # units are parsed before, once for sets and slices
