@@ -20,7 +20,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,17 +158,35 @@ class WordEncoder:
         return need
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in t and not any(x in t for x in self.added) else [t] for t in texts]
-        distinct = dict.fromkeys(chain.from_iterable(split))
-        have = dict(zip(distinct, map(self.words.get, distinct), strict=True))
-        have.update(self._new_words([w for w, x in have.items() if x is None and ALONE(w)]))
-        out: list[bytes | None] = []
-        for ws, t in zip(split, texts, strict=True):
-            p = list(map(have.__getitem__, ws))
-            plain = None not in p and (len(ws) > 1 or not any(x in t for x in self.added))
-            out.append(b"".join(p) if plain else None)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
+        """A distinct word is one string and one look-up; its occurrences are numbers."""
+        apart = [i for i, t in enumerate(texts) if "\0" in t or any(x in t for x in self.added)]
+        parts = [t.encode() for t in texts]
+        for i in apart:
+            parts[i] = b""
+        data = b"".join(parts)
+        of_texts = np.cumsum([0, *map(len, parts)])
+        octets = np.frombuffer(data, dtype=np.uint8)
+        begins = (octets == 32) | (octets == 10)
+        begins[of_texts[:-1][np.diff(of_texts) > 0]] = True
+        starts = np.append(np.flatnonzero(begins), len(data)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        found = list(map(self.words.get, distinct))
+        lacking = [w for w, x in zip(distinct, found, strict=True) if x is None and ALONE(w)]
+        if lacking:
+            new = self._new_words(lacking)
+            found = [new.get(w) if x is None else x for w, x in zip(distinct, found, strict=True)]
+        made = pa.array(found, pa.large_binary()).take(words.indices)
+        # a null has no bytes, so offsets hold for all
+        ends = np.frombuffer(made.buffers()[1], dtype=np.int64)[: len(made) + 1] if len(made) else np.zeros(1, dtype=np.int64)
+        at = np.searchsorted(starts, of_texts)
+        bounds = ends[at].tolist()
+        ids = memoryview(made.buffers()[2] or b"")
+        out = [bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        if made.null_count:
+            nulls = np.append(0, np.cumsum(made.is_null().to_numpy(zero_copy_only=False)))[at]
+            apart += np.flatnonzero(np.diff(nulls)).tolist()
+        for i, x in zip(apart, self.raw([texts[i] for i in apart]), strict=True):
             out[i] = x
         return out
 

@@ -88,6 +88,28 @@ def test_token_query_equals_the_default_library(spark, tmp_path):
         assert (out[k].n_tokens, out[k].ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
 
 
+def test_occurrences_of_words_are_numbers():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    enc = T.WordEncoder(BYTES, False)
+    text = " the cat sat" * 20_000
+    list(enc.encode([text]))
+    whole, raw = [], enc.raw
+    enc.raw = lambda some: whole.extend(some) or raw(some)
+    tracemalloc.start()
+    out = list(enc.encode([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text) and text not in whole  # no string for each of 60,000 words
+    texts = ["", " a", "a ", "\n", "  a", "a\0 b", "x", "<|endoftext|>", "a <|endoftext|> b", "\u00e9 \u00e9\n\u00e9", text[:100], "", "a\tb c", "a \u3000b", "\u2003"]
+    for some in (texts, texts[::-1], [""], [], ["a\0"], *[[t] for t in texts]):
+        for t, ids in zip(some, enc.encode(some), strict=True):
+            assert np.frombuffer(ids, enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_field_on_unseen_pages():
     field = X.train(X.labelled(LP.training_pages(300)), rounds=120)
     unseen = X.labelled(LP.training_pages(100, seed=77))
