@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import Admitted, bounded_batches, discard, frugal, give_back, keeps_cache, materialize, new_path, table
 
-#: Words kept by a Python worker, those that it meets again. Characters split, and new words encoded, at a time. Tokens of a
-#: block, more for a longer document.
-CACHED_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 300_000, 1 << 19, 4096, 1 << 15
-#: Signs that are looked up apart at the end of a word.
-SIGNS = ".,;:!?&$#%*"
+#: Words kept by a Python worker, those that it meets again, and those that it met last. Characters split, and new words encoded, at a
+#: time. Tokens of a block, more for a longer document.
+CACHED_WORDS, RECENT_WORDS, SPLIT_CHARS, NEW_WORDS, BLOCK_TOKENS = 300_000, 200_000, 1 << 22, 4096, 1 << 15
 #: Whether the library encodes a word alone as inside its text: no white space but one space or newline at its start.
 ALONE = re.compile(r"[ \n]?[^\s\0](?:[^\0 \n]*[^\s\0])?").fullmatch
+#: What a byte is for cutting: a sign (1), a digit (2), a letter (3) or something that is not cut at (0), as is every byte beyond ASCII here.
+KINDS = np.zeros(256, dtype=np.uint8)
+KINDS[33:127] = [3 if chr(c).isalpha() else 2 if chr(c).isdigit() else 1 for c in range(33, 127)]
 #: UTF-8 bytes of text aimed at in a key range, and the bytes that count as one when ranges are made. Key ranges, each larger
 #: where there would be more: what the driver sees of the keys.
 RANGE_BYTES, UNIT_BYTES, MOST_RANGES = 1 << 24, 1 << 10, 20_000
@@ -77,16 +78,19 @@ class WordEncoder:
     """Whole texts through the tokenizers library, with a bounded cache of words.
 
     The pre-tokenizer splits before a space or newline that stands between other characters whatever is around
-    it, so a text without neighbouring white space falls into words that the library encodes alone.
+    it, and wherever letters, digits and signs meet (but between an apostrophe and what follows), so a text without
+    neighbouring white space falls into words that the library encodes alone.
     Any other text goes through the library whole, as does one that holds an added token's content, unless as_text
-    says that such content is plain text.
+    says that such content is plain text, and any text if the pre-tokenizer is another.
     """
 
     def __init__(self, path: str, as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
+        first = self.lib.pre_tokenizer
+        self.cuts = isinstance(first, pre_tokenizers.ByteLevel) and first.use_regex and not first.add_prefix_space and not self.lib.normalizer
         self.kind = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.lib.encode_special_tokens = as_text
         self.added = [] if as_text else [t.content for t in self.lib.get_added_tokens_decoder().values()]
@@ -96,7 +100,7 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
         self.words = Admitted(CACHED_WORDS)
-        self.signs: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -126,56 +130,69 @@ class WordEncoder:
                 some, held = [], 0
         yield from self._encode(some)
 
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that the library encodes alone and that are not kept; signs at a word's end are tokens of their own, so they are looked up apart."""
-        get = self.words.get
-        ends, need = {}, dict.fromkeys([w for w in words if w[-1] not in SIGNS])
-        for w in [w for w in words if w[-1] in SIGNS]:
-            base = w.rstrip(SIGNS)
-            if base[-1:].isalnum():
-                sign = w[len(base) :]
-                if sign not in self.signs:
-                    self.signs[sign] = self.raw([sign])[0]
-                ends[w] = base, self.signs[sign]
-                need[base] = get(base)
-            else:
-                need[w] = None
-        lacking = [w for w, x in need.items() if x is None]
-        spaced = [w for w in lacking if w[0] in " \n"]
-        made = {}
-        for i in range(0, len(spaced), NEW_WORDS):
-            some = spaced[i : i + NEW_WORDS]
-            made.update(zip(some, self.raw_words(some), strict=True))
-        first = [w for w in lacking if w[0] not in " \n"]
-        made.update(zip(first, self.raw(first), strict=True))
-        need.update(made)
-        whole = {w: need[base] + sign for w, (base, sign) in ends.items()}
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the library encodes alone and that are not kept; those that it encodes are in memory until many others have come."""
+        made = dict(zip(words, map(self.recent.get, words), strict=True))
+        lacking = [w for w, x in made.items() if x is None]
+        # a newline before a word is a token of its own
+        after = [w if w[0] in " \n" else "\n" + w for w in lacking]
+        line = len(self.raw(["\n"])[0]) if lacking else 0
+        new = {}
+        for i in range(0, len(lacking), NEW_WORDS):
+            some = lacking[i : i + NEW_WORDS]
+            new.update((w, x if w[0] in " \n" else x[line:]) for w, x in zip(some, self.raw_words(after[i : i + NEW_WORDS]), strict=True))
+            if len(self.recent) >= RECENT_WORDS:
+                self.recent.clear()
+            self.recent.update((w, new[w]) for w in some if len(w) <= self.words.longest)
+        made.update(new)
         self.words.offer_all(made)
-        self.words.offer_all(whole)
-        need.update(whole)
-        if len(self.signs) > 10_000:
-            self.signs.clear()
-        return need
+        return list(made.values())
+
+    @staticmethod
+    def _begins(octets: np.ndarray) -> np.ndarray:
+        """Whether a word begins at each byte."""
+        kinds = KINDS[octets]
+        lead = np.flatnonzero(octets[:-1] == 0xC3)
+        lead = lead[(octets[lead + 1] != 0x97) & (octets[lead + 1] != 0xB7)]  # U+00C0 to U+00FF are letters but for these two
+        kinds[lead] = kinds[lead + 1] = 3
+        begins = (octets == 32) | (octets == 10)
+        begins[1:] |= (kinds[1:] != kinds[:-1]) & (kinds[1:] != 0) & (kinds[:-1] != 0) & (octets[:-1] != 39)
+        return begins
+
+    @staticmethod
+    def _doubtful(words: pa.Array) -> np.ndarray:
+        """Whether each word must be looked at before it is encoded alone: white space or no ASCII at its end or behind a space or newline at its start."""
+        octets = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+        bounds = np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1]
+        first, last = bounds[:-1], bounds[1:] - 1
+        inner = np.minimum(first + ((octets[first] == 32) | (octets[first] == 10)), last)
+        plain = lambda at: (KINDS[octets[at]] != 0) | (octets[np.maximum(at - 1, 0)] == 0xC3)
+        return ~plain(last) | ~((KINDS[octets[inner]] != 0) | (octets[inner] == 0xC3))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """A distinct word is one string and one look-up; its occurrences are numbers."""
+        if not self.cuts:
+            return self.raw(texts)
         apart = [i for i, t in enumerate(texts) if "\0" in t or any(x in t for x in self.added)]
         parts = [t.encode() for t in texts]
         for i in apart:
             parts[i] = b""
         data = b"".join(parts)
         of_texts = np.cumsum([0, *map(len, parts)])
-        octets = np.frombuffer(data, dtype=np.uint8)
-        begins = (octets == 32) | (octets == 10)
+        del parts
+        begins = self._begins(np.frombuffer(data, dtype=np.uint8))
         begins[of_texts[:-1][np.diff(of_texts) > 0]] = True
         starts = np.append(np.flatnonzero(begins), len(data)).astype(np.int64)
+        del begins
         words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, distinct))
-        lacking = [w for w, x in zip(distinct, found, strict=True) if x is None and ALONE(w)]
+        lacking = [i for i, x in enumerate(found) if x is None]
         if lacking:
-            new = self._new_words(lacking)
-            found = [new.get(w) if x is None else x for w, x in zip(distinct, found, strict=True)]
+            doubtful = self._doubtful(words.dictionary)[lacking].tolist()
+            lacking = [i for i, look in zip(lacking, doubtful, strict=True) if not look or ALONE(distinct[i])]
+            for i, x in zip(lacking, self._new_words([distinct[i] for i in lacking]), strict=True):
+                found[i] = x
         made = pa.array(found, pa.large_binary()).take(words.indices)
         # a null has no bytes, so offsets hold for all
         ends = np.frombuffer(made.buffers()[1], dtype=np.int64)[: len(made) + 1] if len(made) else np.zeros(1, dtype=np.int64)
@@ -219,12 +236,23 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "
         enc = encoder_at(tokenizer_path, as_text)
         end = np.array([end_id], dtype=enc.kind).tobytes()
         edges = np.array(bounds, dtype=np.int64)
-        for batch in batches:
-            keys = batch.column("k").to_numpy()
-            ids = [x + end for x in enc.encode([t or "" for t in batch.column("t").to_pylist()])]
+
+        def encoded() -> pa.RecordBatch:
+            keys = np.concatenate([b.column("k").to_numpy() for b in held])
+            texts = [t or "" for b in held for t in b.column("t").to_pylist()]
+            held.clear()
+            ids = [x + end for x in enc.encode(texts)]
             width = np.full(len(ids), enc.kind.itemsize, dtype=np.int32)
-            yield pa.record_batch({"k": keys, "ids": pa.array(ids, pa.binary()), "width": width, "bucket": np.searchsorted(edges, keys, side="left").astype(np.int32)})
-            del batch, ids
+            return pa.record_batch({"k": keys, "ids": pa.array(ids, pa.binary()), "width": width, "bucket": np.searchsorted(edges, keys, side="left").astype(np.int32)})
+
+        # small batches together, as the words of more text are fewer for their number
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= SPLIT_CHARS:
+                yield encoded()
+        if held:
+            yield encoded()
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     return rows.mapInArrow(frugal(run, "token files"), "k bigint, ids binary, width int, bucket int").repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "k", "ids")

@@ -110,6 +110,61 @@ def test_occurrences_of_words_are_numbers():
             assert np.frombuffer(ids, enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once_and_shared_by_what_surrounds_them():
+    enc, r = T.WordEncoder(BYTES, False), random.Random(4)
+    words = sorted({"".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(500)})
+    sent, raw, raw_words = [], enc.raw, enc.raw_words
+    enc.raw = lambda some: sent.extend(some) or raw(some)
+    enc.raw_words = lambda some: sent.extend(some) or raw_words(some)
+    list(enc.encode([" " + " ".join(words)]))
+    assert len(sent) <= len(words) + 10
+    for form in (" {}", " {}.", " {}:", " {}/7", " {})", " {}|", " {}'s"):  # met again and behind other signs
+        list(enc.encode(["".join(form.format(w) for w in words)]))
+    assert len(sent) <= len(words) + 100
+    list(enc.encode([" " + " ".join(f"{k}" + "x" * 5000 for k in range(50))]))
+    assert max(map(len, [*enc.recent, *enc.words])) <= enc.words.longest  # long words do not fill memory
+
+
+def test_cuts_between_letters_digits_and_signs_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    lib, enc, r = Tokenizer.from_file(BYTES), T.WordEncoder(BYTES, False), random.Random(12)
+    bits = [*"aZé×÷ßÿÀ0９½.,'\"-_|<>\x7f\x1c\u0301日א\u00a0\u0085\u2003\t", "'s", "'ll", "'re", "ab", "12", " ", " ", " ", "\n", "\u02bc", "ª", "🙂"]
+    for _ in range(3000):
+        texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(3)]
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)], texts
+
+
+def test_another_pre_tokenizer_gets_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    made = json.load(open(BYTES))
+    for first in ({"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}):
+        (tmp_path / "t.json").write_text(json.dumps(made | {"pre_tokenizer": first}))
+        lib, enc = Tokenizer.from_file(f"{tmp_path}/t.json"), T.WordEncoder(f"{tmp_path}/t.json", False)
+        texts = ["the cat(s) sat", "\nthe cat.The", "", "x1 2y"]
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_small_batches_are_gathered(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        texts = [*odd_texts(20), None, "the cat " * 700_000, "the end", "end."]  # one is more than is gathered
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+        out = {r.k: r for r in T.encode_texts(docs, BYTES, 0, as_text=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(out) == len(texts)
+    for k, t in enumerate(texts):
+        assert T._ids(out[k].ids, out[k].width).tolist() == [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+
+
 def test_field_on_unseen_pages():
     field = X.train(X.labelled(LP.training_pages(300)), rounds=120)
     unseen = X.labelled(LP.training_pages(100, seed=77))
