@@ -814,13 +814,13 @@ def avc_configs(spark: SparkSession, d: str) -> DataFrame:
 # --- slices and the sets that they refer to -----------------------------------------------------
 
 
-def _slice_units(spark: SparkSession, d: str) -> DataFrame:
+def _slice_units(spark: SparkSession, d: str, *carried: str) -> DataFrame:
     """Units of a track a user. Configuration sets stand at sample -1; a sign-up brings new ones behind its IDR slice, other events hold a slice of any type, some with explicit weights and some for arithmetic coding.
 
-    Set ids are by user; what a set says is by version, 0 at first and then the sign-up's idx; a slice is written by the version in force.
+    Set ids are by user; what a set says is by version, 0 at first and then the sign-up's idx; a slice is written by the version in force. carried columns of the samples come along; configuration sets have nulls there.
     """
     e = samples(spark, d, since=latest(F.expr("CASE WHEN event_type = 'signup' THEN 0 END")), version=latest(F.expr("CASE WHEN event_type = 'signup' THEN event_id END")))
-    e = stored(e.selectExpr("user_id", "idx", "k", "event_type = 'signup' AS idr", "coalesce(version, 0) AS v"), "slices")
+    e = stored(e.selectExpr("user_id", "idx", "k", "event_type = 'signup' AS idr", "coalesce(version, 0) AS v", *carried), "slices")
     sps_bits = [S.fixed("66", 8), S.fixed("0", 8), S.fixed("30", 8), S.ue("user_id % 4"), S.ue("v % 9"), S.ue("0"), S.ue("v % 7"), S.ue("4"), "'0'", S.ue("19"), S.ue("9"), "'1'", "'1'", "'0'", "'0'"]
     pps_bits = [S.ue("user_id % 8"), S.ue("user_id % 4"), S.fixed("v % 2", 1), "'0'", S.ue("0"), S.ue("1"), S.ue("0"), S.fixed("CASE WHEN v % 5 = 0 THEN 1 ELSE 0 END", 1), S.fixed("v % 3", 2), S.se("(v % 13 - 6)"), S.se("0"), S.se("0"), "'1'", "'0'", "'0'"]
     kind = "(CASE WHEN idr THEN 2 ELSE k % 5 END)"  # P, B, I, SP, SI
@@ -841,10 +841,11 @@ def _slice_units(spark: SparkSession, d: str) -> DataFrame:
         S.ue("k % 3"), f"CASE WHEN k % 3 <> 1 THEN concat({S.se('(k % 7 - 3)')}, {S.se('0')}) ELSE '' END", "CASE WHEN k % 4 < 2 THEN '' WHEN k % 4 = 2 THEN '0000' ELSE '10110001000000001' END",
     ]
     made = lambda head, bits: f"concat({head}, {S.payload(f'concat({', '.join(bits)})')})"
-    sets = lambda rows, at: rows.select("user_id", F.lit(-1).cast("bigint").alias("sample_idx") if at is None else F.col(at).alias("sample_idx"), F.expr(f"array({made("unhex('67')", sps_bits)}, {made("unhex('68')", pps_bits)})").alias("u")).select("user_id", "sample_idx", F.posexplode("u").alias("unit_idx", "unit"))
-    first = sets(e.select("user_id").distinct().withColumn("v", F.lit(0).cast("bigint")), None)
+    sets = lambda rows, at: rows.select("user_id", F.lit(-1).cast("bigint").alias("sample_idx") if at is None else F.col(at).alias("sample_idx"), F.expr(f"array({made("unhex('67')", sps_bits)}, {made("unhex('68')", pps_bits)})").alias("u"), *carried).select("user_id", "sample_idx", F.posexplode("u").alias("unit_idx", "unit"), *carried)
+    kinds = dict(e.dtypes)
+    first = sets(e.select("user_id").distinct().withColumns({"v": F.lit(0).cast("bigint")} | {c: F.lit(None).cast(kinds[c]) for c in carried}), None)
     inband = sets(e.where("idr"), "idx").withColumn("unit_idx", F.col("unit_idx") + 1)
-    slices = e.selectExpr("user_id", "idx AS sample_idx", "0 AS unit_idx", f"{made("CASE WHEN idr THEN unhex('65') ELSE unhex('41') END", slice_bits)} AS unit")
+    slices = e.selectExpr("user_id", "idx AS sample_idx", "0 AS unit_idx", f"{made("CASE WHEN idr THEN unhex('65') ELSE unhex('41') END", slice_bits)} AS unit", *carried)
     return stored(first.unionByName(inband).unionByName(slices).withColumn("unit_idx", F.col("unit_idx").cast("bigint")), "units")
 
 

@@ -15,7 +15,7 @@ from framelake.operators.units import configurations, seeded_sets
 from framelake.plans.catalogue import _FILE_SQL, _WINDOW_SQL, _boxes_query, _files, _query, _slice_units, _streams, bs_strength, oracle_sql
 from framelake.sources import file_sink, ranges
 from framelake.sources.storage import new_folder, stored
-from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, samples, stored_timed
+from framelake.sources.tables import SAMPLES_SQL, TIMED_SQL, read, stored_timed
 from framelake.streaming import decoding, reorder, sets
 
 
@@ -88,9 +88,8 @@ def stream_reorder(spark: SparkSession, d: str) -> DataFrame:
 
 def set_rows(spark: SparkSession, d: str, slice_rows: int | None = None) -> DataFrame:
     """sets_in_force() over the units of slice_headers, whose samples change between two descriptions every five samples; each description is seeded by its own configuration."""
-    units = _slice_units(spark, d)
-    when = samples(spark, d).select("user_id", F.col("idx").alias("sample_idx"), "ts")
-    inband = units.where("sample_idx >= 0").join(when, ["user_id", "sample_idx"]).withColumn("description", (F.floor(F.col("sample_idx") / 5) % 2 + 1).cast("bigint"))
+    units = _slice_units(spark, d, "ts")
+    inband = units.where("sample_idx >= 0").withColumn("description", (F.floor(F.col("sample_idx") / 5) % 2 + 1).cast("bigint"))
     inband = inband.select(F.col("user_id").cast("string").alias("track"), "description", "sample_idx", "unit_idx", "unit", "ts")
     # a configuration record of each track's first sets, read back as the sets that it holds
     first = units.where("sample_idx = -1").groupBy("user_id").agg(F.max(F.when(F.col("unit_idx") == 0, F.hex("unit"))).alias("s"), F.max(F.when(F.col("unit_idx") == 1, F.hex("unit"))).alias("p"))
@@ -98,7 +97,8 @@ def set_rows(spark: SparkSession, d: str, slice_rows: int | None = None) -> Data
     record = first.selectExpr("CAST(user_id AS STRING) AS track", f"unhex(concat('0142000AFFE1', {size('s')}, s, '01', {size('p')}, p)) AS config")
     seeds = seeded_sets(configurations(record, ["track"], "config"), "track").select("track", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("description"), "unit")
     seeds = stored(seeds, "seeds")
-    return decoding.streamed(inband, ["ts"], lambda s: sets.sets_in_force(s, seeds), sets.OUT, slice_rows, decoding.ROCKS, ("track", "description"))
+    buckets = sets.buckets_for(seeds.count() // 2)  # a sequence set and a picture set a decoder
+    return decoding.streamed(inband, ["ts"], lambda s: sets.sets_in_force(s, seeds, buckets), sets.OUT, slice_rows, decoding.ROCKS, (sets.bucket(buckets),))
 
 
 @_query(f"""WITH {SAMPLES_SQL}, v AS (SELECT user_id, idx, event_id, k, event_type = 'signup' AS idr, idx // 5 % 2 + 1 AS description FROM s),

@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -94,7 +94,7 @@ def time_slices(rows: DataFrame, order: list[str], slice_rows: int, folder: str)
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def slices_a_batch(slices: DataFrame, tracks: list[str], most_rows: int = SLICE_ROWS) -> int:
+def slices_a_batch(slices: DataFrame, tracks: list[str | Column], most_rows: int = SLICE_ROWS) -> int:
     """The most neighbouring slices, SLICES_A_BATCH at most, of which no run holds more than most_rows rows of a track.
 
     A track of a batch has its price, however few its rows are: with a batch a slice, tracks that last would be met in each, more often the more tracks there are.
@@ -105,7 +105,7 @@ def slices_a_batch(slices: DataFrame, tracks: list[str], most_rows: int = SLICE_
     return next((m for m in range(min(SLICES_A_BATCH, len(rows)), 1, -1) if fits(m)), 1)
 
 
-def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], DataFrame], schema: str, slice_rows: int | None = None, conf: dict[str, str] | None = None, tracks: tuple[str, ...] = ("track",)) -> DataFrame:
+def streamed(rows: DataFrame, order: list[str], state: Callable[[DataFrame], DataFrame], schema: str, slice_rows: int | None = None, conf: dict[str, str] | None = None, tracks: tuple[str | Column, ...] = ("track",)) -> DataFrame:
     """state() over rows, slices along order as batches of one stream, into a table of the shared folder.
 
     A batch is one slice of slice_rows, or, without that, as many slices of SLICE_ROWS as slices_a_batch() says: what a worker holds of a track at once is no more than one slice. conf holds while the stream starts.

@@ -143,3 +143,95 @@ def test_one_read_and_one_write_of_the_state(spark):
     assert sum(map(len, out)) == 500 and processor.held.calls == 2
     later = pd.concat(processor.handleInputRows(("t", 1), iter([frame[2:10]]), None))
     assert len(later) == 8 and set(later["set_sample"]) == {0} and later["error"].isna().all() and processor.held.calls == 3
+
+
+def test_decoders_share_keys(spark):
+    """Decoders of a bucket have one read and one write of the state together, and stay apart."""
+    from framelake.streaming import sets
+
+    class Held:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    processor = sets.SetsInForce(shared=True)
+    processor.held = Held()
+    sps, pps, piece = bytes.fromhex("6742000ADA79"), bytes.fromhex("68CE3C80"), bytes.fromhex("6588842F")
+    seeds = pd.DataFrame([(f"t{i}", d, u) for i in range(50) for d in (1, 2) for u in (sps, pps)], columns=["track", "description", "unit"])
+    processor.handleInitialState((7,), seeds, None)
+    assert processor.held.calls == 2
+    units = [("t1", 1, 0, 1, sps), ("t1", 1, 0, 2, pps), ("t2", 2, 3, 0, pps)] + [(f"t{i}", d, k, 9, piece) for i in range(51) for d in (1, 2) for k in range(5)]
+    random.Random(3).shuffle(units)
+    frame = pd.DataFrame(units, columns=["track", "description", "sample_idx", "unit_idx", "unit"])
+    out = pd.concat(processor.handleInputRows((7,), iter([frame[:200], frame[200:]]), None))
+    assert processor.held.calls == 4
+    got = {(r.track, r.description, r.sample_idx): (r.set_sample, r.sps_sample, r.error) for r in out.itertuples()}
+
+    def want(i, d, k):
+        if i == 50:
+            return None, None, "picture set is missing"
+        return 0 if (i, d) == (1, 1) else 3 if (i, d) == (2, 2) and k >= 3 else -1, 0 if (i, d) == (1, 1) else -1, None
+
+    clean = {k: tuple(None if pd.isna(x) else x for x in v) for k, v in got.items()}
+    assert len(out) == 510 and clean == {(f"t{i}", d, k): want(i, d, k) for i in range(51) for d in (1, 2) for k in range(5)}
+
+
+def test_buckets_equal_decoders(spark):
+    """A stream by buckets, in chunks of few rows, gives what one by decoders and a plain replay give."""
+    from framelake.streaming import sets
+
+    r = random.Random(5)
+    sps, pps, piece, bad = bytes.fromhex("6742000ADA79"), bytes.fromhex("68CE3C80"), bytes.fromhex("6588842F"), b"\x68\0\0\3\xff"
+    tracks = [(f"t{i}", d) for i in range(12) for d in (1, 2)]
+    units = [(t, d, k, n, r.choice([sps, pps, piece, piece, bad, b"\x09\x10", b""]), k) for t, d in tracks for k in range(9) for n in range(4)]
+    units += [(None, 1, 0, 0, piece, 0), ("t1", None, 0, 0, piece, 1), ("t1", 1, 0, 9, None, 1)]
+    rows = spark.createDataFrame(units, "track string, description bigint, sample_idx bigint, unit_idx bigint, unit binary, ts int")
+    seeds = spark.createDataFrame([(t, d, u) for t, d in tracks[::2] for u in (sps, bad, pps)] + [("nobody", 1, sps), (None, 1, sps), ("t3", 1, b"")], "track string, description bigint, unit binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        one, many = ([tuple(x) for x in decoding.streamed(rows, ["ts"], lambda s, n=n: sets.sets_in_force(s, seeds, n), sets.OUT, 300, decoding.ROCKS).collect()] for n in (None, 3))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    held, want = {(t, d): [None, None] for t, d in tracks}, []
+    for t, d, u in seeds.where("track LIKE 't%' AND length(unit) > 0").collect():
+        if bytes(u) != bad:
+            held[t, d][bytes(u) == pps] = -1
+    for t, d, k, n, u, _ in sorted((u for u in units if None not in u), key=lambda u: (u[2], u[4] == piece, u[3])):
+        if u in (sps, pps):
+            held[t, d][u == pps] = k
+        elif u == piece:
+            s, p = held[t, d]
+            want.append((t, d, k, n, p, None if p is None else s, "picture set is missing" if p is None else "sequence set is missing" if s is None else None))
+    brief = lambda found: sorted(((*x[:4], x[6], x[8], x[11]) for x in found), key=str)
+    assert sorted(one, key=str) == sorted(many, key=str) and brief(one) == sorted(want, key=str)
+
+
+def test_state_keys_do_not_grow_with_decoders(spark, sf, monkeypatch):
+    """stream_sets deals its decoders to buckets, of which batches count the rows; more decoders share one the more there are."""
+    from framelake.streaming import sets
+
+    assert [sets.buckets_for(n) for n in (0, 1, 1 << 16, (1 << 16) + 1, 1 << 20)] == [256, 256, 256, 257, 4096]
+    seen, plain = [], sets.sets_in_force
+    monkeypatch.setattr(sets, "LEAST_BUCKETS", 5)
+    monkeypatch.setattr(sets, "sets_in_force", lambda stream, seeds, buckets: seen.append(buckets) or plain(stream, seeds, buckets))
+    out = media.set_rows(spark, sf)
+    assert seen == [5] and out.select("track", "description").distinct().count() > 5
+    assert out.select(sets.bucket(5)).distinct().count() == 5
+
+
+def test_units_carry_columns(spark, sf):
+    """Units with the times of their samples are the units, each with its event's time, from one scan of the events."""
+    from framelake.sources.tables import samples
+
+    plain, timed = catalogue._slice_units(spark, sf), catalogue._slice_units(spark, sf, "ts")
+    when = samples(spark, sf).selectExpr("user_id", "idx AS sample_idx", "ts")
+    want = sorted(map(tuple, plain.join(when, ["user_id", "sample_idx"], "left").select(*plain.columns, "ts").collect()), key=str)
+    assert timed.columns == [*plain.columns, "ts"] and sorted(map(tuple, timed.collect()), key=str) == want
