@@ -840,8 +840,9 @@ def _slice_units(spark: SparkSession, d: str, *carried: str) -> DataFrame:
         f"CASE WHEN {inter} AND v % 2 = 1 THEN {S.ue('k % 3')} ELSE '' END", S.se("(k % 9 - 4)"), f"CASE WHEN {kind} = 3 THEN '1' ELSE '' END", f"CASE WHEN {kind} IN (3, 4) THEN {S.se('(k % 5 - 2)')} ELSE '' END",
         S.ue("k % 3"), f"CASE WHEN k % 3 <> 1 THEN concat({S.se('(k % 7 - 3)')}, {S.se('0')}) ELSE '' END", "CASE WHEN k % 4 < 2 THEN '' WHEN k % 4 = 2 THEN '0000' ELSE '10110001000000001' END",
     ]
+    # an outer explode, as for a plain one Spark adds a filter that makes the sets of every row
     made = lambda head, bits: f"concat({head}, {S.payload(f'concat({', '.join(bits)})')})"
-    sets = lambda rows, at: rows.select("user_id", F.lit(-1).cast("bigint").alias("sample_idx") if at is None else F.col(at).alias("sample_idx"), F.expr(f"array({made("unhex('67')", sps_bits)}, {made("unhex('68')", pps_bits)})").alias("u"), *carried).select("user_id", "sample_idx", F.posexplode("u").alias("unit_idx", "unit"), *carried)
+    sets = lambda rows, at: rows.select("user_id", F.lit(-1).cast("bigint").alias("sample_idx") if at is None else F.col(at).alias("sample_idx"), F.expr(f"array({made("unhex('67')", sps_bits)}, {made("unhex('68')", pps_bits)})").alias("u"), *carried).select("user_id", "sample_idx", F.posexplode_outer("u").alias("unit_idx", "unit"), *carried)
     kinds = dict(e.dtypes)
     first = sets(e.select("user_id").distinct().withColumns({"v": F.lit(0).cast("bigint")} | {c: F.lit(None).cast(kinds[c]) for c in carried}), None)
     inband = sets(e.where("idr"), "idx").withColumn("unit_idx", F.col("unit_idx") + 1)

@@ -235,3 +235,11 @@ def test_units_carry_columns(spark, sf):
     when = samples(spark, sf).selectExpr("user_id", "idx AS sample_idx", "ts")
     want = sorted(map(tuple, plain.join(when, ["user_id", "sample_idx"], "left").select(*plain.columns, "ts").collect()), key=str)
     assert timed.columns == [*plain.columns, "ts"] and sorted(map(tuple, timed.collect()), key=str) == want
+
+
+def test_sets_are_made_where_they_stand(spark, sf, monkeypatch):
+    """No filter of the plan makes the sets of each sample to see whether they are there."""
+    plans, plain = [], catalogue.stored
+    monkeypatch.setattr(catalogue, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, name))
+    catalogue._slice_units(spark, sf)
+    assert len(plans) == 2 and "Generate" in plans[1] and not [line for line in plans[1].split("\n") if "Filter" in line and "unhex" in line]
